@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "quality", "sharding")
+MODULES = ("lm", "packing", "quality", "sharding")
 
 
 def queries() -> dict:
