@@ -90,6 +90,11 @@ def open_chunk(meta: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]
     return m[0], np.concatenate([[0], np.cumsum(m[1])]), expand(blob)
 
 
+def ids_out(ids: np.ndarray):
+    """ids as a column, NO_ID as null."""
+    return pd.Series([None if i == NO_ID else i for i in ids.tolist()], dtype="Int64") if (ids == NO_ID).any() else ids
+
+
 def ask(chunks: DataFrame, requests: Callable[[int, bytes, bytes], Iterator[tuple[int, int, bytes, bytes]]]) -> DataFrame:
     """requests(chunk, meta, blob) gives (shard, kind, body, extra); one row for each."""
 

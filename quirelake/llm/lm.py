@@ -168,7 +168,7 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk
         base = np.log10((counts[0] + BASE) / (total + BASE * (types + 1)))
         cuts = np.concatenate([[0], np.cumsum(np.diff(starts) - order + 1)])
         add = lambda x: np.add.reduceat(x, cuts[:-1]) if len(x) else x  # noqa: E731  every text has its end token
-        return pd.DataFrame({"doc_id": pd.array(np.where(ids == C.NO_ID, 0, ids), dtype="Int64").where(pd.array(ids != C.NO_ID)) if (ids == C.NO_ID).any() else ids, "held_out": [held_out(i) for i in ids.tolist()], "n_tokens": np.diff(cuts), "n_known": add((counts[0] > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(logp)})
+        return pd.DataFrame({"doc_id": C.ids_out(ids), "held_out": [held_out(i) for i in ids.tolist()], "n_tokens": np.diff(cuts), "n_known": add((counts[0] > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(logp)})
 
     return C.meet(chunks, answers, scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
