@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lm", "packing", "quality", "sharding", "suffixes")
+MODULES = ("lm", "packing", "partenum", "quality", "sharding", "suffixes")
 
 
 def queries() -> dict:
