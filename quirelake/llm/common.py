@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when a count or a sum over it has proven that it is no larger than this.
 BROADCAST_BYTES = 16 * 1024 * 1024
 #: Rows in one Arrow batch: whole texts travel, so a batch is kept small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def tune(spark: SparkSession) -> SparkSession:
