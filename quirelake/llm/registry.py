@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lm", "packing", "partenum", "quality", "sharding", "suffixes")
+MODULES = ("decontaminate", "lines", "lm", "packing", "partenum", "quality", "sharding", "suffixes", "warc")
 
 
 def queries() -> dict:
