@@ -1,7 +1,80 @@
-"""Corpus pipeline (being built)."""
-STAGES = []
+"""From raw documents to packed training sequences, one operator of quirelake.llm for each stage.
+
+Each stage works on all documents that the one before has kept and is written as Parquet in the shared folder, so a lost
+executor repeats at most the tasks of one stage. doc_id identifies a document: rows that repeat one share its fate."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirelake.llm import common, decontaminate, lines, packing, partenum, quality
+
+#: A document that loses this share of its words to line dedup is a copy of others and goes.
+MOST_LINES_LOST = 0.5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the fixed rules and whose perplexity lies in their language's band."""
+    common.tune(spark)
+    verdict = quality.quality_rules(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("kept"))
+    rejected = common.materialize(verdict.where("not kept").select("__id"), "rejected")
+    return docs.join(common.small_or_not(rejected, 32), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without cross-site boilerplate lines; those that were mostly such lines go."""
+    out = lines.line_dedup(docs).withColumn("__left", count_words(F.col("text")))
+    out = out.where((F.col("n_removed") == 0) | (F.col("__left") > (1 - MOST_LINES_LOST) * F.col("n_words_before")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def count_words(text):
+    return F.expr("regexp_count(coalesce(text, ''), '[^\\\\x20\\\\x09-\\\\x0D]+')")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies (5-word shingles, similarity 0.8 or more)."""
+    common.tune(spark)
+    groups = partenum.linked(docs, words=5, num=80, den=100).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    copies = common.materialize(groups.select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
+    out = docs.join(common.small_or_not(copies, 32), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    again = common.materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
+    if not again.limit(1).count():
+        return out
+    again = common.small_or_not(again, 32)
+    same = docs["doc_id"].eqNullSafe(F.col("__id"))
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any 10-word window of a benchmark item (the whole item if it is shorter)."""
+    marked = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    return marked.where("not contaminated").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: one row per piece of a document with its place in a sequence."""
+    common.tune(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: SQL can express neither the Kneser-Ney bands nor best-fit packing; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return common.materialize(STAGES[-1][1](spark, docs, sf_dir), f"pipeline-{STAGES[-1][0]}")
