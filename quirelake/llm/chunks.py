@@ -23,7 +23,7 @@ from quirelake.llm import common
 CHUNK_BYTES = 4 * 1024 * 1024
 NO_ID = np.iinfo(np.int64).max
 
-CHUNK = "chunk long, meta binary, blob binary"
+CHUNK = "chunk long, meta binary, blob binary, note binary"
 REQUEST = "shard int, kind int, chunk long, body binary, extra binary"
 ANSWER = "chunk long, shard int, kind int, body binary"
 
@@ -56,24 +56,27 @@ def shard_bounds(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     return [(int(of[a]), int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
 
 
-def chunked(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs (doc_id, text) as a table of chunks: chunk, meta (ids, byte lengths), blob. Null texts are empty, a null
-    doc_id is NO_ID; other columns are left behind. A longer document has a chunk of its own."""
+def chunked(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES, flag: str | None = None, note: Callable[[np.ndarray, bytes], bytes] | None = None) -> DataFrame:
+    """docs (doc_id, text) as a table of chunks: chunk, meta (ids, byte lengths, and 1 where the column flag is true),
+    blob, and note(start offsets, bytes) for later use. Null texts are empty, a null doc_id is NO_ID; other columns are
+    left behind. A longer document has a chunk of its own."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, size, n = [], [], 0, 0
+        ids, texts, flags, size, n = [], [], [], 0, 0
         first = TaskContext.get().partitionId() << 32
 
         def done() -> pd.DataFrame:
-            nonlocal ids, texts, size, n
-            meta = np.array([ids, [len(t) for t in texts]], dtype=np.int64)
-            out = pd.DataFrame({"chunk": [first + n], "meta": [meta.tobytes()], "blob": [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))]})
-            ids, texts, size, n = [], [], 0, n + 1
+            nonlocal ids, texts, flags, size, n
+            meta, raw = np.array([ids, [len(t) for t in texts], flags], dtype=np.int64), b"".join(texts)
+            more = note(np.concatenate([[0], np.cumsum(meta[1])]), raw) if note else b""
+            out = pd.DataFrame({"chunk": [first + n], "meta": [meta.tobytes()], "blob": [zstandard.ZstdCompressor(level=3).compress(raw)], "note": [more]})
+            ids, texts, flags, size, n = [], [], [], 0, n + 1
             return out
 
         for pdf in it:
-            for i, none, t in zip(pdf["doc_id"].fillna(NO_ID).astype("int64"), pdf["doc_id"].isna(), pdf["text"], strict=True):
+            for i, none, t, f in zip(pdf["doc_id"].fillna(-1).astype("int64"), pdf["doc_id"].isna(), pdf["text"], pdf["flag"], strict=True):
                 ids.append(NO_ID if none else i)
+                flags.append(int(f))
                 texts.append(common.text_bytes(t))
                 size += len(texts[-1])
                 if size >= chunk_bytes:
@@ -81,27 +84,31 @@ def chunked(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES) -> DataF
         if ids:
             yield done()
 
-    return common.materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, CHUNK), name)
+    return common.materialize(docs.select(F.col("doc_id").cast("long"), "text", (F.coalesce(flag, F.lit(False)) if flag else F.lit(False)).alias("flag")).mapInPandas(run, CHUNK), name)
 
 
 def open_chunk(meta: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     """ids, start offsets (with the end of the last), bytes."""
-    m = np.frombuffer(meta, np.int64).reshape(2, -1)
+    m = np.frombuffer(meta, np.int64).reshape(3, -1)
     return m[0], np.concatenate([[0], np.cumsum(m[1])]), expand(blob)
 
 
+def flags_of(meta: bytes) -> np.ndarray:
+    return np.frombuffer(meta, np.int64).reshape(3, -1)[2] > 0
+
+
 def ids_out(ids: np.ndarray):
     """ids as a column, NO_ID as null."""
     return pd.Series([None if i == NO_ID else i for i in ids.tolist()], dtype="Int64") if (ids == NO_ID).any() else ids
 
 
-def ask(chunks: DataFrame, requests: Callable[[int, bytes, bytes], Iterator[tuple[int, int, bytes, bytes]]]) -> DataFrame:
-    """requests(chunk, meta, blob) gives (shard, kind, body, extra); one row for each."""
+def ask(chunks: DataFrame, requests: Callable[[pd.Series], Iterator[tuple[int, int, bytes, bytes]]]) -> DataFrame:
+    """requests(row of the table of chunks) gives (shard, kind, body, extra); one row for each."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for chunk, meta, blob in zip(pdf["chunk"], pdf["meta"], pdf["blob"], strict=True):
-                yield _rows(chunk, requests(chunk, meta, blob))
+            for row in pdf.itertuples():
+                yield _rows(row.chunk, requests(row))
 
     return chunks.mapInPandas(run, REQUEST)
 
@@ -122,14 +129,14 @@ def answer(requests: DataFrame, reply: Callable[[int, pd.DataFrame], Iterator[tu
     return common.materialize(requests.groupBy("shard", "kind").applyInPandas(run, ANSWER), name)
 
 
-def meet(chunks: DataFrame, answers: DataFrame, run: Callable[[int, bytes, bytes, dict[int, list[bytes]]], pd.DataFrame], schema: str) -> DataFrame:
-    """run(chunk, meta, blob, answers by kind in shard order) for each chunk."""
+def meet(chunks: DataFrame, answers: DataFrame, run: Callable[[pd.Series, dict[int, list[bytes]]], pd.DataFrame], schema: str) -> DataFrame:
+    """run(row of the table of chunks, answers by kind in shard order) for each chunk."""
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         by = {int(k): list(x.sort_values("shard")["body"]) for k, x in right.groupby("kind")}
-        return run(int(left["chunk"].iloc[0]), left["meta"].iloc[0], left["blob"].iloc[0], by)
+        return run(left.iloc[0], by)
 
     return chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInPandas(one, schema)
 

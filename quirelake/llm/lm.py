@@ -116,8 +116,8 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk
     chunks = C.chunked(docs, "lm-chunks", chunk_bytes)
     shards = C.shards_for(C.raw_bytes(chunks), shard_bytes)
 
-    def requests(chunk: int, meta: bytes, blob: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
-        ids, at, raw = C.open_chunk(meta, blob)
+    def requests(row: pd.Series) -> Iterator[tuple[int, int, bytes, bytes]]:
+        ids, at, raw = C.open_chunk(row.meta, row.blob)
         seq, starts = sequences([raw[a:b] for a, b in zip(at, at[1:], strict=False)], order)
         train = np.array([not held_out(i) for i in ids.tolist()])
         for n in range(1, order + 1):
@@ -147,8 +147,8 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk
     own = answers.where("chunk < 0").selectExpr("sum(cast(conv(hex(substr(body, 1, 8)), 16, 10) as long)) n", "sum(cast(conv(hex(substr(body, 9, 8)), 16, 10) as long)) v").first()
     total, types = int(own["n"] or 0), int(own["v"] or 0)
 
-    def scores(chunk: int, meta: bytes, blob: bytes, got: dict[int, list[bytes]]) -> pd.DataFrame:
-        ids, at, raw = C.open_chunk(meta, blob)
+    def scores(row: pd.Series, got: dict[int, list[bytes]]) -> pd.DataFrame:
+        ids, at, raw = C.open_chunk(row.meta, row.blob)
         seq, starts = sequences([raw[a:b] for a, b in zip(at, at[1:], strict=False)], order)
         tokens = places(starts, order)  # of the full n-gram that ends at each token
         counts, contexts, all_keys, all_counts = [], [], [], []

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirelake.llm import chunks as C
 from quirelake.llm import common
@@ -22,7 +23,8 @@ LENGTH, SEED = 50, 20
 BEFORE = LENGTH - SEED
 WIDTH = BEFORE + LENGTH
 #: Stored (compressed) bytes of text for each shard of the seed space.
-SHARD_BYTES = 4 * 1024 * 1024
+SHARD_BYTES = 3 * 1024 * 1024
+CHUNK_BYTES = 2 * 1024 * 1024
 #: Multikey quicksort looks at this many bytes before blind tries take over.
 SHALLOW = 32
 
@@ -150,11 +152,13 @@ def words_at(buf: np.ndarray) -> np.ndarray:
 def seed_hashes(buf: np.ndarray) -> np.ndarray:
     w = words_at(buf)
     n = max(0, len(buf) - SEED + 1)
+    return _mixed(w[:n], w[8 : 8 + n], w[SEED - 8 : SEED - 8 + n])
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A hash above 0 of the first, second and last 8 bytes of a seed."""
     with np.errstate(over="ignore"):
-        h = common.mix(w[:n])
-        h = common.mix(h + w[8 : 8 + n] * np.uint64(0x9E3779B97F4A7C15))
-        h = common.mix(h + w[SEED - 8 : SEED - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
-    return h | np.uint64(1)
+        return common.mix(common.mix(a * np.uint64(0xD6E8FEB86659FD93) + b) + c * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
 
 def sliding(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -184,6 +188,28 @@ def seeds(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return place, h[place], np.searchsorted(at, place, side="right") - 1
 
 
+def note_places(at: np.ndarray, raw: bytes) -> bytes:
+    """The places of all seeds, so that they are searched for once."""
+    return C.squeeze(np.diff(seeds(raw, at)[0], prepend=0).astype("<u4").tobytes())
+
+
+def noted_seeds(row: pd.Series) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, start offsets and bytes of a chunk; places, hashes and document numbers of its seeds, copies' left out."""
+    ids, at, raw = C.open_chunk(row.meta, row.blob)
+    place = np.cumsum(np.frombuffer(C.expand(row.note), "<u4"), dtype=np.int64)
+    doc = np.searchsorted(at, place, side="right") - 1
+    keep = ~C.flags_of(row.meta)[doc]
+    place, doc = place[keep], doc[keep]
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), SEED)[place] if len(place) else np.zeros((0, SEED), np.uint8)
+    return ids, at, raw, place, row_hashes(rows), doc
+
+
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """seed_hashes of rows of SEED bytes."""
+    w = [np.ascontiguousarray(rows[:, i : i + 8]).view("<u8").ravel() for i in (0, 8, SEED - 8)]
+    return _mixed(*w)
+
+
 def contexts(raw: bytes, at: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of WIDTH bytes with the seed at BEFORE, zeros beyond the document; how many bytes before and from it are real."""
     padded = np.concatenate([np.zeros(BEFORE, np.uint8), np.frombuffer(raw, np.uint8), np.zeros(LENGTH, np.uint8)])
@@ -222,18 +248,29 @@ def smallest_docs(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np
     return out
 
 
-def dedup(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
+def with_copies(docs: DataFrame, at_least: int = LENGTH) -> DataFrame:
+    """doc_id, text and copy: whether the whole text, of 50 bytes or more, is that of a document with a smaller doc_id.
+    Such a document goes as a whole and takes no part in the search. Its id is brought back by broadcast only if counted
+    to be one of few."""
+    long = docs.where(F.octet_length("text") >= at_least).select("doc_id", F.sha2("text", 256).alias("digest"))
+    first = long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = long.join(first, "digest").where("first < doc_id or (doc_id is null and first is not null)").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    copies = common.small_or_not(common.materialize(copies, "dedup-copies"), 128)
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.sha2(docs["text"], 256) == F.col("__digest"))
+    return docs.join(copies, same, "left").select("doc_id", "text", F.col("__digest").isNotNull().alias("copy"))
+
+
+def dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every document: each byte
     inside a 50-byte string that also starts in a document with a smaller doc_id is removed.
 
     Null and empty texts have 0 bytes. Rows that repeat a doc_id don't remove from each other; a null doc_id is larger
     than all others. An empty table gives no rows; other columns are ignored."""
-    chunks = C.chunked(docs, "dedup-chunks", chunk_bytes)
+    chunks = C.chunked(with_copies(docs), "dedup-chunks", chunk_bytes, "copy", note_places)
     shards = C.shards_for(C.raw_bytes(chunks), shard_bytes)
 
-    def seed_requests(chunk: int, meta: bytes, blob: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
-        ids, at, raw = C.open_chunk(meta, blob)
-        _, h, doc = seeds(raw, at)
+    def seed_requests(row: pd.Series) -> Iterator[tuple[int, int, bytes, bytes]]:
+        *_, h, doc = noted_seeds(row)
         by = np.argsort(h, kind="stable")
         keys, first, n = np.unique(h[by], return_index=True, return_counts=True)
         several = doc[by][first] != doc[by][first + n - 1]  # seeds come in document order
@@ -250,33 +287,28 @@ def dedup(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, shard_bytes: int =
 
     shared = C.answer(C.ask(chunks, seed_requests), seed_reply, "dedup-seeds")
 
-    def shared_seeds(raw: bytes, at: np.ndarray, got: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place, h, doc = seeds(raw, at)
-        flags = []
-        for b in map(C.expand, got):
-            flags.append(np.unpackbits(np.frombuffer(b[:-4], np.uint8), count=int.from_bytes(b[-4:], "little")))
-        keys = np.unique(h)
-        keep = np.concatenate(flags or [np.zeros(0, np.uint8)])[np.searchsorted(keys, h)] > 0 if len(h) else np.zeros(0, bool)
-        return place[keep], h[keep], doc[keep]
-
-    def distinct_contexts(ids: np.ndarray, raw: bytes, at: np.ndarray, got: list[bytes]):
-        """Shared seeds' places and documents; which distinct context each has; the contexts, ordered by seed hash."""
-        place, h, doc = shared_seeds(raw, at, got)
+    def distinct_contexts(row: pd.Series, got: list[bytes]):
+        """ids, offsets, bytes; the shared seeds' places and documents; which distinct context each has; the contexts in
+        the order of their seeds' hashes, each with its smallest document."""
+        ids, at, raw, place, h, doc = noted_seeds(row)
+        flags = [np.unpackbits(np.frombuffer(b[:-4], np.uint8), count=int.from_bytes(b[-4:], "little")) for b in map(C.expand, got)]
+        if flags:
+            keep = np.concatenate(flags)[np.unique(h, return_inverse=True)[1]] > 0
+            place, h, doc = place[keep], h[keep], doc[keep]
         rows, left, right = contexts(raw, at, place, doc)
-        by = np.lexsort((ids[doc], context_hash(rows, left, right), h))
-        key = np.stack([h[by], context_hash(rows, left, right)[by]], axis=1)
+        whole = context_hash(rows, left, right)
+        by = np.lexsort((ids[doc], whole, h))
         new = np.ones(len(by), bool)
-        new[1:] = (key[1:] != key[:-1]).any(axis=1)
+        new[1:] = (whole[by][1:] != whole[by][:-1]) | (h[by][1:] != h[by][:-1])
         which = np.empty(len(by), np.int64)
         which[by] = np.cumsum(new) - 1
         one = by[new]
-        return place, doc, which, h[one], rows[one], left[one], right[one], ids[doc[one]]
+        return ids, at, raw, place, doc, which, (h[one], rows[one], left[one], right[one], ids[doc[one]])
 
     def context_rows(key: tuple, left_: pd.DataFrame, right_: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left_):
-            ids, at, raw = C.open_chunk(left_["meta"].iloc[0], left_["blob"].iloc[0])
-            _, _, _, h, rows, left, right, doc = distinct_contexts(ids, raw, at, list(right_.sort_values("shard")["body"]))
+            *_, (h, rows, left, right, doc) = distinct_contexts(left_.iloc[0], list(right_.sort_values("shard")["body"]))
             for shard, a, b in C.shard_bounds(h, shards):
                 body = C.squeeze(np.ascontiguousarray(rows[a:b]))
                 found.append((shard, 1, body, C.squeeze(doc[a:b].astype("<i8").tobytes() + left[a:b].tobytes() + right[a:b].tobytes())))
@@ -291,8 +323,9 @@ def dedup(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, shard_bytes: int =
         left = np.concatenate([x[8 * n : 9 * n] for x, n in zip(extra, sizes, strict=True)])
         right = np.concatenate([x[9 * n :] for x, n in zip(extra, sizes, strict=True)])
         rows = np.concatenate([np.frombuffer(C.expand(b), np.uint8).reshape(-1, WIDTH) for b in pdf["body"]])
-        by = np.lexsort((doc, context_hash(rows, left, right)))
-        h = context_hash(rows, left, right)[by]
+        whole = context_hash(rows, left, right)
+        by = np.lexsort((doc, whole))
+        h = whole[by]
         new = np.ones(len(by), bool)
         new[1:] = h[1:] != h[:-1]
         which = np.empty(len(by), np.int64)
@@ -300,7 +333,7 @@ def dedup(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, shard_bytes: int =
         one = by[new]
         one_doc = doc[one]
         # a seed with a single context needs no sorting
-        seed = seed_hashes(np.ascontiguousarray(rows[one][:, BEFORE : BEFORE + SEED]).ravel())[:: SEED]
+        seed = row_hashes(rows[one][:, BEFORE : BEFORE + SEED])
         _, inverse, n = np.unique(seed, return_inverse=True, return_counts=True)
         fits = np.arange(BEFORE + 1)
         least = np.where((left[one][:, None] >= fits) & (right[one][:, None] >= LENGTH - fits), one_doc[:, None], C.NO_ID)
@@ -317,9 +350,8 @@ def dedup(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, shard_bytes: int =
     least = C.answer(asked, context_reply, "dedup-contexts")
     both = shared.where("chunk >= 0").unionByName(least)
 
-    def removed(chunk: int, meta: bytes, blob: bytes, got: dict[int, list[bytes]]) -> pd.DataFrame:
-        ids, at, raw = C.open_chunk(meta, blob)
-        place, doc, which, *_ = distinct_contexts(ids, raw, at, got.get(0, []))
+    def removed(row: pd.Series, got: dict[int, list[bytes]]) -> pd.DataFrame:
+        ids, at, raw, place, doc, which, _ = distinct_contexts(row, got.get(0, []))
         cover = np.zeros(len(raw) + 1, np.int64)
         if len(place):
             table = np.concatenate([np.frombuffer(C.expand(b), "<i8").reshape(BEFORE + 1, -1) for b in got.get(1, [])], axis=1)
@@ -329,6 +361,9 @@ def dedup(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, shard_bytes: int =
             hits = np.flatnonzero(start)
             cover[hits] += 1
             cover[hits + LENGTH] -= 1
+        for d in np.flatnonzero(C.flags_of(row.meta)).tolist():
+            cover[at[d]] += 1
+            cover[at[d + 1]] -= 1
         gone = np.cumsum(cover[:-1]) > 0
         first = gone.copy()
         first[1:] &= ~gone[:-1]
