@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from quirelake.plans import q_blocks
+
+MODULES = (q_blocks,)
 
 
 def queries() -> dict:
