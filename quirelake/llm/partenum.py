@@ -21,10 +21,11 @@ from quirelake.llm.components import components
 
 #: Up to this k a part has three sub-parts, any two of which make a signature; beyond, a part is one.
 ENUMERATED = 8
-#: Candidate pairs of different components, for each set involved, that may be compared at once. While there are more,
-#: buckets compare all their sets with one more leader each.
-PAIRS_PER_SET = 8
-LEADER_ROUNDS = 8
+#: Bits of the parity sketch that rules candidates out before their sets are fetched.
+SKETCH_BITS = 1024
+#: Members of a signature's bucket that one task compares; larger buckets are cut into blocks, each pair of which is a
+#: task's share.
+BLOCK = 2000
 
 
 def bands(size: int, num: int, den: int) -> tuple[int, int, int]:
@@ -173,15 +174,83 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return rows.mapInPandas(run, "a long, b long")
 
 
-def buckets(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sig, sid of stored sets."""
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of how many features fall on each of SKETCH_BITS bits. The bits in which two sketches differ are no
+    more than the features in which their sets do."""
+    return np.packbits(np.bincount((common.mix(s ^ np.uint64(0x452821E638D01377)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
+def buckets(sets: DataFrame, num: int, den: int, sketched: bool = False) -> DataFrame:
+    """sig, sid, root of stored sets (sid, root, features), and size and sketch if wanted."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for a in range(0, len(pdf), 50):
+                part = pdf.iloc[a : a + 50]
+                found = [np.frombuffer(f, "<u8") for f in part["features"]]
+                sigs = [signatures(f, num, den) for f in found]
+                n = [len(x) for x in sigs]
+                out = pd.DataFrame({"sig": np.concatenate(sigs), "sid": np.repeat(part["sid"].to_numpy(np.int64), n), "root": np.repeat(part["root"].to_numpy(np.int64), n)})
+                yield out.assign(size=np.repeat([len(f) for f in found], n), sketch=np.repeat(np.array([sketch(f) for f in found], dtype=object), n)) if sketched else out
+
+    return sets.select("sid", "root", "features").mapInPandas(run, "sig long, sid long, root long" + ", size long, sketch binary" * sketched)
+
+
+def possible(rows: pd.DataFrame, num: int, den: int) -> np.ndarray:
+    """Pairs (sid, sid) of rows with one sig, sorted by it, that are in different components and that neither their sizes
+    nor their sketches rule out. Rows of all buckets are compared at once with those i places further on."""
+    sig, block, sid, root, size = (rows[c].to_numpy(np.int64) for c in ("sig", "block", "sid", "root", "size"))
+    bits = np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(len(rows), -1)
+    out, at = [], np.arange(len(rows))
+    for i in range(1, len(rows)):
+        at = at[at + i < len(rows)]
+        at = at[sig[at] == sig[at + i]]
+        if not len(at):
+            break
+        a = at[(root[at] != root[at + i]) & ((block[at] == 0) | (block[at + i] != block[at]))]
+        b = a + i
+        fit = den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])
+        a, b = a[fit], b[fit]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        fit = differ * (den + num) <= (size[a] + size[b]) * (den - num)
+        out.append(np.stack([sid[a[fit]], sid[b[fit]]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def last_candidates(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """a, b: pairs of sets of different components that share a signature and may be similar enough.
+
+    Buckets with several components are compared pair by pair inside the tasks, and only what survives the sketches is
+    passed on. A bucket larger than block is dealt into blocks by a hash of its sets; each two blocks, and each one
+    alone, are a bucket of their own, so no task holds more than two blocks of a bucket."""
+    mixed = buckets(sets, num, den).groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 and n > 2").select("sig", "n")
+    mixed = common.small_or_not(common.materialize(mixed, "partenum-mixed"), 32)
+    rows = buckets(sets, num, den, sketched=True).join(mixed, "sig")
+    # block pairs (i, j), i <= j; block 0: the bucket is whole, or a block compared with itself; else 1 or 2
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    rows = rows.select(F.when(F.col("blocks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", lo, hi)).alias("sig"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("long").alias("block"), "sid", "root", "size", "sketch")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for pdf in it:
-            sigs = [signatures(np.frombuffer(f, "<u8"), num, den) for f in pdf["features"]]
-            yield pd.DataFrame({"sig": np.concatenate(sigs) if sigs else [], "sid": np.repeat(pdf["sid"].to_numpy(np.int64), [len(s) for s in sigs])})
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(held) < 20_000:
+                continue
+            whole = held["sig"].to_numpy() != held["sig"].iloc[-1]  # the last bucket may go on
+            if whole.any():
+                yield frame(possible(held[whole], num, den))
+                held = held[~whole].reset_index(drop=True)
+        if held is not None and len(held):
+            yield frame(possible(held, num, den))
+
+    def frame(pairs: np.ndarray) -> pd.DataFrame:
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return sets.select("sid", "features").mapInPandas(run, "sig long, sid long")
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInPandas(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -193,8 +262,8 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     part in links but is never a component_id unless all ids of the component are null. Other columns are ignored; an
     empty table gives no rows.
 
-    No link is lost: candidates are found by complete signatures, first with one leader for each signature, then with
-    more leaders, then, between sets still in different components, in all pairs that share a signature."""
+    No link between components is lost: candidates are found by complete signatures, first with one leader for each
+    signature, then, between sets still in different components, in all pairs that share a signature."""
     spark = docs.sparkSession
     every = common.materialize(doc_sets(docs, words), "partenum-docs")
     classes = common.materialize(every.where("n_shingles > 0").groupBy("sid", "check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "partenum-classes")
@@ -213,32 +282,11 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     texts = docs.select("doc_id", "text").join(common.small_or_not(common.materialize(wanted, "partenum-wanted"), 64), "doc_id")
     sets = common.materialize(texts.mapInPandas(sets_of, "sid long, size long, features binary").dropDuplicates(["sid"]), "partenum-sets")
     links = common.materialize(verified(pairs, sets, num, den), "partenum-links")
-    tested = pairs
-    own = None
-    for turn in range(LEADER_ROUNDS + 1):
-        roots = components(links, "partenum-components")
-        if own is None:
-            own = buckets(sets, num, den)
-        at = own.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        mixed = at.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid"))["sid"].alias("lead"), F.count("*").alias("n")).where("r0 <> r1 and n > 2")
-        open_ = common.materialize(at.join(mixed.select("sig", "lead", "n"), "sig"), "partenum-open")
-        counts = open_.groupBy("sig", "root").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("sig").agg(((F.first("n") * F.first("n") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-        found = counts.agg(F.sum("p").alias("pairs"), F.count("*").alias("sigs")).first()
-        left = int(found["pairs"] or 0)
-        if not left:
-            break
-        final = turn == LEADER_ROUNDS or left <= PAIRS_PER_SET * sets.count()
-        if final:
-            x, y = open_.select("sig", F.col("sid").alias("a"), F.col("root").alias("ra")), open_.select("sig", F.col("sid").alias("b"), F.col("root").alias("rb"))
-            new = x.join(y, "sig").where("a < b and ra <> rb").select("a", "b").distinct()
-        else:
-            heads = open_.select(F.col("sid").alias("lead"), F.col("root").alias("lead_root")).distinct()
-            new = open_.where("sid <> lead").join(heads, "lead").where("root <> lead_root").select(F.least("lead", "sid").alias("a"), F.greatest("lead", "sid").alias("b")).distinct()
-        new = common.materialize(new.join(tested, ["a", "b"], "left_anti"), "partenum-candidates")
-        links = common.materialize(links.unionByName(verified(new, sets, num, den)), "partenum-links")
-        tested = tested.unionByName(new)
-        if final:
-            break
+    roots = components(links, "partenum-components").withColumnRenamed("node", "sid")
+    rooted = common.materialize(sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "partenum-rooted")
+    more = last_candidates(rooted, num, den).join(pairs, ["a", "b"], "left_anti")
+    more = verified(common.materialize(more, "partenum-candidates"), sets, num, den)
+    links = common.materialize(links.unionByName(more), "partenum-links")
     roots = components(links, "partenum-components")
     named = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")), "root").where("members > 1").select("sid", "component_id")
