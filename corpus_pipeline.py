@@ -51,8 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any 10-word window of a benchmark item (the whole item if it is shorter)."""
-    marked = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    return marked.where("not contaminated").select(*docs.columns)
+    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

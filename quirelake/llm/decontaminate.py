@@ -88,31 +88,47 @@ def proximity_matches(index: DataFrame, query: list[str], slop: int) -> DataFram
     return lists.select("doc_id", "text_key", F.explode(F.array_sort(near)).alias("pos"))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, n_hit, n_items, item_list (sorted strings), hit_words (positions) and contaminated.
+def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text_key, hit_words (sorted positions), item_list (sorted strings) of the documents with an occurrence.
 
-    A window is that many consecutive words of an item; an item of fewer is one window; a document word inside an
-    occurrence of a window is hit. Null and empty texts have no words; items without words never match; repeated items
-    and rows are treated alike; columns of docs are kept (those with these names are replaced); an empty table gives no
-    rows, an empty benchmark no hits. The candidate alignments are joined back by broadcast only if counted to be few."""
+    The texts of documents with a candidate alignment are fetched by their ids, which are broadcast only if counted to
+    be few, and the alignments are checked word by word there."""
     found = common.materialize(phrase_matches(docs, bench, window), "bench-alignments")
-    spots = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("item_id", "shift", "item_words", "len")).alias("__spots"))
-    spots = common.small_or_not(common.materialize(spots, "bench-spots"), 32 * ROW_BYTES)
-    out = docs.join(spots, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left").drop("__id", "__key")
-    # words are needed only where there are spots
-    out = out.withColumn("__words", F.when(F.col("__spots").isNotNull(), words(F.col("text"))))
-    runs = """transform(__spots, c -> struct(c.item_id, c.shift, c.len,
-      filter(sequence(0, size(c.item_words) - c.len), s -> forall(sequence(s, s + c.len - 1), i -> coalesce(get(__words, c.shift + i) = c.item_words[i], false))) as starts))"""
-    out = out.withColumn("__runs", F.expr(f"filter({runs}, c -> size(c.starts) > 0)"))
-    out = out.withColumn("hit_words", F.expr("array_sort(array_distinct(flatten(transform(__runs, c -> flatten(transform(c.starts, s -> sequence(c.shift + s, c.shift + s + c.len - 1)))))))"))
-    out = out.withColumn("hit_words", F.coalesce("hit_words", F.array().cast("array<int>")))
-    out = out.withColumn("item_list", F.coalesce(F.expr("array_sort(array_distinct(transform(__runs, c -> cast(c.item_id as string))))"), F.array().cast("array<string>")))
-    out = out.withColumn("n_words", n_words("text")).withColumn("n_hit", F.size("hit_words").cast("long")).withColumn("n_items", F.size("item_list").cast("long"))
-    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("__spots", "__words", "__runs")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    ids = common.small_or_not(common.materialize(found.select("doc_id", "text_key").distinct(), "bench-ids"), 32)
+    texts = keyed.join(ids, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", words(F.col("text")).alias("words"))
+    spots = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "shift", "item_words", "len")).alias("spots"))
+    # a table, so that the words are cut once and not for each comparison
+    both = common.materialize(texts.join(spots, ["doc_id", "text_key"]), "bench-words")
+    runs = """filter(transform(spots, c -> struct(c.item_id, c.shift, c.len,
+      filter(sequence(0, size(c.item_words) - c.len), s -> forall(sequence(s, s + c.len - 1), i -> coalesce(get(words, c.shift + i) = c.item_words[i], false))) as starts)), c -> size(c.starts) > 0)"""
+    both = common.materialize(both.select("doc_id", "text_key", F.expr(runs).alias("runs")).where("size(runs) > 0"), "bench-runs")
+    places = "array_sort(array_distinct(flatten(transform(runs, c -> flatten(transform(c.starts, s -> sequence(c.shift + s, c.shift + s + c.len - 1)))))))"
+    return both.select("doc_id", "text_key", F.expr(places).alias("hit_words"), F.expr("array_sort(array_distinct(transform(runs, c -> cast(c.item_id as string))))").alias("item_list"))
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without those that have an occurrence of a window of the benchmark, all columns kept.
+
+    A window is that many consecutive words of an item; an item of fewer is one window. Null and empty texts have no
+    words; items without words never match; repeated items and rows are treated alike; an empty benchmark takes nothing.
+    A document with a null doc_id takes no part in the index and stays."""
+    gone = hits(docs, bench, window).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    gone = common.small_or_not(common.materialize(gone, "bench-hits"), 32)
+    return docs.join(gone, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+
+
+def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, item_list, hit_words, contaminated of every document; see decontaminate(). Only
+    keys and counts are joined, no texts."""
+    counted = docs.select("doc_id", F.xxhash64("text").alias("text_key"), n_words("text").alias("n_words"))
+    out = counted.join(hits(docs, bench, window), ["doc_id", "text_key"], "left")
+    out = out.withColumn("hit_words", F.coalesce("hit_words", F.array().cast("array<int>"))).withColumn("item_list", F.coalesce("item_list", F.array().cast("array<string>")))
+    return out.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("item_list").cast("long").alias("n_items"), "item_list", "hit_words", (F.size("hit_words") > 0).alias("contaminated"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
+    out = report(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_list", ","), 256).alias("items_sha256"), "contaminated")
 
 
