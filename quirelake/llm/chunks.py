@@ -62,6 +62,7 @@ def chunked(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES, flag: st
     left behind. A longer document has a chunk of its own."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         ids, texts, flags, size, n = [], [], [], 0, 0
         first = TaskContext.get().partitionId() << 32
 
@@ -106,6 +107,7 @@ def ask(chunks: DataFrame, requests: Callable[[pd.Series], Iterator[tuple[int, i
     """requests(row of the table of chunks) gives (shard, kind, body, extra); one row for each."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         for pdf in it:
             for row in pdf.itertuples():
                 yield _rows(row.chunk, requests(row))
@@ -123,6 +125,7 @@ def answer(requests: DataFrame, reply: Callable[[int, pd.DataFrame], Iterator[tu
     chunk are a shard's own findings."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        common.lean()
         rows = list(reply(int(key[1]), pdf))
         return pd.DataFrame({"chunk": [r[0] for r in rows], "shard": key[0], "kind": key[1], "body": [r[1] for r in rows]})
 
@@ -133,6 +136,7 @@ def meet(chunks: DataFrame, answers: DataFrame, run: Callable[[pd.Series, dict[i
     """run(row of the table of chunks, answers by kind in shard order) for each chunk."""
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        common.lean()
         if not len(left):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         by = {int(k): list(x.sort_values("shard")["body"]) for k, x in right.groupby("kind")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -22,6 +23,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean() -> None:
+    """In a Python worker: give large freed blocks back to the system at once, so that a worker's size is what it uses."""
+    global _lean
+    if not _lean:
+        import ctypes
+
+        import pyarrow as pa
+
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+        _lean = True
+
+
+_lean = False
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one of our own only where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -105,6 +105,7 @@ def doc_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, sid, check: the two fingerprints identify a set."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         for pdf in it:
             rows = []
             for t in pdf["text"]:
@@ -120,6 +121,7 @@ def first_candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFra
     its other sets there are linked to the first right away, so a hot signature is thinned out before the shuffle."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         for pdf in it:
             seen, sigs, sids = set(), [], []
             for t in pdf["text"]:
@@ -161,6 +163,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     rows = sizes.join(left.select("a", "fa"), "a").join(right.select("b", "fb"), "b")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         for pdf in it:
             ok = []
             for x, y in zip(pdf["fa"], pdf["fb"], strict=True):
@@ -184,6 +187,7 @@ def buckets(sets: DataFrame, num: int, den: int, sketched: bool = False) -> Data
     """sig, sid, root of stored sets (sid, root, features), and size and sketch if wanted."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         for pdf in it:
             for a in range(0, len(pdf), 50):
                 part = pdf.iloc[a : a + 50]
@@ -234,6 +238,7 @@ def last_candidates(sets: DataFrame, num: int, den: int, block: int = BLOCK) ->
     rows = rows.select(F.when(F.col("blocks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", lo, hi)).alias("sig"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("long").alias("block"), "sid", "root", "size", "sketch")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         held = None
         for pdf in it:
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -274,6 +279,7 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     wanted = classes.join(nodes, "sid").select("sid", F.col("rep").alias("doc_id")).where("doc_id is not null")
 
     def sets_of(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
         for pdf in it:
             rows = [(sid, shingle_set(t, words)) for sid, t in zip(pdf["sid"], pdf["text"], strict=True)]
             rows = [(sid, s) for sid, s in rows if len(s) and set_key(s)[0] == sid]

@@ -23,7 +23,7 @@ LENGTH, SEED = 50, 20
 BEFORE = LENGTH - SEED
 WIDTH = BEFORE + LENGTH
 #: Stored (compressed) bytes of text for each shard of the seed space.
-SHARD_BYTES = 3 * 1024 * 1024
+SHARD_BYTES = 2 * 1024 * 1024
 CHUNK_BYTES = 2 * 1024 * 1024
 #: Multikey quicksort looks at this many bytes before blind tries take over.
 SHALLOW = 32
@@ -306,6 +306,7 @@ def dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SH
         return ids, at, raw, place, doc, which, (h[one], rows[one], left[one], right[one], ids[doc[one]])
 
     def context_rows(key: tuple, left_: pd.DataFrame, right_: pd.DataFrame) -> pd.DataFrame:
+        common.lean()
         found = []
         if len(left_):
             *_, (h, rows, left, right, doc) = distinct_contexts(left_.iloc[0], list(right_.sort_values("shard")["body"]))
