@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import q_blocks
+from quirelake.plans import q_blocks, q_search, q_sheets
 
-MODULES = (q_blocks,)
+MODULES = (q_blocks, q_search, q_sheets)
 
 
 def queries() -> dict:

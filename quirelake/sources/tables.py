@@ -48,20 +48,24 @@ def sparse_cells(df: DataFrame, order: list[str], columns: list[str]) -> DataFra
     return out.select("row", "c.col", F.concat("c.letter", F.col("row").cast("string")).alias("ref"), "c.kind", "c.value")
 
 
-def row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with row_no from 1 in the given order. Rows are range-partitioned and numbered inside each partition; the
-    partitions' sizes, one number each, give the offsets."""
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id())
-    numbered = ranged.withColumn("__part", F.shiftright("__mid", 33)).withColumn("__at", F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = {r["__part"]: r["n"] for r in numbered.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    start, at = {}, 1
-    for p in sorted(sizes):
-        start[p], at = at, at + sizes[p]
-    offset = F.create_map(*(F.lit(x) for p, s in start.items() for x in (p, s))) if start else None
-    base = F.element_at(offset, F.col("__part")) if start else F.lit(1)
-    return numbered.withColumn("row_no", (base + F.col("__at")).cast("long")).drop("__mid", "__part", "__at")
+def row_numbers(df: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+    """df with row_no from 1 in the given order, without a window over everything.
+
+    The first order column cuts the rows into ranges (at approximate quantiles if it is a number or a time, by its first
+    two characters if it is a string; nulls first); rows are numbered inside each range, and the ranges' counts, a small
+    table, give the offsets."""
+    first, kind = F.col(order[0]), dict(df.dtypes)[order[0]]
+    if kind == "string":
+        cut = df.withColumn("__cut", F.coalesce(F.substring(first, 1, 2), F.lit("")))
+    else:
+        x = first.cast("double") if kind != "timestamp" else F.unix_micros(first).cast("double")
+        found = df.agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+        bounds = F.array(*(F.lit(float(v)) for v in sorted(set(found)))) if found else F.array().cast("array<double>")
+        cut = df.withColumn("__cut", F.when(first.isNull(), -1).otherwise(F.size(F.filter(bounds, lambda v: v < x))))
+    sizes = cut.groupBy("__cut").agg(F.count("*").alias("__n"))
+    offsets_ = sizes.withColumn("__from", F.coalesce(F.sum("__n").over(W.orderBy("__cut").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    numbered = cut.withColumn("row_no", F.row_number().over(W.partitionBy("__cut").orderBy(*order)))
+    return numbered.join(offsets_, "__cut").withColumn("row_no", (F.col("row_no") + F.col("__from")).cast("long")).drop("__cut", "__from")
 
 
 def column_letters(n: int) -> str:
