@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import q_blocks, q_search, q_sheets, q_verify
+from quirelake.plans import q_blocks, q_search, q_sheets, q_verify, q_document
 
-MODULES = (q_blocks, q_search, q_sheets, q_verify)
+MODULES = (q_blocks, q_search, q_sheets, q_verify, q_document)
 
 
 def queries() -> dict:
