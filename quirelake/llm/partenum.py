@@ -200,9 +200,10 @@ def buckets(sets: DataFrame, num: int, den: int, sketched: bool = False) -> Data
     return sets.select("sid", "root", "features").mapInPandas(run, "sig long, sid long, root long" + ", size long, sketch binary" * sketched)
 
 
-def possible(rows: pd.DataFrame, num: int, den: int) -> np.ndarray:
+def possible(rows: pd.DataFrame, num: int, den: int, nearest: bool = False) -> np.ndarray:
     """Pairs (sid, sid) of rows with one sig, sorted by it, that are in different components and that neither their sizes
-    nor their sketches rule out. Rows of all buckets are compared at once with those i places further on."""
+    nor their sketches rule out. Rows of all buckets are compared at once with those i places further on. nearest: of
+    each set's pairs only the one with the most similar sketches."""
     sig, block, sid, root, size = (rows[c].to_numpy(np.int64) for c in ("sig", "block", "sid", "root", "size"))
     bits = np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(len(rows), -1)
     out, at = [], np.arange(len(rows))
@@ -217,12 +218,18 @@ def possible(rows: pd.DataFrame, num: int, den: int) -> np.ndarray:
         a, b = a[fit], b[fit]
         differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
         fit = differ * (den + num) <= (size[a] + size[b]) * (den - num)
-        out.append(np.stack([sid[a[fit]], sid[b[fit]]], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        out.append(np.stack([sid[a[fit]], sid[b[fit]], differ[fit]], axis=1))
+    found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    if nearest and len(found):
+        both = np.concatenate([found, found[:, [1, 0, 2]]])
+        both = both[np.lexsort((both[:, 1], both[:, 2], both[:, 0]))]
+        found = both[np.flatnonzero(np.diff(both[:, 0], prepend=both[0, 0] - 1))]
+    return found[:, :2]
 
 
-def last_candidates(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """a, b: pairs of sets of different components that share a signature and may be similar enough.
+def last_candidates(sets: DataFrame, num: int, den: int, nearest: bool, block: int = BLOCK) -> DataFrame:
+    """a, b: pairs of sets of different components that share a signature and may be similar enough; with nearest, for
+    each set and task the most likely one alone.
 
     Buckets with several components are compared pair by pair inside the tasks, and only what survives the sketches is
     passed on. A bucket larger than block is dealt into blocks by a hash of its sets; each two blocks, and each one
@@ -246,10 +253,10 @@ def last_candidates(sets: DataFrame, num: int, den: int, block: int = BLOCK) ->
                 continue
             whole = held["sig"].to_numpy() != held["sig"].iloc[-1]  # the last bucket may go on
             if whole.any():
-                yield frame(possible(held[whole], num, den))
+                yield frame(possible(held[whole], num, den, nearest))
                 held = held[~whole].reset_index(drop=True)
         if held is not None and len(held):
-            yield frame(possible(held, num, den))
+            yield frame(possible(held, num, den, nearest))
 
     def frame(pairs: np.ndarray) -> pd.DataFrame:
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
@@ -268,7 +275,8 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     empty table gives no rows.
 
     No link between components is lost: candidates are found by complete signatures, first with one leader for each
-    signature, then, between sets still in different components, in all pairs that share a signature."""
+    signature, then, between sets still in different components, with the most likely partner of each set, and at last in
+    all pairs that share a signature."""
     spark = docs.sparkSession
     every = common.materialize(doc_sets(docs, words), "partenum-docs")
     classes = common.materialize(every.where("n_shingles > 0").groupBy("sid", "check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "partenum-classes")
@@ -288,11 +296,13 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     texts = docs.select("doc_id", "text").join(common.small_or_not(common.materialize(wanted, "partenum-wanted"), 64), "doc_id")
     sets = common.materialize(texts.mapInPandas(sets_of, "sid long, size long, features binary").dropDuplicates(["sid"]), "partenum-sets")
     links = common.materialize(verified(pairs, sets, num, den), "partenum-links")
-    roots = components(links, "partenum-components").withColumnRenamed("node", "sid")
-    rooted = common.materialize(sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "partenum-rooted")
-    more = last_candidates(rooted, num, den).join(pairs, ["a", "b"], "left_anti")
-    more = verified(common.materialize(more, "partenum-candidates"), sets, num, den)
-    links = common.materialize(links.unionByName(more), "partenum-links")
+    tested = pairs
+    for nearest in (True, False):
+        roots = components(links, "partenum-components").withColumnRenamed("node", "sid")
+        rooted = common.materialize(sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "partenum-rooted")
+        more = common.materialize(last_candidates(rooted, num, den, nearest).join(tested, ["a", "b"], "left_anti"), "partenum-candidates")
+        links = common.materialize(links.unionByName(verified(more, sets, num, den)), "partenum-links")
+        tested = tested.unionByName(more)
     roots = components(links, "partenum-components")
     named = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")), "root").where("members > 1").select("sid", "component_id")
