@@ -20,8 +20,10 @@ def words(text):
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK), "")
 
 
-def n_words(text):
-    return F.expr(f"regexp_count(coalesce({text}, ''), '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+')").cast("long")
+def n_words(text: str):
+    """How many words words() finds; letters needn't be lowered to be counted."""
+    apart = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), apart), "")).cast("long")
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
