@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import q_blocks, q_search, q_sheets, q_verify, q_document
+from quirelake.plans import q_blocks, q_search, q_sheets, q_verify, q_document, q_edits
 
-MODULES = (q_blocks, q_search, q_sheets, q_verify, q_document)
+MODULES = (q_blocks, q_search, q_sheets, q_verify, q_document, q_edits)
 
 
 def queries() -> dict:
