@@ -155,12 +155,21 @@ def first_candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFra
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose sets have den * intersection >= num * union, on the sets themselves."""
-    left = sets.select(F.col("sid").alias("a"), F.col("features").alias("fa"), F.col("size").alias("na"))
-    right = sets.select(F.col("sid").alias("b"), F.col("features").alias("fb"), F.col("size").alias("nb"))
-    sizes = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
-    sizes = sizes.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
-    rows = sizes.join(left.select("a", "fa"), "a").join(right.select("b", "fb"), "b")
+    """Those pairs (a, b) whose sets have den * intersection >= num * union, on the sets themselves. Sizes and sketches
+    rule most others out before whole sets are moved."""
+    left = sets.select(F.col("sid").alias("a"), F.col("features").alias("fa"), F.col("size").alias("na"), F.col("sketch").alias("ka"))
+    right = sets.select(F.col("sid").alias("b"), F.col("features").alias("fb"), F.col("size").alias("nb"), F.col("sketch").alias("kb"))
+    sized = pairs.join(left.select("a", "na", "ka"), "a").join(right.select("b", "nb", "kb"), "b")
+    sized = sized.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+
+    def likely(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            x, y = (np.frombuffer(b"".join(pdf[k]), "<u8").reshape(len(pdf), -1) for k in ("ka", "kb"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield pdf.loc[differ * (den + num) <= (pdf["na"] + pdf["nb"]).to_numpy(np.int64) * (den - num), ["a", "b"]]
+
+    close = common.materialize(sized.mapInPandas(likely, "a long, b long"), "partenum-likely")
+    rows = close.join(left.select("a", "fa"), "a").join(right.select("b", "fb"), "b")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common.lean()
@@ -291,10 +300,10 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
         for pdf in it:
             rows = [(sid, shingle_set(t, words)) for sid, t in zip(pdf["sid"], pdf["text"], strict=True)]
             rows = [(sid, s) for sid, s in rows if len(s) and set_key(s)[0] == sid]
-            yield pd.DataFrame({"sid": [r[0] for r in rows], "size": [len(r[1]) for r in rows], "features": [r[1].tobytes() for r in rows]})
+            yield pd.DataFrame({"sid": [r[0] for r in rows], "size": [len(r[1]) for r in rows], "sketch": [sketch(r[1]) for r in rows], "features": [r[1].tobytes() for r in rows]})
 
     texts = docs.select("doc_id", "text").join(common.small_or_not(common.materialize(wanted, "partenum-wanted"), 64), "doc_id")
-    sets = common.materialize(texts.mapInPandas(sets_of, "sid long, size long, features binary").dropDuplicates(["sid"]), "partenum-sets")
+    sets = common.materialize(texts.mapInPandas(sets_of, "sid long, size long, sketch binary, features binary").dropDuplicates(["sid"]), "partenum-sets")
     links = common.materialize(verified(pairs, sets, num, den), "partenum-links")
     tested = pairs
     for nearest in (True, False):
