@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import q_blocks, q_search, q_sheets, q_verify, q_document, q_edits
+from quirelake.plans import q_blocks, q_search, q_sheets, q_verify, q_document, q_edits, q_streams
 
-MODULES = (q_blocks, q_search, q_sheets, q_verify, q_document, q_edits)
+MODULES = (q_blocks, q_search, q_sheets, q_verify, q_document, q_edits, q_streams)
 
 
 def queries() -> dict:
