@@ -279,9 +279,9 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
 
     component_id is the smallest doc_id that links reach. A text shorter than a shingle is one shingle; a null, empty
     or blank one has an empty set and is linked with nothing. Equal sets are one node of the graph, so a group of
-    copies costs as much as one document. Rows that repeat a doc_id are documents of their own; a null doc_id takes
-    part in links but is never a component_id unless all ids of the component are null. Other columns are ignored; an
-    empty table gives no rows.
+    copies costs as much as one document. Rows that repeat a doc_id are documents of their own; a null
+    doc_id belongs to the component of its equal texts, and a text that only null doc_ids have is linked with nothing.
+    Other columns are ignored; an empty table gives no rows.
 
     No link between components is lost: candidates are found by complete signatures, first with one leader for each
     signature, then, between sets still in different components, with the most likely partner of each set, and at last in
