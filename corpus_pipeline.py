@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def count_words(text):
-    return F.expr("regexp_count(coalesce(text, ''), '[^\\\\x20\\\\x09-\\\\x0D]+')")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), packing.SPACE), "")).cast("long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

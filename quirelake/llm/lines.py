@@ -68,7 +68,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     word_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     out = out.withColumn("n_lines", word_lines.cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_words_before", F.expr("regexp_count(coalesce(text, ''), '[^\\\\x20\\\\x09-\\\\x0D]+')").cast("long"))
+    out = out.withColumn("n_words_before", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long"))
     return out.withColumn("text", F.when(F.coalesce(F.size("__gone"), F.lit(0)) > 0, left).otherwise(F.col("text"))).drop("__gone")
 
 

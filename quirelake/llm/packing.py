@@ -19,7 +19,7 @@ OVERHEAD = 32
 #: Pieces that one packing task gets, about.
 GROUP_PIECES = 20_000
 
-WORD = "[^\\x20\\x09-\\x0D]+"
+SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def pieces(docs: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
@@ -27,7 +27,7 @@ def pieces(docs: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame
 
     A null, empty or blank text has no piece. The cut is by word count only, so no text is moved."""
     most = max(capacities)
-    n = F.expr(f"regexp_count(coalesce(text, ''), '{WORD}')").cast("long")
+    n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")).cast("long")
     cut = docs.select("doc_id", n.alias("n")).where("n > 0")
     cut = cut.select("doc_id", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {most})")).alias("piece"))
     return cut.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("length"))
