@@ -50,8 +50,10 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 def shard_bounds(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     """(shard, from, to) for each shard that has some of the sorted keys."""
+    if not len(keys):
+        return []
     of = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-    starts = np.flatnonzero(np.diff(of, prepend=of[:1] + np.uint64(1))) if len(of) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.diff(of, prepend=of[:1] + np.uint64(1)))
     ends = np.append(starts[1:], len(keys))
     return [(int(of[a]), int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
 

@@ -84,10 +84,10 @@ def proximity_matches(index: DataFrame, query: list[str], slop: int) -> DataFram
     starting with the first term's; a repeated term counts once."""
     terms = list(dict.fromkeys(query))
     lists = index.where(F.col("term").isin(terms)).groupBy("doc_id", "text_key").agg(*(F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"p{i}") for i, t in enumerate(terms)))
-    near = F.col("p0")
+    near = "p0"
     for i in range(1, len(terms)):
-        near = F.filter(near, lambda p, i=i: F.exists(f"p{i}", lambda q: F.abs(p - q) <= slop))
-    return lists.select("doc_id", "text_key", F.explode(F.array_sort(near)).alias("pos"))
+        near = f"filter({near}, p -> exists(p{i}, q -> abs(p - q) <= {int(slop)}))"
+    return lists.select("doc_id", "text_key", F.explode(F.expr(f"array_sort({near})")).alias("pos"))
 
 
 def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
