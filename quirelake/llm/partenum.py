@@ -168,8 +168,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             yield pdf.loc[differ * (den + num) <= (pdf["na"] + pdf["nb"]).to_numpy(np.int64) * (den - num), ["a", "b"]]
 
-    close = common.materialize(sized.mapInPandas(likely, "a long, b long"), "partenum-likely")
-    rows = close.join(left.select("a", "fa"), "a").join(right.select("b", "fb"), "b")
+    close = common.materialize(sized.mapInPandas(likely, "a long, b long"), "partenum-likely", narrow=True)
+    # only the sets of pairs that are left are moved
+    rows = left.select("a", "fa").join(common.small_or_not(close, 32), "a")
+    rows = rows.join(right.select("b", "fb").join(common.small_or_not(close.select("b").distinct(), 32), "b", "left_semi"), "b")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common.lean()
@@ -244,7 +246,7 @@ def last_candidates(sets: DataFrame, num: int, den: int, nearest: bool, block: i
     passed on. A bucket larger than block is dealt into blocks by a hash of its sets; each two blocks, and each one
     alone, are a bucket of their own, so no task holds more than two blocks of a bucket."""
     mixed = buckets(sets, num, den).groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 and n > 2").select("sig", "n")
-    mixed = common.small_or_not(common.materialize(mixed, "partenum-mixed"), 32)
+    mixed = common.small_or_not(common.materialize(mixed, "partenum-mixed", narrow=True), 32)
     rows = buckets(sets, num, den, sketched=True).join(mixed, "sig")
     # block pairs (i, j), i <= j; block 0: the bucket is whole, or a block compared with itself; else 1 or 2
     blocks = F.ceil(F.col("n") / block).cast("long")
@@ -288,10 +290,10 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     all pairs that share a signature."""
     spark = docs.sparkSession
     every = common.materialize(doc_sets(docs, words), "partenum-docs")
-    classes = common.materialize(every.where("n_shingles > 0").groupBy("sid", "check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "partenum-classes")
+    classes = common.materialize(every.where("n_shingles > 0").groupBy("sid", "check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "partenum-classes", narrow=True)
     if classes.groupBy("sid").count().where("count > 1").limit(1).count():
         raise ArithmeticError("two different shingle sets share a 64-bit fingerprint")
-    pairs = common.materialize(first_candidates(docs, words, num, den), "partenum-candidates")
+    pairs = common.materialize(first_candidates(docs, words, num, den), "partenum-candidates", narrow=True)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = classes.join(nodes, "sid").select("sid", F.col("rep").alias("doc_id")).where("doc_id is not null")
 
@@ -302,15 +304,17 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
             rows = [(sid, s) for sid, s in rows if len(s) and set_key(s)[0] == sid]
             yield pd.DataFrame({"sid": [r[0] for r in rows], "size": [len(r[1]) for r in rows], "sketch": [sketch(r[1]) for r in rows], "features": [r[1].tobytes() for r in rows]})
 
-    texts = docs.select("doc_id", "text").join(common.small_or_not(common.materialize(wanted, "partenum-wanted"), 64), "doc_id")
-    sets = common.materialize(texts.mapInPandas(sets_of, "sid long, size long, sketch binary, features binary").dropDuplicates(["sid"]), "partenum-sets")
-    links = common.materialize(verified(pairs, sets, num, den), "partenum-links")
+    texts = docs.select("doc_id", "text").join(common.small_or_not(common.materialize(wanted, "partenum-wanted", narrow=True), 64), "doc_id")
+    sets = common.materialize(texts.mapInPandas(sets_of, "sid long, size long, sketch binary, features binary"), "partenum-sets")
+    if sets.groupBy("sid").count().where("count > 1").limit(1).count():  # rows that repeat a doc_id
+        sets = common.materialize(sets.dropDuplicates(["sid"]), "partenum-sets", narrow=True)
+    links = common.materialize(verified(pairs, sets, num, den), "partenum-links", narrow=True)
     tested = pairs
     for nearest in (True, False):
         roots = components(links, "partenum-components").withColumnRenamed("node", "sid")
-        rooted = common.materialize(sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "partenum-rooted")
-        more = common.materialize(last_candidates(rooted, num, den, nearest).join(tested, ["a", "b"], "left_anti"), "partenum-candidates")
-        links = common.materialize(links.unionByName(verified(more, sets, num, den)), "partenum-links")
+        rooted = sets.join(common.small_or_not(roots, 32), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        more = common.materialize(last_candidates(rooted, num, den, nearest).join(tested, ["a", "b"], "left_anti"), "partenum-candidates", narrow=True)
+        links = common.materialize(links.unionByName(verified(more, sets, num, den)), "partenum-links", narrow=True)
         tested = tested.unionByName(more)
     roots = components(links, "partenum-components")
     named = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
