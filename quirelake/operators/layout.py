@@ -25,11 +25,15 @@ def text_width(text, size: float = 11.0):
 def trimmed(a, b):
     """What differs between two texts once common words at both ends are dropped: (left, right)."""
     x, y = F.split(a, " "), F.split(b, " ")
-    n = F.least(F.size(x), F.size(y))
-    head = F.array_max(F.filter(F.sequence(F.lit(0), n), lambda k: F.slice(x, F.lit(1), k) == F.slice(y, F.lit(1), k)))
+
+    def shared(u, v):
+        """How many words two lists begin with alike."""
+        same = F.zip_with(u, v, lambda p, q: p.eqNullSafe(q))
+        return (F.when(F.array_contains(same, False), F.array_position(same, F.lit(False)) - 1).otherwise(F.size(same))).cast("int")
+
+    head = shared(x, y)
     left, right = F.slice(x, head + 1, F.size(x)), F.slice(y, head + 1, F.size(y))
-    m = F.least(F.size(left), F.size(right))
-    tail = F.array_max(F.filter(F.sequence(F.lit(0), m), lambda k: F.slice(F.reverse(left), F.lit(1), k) == F.slice(F.reverse(right), F.lit(1), k)))
+    tail = F.when((F.size(left) > 0) & (F.size(right) > 0), F.least(shared(F.reverse(left), F.reverse(right)), F.size(left), F.size(right))).otherwise(0)
     cut = lambda w: F.array_join(F.slice(w, F.lit(1), F.size(w) - tail), " ")
     return F.struct(cut(left).alias("left"), cut(right).alias("right"))
 
