@@ -21,7 +21,7 @@ from quirelake.llm.components import components
 
 #: Up to this k a part has three sub-parts, any two of which make a signature; beyond, a part is one.
 ENUMERATED = 8
-#: Bits of the parity sketch that rules candidates out before their sets are fetched.
+#: Bits of a parity sketch, at least; sketches rule candidates out before their sets are fetched.
 SKETCH_BITS = 1024
 #: Members of a signature's bucket that one task compares; larger buckets are cut into blocks, each pair of which is a
 #: task's share.
@@ -164,8 +164,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     def likely(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            x, y = (np.frombuffer(b"".join(pdf[k]), "<u8").reshape(len(pdf), -1) for k in ("ka", "kb"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            differ = np.array([apart(x, y) for x, y in zip(pdf["ka"], pdf["kb"], strict=True)], dtype=np.int64)
             yield pdf.loc[differ * (den + num) <= (pdf["na"] + pdf["nb"]).to_numpy(np.int64) * (den - num), ["a", "b"]]
 
     close = common.materialize(sized.mapInPandas(likely, "a long, b long"), "partenum-likely", narrow=True)
@@ -189,9 +188,27 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """The parity of how many features fall on each of SKETCH_BITS bits. The bits in which two sketches differ are no
-    more than the features in which their sets do."""
-    return np.packbits(np.bincount((common.mix(s ^ np.uint64(0x452821E638D01377)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    """The parity of how many features fall on each of some bits: SKETCH_BITS, doubled until there are two for each
+    feature. The bits in which two sketches of one length differ are no more than the features in which their sets do."""
+    bits = SKETCH_BITS
+    while bits < 2 * len(s):
+        bits *= 2
+    at = common.mix(s ^ np.uint64(0x452821E638D01377)) % np.uint64(bits)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(k: bytes, size: int) -> bytes:
+    """The same set's sketch of a smaller length: bits that then coincide are added up."""
+    while len(k) > size:
+        half = len(k) // 2
+        k = (int.from_bytes(k[:half], "little") ^ int.from_bytes(k[half:], "little")).to_bytes(half, "little")
+    return k
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many features two sets differ at least, from their sketches."""
+    size = min(len(x), len(y))
+    return (int.from_bytes(folded(x, size), "little") ^ int.from_bytes(folded(y, size), "little")).bit_count()
 
 
 def buckets(sets: DataFrame, num: int, den: int, sketched: bool = False) -> DataFrame:
@@ -206,7 +223,7 @@ def buckets(sets: DataFrame, num: int, den: int, sketched: bool = False) -> Data
                 sigs = [signatures(f, num, den) for f in found]
                 n = [len(x) for x in sigs]
                 out = pd.DataFrame({"sig": np.concatenate(sigs), "sid": np.repeat(part["sid"].to_numpy(np.int64), n), "root": np.repeat(part["root"].to_numpy(np.int64), n)})
-                yield out.assign(size=np.repeat([len(f) for f in found], n), sketch=np.repeat(np.array([sketch(f) for f in found], dtype=object), n)) if sketched else out
+                yield out.assign(size=np.repeat([len(f) for f in found], n), sketch=np.repeat(np.array([folded(sketch(f), SKETCH_BITS // 8) for f in found], dtype=object), n)) if sketched else out
 
     return sets.select("sid", "root", "features").mapInPandas(run, "sig long, sid long, root long" + ", size long, sketch binary" * sketched)
 

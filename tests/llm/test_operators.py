@@ -334,3 +334,15 @@ def test_op1_host_boilerplate(spark):
     got = {r["page_id"]: r["text"] for r in html.extract(pages, group_pages=4).collect()}
     assert got[3] == "unique text number 3 is here and 21 more words follow 6" and got[99] == "" and got[98].startswith("Head & line") and got[97] == "a page that stands alone on its host and stays"
     assert html.extract(pages.where("false")).count() == 0
+
+
+def test_op10_sketches():
+    """Sketches never claim more differences than there are, and fold to those of smaller length."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    pool = rnd.integers(0, 2**63, 6000, dtype=np.int64).astype(np.uint64)
+    for a, b in ((10, 12), (500, 540), (600, 3000), (2900, 3000)):
+        x, y = np.unique(pool[:a]), np.unique(pool[b - a : b])
+        differ = len(np.setxor1d(x, y))
+        assert 0.4 * differ <= partenum.apart(partenum.sketch(x), partenum.sketch(y)) <= differ
