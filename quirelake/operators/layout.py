@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,14 +54,17 @@ def page_flow(blocks: DataFrame, key: str, height: int = 54, per_line: int = 78)
     return b.select(key, F.explode(F.aggregate("b", zero, step)["out"]).alias("o")).select(key, "o.ord", F.col("o.page").cast("long").alias("page"))
 
 
-def split_run(whole: list[str], parts: list[list[str]], most: int = RUN) -> tuple[int, int] | None:
-    """The first run of two to most adjacent parts that holds the words of a block: from, to; None if there is none."""
+def split_run(whole: list[str], parts: list[Counter], starts: list[int], most: int = RUN) -> tuple[int, int] | None:
+    """The first run of two to most adjacent parts that holds the words of a block: from, to; None if there is none.
+    starts: parts in order that share words with the block, the only ones that a run can begin with."""
     want = Counter(whole)
-    for a in range(len(parts)):
+    for a in starts:
         got: Counter = Counter()
         for b in range(a, min(len(parts), a + most)):
-            got += Counter(parts[b])
+            got += parts[b]
             both = sum((got & want).values())
+            if sum(got.values()) - both > FOREIGN * max(sum(got.values()), len(whole)):
+                break
             if b > a and whole and both >= COVERAGE * len(whole) and sum(got.values()) - both <= FOREIGN * sum(got.values()):
                 return a, b
     return None
@@ -74,9 +77,14 @@ def splits(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("ord")
-        ords, parts, out = b["ord"].tolist(), [list(w) for w in b["w"]], []
+        ords, parts, out = b["ord"].tolist(), [Counter(w) for w in b["w"]], []
+        at = defaultdict(list)
+        for i, part in enumerate(parts):
+            for word in part:
+                at[word].append(i)
         for o, w in zip(a["ord"], a["w"], strict=True):
-            found = split_run(list(w), parts)
+            shared = Counter(i for word in set(w) for i in at[word])
+            found = split_run(list(w), parts, sorted(i for i, n in shared.items() if n >= (1 - FOREIGN) * len(parts[i])))
             if found:
                 out.append((k[0], o, ords[found[0]], ords[found[1]]))
         return pd.DataFrame(out, columns=[key, "ord", "first", "last"])

@@ -138,3 +138,14 @@ def test_greedy_matches_plain(spark):
         if s >= 0.3 and a not in left and b not in right:
             left.add(a), right.add(b), want.add((a, b))
     assert got == want and F is not None
+
+
+def test_split_run():
+    from collections import Counter
+
+    from quirelake.operators.layout import split_run
+
+    parts = [Counter("x y z".split()), Counter("a b c".split()), Counter("d e f".split()), Counter("q".split())]
+    assert split_run("a b c d e f".split(), parts, [1, 2]) == (1, 2)
+    assert split_run("a b c d e f g h".split(), parts, [1, 2]) is None
+    assert split_run([], parts, [0]) is None
