@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quirelake.functions import text as T
+from quirelake.sources.store import stored
 
 #: Defaults of the alignment.
 MIN_MOVE_WORDS, MOVE_SCORE, PAIR_SCORE, DISPLACEMENT = 3, 0.8, 0.35, 0.3
@@ -148,14 +149,16 @@ def edit_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataF
     Unique equal blocks on the spine are Equal, off it Move; leftovers in one gap that are alike enough are Modify (greedy,
     best first); leftovers anywhere that are nearly equal are Move too (MoveModify if their text differs); the rest is
     Delete or Insert. seq follows the right side; a deletion follows the block before it."""
-    anchored = spine(unique_hash_join(left, right, key).select(key, "left_ord", "right_ord"), key)
+    left, right = stored(left, "left-blocks"), stored(right, "right-blocks")
+    anchored = stored(spine(unique_hash_join(left, right, key).select(key, "left_ord", "right_ord"), key), "anchors")
     on = anchored.where("on_spine")
     rest_l, rest_r = residue(left, anchored, "left", key), residue(right, anchored, "right", key)
     before = lambda rest, side: rest.join(on.groupBy(key).agg(F.array_sort(F.collect_list(f"{side}_ord")).alias("s")), key, "left").withColumn("gap", F.size(F.filter(F.coalesce("s", F.array().cast("array<bigint>")), lambda x: x < F.col("ord")))).drop("s")
     gl, gr = before(rest_l, "left"), before(rest_r, "right")
     scores = bag_similarity(rest_l, rest_r, key).join(gl.select(key, F.col("ord").alias("left_ord"), F.col("gap").alias("lg")), [key, "left_ord"]).join(gr.select(key, F.col("ord").alias("right_ord"), F.col("gap").alias("rg")), [key, "right_ord"])
+    scores = stored(scores, "scores")
     modified = greedy_best_first(scores.where("lg = rg").select(key, "left_ord", "right_ord", "score"), PAIR_SCORE, key)
-    modified = spine(modified.select(key, "left_ord", "right_ord"), key).where("on_spine").select(key, "left_ord", "right_ord", F.lit("Modify").alias("op"))
+    modified = stored(spine(modified.select(key, "left_ord", "right_ord"), key).where("on_spine").select(key, "left_ord", "right_ord", F.lit("Modify").alias("op")), "modified")
     free = scores.join(modified.select(key, "left_ord"), [key, "left_ord"], "left_anti").join(modified.select(key, "right_ord"), [key, "right_ord"], "left_anti")
     moved = greedy_best_first(free.select(key, "left_ord", "right_ord", "score"), MOVE_SCORE, key).select(key, "left_ord", "right_ord", F.lit("MoveModify").alias("op"))
     pairs = anchored.select(key, "left_ord", "right_ord", F.when(F.col("on_spine"), "Equal").otherwise("Move").alias("op")).unionByName(modified).unionByName(moved)
