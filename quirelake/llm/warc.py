@@ -130,8 +130,9 @@ def assemble(records: DataFrame) -> DataFrame:
     side = side.join(back, "record_id", "left").withColumn("capture", F.coalesce("named", "concurrent_to")).where("capture is not null")
     nested = lambda kind: F.min(F.when(F.col("warc_type") == kind, F.struct("record_id", "target_uri", "warc_date", "content_type", "payload_bytes", "payload")))
     side = side.groupBy("capture").agg(nested("request").alias("request"), nested("metadata").alias("metadata"))
-    seen = main.where("warc_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("there_bytes"), F.col("payload").alias("there"))
-    out = main.join(side, main["record_id"] == side["capture"], "left").join(seen, "refers_to", "left")
+    seen = main.where("warc_type = 'response'").select(F.col("record_id").alias("seen_id"), F.col("payload_bytes").alias("there_bytes"), F.col("payload").alias("there"))
+    # what refers to nothing looks itself up, so that no null key gathers all responses
+    out = main.join(side, main["record_id"] == side["capture"], "left").withColumn("seen_id", F.coalesce("refers_to", "record_id")).join(seen, "seen_id", "left")
     return out.select("record_id", F.col("target_uri").alias("url"), F.col("warc_type").alias("record_type"), "payload_digest", F.coalesce("payload_bytes", "there_bytes").alias("payload_bytes"), F.when(F.col("warc_type") == "revisit", F.col("there")).otherwise(F.col("payload")).alias("payload"), "refers_to", "request", "metadata")
 
 
