@@ -23,6 +23,8 @@ from quirelake.llm.components import components
 ENUMERATED = 8
 #: Bits of a parity sketch, at least; sketches rule candidates out before their sets are fetched.
 SKETCH_BITS = 1024
+#: Bits of the sketch that goes with each candidate pair at first; fewer, as most pairs differ widely.
+MINI_BITS = 512
 #: Members of a signature's bucket that one task compares; larger buckets are cut into blocks, each pair of which is a
 #: task's share.
 BLOCK = 2000
@@ -159,10 +161,13 @@ def first_candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFra
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose sets have den * intersection >= num * union, on the sets themselves. Sizes and sketches
     rule most others out before whole sets are moved."""
-    left = sets.select(F.col("sid").alias("a"), F.col("features").alias("fa"), F.col("size").alias("na"), F.col("sketch").alias("ka"))
-    right = sets.select(F.col("sid").alias("b"), F.col("features").alias("fb"), F.col("size").alias("nb"), F.col("sketch").alias("kb"))
-    sized = pairs.join(left.select("a", "na", "ka"), "a").join(right.select("b", "nb", "kb"), "b")
-    sized = sized.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    left = sets.select(F.col("sid").alias("a"), F.col("features").alias("fa"), F.col("size").alias("na"), F.col("mini").alias("ma"), F.col("sketch").alias("ka"))
+    right = sets.select(F.col("sid").alias("b"), F.col("features").alias("fb"), F.col("size").alias("nb"), F.col("mini").alias("mb"), F.col("sketch").alias("kb"))
+    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+    sized = pairs.join(left.select("a", "na", "ma"), "a").join(right.select("b", "nb", "mb"), "b").where(near)
+    sized = common.small_or_not(common.materialize(sized.select("a", "b", "na", "nb"), "partenum-sized", narrow=True), 64)
+    sized = sized.join(left.select("a", "ka"), "a").join(right.select("b", "kb"), "b")
 
     def likely(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -321,10 +326,10 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
         for pdf in it:
             rows = [(sid, shingle_set(t, words)) for sid, t in zip(pdf["sid"], pdf["text"], strict=True)]
             rows = [(sid, s) for sid, s in rows if len(s) and set_key(s)[0] == sid]
-            yield pd.DataFrame({"sid": [r[0] for r in rows], "size": [len(r[1]) for r in rows], "sketch": [sketch(r[1]) for r in rows], "features": [r[1].tobytes() for r in rows]})
+            yield pd.DataFrame({"sid": [r[0] for r in rows], "size": [len(r[1]) for r in rows], "mini": [np.frombuffer(folded(sketch(r[1]), MINI_BITS // 8), "<i8") for r in rows], "sketch": [sketch(r[1]) for r in rows], "features": [r[1].tobytes() for r in rows]})
 
     texts = docs.select("doc_id", "text").join(common.small_or_not(common.materialize(wanted, "partenum-wanted", narrow=True), 64), "doc_id")
-    sets = common.materialize(texts.mapInPandas(sets_of, "sid long, size long, sketch binary, features binary"), "partenum-sets")
+    sets = common.materialize(texts.mapInPandas(sets_of, "sid long, size long, mini array<long>, sketch binary, features binary"), "partenum-sets")
     if sets.groupBy("sid").count().where("count > 1").limit(1).count():  # rows that repeat a doc_id
         sets = common.materialize(sets.dropDuplicates(["sid"]), "partenum-sets", narrow=True)
     links = common.materialize(verified(pairs, sets, num, den), "partenum-links", narrow=True)
