@@ -1,5 +1,3 @@
-import re
-
 import pytest
 
 CLEAN = ["the cat sat on the mat and looked at the bird outside for a while", "a dog ran over the hill towards the river to drink some cold water", "rain fell all night upon the roofs of the little town by the sea"]
@@ -21,10 +19,6 @@ def docs(spark):
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "word"), (5, "word"), (6, " ".join(f"w{i % 997}" for i in range(60_000))), (None, "some text without an id here"), (7, "É ß 漢字 😀 A"), (8, None, None, None), (9, CLEAN[0], None, None)]
 
 
-def ascii_lower(text):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-
-
 @pytest.fixture()
 def odd():
     return ODD
