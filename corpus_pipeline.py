@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from quirelake.llm import common, decontaminate, lines, packing, partenum, quality
 
-#: A document that loses this share of its words to line dedup is a copy of others and goes.
-MOST_LINES_LOST = 0.5
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the fixed rules and whose perplexity lies in their language's band."""
@@ -23,9 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; those that were mostly such lines go."""
+    """Documents without cross-site boilerplate lines; those go that have no word left without them."""
     out = lines.line_dedup(docs).withColumn("__left", count_words(F.col("text")))
-    out = out.where((F.col("n_removed") == 0) | (F.col("__left") > (1 - MOST_LINES_LOST) * F.col("n_words_before")))
+    out = out.where((F.col("n_removed") == 0) | (F.col("__left") > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

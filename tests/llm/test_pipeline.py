@@ -34,3 +34,11 @@ def test_stages(spark, tmp_path):
     assert set(range(80)) <= left[-1] and left[0] & {202, 203, 204} == set()
     assert {200, 201} <= left[1] and left[2] & {200, 201} == set() and 205 in left[2] and 205 not in left[3]
     assert {r["doc_id"] for r in docs.collect()} == left[-1]
+
+
+def test_line_dedup_keeps_own_text(spark, docs):
+    """A document that is mostly boilerplate lines keeps the rest; only one without another word goes."""
+    shared = "all rights reserved by the owner of this site and by nobody else"
+    rows = [(i, f"{shared}\nown words of {i}", "en", f"s{i}") for i in range(20)] + [(20, shared, "en", "s1"), (21, None, "en", "s2"), (22, "", "en", "s3")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(rows), "").collect()}
+    assert got == {0: rows[0][1], **{i: f"own words of {i}" for i in range(1, 20)}, 21: None, 22: ""}
