@@ -41,41 +41,42 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def items_of(bench: DataFrame, window: int) -> DataFrame:
-    """item_id, item_words, len: the window's length, the item's own if that is shorter. Items without words are out."""
-    items = bench.select("item_id", words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
-    return items.withColumn("len", F.least(F.size("item_words"), F.lit(window)))
+    """item_id, item_key, item_words, len: the window's length, the item's own if that is shorter. Items without words are
+    out; a repeated item is one row. item_key tells rows apart that repeat an item_id with another text."""
+    items = bench.select("item_id", words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0).distinct()
+    return items.withColumn("item_key", F.xxhash64("item_id", "item_words")).withColumn("len", F.least(F.size("item_words"), F.lit(window)))
 
 
 def rarest_terms(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """item_id, term, item_pos: for each window of each item the places of its two rarest terms (one if it has a single
-    word). A window with a term that docs don't have cannot occur and is left out."""
-    at = items.select("item_id", "len", F.size("item_words").alias("m"), F.posexplode("item_words").alias("item_pos", "term"))
+    """item_key, term, item_pos, need: for each window of each item the places of its two rarest terms (one if it has a
+    single word), and how many those are. A window with a term that docs don't have cannot occur and is left out."""
+    at = items.select("item_key", "len", F.size("item_words").alias("m"), F.posexplode("item_words").alias("item_pos", "term"))
     at = at.join(counts, "term", "left")
     first, last = F.greatest(F.lit(0), F.col("item_pos") - F.col("len") + 1), F.least(F.col("item_pos"), F.col("m") - F.col("len"))
-    inside = at.select("item_id", "term", "item_pos", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.sequence(first, last)).alias("start"))
-    best = inside.groupBy("item_id", "start").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "item_pos", "term"))), 1, 2).alias("best")).where("best[0].n > 0")
-    return best.select("item_id", F.explode("best").alias("b")).select("item_id", "b.term", "b.item_pos").distinct()
+    inside = at.select("item_key", "term", "item_pos", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.sequence(first, last)).alias("start"))
+    best = inside.groupBy("item_key", "start").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "item_pos", "term"))), 1, 2).alias("best")).where("best[0].n > 0")
+    return best.select("item_key", F.size("best").alias("need"), F.explode("best").alias("b")).select("item_key", "b.term", "b.item_pos", "need").distinct()
 
 
 def alignments(index: DataFrame, pivots: DataFrame) -> DataFrame:
-    """doc_id, text_key, item_id, shift: where the offset-adjusted lists of an item's rarest terms intersect, so that
-    item word i may be document word shift + i. Two rare places must agree (one, if the item has only one)."""
-    need = pivots.groupBy("item_id").agg(F.least(F.count("*"), F.lit(2)).alias("need"))
-    pairs = index.join(common.small_or_not(pivots.join(need, "item_id"), ROW_BYTES), "term")
-    pairs = pairs.select("doc_id", "text_key", "item_id", "need", "item_pos", F.explode("positions").alias("pos"))
-    met = pairs.groupBy("doc_id", "text_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "need").agg(F.count("*").alias("met"))
-    return met.where("met >= need").select("doc_id", "text_key", "item_id", "shift")
+    """doc_id, text_key, item_key, shift: where the offset-adjusted lists of an item's rarest terms intersect, so that
+    item word i may be document word shift + i. As many rare places must agree as a window has; all of an item's windows
+    have equally many."""
+    pairs = index.join(common.small_or_not(pivots, ROW_BYTES), "term")
+    pairs = pairs.select("doc_id", "text_key", "item_key", "need", "item_pos", F.explode("positions").alias("pos"))
+    met = pairs.groupBy("doc_id", "text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"), "need").agg(F.count("*").alias("met"))
+    return met.where("met >= need").select("doc_id", "text_key", "item_key", "shift")
 
 
 def phrase_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, item_id, shift: candidate alignments of items in docs, each with the item's words and len."""
+    """doc_id, text_key, item_key, shift: candidate alignments of items in docs, each with the item's id, words and len."""
     items = common.materialize(items_of(bench, window), "bench-items")
     vocabulary = common.materialize(items.select(F.explode("item_words").alias("term")).distinct(), "bench-terms")
     counts = common.materialize(term_counts(docs, vocabulary), "bench-counts")
     pivots = common.materialize(rarest_terms(items, counts), "bench-pivots")
     index = common.materialize(postings(docs, pivots.select("term").distinct()), "bench-postings")
     found = alignments(index, pivots)
-    return found.join(common.small_or_not(items, 16 * ROW_BYTES), "item_id")
+    return found.join(common.small_or_not(items, 16 * ROW_BYTES), "item_key")
 
 
 def proximity_matches(index: DataFrame, query: list[str], slop: int) -> DataFrame:

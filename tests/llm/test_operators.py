@@ -120,6 +120,17 @@ def test_op5_odd(spark, docs, odd):
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs(odd), bench).collect()} == {1, 2, 3, 6, 7, 8, 9, None}
 
 
+def test_op5_repeated_items(spark, docs):
+    """A repeated item, and an id with two texts, are found by any one window of theirs."""
+    item, other = [f"w{i}" for i in range(20)], [f"v{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (1, " ".join(other)), (2, "absent " + " ".join(other))], "item_id long, text string")
+    rows = [(s, f"before {' '.join(w[s % 20 : s % 20 + 10])} after") for s, w in [(i, item) for i in range(11)] + [(20 + i, other) for i in range(11)]]
+    rows += [(50, " ".join(item[:9])), (51, " ".join(item[:5] + other[5:10])), (52, " ".join(item + other))]
+    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.report(docs(rows), bench).collect()}
+    assert got == {**{i: 10 for i in (*range(11), *range(20, 31))}, 50: 0, 51: 0, 52: 40}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs(rows), bench).collect()} == {50, 51}
+
+
 def test_op5_proximity(spark, docs):
     table = docs([(1, "alpha one two beta"), (2, "alpha one two three four beta"), (3, "beta alpha")])
     terms = spark.createDataFrame([("alpha",), ("beta",)], "term string")
