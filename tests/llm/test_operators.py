@@ -350,6 +350,21 @@ def test_op1_host_boilerplate(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def test_op1_articles_are_judged(spark):
+    """Boilerplate inside articles goes if its host's articles repeat it, unlike headlines that lists of links repeat and
+    passages inside paragraphs; the chrome of article pages counts against pages without an article."""
+    links = "<div class='related'>" + "".join(f"<p>Headline of the story number {i} today</p>" for i in range(9)) + "</div>"
+    page = "<nav><p>Home News Sport Culture Travel and more here</p></nav><main><h1>Headline of the story number {0} today</h1><div>Please support our work with a small gift</div><p>Unique text {0} cites please support our work with a small gift again {1}</p></main>"
+    rows = [(i, f"http://a.com/{i}", page.format(i, 7 * i) + links) for i in range(9)]
+    rows += [(50, "http://a.com/x", "<div>Home News Sport Culture Travel and more here</div><p>one open page with a text of its own</p>")]
+    rows += [(60 + i, f"http://copies.com/{i}", "<article><p>the same article stands on all pages of this host</p></article>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (3, 2000):
+        got = {r["page_id"]: (r["text"], r["n_removed_tokens"]) for r in html.extract(pages, group_pages=group).collect()}
+        assert [got[i] for i in range(9)] == [(f"Headline of the story number {i} today Unique text {i} cites please support our work with a small gift again {7 * i}", 8) for i in range(9)]
+        assert got[50] == ("one open page with a text of its own", 8) and got[60] == ("the same article stands on all pages of this host", 0)
+
+
 def test_op10_sketches():
     """Sketches never claim more differences than there are, and fold to those of smaller length."""
     import numpy as np
