@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, one operator of quirelake.llm for each stage.
 
 Each stage works on all documents that the one before has kept and is written as Parquet in the shared folder, so a lost
-executor repeats at most the tasks of one stage. doc_id identifies a document: rows that repeat one share its fate."""
+executor repeats at most the tasks of one stage. doc_id identifies a document; in the
+quality rules rows that repeat one share its fate, in the stages after them each goes by its own text."""
 
 from __future__ import annotations
 
@@ -33,17 +34,25 @@ def count_words(text):
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (5-word shingles, similarity 0.8 or more)."""
+    """The document with the smallest doc_id of each group of near copies (5-word shingles, similarity 0.8 or more).
+
+    Each row is judged by its own text: rows that repeat a doc_id stay if their texts are no near copies of each other."""
     common.tune(spark)
-    groups = partenum.linked(docs, words=5, num=80, den=100).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    copies = common.materialize(groups.select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
-    out = docs.join(common.small_or_not(copies, 32), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
-    again = common.materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
-    if not again.limit(1).count():
+    rows = common.materialize(partenum.linked_rows(docs, words=5, num=80, den=100), "near-groups")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    copies = rows.where(~first).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    firsts = rows.where(first & F.col("doc_id").isNotNull()).select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+    again = common.materialize(firsts.groupBy("doc_id", "root").agg(F.min("text_key").alias("stays"), F.count("*").alias("n")).where("n > 1"), "repeated-ids", narrow=True)
+    repeated = again.limit(1).count() > 0
+    if repeated:
+        copies = copies.unionByName(firsts.join(common.small_or_not(again, 32), ["doc_id", "root"]).where("text_key <> stays").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
+    copies = common.materialize(copies.distinct(), "near-copies")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    out = docs.join(common.small_or_not(copies, 32), same, "left_anti")
+    if not repeated:
         return out
-    again = common.small_or_not(again, 32)
-    same = docs["doc_id"].eqNullSafe(F.col("__id"))
-    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    again = common.small_or_not(again.select(F.col("doc_id").alias("__id"), F.col("stays").alias("__key")).distinct(), 32)
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,7 +104,8 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def doc_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, sid, check: the two fingerprints identify a set."""
+    """doc_id, text_key, n_shingles, sid, check: the two fingerprints identify a set. text_key tells rows apart that repeat
+    a doc_id with another text."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common.lean()
@@ -113,9 +114,9 @@ def doc_sets(docs: DataFrame, words: int) -> DataFrame:
             for t in pdf["text"]:
                 s = shingle_set(t, words)
                 rows.append((len(s), *set_key(s)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [r[0] for r in rows], "sid": [r[1] for r in rows], "check": [r[2] for r in rows]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_shingles": [r[0] for r in rows], "sid": [r[1] for r in rows], "check": [r[2] for r in rows]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, sid long, check long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, n_shingles long, sid long, check long")
 
 
 def first_candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -312,6 +313,12 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     No link between components is lost: candidates are found by complete signatures, first with one leader for each
     signature, then, between sets still in different components, with the most likely partner of each set, and at last in
     all pairs that share a signature."""
+    return linked_rows(docs, words, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """linked() with text_key and root, a number of the component, by which components with one component_id differ; null
+    for an empty set."""
     spark = docs.sparkSession
     every = common.materialize(doc_sets(docs, words), "partenum-docs")
     classes = common.materialize(every.where("n_shingles > 0").groupBy("sid", "check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "partenum-classes", narrow=True)
@@ -342,9 +349,9 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
         tested = tested.unionByName(more)
     roots = components(links, "partenum-components")
     named = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")), "root").where("members > 1").select("sid", "component_id")
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")), "root").where("members > 1").select("sid", "root", "component_id")
     out = every.join(named, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "sid")).alias("root"), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

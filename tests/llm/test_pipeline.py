@@ -42,3 +42,14 @@ def test_line_dedup_keeps_own_text(spark, docs):
     rows = [(i, f"{shared}\nown words of {i}", "en", f"s{i}") for i in range(20)] + [(20, shared, "en", "s1"), (21, None, "en", "s2"), (22, "", "en", "s3")]
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(rows), "").collect()}
     assert got == {0: rows[0][1], **{i: f"own words of {i}" for i in range(1, 20)}, 21: None, 22: ""}
+
+
+def test_near_duplicates_go_by_text(spark, docs):
+    """A copy with a null doc_id doesn't take the other texts without an id along, nor does a repeated doc_id."""
+    rnd = random.Random(5)
+    a, b, c, d, e = (" ".join(f"{t}{rnd.randrange(10**6)}" for _ in range(60)) for t in "abcde")
+    rows = [(1, a), (None, a), (None, b), (5, c), (5, c), (5, d), (6, c), (7, e), (7, e + " more"), (8, d), (9, None), (9, "")]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs(rows), "").collect()]
+    kept_e = [t for i, t in got if i == 7]
+    assert len(kept_e) == 1 and kept_e[0] in (e, e + " more")
+    assert sorted(map(repr, (r for r in got if r[0] != 7))) == sorted(map(repr, [(1, a), (None, b), (5, c), (5, d), (9, None), (9, "")]))
