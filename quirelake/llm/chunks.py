@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from quirelake.llm import common
 
 CHUNK_BYTES = 4 * 1024 * 1024
-NO_ID = np.iinfo(np.int64).max
+#: Stands for a null id, so that no batch of ids ever turns into floats.
+NO_ID = 2**63 - 1
 
-CHUNK = "chunk long, meta binary, blob binary, note binary"
+CHUNK = "chunk long, size long, meta binary, blob binary, note binary"
 REQUEST = "shard int, kind int, chunk long, body binary, extra binary"
 ANSWER = "chunk long, shard int, kind int, body binary"
 
@@ -72,13 +73,13 @@ def chunked(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES, flag: st
             nonlocal ids, texts, flags, size, n
             meta, raw = np.array([ids, [len(t) for t in texts], flags], dtype=np.int64), b"".join(texts)
             more = note(np.concatenate([[0], np.cumsum(meta[1])]), raw) if note else b""
-            out = pd.DataFrame({"chunk": [first + n], "meta": [meta.tobytes()], "blob": [zstandard.ZstdCompressor(level=3).compress(raw)], "note": [more]})
+            out = pd.DataFrame({"chunk": [first + n], "size": [len(raw)], "meta": [meta.tobytes()], "blob": [zstandard.ZstdCompressor(level=3).compress(raw)], "note": [more]})
             ids, texts, flags, size, n = [], [], [], 0, n + 1
             return out
 
         for pdf in it:
-            for i, none, t, f in zip(pdf["doc_id"].fillna(-1).astype("int64"), pdf["doc_id"].isna(), pdf["text"], pdf["flag"], strict=True):
-                ids.append(NO_ID if none else i)
+            for i, t, f in zip(pdf["doc_id"], pdf["text"], pdf["flag"], strict=True):
+                ids.append(i)
                 flags.append(int(f))
                 texts.append(common.text_bytes(t))
                 size += len(texts[-1])
@@ -87,7 +88,7 @@ def chunked(docs: DataFrame, name: str, chunk_bytes: int = CHUNK_BYTES, flag: st
         if ids:
             yield done()
 
-    return common.materialize(docs.select(F.col("doc_id").cast("long"), "text", (F.coalesce(flag, F.lit(False)) if flag else F.lit(False)).alias("flag")).mapInPandas(run, CHUNK), name)
+    return common.materialize(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", (F.coalesce(flag, F.lit(False)) if flag else F.lit(False)).alias("flag")).mapInPandas(run, CHUNK), name)
 
 
 def open_chunk(meta: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -100,6 +101,12 @@ def flags_of(meta: bytes) -> np.ndarray:
     return np.frombuffer(meta, np.int64).reshape(3, -1)[2] > 0
 
 
+def whole_ids(docs: DataFrame) -> None:
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be a whole number, not {kind}")
+
+
 def ids_out(ids: np.ndarray):
     """ids as a column, NO_ID as null."""
     return pd.Series([None if i == NO_ID else i for i in ids.tolist()], dtype="Int64") if (ids == NO_ID).any() else ids
@@ -152,5 +159,5 @@ def shards_for(docs_bytes: int, shard_bytes: int) -> int:
 
 
 def raw_bytes(chunks: DataFrame) -> int:
-    """Bytes of all stored chunks, from their lengths alone."""
-    return chunks.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+    """Bytes of the texts of all stored chunks."""
+    return chunks.agg(F.sum("size")).first()[0] or 0

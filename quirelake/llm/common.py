@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -41,11 +42,14 @@ _lean = False
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set (tests)."""
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it. Where none is set, a session
+    of one machine gets one of its own; on a cluster that is an error, as executors couldn't share it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quirelake-"))
             base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")

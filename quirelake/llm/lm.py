@@ -23,8 +23,8 @@ STRENGTH = 20.0
 DISCOUNT = 0.75
 BASE = 0.1
 CHUNK_BYTES = 8 * 1024 * 1024
-#: Stored (compressed) bytes of text for each shard of the n-gram space.
-SHARD_BYTES = 4 * 1024 * 1024
+#: Bytes of text for each shard of the n-gram space.
+SHARD_BYTES = 12 * 1024 * 1024
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 

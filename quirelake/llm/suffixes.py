@@ -4,7 +4,11 @@ A string of 50 bytes (LENGTH) contains a smallest 20-byte seed by hash, so two e
 place (a minimizer). Only seeds found in two documents or more matter. Around each of them a context of up to 30 bytes
 before and 50 bytes from it holds every 50-byte string that has this seed as its smallest. Contexts of one seed meet in
 one shard, where a suffix array over what follows the seeds and another over what precedes them, read backwards, tell
-which contexts share which of those strings, and the smallest document of each. Chunks get that back and remove bytes."""
+which contexts share which of those strings, and the smallest document of each. Chunks get that back and remove bytes.
+
+A seed that very many chunks have, or that one chunk has very often, has contexts without bound. Its contexts aren't
+sorted in one place: each of their 50-byte strings is a key of its own, by 128 bits of hash, whose smallest document is
+found by aggregation, first in each chunk, so a hot string costs one row for each chunk that has it."""
 
 from __future__ import annotations
 
@@ -22,8 +26,10 @@ from quirelake.llm import common
 LENGTH, SEED = 50, 20
 BEFORE = LENGTH - SEED
 WIDTH = BEFORE + LENGTH
-#: Stored (compressed) bytes of text for each shard of the seed space.
-SHARD_BYTES = 2 * 1024 * 1024
+#: Bytes of text for each shard of the seed space.
+SHARD_BYTES = 4 * 1024 * 1024
+#: A seed found in more chunks than HOT_CHUNKS, or in more places of one chunk than HOT_PLACES, is hot.
+HOT_CHUNKS, HOT_PLACES = 256, 256
 CHUNK_BYTES = 2 * 1024 * 1024
 #: Multikey quicksort looks at this many bytes before blind tries take over.
 SHALLOW = 32
@@ -32,31 +38,46 @@ SHALLOW = 32
 # Deep-shallow sorting -----------------------------------------------------------------------------------------------
 
 
-def shallow_sort(rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def shallow_sort(rows: np.ndarray, depth: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort of equally long byte rows by their first bytes, 8 bytes for a key.
 
-    All groups that are still tied are split on their next key together. Returns the order, and the group of each
-    place in it: places of a group agree in the first depth bytes."""
+    A group of rows that agree so far is parted in three around a pivot, the median of its first, middle and last key:
+    smaller, equal and larger ones. The equal part goes on with the next 8 bytes, the others with the same; all open
+    groups are parted together. group: the groups to begin with, as ascending numbers; by default one. Returns the order,
+    and the group of each place in it: places of a group agree in the first depth bytes."""
     n, width = rows.shape
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    for at in range(0, min(depth, width), 8):
-        sizes = np.bincount(group)
-        tied = np.flatnonzero(sizes[group] > 1)
-        if not len(tied):
-            break
-        part = np.zeros((len(tied), 8), np.uint8)
-        cut = rows[order[tied], at : at + 8]
-        part[:, : cut.shape[1]] = cut
-        key = part.view(">u8").ravel().astype(np.uint64)
-        by = np.lexsort((key, group[tied]))
-        order[tied] = order[tied][by]
-        key, own = key[by], group[tied]
-        new = np.zeros(n, bool)
-        new[0] = True
-        new[1:] = group[1:] != group[:-1]
-        new[tied[1:]] |= (own[1:] != own[:-1]) | (key[1:] != key[:-1])
-        group = np.cumsum(new) - 1
-    return order, group
+    order = np.arange(n)
+    deepest = -(-min(depth, width) // 8)
+    if not n or not deepest:
+        return order, np.zeros(n, np.int64) if group is None else group
+    if min(depth, width) % 8 or width % 8:
+        padded = np.zeros((n, deepest * 8), np.uint8)
+        padded[:, : min(depth, width)] = rows[:, : min(depth, width)]
+        rows = padded
+    keys = np.ascontiguousarray(rows[:, : deepest * 8]).view(">u8").astype(np.uint64)
+    first = np.zeros(n, bool)  # whether a group begins at a place
+    first[0] = True
+    if group is not None:
+        first[1:] = group[1:] != group[:-1]
+    at = np.zeros(n, np.int64)  # keys in which a place's group is known to agree
+    alone = first & np.append(first[1:], True)
+    todo = np.flatnonzero(~alone)
+    while len(todo):
+        begin = np.flatnonzero(first[todo])
+        size = np.diff(np.append(begin, len(todo)))
+        key = keys[order[todo], at[todo]]
+        a, b, c = key[begin], key[begin + size // 2], key[begin + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        part = np.repeat(np.arange(len(begin)), size) * 3 + side
+        by = np.argsort(part, kind="stable")
+        part = part[by]
+        order[todo] = order[todo][by]
+        first[todo[1:]] = part[1:] != part[:-1]
+        at[todo] += part % 3 == 1
+        alone = first & np.append(first[1:], True)
+        todo = todo[(at[todo] < deepest) & ~alone[todo]]
+    return order, np.cumsum(first) - 1
 
 
 class BlindTrie:
@@ -106,10 +127,11 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(rows: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of byte rows, and the length that each shares with the one before it (the first: 0)."""
+def deep_shallow(rows: np.ndarray, depth: int = SHALLOW, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of byte rows, and the length that each shares with the one before it (the first: 0). group: rows are
+    sorted within these groups only, see shallow_sort()."""
     n, width = rows.shape
-    order, group = shallow_sort(rows, depth)
+    order, group = shallow_sort(rows, depth, group)
     if width > depth and n:
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         ends = np.append(starts[1:], n)
@@ -229,12 +251,48 @@ def context_hash(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nd
     return h
 
 
-def smallest_docs(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For distinct contexts, sorted by doc: the smallest document that has the string which starts i bytes before the
-    seed, for i from 0 to BEFORE; NO_ID where the context has no such string."""
+def differs(by: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Where, in the order by, a row isn't the same as the one before; columns may have rows of bytes."""
+    new = np.ones(len(by), bool)
+    if len(by):
+        new[1:] = False
+        for c in columns:
+            c = c[by]
+            unlike = c[1:] != c[:-1]
+            new[1:] |= unlike.any(axis=1) if unlike.ndim > 1 else unlike
+    return new
+
+
+def hot_strings(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct 50-byte strings of contexts, as two hashes each, sorted, with the smallest of their documents; and
+    for each start, from 0 to BEFORE bytes before the seed, which contexts have such a string and which one it is."""
+    one, two, fits = [], [], []
+    for i in range(BEFORE + 1):
+        fit = np.flatnonzero((left >= i) & (right >= LENGTH - i))
+        words = np.zeros((len(fit), -(-LENGTH // 8) * 8), np.uint8)
+        words[:, :LENGTH] = rows[fit, BEFORE - i : BEFORE - i + LENGTH]
+        a, b = np.zeros(len(fit), np.uint64), np.full(len(fit), 7, np.uint64)
+        with np.errstate(over="ignore"):
+            for w in words.view("<u8").T:
+                a, b = common.mix(a * np.uint64(0x9E3779B97F4A7C15) + w), common.mix((b ^ w) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+        one.append(a)
+        two.append(b)
+        fits.append(fit)
+    a, b = np.concatenate(one), np.concatenate(two)
+    by = np.lexsort((doc[np.concatenate(fits)], b, a))
+    new = differs(by, a, b)
+    which = np.empty(len(by), np.int64)
+    which[by] = np.cumsum(new) - 1
+    cuts = np.cumsum([len(f) for f in fits])[:-1]
+    return a[by[new]], b[by[new]], doc[np.concatenate(fits)][by[new]], list(zip(fits, np.split(which, cuts), strict=True))
+
+
+def smallest_docs(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """For distinct contexts, sorted by doc (within the groups of one seed, if given): the smallest document that has the
+    string which starts i bytes before the seed, for i from 0 to BEFORE; NO_ID where the context has no such string."""
     n = len(rows)
-    r_order, r_lcp = deep_shallow(rows[:, BEFORE:])
-    l_order, l_lcp = deep_shallow(rows[:, BEFORE - 1 :: -1] if BEFORE else rows[:, :0])
+    r_order, r_lcp = deep_shallow(rows[:, BEFORE:], group=group)
+    l_order, l_lcp = deep_shallow(rows[:, BEFORE - 1 :: -1] if BEFORE else rows[:, :0], group=group)
     out = np.full((n, BEFORE + 1), C.NO_ID, np.int64)
     r_class, l_class = np.empty(n, np.int64), np.empty(n, np.int64)
     for i in range(BEFORE + 1):
@@ -260,12 +318,14 @@ def with_copies(docs: DataFrame, at_least: int = LENGTH) -> DataFrame:
     return docs.join(copies, same, "left").select("doc_id", "text", F.col("__digest").isNotNull().alias("copy"))
 
 
-def dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, with_text: bool = False, hot_chunks: int = HOT_CHUNKS, hot_places: int = HOT_PLACES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every document: each byte
     inside a 50-byte string that also starts in a document with a smaller doc_id is removed.
 
     Null and empty texts have 0 bytes. Rows that repeat a doc_id don't remove from each other; a null doc_id is larger
-    than all others. An empty table gives no rows; other columns are ignored."""
+    than all others. A doc_id is a whole number, as smaller ones come first; another type is an error. A text longer than
+    a chunk has a chunk of its own. An empty table gives no rows; other columns are ignored."""
+    C.whole_ids(docs)
     chunks = C.chunked(with_copies(docs), "dedup-chunks", chunk_bytes, "copy", note_places)
     shards = C.shards_for(C.raw_bytes(chunks), shard_bytes)
 
@@ -274,94 +334,137 @@ def dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SH
         by = np.argsort(h, kind="stable")
         keys, first, n = np.unique(h[by], return_index=True, return_counts=True)
         several = doc[by][first] != doc[by][first + n - 1]  # seeds come in document order
+        often = n > hot_places
         for shard, a, b in C.shard_bounds(keys, shards):
-            yield shard, 0, C.pack_sorted(keys[a:b]), np.packbits(several[a:b]).tobytes()
+            yield shard, 0, C.pack_sorted(keys[a:b]), C.squeeze(np.packbits([several[a:b], often[a:b]], axis=1).tobytes())
 
     def seed_reply(kind: int, pdf: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
         keys = [C.unpack_sorted(b) for b in pdf["body"]]
-        several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)) for b, k in zip(pdf["extra"], keys, strict=True)])
+        flags = [np.unpackbits(np.frombuffer(C.expand(b), np.uint8).reshape(2, -1), axis=1, count=len(k)) for b, k in zip(pdf["extra"], keys, strict=True)]
+        several, often = np.concatenate(flags, axis=1)
         _, inverse, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         shared = (n > 1) | (np.bincount(inverse, weights=several) > 0)
-        for chunk, part in zip(pdf["chunk"], np.split(shared[inverse], np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-            yield chunk, C.squeeze(np.packbits(part).tobytes() + len(part).to_bytes(4, "little"))
+        hot = shared & ((n > hot_chunks) | (np.bincount(inverse, weights=often) > 0))
+        a = 0
+        for chunk, k in zip(pdf["chunk"], keys, strict=True):
+            part = inverse[a : a + len(k)]
+            yield chunk, C.squeeze(np.packbits([shared[part], hot[part]], axis=1).tobytes() + len(k).to_bytes(4, "little"))
+            a += len(k)
 
     shared = C.answer(C.ask(chunks, seed_requests), seed_reply, "dedup-seeds")
 
     def distinct_contexts(row: pd.Series, got: list[bytes]):
-        """ids, offsets, bytes; the shared seeds' places and documents; which distinct context each has; the contexts in
-        the order of their seeds' hashes, each with its smallest document."""
+        """ids, offsets, bytes; the shared seeds' places and documents, and which distinct context each has; the contexts
+        in the order of their seeds' hashes, each with its smallest document; the same of hot seeds, see hot_strings()."""
         ids, at, raw, place, h, doc = noted_seeds(row)
-        flags = [np.unpackbits(np.frombuffer(b[:-4], np.uint8), count=int.from_bytes(b[-4:], "little")) for b in map(C.expand, got)]
-        if flags:
-            keep = np.concatenate(flags)[np.unique(h, return_inverse=True)[1]] > 0
-            place, h, doc = place[keep], h[keep], doc[keep]
+        flags = []
+        for b in map(C.expand, got):
+            flags.append(np.unpackbits(np.frombuffer(b[:-4], np.uint8).reshape(2, -1), axis=1, count=int.from_bytes(b[-4:], "little")))
+        keep, hot = (np.concatenate(flags, axis=1)[:, np.unique(h, return_inverse=True)[1]] > 0) if flags else np.zeros((2, len(h)), bool)
+        burning = contexts(raw, at, place[hot], doc[hot])
+        strings = (place[hot], doc[hot], *hot_strings(*burning, ids[doc[hot]]))
+        keep &= ~hot
+        place, h, doc = place[keep], h[keep], doc[keep]
         rows, left, right = contexts(raw, at, place, doc)
         whole = context_hash(rows, left, right)
         by = np.lexsort((ids[doc], whole, h))
-        new = np.ones(len(by), bool)
-        new[1:] = (whole[by][1:] != whole[by][:-1]) | (h[by][1:] != h[by][:-1])
+        new = differs(by, h, whole, rows, left, right)
         which = np.empty(len(by), np.int64)
         which[by] = np.cumsum(new) - 1
         one = by[new]
-        return ids, at, raw, place, doc, which, (h[one], rows[one], left[one], right[one], ids[doc[one]])
+        return ids, at, raw, place, doc, which, (h[one], rows[one], left[one], right[one], ids[doc[one]]), strings
 
     def context_rows(key: tuple, left_: pd.DataFrame, right_: pd.DataFrame) -> pd.DataFrame:
         common.lean()
         found = []
         if len(left_):
-            *_, (h, rows, left, right, doc) = distinct_contexts(left_.iloc[0], list(right_.sort_values("shard")["body"]))
+            *_, (h, rows, left, right, doc), (_, _, one, two, least, _) = distinct_contexts(left_.iloc[0], list(right_.sort_values("shard")["body"]))
             for shard, a, b in C.shard_bounds(h, shards):
                 body = C.squeeze(np.ascontiguousarray(rows[a:b]))
                 found.append((shard, 1, body, C.squeeze(doc[a:b].astype("<i8").tobytes() + left[a:b].tobytes() + right[a:b].tobytes())))
+            for shard, a, b in C.shard_bounds(one, shards):
+                found.append((shard, 2, C.pack_sorted(one[a:b]), C.squeeze(two[a:b].astype("<u8").tobytes() + least[a:b].astype("<i8").tobytes())))
         return C._rows(int(key[0]), iter(found))
 
     asked = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(context_rows, C.REQUEST)
 
+    def string_reply(pdf: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+        keys = [C.unpack_sorted(b) for b in pdf["body"]]
+        extra = [np.frombuffer(C.expand(b), "<u8").reshape(2, -1) for b in pdf["extra"]]
+        one, two = np.concatenate(keys), np.concatenate([x[0] for x in extra])
+        doc = np.concatenate([x[1] for x in extra]).view(np.int64)
+        by = np.lexsort((doc, two, one))
+        new = differs(by, one, two)
+        least = np.empty(len(by), np.int64)
+        least[by] = doc[by[new]][np.cumsum(new) - 1]
+        a = 0
+        for chunk, k in zip(pdf["chunk"], keys, strict=True):
+            yield chunk, C.squeeze(least[a : a + len(k)].astype("<i8").tobytes())
+            a += len(k)
+
     def context_reply(kind: int, pdf: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+        if kind == 2:
+            yield from string_reply(pdf)
+            return
         extra = [np.frombuffer(C.expand(b), np.uint8) for b in pdf["extra"]]
         sizes = np.array([len(x) // 10 for x in extra])
         doc = np.concatenate([x[: 8 * n].view("<i8") for x, n in zip(extra, sizes, strict=True)])
         left = np.concatenate([x[8 * n : 9 * n] for x, n in zip(extra, sizes, strict=True)])
         right = np.concatenate([x[9 * n :] for x, n in zip(extra, sizes, strict=True)])
         rows = np.concatenate([np.frombuffer(C.expand(b), np.uint8).reshape(-1, WIDTH) for b in pdf["body"]])
+        chunk = pdf["chunk"].tolist()
+        del extra, pdf
         whole = context_hash(rows, left, right)
         by = np.lexsort((doc, whole))
-        h = whole[by]
-        new = np.ones(len(by), bool)
-        new[1:] = h[1:] != h[:-1]
-        which = np.empty(len(by), np.int64)
+        new = differs(by, whole, rows, left, right)
+        which = np.empty(len(by), np.int32)
         which[by] = np.cumsum(new) - 1
         one = by[new]
-        one_doc = doc[one]
-        # a seed with a single context needs no sorting
-        seed = row_hashes(rows[one][:, BEFORE : BEFORE + SEED])
-        _, inverse, n = np.unique(seed, return_inverse=True, return_counts=True)
+        rows, left, right, doc = rows[one], left[one], right[one], doc[one]
+        del whole, by, new, one
+        # contexts of one seed stand together, smaller documents first; a seed with a single context needs no sorting
+        seed = row_hashes(rows[:, BEFORE : BEFORE + SEED])
+        by = np.lexsort((doc, seed))
+        seed = seed[by]
+        tied = np.zeros(len(by), bool)
+        tied[1:] = seed[1:] == seed[:-1]
+        tied[:-1] |= tied[1:]
         fits = np.arange(BEFORE + 1)
-        least = np.where((left[one][:, None] >= fits) & (right[one][:, None] >= LENGTH - fits), one_doc[:, None], C.NO_ID)
-        many = np.flatnonzero(n[inverse] > 1)
-        many = many[np.argsort(one_doc[many], kind="stable")]
-        if len(many):
-            least[many] = smallest_docs(rows[one][many], left[one][many], right[one][many], one_doc[many])
+        least = np.where((left[:, None] >= fits) & (right[:, None] >= LENGTH - fits), doc[:, None], C.NO_ID)
+        many, own = by[tied], seed[tied]
+        # a few groups at a time, so that only their rows are held twice
+        cuts = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint64(1))) if len(own) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(own))
+        a = 0
+        while a < len(cuts):
+            b = max(a + 1, int(np.searchsorted(ends, cuts[a] + 20_000, side="right")))
+            some = slice(cuts[a], ends[b - 1])
+            at, group = many[some], np.cumsum(np.diff(own[some], prepend=own[some][:1]) != 0)
+            least[at] = smallest_docs(rows[at], left[at], right[at], doc[at], group)
+            a = b
         a = 0
-        for chunk, size in zip(pdf["chunk"], sizes, strict=True):
-            body = np.ascontiguousarray(least[which[a : a + size]].T.astype("<i8"))
-            yield chunk, C.squeeze(body)
+        for c, size in zip(chunk, sizes.tolist(), strict=True):
+            yield c, C.squeeze(np.ascontiguousarray(least[which[a : a + size]].T.astype("<i8")))
             a += size
 
     least = C.answer(asked, context_reply, "dedup-contexts")
     both = shared.where("chunk >= 0").unionByName(least)
 
     def removed(row: pd.Series, got: dict[int, list[bytes]]) -> pd.DataFrame:
-        ids, at, raw, place, doc, which, _ = distinct_contexts(row, got.get(0, []))
+        ids, at, raw, place, doc, which, _, (hot_place, hot_doc, one, _, _, strings) = distinct_contexts(row, got.get(0, []))
         cover = np.zeros(len(raw) + 1, np.int64)
+        start = np.zeros(len(raw), bool)
         if len(place):
             table = np.concatenate([np.frombuffer(C.expand(b), "<i8").reshape(BEFORE + 1, -1) for b in got.get(1, [])], axis=1)
-            start = np.zeros(len(raw), bool)
             for i in range(BEFORE + 1):
                 start[place[table[i][which] < ids[doc]] - i] = True
-            hits = np.flatnonzero(start)
-            cover[hits] += 1
-            cover[hits + LENGTH] -= 1
+        if len(one):
+            known = np.concatenate([np.frombuffer(C.expand(b), "<i8") for b in got.get(2, [])])
+            for i, (fit, string) in enumerate(strings):
+                start[hot_place[fit[known[string] < ids[hot_doc[fit]]]] - i] = True
+        hits = np.flatnonzero(start)
+        cover[hits] += 1
+        cover[hits + LENGTH] -= 1
         for d in np.flatnonzero(C.flags_of(row.meta)).tolist():
             cover[at[d]] += 1
             cover[at[d + 1]] -= 1

@@ -244,10 +244,12 @@ def test_op9_brute(spark, docs, odd):
     rnd = random.Random(9)
     base = ["".join(rnd.choice("abcd ") for _ in range(rnd.randrange(40, 400))) for _ in range(12)]
     texts = [(i, "".join(rnd.choice(base)[rnd.randrange(30) :][: rnd.randrange(20, 300)] for _ in range(rnd.randrange(5)))) for i in range(120)]
+    texts += [(2**53 + 1, "a" * 60 + "b"), (2**53 + 3, "a" * 60 + "c")]  # no float tells these from their neighbours
     texts += [(200, "a" * 300), (201, "a" * 49), (202, "a" * 130), (203, base[0] * 2), (203, base[0] * 2), (204, base[0] * 2), (None, base[0] * 2)] + odd
-    got = suffixes.dedup(docs(texts), chunk_bytes=2000, shard_bytes=600).collect()
     want = brute_dedup([(t[0], common.text_bytes(t[1])) for t in texts])
-    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    for hot in ({}, {"hot_chunks": 3, "hot_places": 2}, {"hot_chunks": 0}):
+        got = suffixes.dedup(docs(texts), chunk_bytes=2000, shard_bytes=600, **hot).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert suffixes.dedup(docs([])).count() == 0
 
 
@@ -258,6 +260,20 @@ def test_op9_suffix_array():
         assert suffixes.suffix_array(t, depth=8).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_op9_quicksort():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for n, width, letters in ((0, 50, 2), (1, 50, 2), (500, 50, 2), (3000, 30, 3), (2000, 8, 2), (300, 13, 1)):
+        rows = rnd.integers(0, letters, (n, width)).astype(np.uint8)
+        group = np.sort(rnd.integers(0, 5, n))
+        order, tied = suffixes.shallow_sort(rows, 32, group)
+        want = sorted(range(n), key=lambda i: (group[i], rows[i, :32].tobytes()))
+        assert [(group[i], rows[i, :32].tobytes()) for i in order] == [(group[i], rows[i, :32].tobytes()) for i in want]
+        assert all((tied[k] == tied[k - 1]) == ((group[order[k]], rows[order[k], :32].tobytes()) == (group[order[k - 1]], rows[order[k - 1], :32].tobytes())) for k in range(1, n))
+        assert [rows[i].tobytes() for i in suffixes.deep_shallow(rows, 8)[0]] == sorted(r.tobytes() for r in rows)
+
+
 def brute_links(texts, words, num):
     sets = []
     for _, t in texts:
