@@ -46,23 +46,18 @@ def most_different(high: int, num: int, den: int) -> int:
     return 2 * high * (den - num) // (den + num)
 
 
-def parts_for(k: int, high: int) -> int:
-    """Parts of the domain for large k: k + 1, and as many more as a set may leave empty, which then don't count."""
-    spare = 1
-    while True:
-        n = k + 1 + spare
-        empty = n * math.exp(-high / n * 0.9)
-        if spare >= empty + 6 * math.sqrt(empty) + 1 or spare > k + 8:
-            return n
-        spare += 1
+def parts_for(k: int) -> int:
+    """Parts of the domain for large k, more than the k + 1 of which a set signs."""
+    return math.ceil(1.45 * (k + 1))
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Signatures of one set of feature hashes (sorted, distinct).
 
-    With n parts of which sets of the band may differ in k, two sets agree in n - k parts. A part empty in both is no
-    evidence, so a set signs only its filled parts; where fewer than k + 1 are filled, also its empty ones: two such
-    sets meet there, and any other pair agrees in a part that is filled."""
+    With n parts of which sets of the band may differ in k, two sets agree in n - k parts. For large k a set signs its
+    k + 1 highest parts, by the number of features in them and then by a hash of these: of the parts in which two sets
+    agree the highest stands above all but k parts of either, so both sign it. Low parts, which unlike sets share by
+    chance, aren't signed, nor empty ones unless fewer than k + 1 are filled."""
     out = []
     band, high, next_high = bands(len(s), num, den)
     with np.errstate(over="ignore"):
@@ -80,14 +75,11 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
                 for j, (a, b) in enumerate(combinations(range(3), 2)):
                     out.append(common.mix(common.mix(sub[:, a]) + common.mix(sub[:, b] + np.uint64(1)) + common.mix(seed + np.arange(n, dtype=np.uint64) * np.uint64(4) + np.uint64(j))))
             else:
-                n = parts_for(k, top)
+                n = parts_for(k)
                 part = (((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
                 cut = np.searchsorted(part, np.arange(n + 1))
-                filled = cut[1:] > cut[:-1]
-                if np.count_nonzero(filled) < k + 1:
-                    filled[:] = True
-                own = sums[cut[1:]] - sums[cut[:-1]]
-                out.append(common.mix(common.mix(own[filled]) + common.mix(seed + np.uint64(1) + np.flatnonzero(filled).astype(np.uint64) * np.uint64(4))))
+                own = common.mix(common.mix(sums[cut[1:]] - sums[cut[:-1]]) + common.mix(seed + np.uint64(1) + np.arange(n, dtype=np.uint64) * np.uint64(4)))
+                out.append(own[np.lexsort((own, cut[:-1] - cut[1:]))[: k + 1]])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
