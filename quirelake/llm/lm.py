@@ -16,15 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from quirelake.llm import chunks as C
 from quirelake.llm import common
 
-ORDER = 2
+#: Words of the longest n-grams.
+ORDER = 3
 #: Pseudo-counts that a context gives to its shorter one (Dirichlet smoothing).
 STRENGTH = 20.0
 #: Taken from each known word's count, for words that were never seen.
 DISCOUNT = 0.75
 BASE = 0.1
-CHUNK_BYTES = 8 * 1024 * 1024
+CHUNK_BYTES = 4 * 1024 * 1024
 #: Bytes of text for each shard of the n-gram space.
-SHARD_BYTES = 12 * 1024 * 1024
+SHARD_BYTES = 8 * 1024 * 1024
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -62,48 +63,86 @@ def places(starts: np.ndarray, n: int) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts[:-1], lengths)
 
 
+class Level:
+    """The distinct n-grams of a chunk's texts: their hashes, where one of each stands, which one starts at each place of
+    the sequence (-1: none), and their training counts."""
+
+    def __init__(self, seq: np.ndarray, starts: np.ndarray, n: int) -> None:
+        where = places(starts, n)
+        self.keys, one, inverse = np.unique(gram_keys(seq, n)[where], return_index=True, return_inverse=True)
+        self.at = where[one]
+        self.starting = np.full(len(seq), -1, np.int32)
+        self.starting[where] = inverse
+        self.counts = np.zeros(len(self.keys), np.int64)
+
+
 class BackoffAutomaton:
-    """States are the n-grams of up to order - 1 words that training has seen, the empty one at the bottom. A state has
-    an arc for each word seen after it, weighted with that word's smoothed log10 probability, and one failure arc to
-    the state without its first word, weighted with the log10 mass kept for unseen words. Every n-gram is found by its
-    hash in a sorted array; an arc leads to the longest suffix of its n-gram that is a state."""
-
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], total: int, types: int, strength: float = STRENGTH, discount: float = DISCOUNT) -> None:
-        self.keys, self.counts, self.order = keys, counts, len(keys)
-        self.total, self.types, self.strength, self.discount = max(total, 1), types, strength, discount
-        self.unseen = discount * types / self.total if types else 1.0
-
-    def count(self, n: int, grams: np.ndarray) -> np.ndarray:
-        """Training counts of n-grams by hash; 0 for those that training has not."""
-        if not len(self.keys[n - 1]):
-            return np.zeros(len(grams), np.int64)
-        at = np.minimum(np.searchsorted(self.keys[n - 1], grams), len(self.keys[n - 1]) - 1)
-        return np.where(self.keys[n - 1][at] == grams, self.counts[n - 1][at], 0)
-
-    def word(self, c: np.ndarray) -> np.ndarray:
-        """Probability of a word in the empty state."""
-        return np.where(c > 0, (c - self.discount) / self.total, self.unseen)
-
-    def traverse(self, counts: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
-        """log10 probabilities of the words of a text read from left to right.
-
-        counts[n-1][t]: training count of the n-gram that ends at word t; contexts[n-2][t]: of its first n - 1 words. The
-        state before word t is the longest context with a count; where it has no arc for the word, failure arcs are
-        followed down, adding their weights. All words take their steps side by side."""
-        arc = [self.word(counts[0])]
-        for n in range(2, self.order + 1):
-            c, ctx = counts[n - 1], contexts[n - 2]
-            arc.append(np.where(ctx > 0, (c + self.strength * arc[-1]) / (ctx + self.strength), arc[-1]))
-        out = np.zeros(len(counts[0]))
-        open_ = np.ones(len(out), bool)
-        for n in range(self.order, 1, -1):
-            state = open_ & (contexts[n - 2] > 0)
-            hit = state & (counts[n - 1] > 0)
-            out[hit] += np.log10(arc[n - 1][hit])
-            open_ &= ~hit
-            fail = state & ~hit
-            out[fail] += np.log10(self.strength / (contexts[n - 2][fail] + self.strength))
-        out[open_] += np.log10(arc[0][open_])
+    """A weighted automaton that reads words from left to right.
+
+    States are the n-grams of up to order - 1 words that training has seen; state 0 is the empty one. A state has an arc
+    for each word that training has after it, weighted with that word's smoothed log10 probability; the arc leads to the
+    longest suffix of what has been read that is a state. A state but the empty one has a failure arc to the state without
+    its first word, weighted with the log10 share of probability that it gives to the shorter context.
+
+    levels: the n-grams of the texts that will be read, by n. What they don't contain cannot be reached by these texts."""
+
+    def __init__(self, levels: list[Level], total: int, types: int, strength: float = STRENGTH, discount: float = DISCOUNT) -> None:
+        order, total = len(levels), max(total, 1)
+        self.words = max(1, len(levels[0].keys))
+        unseen = discount * types / total if types else 1.0
+        self.unknown = float(np.log10(unseen))
+        fail, loss = [np.zeros(1, np.int64)], [np.zeros(1)]
+        arcs, weights, targets = [], [], []
+        states = 1
+        below, p_below, state_below = None, None, None
+        for n, level in enumerate(levels, 1):
+            c = level.counts
+            if n == 1:
+                p, source, suffix = np.where(c > 0, (c - discount) / total, unseen), np.zeros(len(c), np.int64), None
+            else:
+                context, suffix = below.starting[level.at], below.starting[level.at + 1]
+                seen = below.counts[context]
+                p = np.where(seen > 0, (c + strength * p_below[suffix]) / (seen + strength), p_below[suffix])
+                source = state_below[context]
+            known = c > 0
+            if n < order:
+                state = np.where(known, states + np.cumsum(known) - 1, -1)
+                states += int(known.sum())
+                fail.append(np.zeros(known.sum(), np.int64) if n == 1 else state_below[suffix[known]])
+                loss.append(np.log10(strength / (c[known] + strength)))
+                target = state
+            else:
+                state = None
+                target = np.zeros(len(c), np.int64) if n == 1 else state_below[suffix]
+            arcs.append(source[known] * self.words + levels[0].starting[level.at[known] + n - 1])
+            weights.append(np.log10(p[known]))
+            targets.append(target[known])
+            below, p_below, state_below = level, p, state
+        self.arcs = dict(zip(np.concatenate(arcs).tolist(), range(sum(map(len, arcs))), strict=True))
+        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        self.fail, self.loss = np.concatenate(fail).tolist(), np.concatenate(loss).tolist()
+        # texts begin in the state of the begin marks, which the first place of the sequence has
+        first = -1
+        if order > 1 and len(levels[0].keys):
+            top = levels[order - 2]
+            first = 1 + sum(int((x.counts > 0).sum()) for x in levels[: order - 2]) + int((top.counts[: top.starting[0]] > 0).sum()) if top.counts[top.starting[0]] > 0 else -1
+        self.start = max(0, first)
+
+    def traverse(self, words: list[int]) -> float:
+        """log10 probability of a text, given as numbers of levels[0]: the sum of the weights of all arcs taken."""
+        arcs, weight, target, fail, loss, v = self.arcs, self.weight, self.target, self.fail, self.loss, self.words
+        state, out = self.start, 0.0
+        for w in words:
+            arc = arcs.get(state * v + w)
+            while arc is None and state:
+                out += loss[state]
+                state = fail[state]
+                arc = arcs.get(state * v + w)
+            if arc is None:
+                out += self.unknown
+            else:
+                out += weight[arc]
+                state = target[arc]
         return out
 
 
@@ -111,8 +150,9 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
     A null or empty text is one end token. Repeated rows count as often as they occur. A null doc_id counts as held out
-    (its text is empty). An empty table gives no rows; without training texts every token is unknown. Other columns are
-    ignored."""
+    (its text is empty). A doc_id is a whole number; another type is an error. A text longer than a chunk has a chunk of
+    its own. An empty table gives no rows; without training texts every token is unknown. Other columns are ignored."""
+    C.whole_ids(docs)
     chunks = C.chunked(docs, "lm-chunks", chunk_bytes)
     shards = C.shards_for(C.raw_bytes(chunks), shard_bytes)
 
@@ -150,25 +190,18 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk
     def scores(row: pd.Series, got: dict[int, list[bytes]]) -> pd.DataFrame:
         ids, at, raw = C.open_chunk(row.meta, row.blob)
         seq, starts = sequences([raw[a:b] for a, b in zip(at, at[1:], strict=False)], order)
-        tokens = places(starts, order)  # of the full n-gram that ends at each token
-        counts, contexts, all_keys, all_counts = [], [], [], []
-        for n in range(1, order + 1):
-            grams = gram_keys(seq, n)
-            keys, inverse = np.unique(grams[places(starts, n)], return_inverse=True)
-            known = np.concatenate([np.frombuffer(C.expand(b), "<i8") for b in got.get(n, ())] or [np.zeros(0, np.int64)])
-            at_place = np.zeros(len(grams), np.int64)
-            at_place[places(starts, n)] = known[inverse]
-            counts.append(at_place[tokens + order - n])
-            if n < order:
-                contexts.append(at_place[tokens + order - n - 1])
-            all_keys.append(keys)
-            all_counts.append(known)
-        model = BackoffAutomaton(all_keys, all_counts, total, types, strength)
-        logp = model.traverse(counts, contexts)
-        base = np.log10((counts[0] + BASE) / (total + BASE * (types + 1)))
+        levels = [Level(seq, starts, n) for n in range(1, order + 1)]
+        for n, level in enumerate(levels, 1):
+            level.counts = np.concatenate([np.frombuffer(C.expand(b), "<i8") for b in got.get(n, ())] or [np.zeros(0, np.int64)])
+        model = BackoffAutomaton(levels, total, types, strength)
+        tokens = places(starts, order) + order - 1  # all but the begin marks
+        word = levels[0].starting[tokens]
         cuts = np.concatenate([[0], np.cumsum(np.diff(starts) - order + 1)])
+        logp = [model.traverse(word[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        count = levels[0].counts[word]
+        base = np.log10((count + BASE) / (total + BASE * (types + 1)))
         add = lambda x: np.add.reduceat(x, cuts[:-1]) if len(x) else x  # noqa: E731  every text has its end token
-        return pd.DataFrame({"doc_id": C.ids_out(ids), "held_out": [held_out(i) for i in ids.tolist()], "n_tokens": np.diff(cuts), "n_known": add((counts[0] > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(logp)})
+        return pd.DataFrame({"doc_id": C.ids_out(ids), "held_out": [held_out(i) for i in ids.tolist()], "n_tokens": np.diff(cuts), "n_known": add((count > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": logp})
 
     return C.meet(chunks, answers, scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

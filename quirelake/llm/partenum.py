@@ -87,15 +87,36 @@ def shingle_set(text, words: int) -> np.ndarray:
     return np.unique(common.shingle_hashes(common.hash_words(common.words_of(text)), words))
 
 
-def set_key(s: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit fingerprints of a set."""
+def set_key(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent 64-bit fingerprints of a set; bits: how many of the first are used."""
     with np.errstate(over="ignore"):
         a = common.mix(np.array([common.mix(s ^ np.uint64(0x13198A2E03707344)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))
         b = common.mix(np.array([common.mix(s ^ np.uint64(0xA4093822299F31D0)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))
-    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+    return int((a >> np.uint64(64 - bits)).view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-def doc_sets(docs: DataFrame, words: int) -> DataFrame:
+class Namer:
+    """Names a set by its first fingerprint, or as other says where several sets have that one (see renamed())."""
+
+    def __init__(self, bits: int = 64, other: dict[tuple[int, int], int] | None = None) -> None:
+        self.bits, self.other = bits, other or {}
+
+    def __call__(self, s: np.ndarray) -> int:
+        key = set_key(s, self.bits)
+        return self.other.get(key, key[0]) if self.other else key[0]
+
+
+def renamed(classes: DataFrame, most: int = 1_000_000) -> dict[tuple[int, int], int]:
+    """New names, by both fingerprints, for all but one of the sets that share a first fingerprint. Of n sets about
+    n * n / 2 ** 64 do, a few hundred of 10 ** 11; many more mean that the hash is broken, which is an error."""
+    twins = classes.groupBy("sid").agg(F.count("*").alias("n"), F.min("check").alias("stays")).where("n > 1")
+    rows = classes.join(common.small_or_not(twins, 32), "sid").where("check <> stays").select("sid", "check").limit(most + 1).collect()
+    if len(rows) > most:
+        raise RuntimeError("too many shingle sets share a fingerprint")
+    return {(r["sid"], r["check"]): int(common.mix(np.array([r["check"] ^ r["sid"]], np.int64).view(np.uint64)).view(np.int64)[0]) for r in rows}
+
+
+def doc_sets(docs: DataFrame, words: int, bits: int = 64) -> DataFrame:
     """doc_id, text_key, n_shingles, sid, check: the two fingerprints identify a set. text_key tells rows apart that repeat
     a doc_id with another text."""
 
@@ -105,13 +126,15 @@ def doc_sets(docs: DataFrame, words: int) -> DataFrame:
             rows = []
             for t in pdf["text"]:
                 s = shingle_set(t, words)
-                rows.append((len(s), *set_key(s)))
+                rows.append((len(s), *set_key(s, bits)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_shingles": [r[0] for r in rows], "sid": [r[1] for r in rows], "check": [r[2] for r in rows]})
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, n_shingles long, sid long, check long")
+    # ids travel as text, which no type of id and no null among them turns into floats
+    out = docs.select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, "doc_id string, text_key long, n_shingles long, sid long, check long")
+    return out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
 
 
-def first_candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def first_candidates(docs: DataFrame, words: int, num: int, den: int, name: Namer) -> DataFrame:
     """a, b: for each signature its smallest set with each other one. Within an Arrow batch a signature is sent once:
     its other sets there are linked to the first right away, so a hot signature is thinned out before the shuffle."""
 
@@ -123,7 +146,7 @@ def first_candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFra
                 s = shingle_set(t, words)
                 if not len(s):
                     continue
-                sid = set_key(s)[0]
+                sid = name(s)
                 if sid not in seen:
                     seen.add(sid)
                     sigs.append(signatures(s, num, den))
@@ -308,15 +331,17 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     return linked_rows(docs, words, num, den).select("doc_id", "n_shingles", "component_id")
 
 
-def linked_rows(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def linked_rows(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: int = 64) -> DataFrame:
     """linked() with text_key and root, a number of the component, by which components with one component_id differ; null
-    for an empty set."""
+    for an empty set. bits: of the fingerprint that names a set; fewer only make the tests meet equal ones."""
     spark = docs.sparkSession
-    every = common.materialize(doc_sets(docs, words), "partenum-docs")
+    every = common.materialize(doc_sets(docs, words, bits), "partenum-docs")
     classes = common.materialize(every.where("n_shingles > 0").groupBy("sid", "check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "partenum-classes", narrow=True)
-    if classes.groupBy("sid").count().where("count > 1").limit(1).count():
-        raise ArithmeticError("two different shingle sets share a 64-bit fingerprint")
-    pairs = common.materialize(first_candidates(docs, words, num, den), "partenum-candidates", narrow=True)
+    name = Namer(bits, renamed(classes))
+    if name.other:
+        other = F.broadcast(spark.createDataFrame([(*k, v) for k, v in name.other.items()], "sid long, check long, other long"))
+        every, classes = (df.join(other, ["sid", "check"], "left").withColumn("sid", F.coalesce("other", "sid")).drop("other") for df in (every, classes))
+    pairs = common.materialize(first_candidates(docs, words, num, den, name), "partenum-candidates", narrow=True)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = classes.join(nodes, "sid").select("sid", F.col("rep").alias("doc_id")).where("doc_id is not null")
 
@@ -324,7 +349,7 @@ def linked_rows(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
         common.lean()
         for pdf in it:
             rows = [(sid, shingle_set(t, words)) for sid, t in zip(pdf["sid"], pdf["text"], strict=True)]
-            rows = [(sid, s) for sid, s in rows if len(s) and set_key(s)[0] == sid]
+            rows = [(sid, s) for sid, s in rows if len(s) and name(s) == sid]
             yield pd.DataFrame({"sid": [r[0] for r in rows], "size": [len(r[1]) for r in rows], "mini": [np.frombuffer(folded(sketch(r[1]), MINI_BITS // 8), "<i8") for r in rows], "sketch": [sketch(r[1]) for r in rows], "features": [r[1].tobytes() for r in rows]})
 
     texts = docs.select("doc_id", "text").join(common.small_or_not(common.materialize(wanted, "partenum-wanted", narrow=True), 64), "doc_id")

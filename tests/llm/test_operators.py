@@ -91,6 +91,24 @@ def test_op3_brute(spark, docs, order):
         assert r["score"] == pytest.approx(sum(math.log10(p(tuple(t[k - order + 1 : k + 1]))) for k in range(order - 1, len(t))))
 
 
+def test_op3_automaton():
+    """States, arcs and failure arcs of a small model; the state is carried from word to word."""
+    import numpy as np
+
+    seq, starts = lm.sequences([b"a b a c", b"b d"], 3)
+    levels = [lm.Level(seq, starts, n) for n in (1, 2, 3)]
+    for n, level in enumerate(levels, 1):  # as if the first text alone were training
+        mine = lm.gram_keys(seq, n)[lm.places(starts[:2], n)]
+        level.counts = np.array([np.count_nonzero(mine == k) for k in level.keys])
+    model = lm.BackoffAutomaton(levels, 5, 4)
+    seen = sum(int((x.counts > 0).sum()) for x in levels[:2])
+    assert len(model.fail) == 1 + seen and len(model.arcs) == sum(int((x.counts > 0).sum()) for x in levels)
+    depth = lambda s: 0 if s == 0 else 1 + depth(model.fail[s])
+    assert depth(model.start) == 2 and max(map(depth, range(1 + seen))) == 2 and {depth(t) for t in model.target} == {1, 2}
+    word = levels[0].starting[starts[1] + 2 :].tolist()  # b, d and the end
+    assert model.traverse(word[:1]) < 0 and model.traverse(word) < model.traverse(word[:2]) < model.traverse(word[:1])
+
+
 def test_op4(spark, docs, odd):
     out = packing.pack(docs(odd)).collect()
     assert {r["doc_id"] for r in out} == {4, 5, 6, 7, 9, None}
@@ -351,6 +369,14 @@ def test_op10_brute(spark, docs, words, num):
     assert got == brute_links(texts, words, num)
 
 
+def test_op10_equal_fingerprints(spark, docs):
+    """Different sets with one fingerprint stay apart, and ids beyond 2**53 beside a null stay what they are."""
+    big = 2**53
+    texts = [(big + 1 + 2 * i, " ".join(f"t{i // 2}w{j}" if j or i % 2 else f"other{i}" for j in range(40))) for i in range(40)] + [(None, "text without an id")]
+    got = {r["doc_id"]: r["component_id"] for r in partenum.linked_rows(docs(texts), 3, 80, 100, bits=3).collect()}
+    assert got == {i: None if i is None else big + 1 + 4 * (k // 2) for k, (i, _) in enumerate(texts)}
+
+
 def test_op10_odd(spark, docs, odd):
     out = partenum.linked(docs(odd)).collect()
     assert len(out) == len(odd) and {(r["doc_id"], r["component_id"]) for r in out} >= {(1, 1), (2, 2), (4, 4), (5, 4)}
