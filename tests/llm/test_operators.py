@@ -427,7 +427,7 @@ def test_op1_host_boilerplate(spark):
     rows = [(i, f"http://A.com/{i}", f"<div>Home page of the site with news every day</div><p>unique text number {i} is here and {i * 7} more words follow {i + 3}</p><div>rights reserved by the owner of this site forever</div>", "z") for i in range(9)]
     rows += [(99, None, None, "z"), (98, "nonsense", PAGE, "z"), (97, "http://b.com/", "<p>a page that stands alone on its host and stays</p>", "z"), (97, "http://b.com/", "<p>a page that stands alone on its host and stays</p>", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    got = {r["page_id"]: r["text"] for r in html.extract(pages, group_pages=4).collect()}
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
     assert got[3] == "unique text number 3 is here and 21 more words follow 6" and got[99] == "" and got[98].startswith("Head & line") and got[97] == "a page that stands alone on its host and stays"
     assert html.extract(pages.where("false")).count() == 0
 
@@ -441,12 +441,56 @@ def test_op1_articles_are_judged(spark):
     rows += [(50, "http://a.com/x", "<div>Home News Sport Culture Travel and more here</div><p>one open page with a text of its own</p>")]
     rows += [(60 + i, f"http://copies.com/{i}", "<article><p>the same article stands on all pages of this host</p></article>") for i in range(4)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for group in (3, 2000):
-        got = {r["page_id"]: (r["text"], r["n_removed_tokens"]) for r in html.extract(pages, group_pages=group).collect()}
+    for group in (html.GROUP_BYTES, 9_000):  # one group, and two for the host a.com
+        got = {r["page_id"]: (r["text"], r["n_removed_tokens"]) for r in html.extract(pages, group_bytes=group).collect()}
         assert [got[i] for i in range(9)] == [(f"Headline of the story number {i} today Unique text {i} cites please support our work with a small gift again {7 * i}", 8) for i in range(9)]
         assert got[50] == ("one open page with a text of its own", 8) and got[60] == ("the same article stands on all pages of this host", 0)
 
 
+def test_op1_without_markup(spark):
+    """Pages whose markup says nothing: the article is what the host's pages don't share."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    menu, foot, advert = [text(2) for _ in range(8)], text(14), text(9)
+    bodies = {i: [text(rnd.randint(3, 60)) for _ in range(rnd.randint(1, 6))] for i in range(40)}
+    html_of = lambda i: "".join(f"<div>{x}</div>" for x in [*menu, *bodies[i][:2], advert, *bodies[i][2:], foot])
+    pages = spark.createDataFrame([(2**53 + 2 * i + 1, "http://plain.org/x", html_of(i)) for i in bodies] + [(None, "http://plain.org/x", html_of(0))], "page_id long, url string, html string")
+    got = [(r["page_id"], r["text"]) for r in html.extract(pages).collect()]
+    want = [(2**53 + 2 * i + 1, " ".join(b)) for i, b in bodies.items()] + [(None, " ".join(bodies[0]))]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_op1_near_copies_stay_whole(spark):
+    """Versions of one article on many pages of a host are no boilerplate to each other."""
+    body = [f"paragraph {i} of a long article that many pages of the host have in versions" for i in range(8)]
+    pages = spark.createDataFrame([(i, "http://c.com/", "<article>" + "".join(f"<p>{x}" for x in [*body, f"version {i}"]) + "</article>") for i in range(9)], "page_id long, url string, html string")
+    assert {r["text"] for r in html.extract(pages).collect()} == {" ".join([*body, f"version {i}"]) for i in range(9)}
+
+
+def test_op1_suffix_array():
+    """Places against brute force."""
+    import numpy as np
+
+    rnd = random.Random(8)
+    for _ in range(60):
+        streams = [np.array([rnd.randrange(3) for _ in range(rnd.randrange(1, 40))]) for _ in range(rnd.randrange(1, 7))]
+        run, least = rnd.choice([2, 3, 5, 6]), rnd.choice([2, 3])
+        have = collections.defaultdict(set)
+        for i, s in enumerate(streams):
+            for k in range(len(s) - run + 1):
+                have[tuple(s[k : k + run])].add(i)
+        want = [[k for k in range(len(s) - run + 1) if len(have[tuple(s[k : k + run])]) >= least] for s in streams]
+        assert [x.tolist() for x in html.repeated_places(streams, run, least)] == want
+
+
+def test_op1_odd_pages():
+    """Deep, unbalanced and very long pages take time in proportion to their size."""
+    deep = "<div>" * 30_000 + "core" + "</p></span>" * 30_000
+    assert [t for _, t in html.all_blocks(deep)] == ["core"]
+    assert " ".join(t for _, t in html.all_blocks("<p>word " * 50_000)).count("word") == 50_000
+
+
 def test_op10_sketches():
     """Sketches never claim more differences than there are, and fold to those of smaller length."""
     import numpy as np
