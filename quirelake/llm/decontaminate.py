@@ -26,12 +26,18 @@ def n_words(text: str):
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), apart), "")).cast("long")
 
 
+def text_key(text="text"):
+    """128 bits that stand for a text. What a document holds depends on its text alone, so equal texts are one in the index
+    and no id, null or repeated, matters."""
+    return F.unhex(F.md5(text))
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional inverted index of docs for some terms: term, doc_id, text_key, positions. text_key tells rows apart
-    that repeat a doc_id with another text. The terms are broadcast if they are few enough, else joined by a shuffle."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    """The positional inverted index of docs for some terms: term, text_key, positions. The terms are broadcast if they are
+    few enough, else joined by a shuffle."""
+    rows = docs.select(text_key().alias("text_key"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
     rows = rows.join(common.small_or_not(terms, ROW_BYTES), "term", "left_semi")
-    return rows.groupBy("term", "doc_id", "text_key").agg(F.collect_set("pos").alias("positions"))
+    return rows.groupBy("term", "text_key").agg(F.collect_set("pos").alias("positions"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -59,17 +65,17 @@ def rarest_terms(items: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def alignments(index: DataFrame, pivots: DataFrame) -> DataFrame:
-    """doc_id, text_key, item_key, shift: where the offset-adjusted lists of an item's rarest terms intersect, so that
+    """text_key, item_key, shift: where the offset-adjusted lists of an item's rarest terms intersect, so that
     item word i may be document word shift + i. As many rare places must agree as a window has; all of an item's windows
     have equally many."""
     pairs = index.join(common.small_or_not(pivots, ROW_BYTES), "term")
-    pairs = pairs.select("doc_id", "text_key", "item_key", "need", "item_pos", F.explode("positions").alias("pos"))
-    met = pairs.groupBy("doc_id", "text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"), "need").agg(F.count("*").alias("met"))
-    return met.where("met >= need").select("doc_id", "text_key", "item_key", "shift")
+    pairs = pairs.select("text_key", "item_key", "need", "item_pos", F.explode("positions").alias("pos"))
+    met = pairs.groupBy("text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift"), "need").agg(F.count("*").alias("met"))
+    return met.where("met >= need").select("text_key", "item_key", "shift")
 
 
 def phrase_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, item_key, shift: candidate alignments of items in docs, each with the item's id, words and len."""
+    """text_key, item_key, shift: candidate alignments of items in docs, each with the item's id, words and len."""
     items = common.materialize(items_of(bench, window), "bench-items")
     vocabulary = common.materialize(items.select(F.explode("item_words").alias("term")).distinct(), "bench-terms")
     counts = common.materialize(term_counts(docs, vocabulary), "bench-counts")
@@ -80,52 +86,56 @@ def phrase_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> D
 
 
 def proximity_matches(index: DataFrame, query: list[str], slop: int) -> DataFrame:
-    """doc_id, text_key, pos: places of the query's first term, rarest first by the caller's choice, around which every
+    """text_key, pos: places of the query's first term, rarest first by the caller's choice, around which every
     other term occurs no more than slop words away. index: from postings(). Lists are intersected document by document,
     starting with the first term's; a repeated term counts once."""
     terms = list(dict.fromkeys(query))
-    lists = index.where(F.col("term").isin(terms)).groupBy("doc_id", "text_key").agg(*(F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"p{i}") for i, t in enumerate(terms)))
+    lists = index.where(F.col("term").isin(terms)).groupBy("text_key").agg(*(F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"p{i}") for i, t in enumerate(terms)))
     near = "p0"
     for i in range(1, len(terms)):
         near = f"filter({near}, p -> exists(p{i}, q -> abs(p - q) <= {int(slop)}))"
-    return lists.select("doc_id", "text_key", F.explode(F.expr(f"array_sort({near})")).alias("pos"))
+    return lists.select("text_key", F.explode(F.expr(f"array_sort({near})")).alias("pos"))
 
 
 def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, hit_words (sorted positions), item_list (sorted strings) of the documents with an occurrence.
+    """text_key, hit_words (sorted positions), item_list (sorted strings) of the texts with an occurrence.
 
-    The texts of documents with a candidate alignment are fetched by their ids, which are broadcast only if counted to
-    be few, and the alignments are checked word by word there."""
+    The texts with a candidate alignment are fetched by their keys, which are broadcast only if counted to be few, and the
+    alignments are checked word by word there. A text's row holds its words and its alignments; of these there are no more
+    than its words for each item that has a rarest term of its."""
     found = common.materialize(phrase_matches(docs, bench, window), "bench-alignments")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    ids = common.small_or_not(common.materialize(found.select("doc_id", "text_key").distinct(), "bench-ids"), 32)
-    texts = keyed.join(ids, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", words(F.col("text")).alias("words"))
-    spots = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "shift", "item_words", "len")).alias("spots"))
+    keys = common.small_or_not(common.materialize(found.select("text_key").distinct(), "bench-ids"), 32)
+    texts = docs.select(text_key().alias("text_key"), "text").join(keys, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", words(F.col("text")).alias("words"))
+    spots = found.groupBy("text_key", "item_id", "item_words", "len").agg(F.collect_list("shift").alias("shifts"))
+    spots = spots.groupBy("text_key").agg(F.collect_list(F.struct("item_id", "shifts", "item_words", "len")).alias("spots"))
     # a table, so that the words are cut once and not for each comparison
-    both = common.materialize(texts.join(spots, ["doc_id", "text_key"]), "bench-words")
-    runs = """filter(transform(spots, c -> struct(c.item_id, c.shift, c.len,
-      filter(sequence(0, size(c.item_words) - c.len), s -> forall(sequence(s, s + c.len - 1), i -> coalesce(get(words, c.shift + i) = c.item_words[i], false))) as starts)), c -> size(c.starts) > 0)"""
-    both = common.materialize(both.select("doc_id", "text_key", F.expr(runs).alias("runs")).where("size(runs) > 0"), "bench-runs")
+    both = common.materialize(texts.join(spots, "text_key"), "bench-words")
+    runs = """filter(flatten(transform(spots, c -> transform(c.shifts, h -> struct(c.item_id, h as shift, c.len,
+      filter(sequence(0, size(c.item_words) - c.len), s -> forall(sequence(s, s + c.len - 1), i -> coalesce(get(words, h + i) = c.item_words[i], false))) as starts)))), c -> size(c.starts) > 0)"""
+    both = common.materialize(both.select("text_key", F.expr(runs).alias("runs")).where("size(runs) > 0"), "bench-runs")
     places = "array_sort(array_distinct(flatten(transform(runs, c -> flatten(transform(c.starts, s -> sequence(c.shift + s, c.shift + s + c.len - 1)))))))"
-    return both.select("doc_id", "text_key", F.expr(places).alias("hit_words"), F.expr("array_sort(array_distinct(transform(runs, c -> cast(c.item_id as string))))").alias("item_list"))
+    return both.select("text_key", F.expr(places).alias("hit_words"), F.expr("array_sort(array_distinct(transform(runs, c -> coalesce(cast(c.item_id as string), ''))))").alias("item_list"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those that have an occurrence of a window of the benchmark, all columns kept.
 
     A window is that many consecutive words of an item; an item of fewer is one window. Null and empty texts have no
-    words; items without words never match; repeated items and rows are treated alike; an empty benchmark takes nothing.
-    A document with a null doc_id takes no part in the index and stays."""
-    gone = hits(docs, bench, window).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    words; items without words never match; repeated items and rows are treated alike, and so are null ids; a null item_id
+    is listed as an empty string; of terms that are equally rare the first in the item is taken; very long texts are cut
+    into words whole; an empty benchmark takes nothing, an empty table gives none."""
+    gone = hits(docs, bench, window).select(F.col("text_key").alias("__key"))
     gone = common.small_or_not(common.materialize(gone, "bench-hits"), 32)
-    return docs.join(gone, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+    return docs.join(gone, text_key(docs["text"]) == F.col("__key"), "left_anti")
 
 
 def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_list, hit_words, contaminated of every document; see decontaminate(). Only
     keys and counts are joined, no texts."""
-    counted = docs.select("doc_id", F.xxhash64("text").alias("text_key"), n_words("text").alias("n_words"))
-    out = counted.join(hits(docs, bench, window), ["doc_id", "text_key"], "left")
+    found = hits(docs, bench, window).select(F.col("text_key").alias("__key"), "hit_words", "item_list")
+    found = common.materialize(found, "bench-hits")
+    counted = docs.select("doc_id", text_key().alias("text_key"), n_words("text").alias("n_words"))
+    out = counted.join(common.small_or_not(found, 64 * ROW_BYTES), F.col("text_key") == F.col("__key"), "left")
     out = out.withColumn("hit_words", F.coalesce("hit_words", F.array().cast("array<int>"))).withColumn("item_list", F.coalesce("item_list", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("item_list").cast("long").alias("n_items"), "item_list", "hit_words", (F.size("hit_words") > 0).alias("contaminated"))
 
