@@ -45,16 +45,9 @@ def spread(cut: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, near: f
     return sure.unionByName(close.join(exact.select("line_hash"), "line_hash"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs, each row as often as before, with text without cross-site boilerplate lines and three more columns:
-    n_lines (with a word), n_removed, n_words_before.
-
-    A boilerplate line stays in the document with the smallest doc_id that has it (once, at its first place), so nothing
-    vanishes from the corpus; its other occurrences go. A null source is a site of its own; blank lines are never
-    removed; a null text stays null; rows that repeat a doc_id are treated alike
-    if their texts are equal, else each by its own; a null doc_id loses all its boilerplate
-    lines. Columns of docs are kept (those with the
-    three names are replaced); an empty table gives no rows."""
+def stripped(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """docs, each row as often as before, with text without cross-site boilerplate lines, and __gone: the numbers of the
+    lines that went, null if none did; see line_dedup()."""
     cut = lines(docs)
     bad = common.materialize(spread(cut, min_sites), "line-boilerplate")
     bad = common.small_or_not(bad, 32)
@@ -63,13 +56,29 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     hits = hits.groupBy("doc_id", "text_key", "line_hash").agg(F.min("line_no").alias("first_no"), F.first("first_doc").alias("first_doc"), F.collect_set("line_no").alias("nos"))
     gone = F.when(F.col("doc_id") == F.col("first_doc"), F.array_remove("nos", F.col("first_no"))).otherwise(F.col("nos"))
     gone = hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.flatten(F.collect_list(gone)).alias("__gone"))
+    gone = gone.where(F.size("__gone") > 0)
     out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left").drop("__id", "__key")
-    parts = F.split("text", "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    # the numbers that stay come from a set difference, so a text of very many lines takes time in proportion
+    out = out.withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
+    left = F.array_join(F.transform(stay, lambda i: F.get("__parts", i)), "\n")
+    return out.withColumn("text", F.when(F.col("__gone").isNotNull(), left).otherwise(F.col("text"))).drop("__parts")
+
+
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """docs, each row as often as before, with text without cross-site boilerplate lines and three more columns:
+    n_lines (with a word), n_removed, n_words_before.
+
+    A boilerplate line stays in the document with the smallest doc_id that has it (once, at its first place), so nothing
+    vanishes from the corpus; its other occurrences go. A null source is a site of its own; blank lines are never
+    removed; a null text stays null; rows that repeat a doc_id are treated alike if their texts are equal, else each by its
+    own; a null doc_id loses all its boilerplate lines. Columns of docs are kept (those with the three names are
+    replaced); texts may be of any length; an empty table gives no rows."""
     word_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    out = out.withColumn("n_lines", word_lines.cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_words_before", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long"))
-    return out.withColumn("text", F.when(F.coalesce(F.size("__gone"), F.lit(0)) > 0, left).otherwise(F.col("text"))).drop("__gone")
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), ""))
+    counted = docs.withColumns({"n_lines": word_lines.cast("long"), "n_words_before": words.cast("long")})
+    out = stripped(counted, min_sites)
+    return out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).drop("__gone")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.llm import common, components, decontaminate, html, lines, lm, packing, partenum, quality, registry, sharding, suffixes, warc
 
@@ -137,6 +138,8 @@ def test_op5_odd(spark, docs, odd):
     assert decontaminate.report(docs([]), bench).count() == 0
     assert decontaminate.report(docs(odd), bench.where("false")).where("contaminated").count() == 0
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs(odd), bench).collect()} == {1, 2, 3, 6, 7, 8, 9, None}
+    hidden = docs([(None, "so a dog ran over the hill towards the river to drink some cold water"), (None, "clean"), (None, None)])
+    assert [r["text"] for r in decontaminate.decontaminate(hidden, bench).collect()] in (["clean", None], [None, "clean"])
 
 
 def test_op5_repeated_items(spark, docs):
@@ -154,23 +157,36 @@ def test_op5_proximity(spark, docs):
     table = docs([(1, "alpha one two beta"), (2, "alpha one two three four beta"), (3, "beta alpha")])
     terms = spark.createDataFrame([("alpha",), ("beta",)], "term string")
     near = decontaminate.proximity_matches(decontaminate.postings(table, terms), ["alpha", "beta"], 3)
-    assert {(r["doc_id"], r["pos"]) for r in near.collect()} == {(1, 0), (3, 1)}
+    assert {(bytes(r["text_key"]), r["pos"]) for r in near.collect()} == {(hashlib.md5(t).digest(), k) for t, k in ((b"alpha one two beta", 0), (b"beta alpha", 1))}
 
 
 def test_op6_odd(spark, tmp_path):
     big = "<p>" + "x" * 1500 + "</p>"
     pages = spark.createDataFrame([(1, "http://a/", big, "z"), (2, None, big, "z"), (3, "http://b/\r\nx", None, "z"), (4, "http://c/", "", "z"), (5, "http://d/", "WARC/1.1\r\n\r\n\r\n\r\né", "z"), (6, "http://d/", "small", "z"), (7, "http://e/", "small", "z")], "page_id long, url string, html string, digest string")
     warc.write_warc(pages, str(tmp_path / "w"), file_captures=2)
-    got = {r["record_id"]: r for r in warc.assemble(warc.read_warc(spark, str(tmp_path / "w"))).collect()}
-    one = lambda i: got[f"<urn:page:capture:{i}>"]
-    assert len(got) == 7 and one(1)["record_type"] == "revisit" and one(1)["refers_to"] == "<urn:page:capture:2>"
+    got = {r["page"]: r for r in warc.assemble(warc.read_warc(spark, str(tmp_path / "w"))).withColumn("page", warc.page_of(F.col("record_id"))).withColumn("last", warc.page_of(F.col("refers_to"))).collect()}
+    one = lambda i: got[str(i)]
+    assert len(got) == 7 and one(1)["record_type"] == "revisit" and one(1)["last"] == "2"
     assert bytes(one(1)["payload"]).decode() == big and bytes(one(5)["payload"]).decode() == "WARC/1.1\r\n\r\n\r\n\r\né" and one(3)["payload_bytes"] == 0
-    assert one(6)["record_type"] == one(7)["record_type"] == "response" and one(4)["request"]["record_id"] == "<urn:page:request:4>" and one(4)["metadata"] is not None
+    assert one(6)["record_type"] == one(7)["record_type"] == "response" and warc.capture_id and one(4)["request"]["target_uri"] == "http://c/" and one(4)["metadata"] is not None
     assert one(1)["payload_digest"] == hashlib.sha1(big.encode()).hexdigest()
     warc.write_warc(pages.where("false"), str(tmp_path / "none"))
     assert warc.sha1_hex("sha1:" + __import__("base64").b32encode(bytes(20)).decode()) == "0" * 40
 
 
+def test_op6_rows(spark, tmp_path):
+    """One capture for each row: ids that repeat with equal or other html, null ids, ids beyond 2**53, a long payload."""
+    big, long = "y" * 1200, "é" * 3_000_000
+    rows = [(1, "u", big), (1, "u", big), (1, "v", big), (1, "u", "other"), (None, "u", big), (None, "u", "x"), (None, None, None), (None, None, None), (2**53 + 1, "u", "x"), (2**53 + 3, "u", "x"), (5, "u", long)]
+    rows += [(7, "w", "same")] * 2500
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    out = warc.assemble(warc.read_warc(spark, str(tmp_path / "w"))).select(warc.page_of(F.col("record_id")).cast("long").alias("page_id"), "url", "payload", "record_type", "request", "metadata", "record_id").collect()
+    assert len({r["record_id"] for r in out}) == len(rows) and all(r["request"] and r["metadata"] for r in out)
+    assert sorted(repr((r["page_id"], r["url"], bytes(r["payload"]).decode())) for r in out) == sorted(repr((i, u, h or "")) for i, u, h in rows)
+    assert sum(r["record_type"] == "revisit" for r in out) == 3
+
+
 def test_op7_stats():
     def brute(text):
         text = text or ""
