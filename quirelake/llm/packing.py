@@ -1,4 +1,7 @@
-"""Variable-capacity best-fit packing of documents into training sequences."""
+"""Variable-capacity best-fit packing of documents into training sequences.
+
+Documents are cut into pieces of at most the largest permitted length; pieces are dealt into groups of bounded size, and
+each group is packed and written out as sequences by one task."""
 
 from __future__ import annotations
 
@@ -16,21 +19,23 @@ from quirelake.llm import common
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 #: A sequence costs its length plus this many words of fixed cost.
 OVERHEAD = 32
-#: Pieces that one packing task gets, about.
-GROUP_PIECES = 20_000
+#: Bytes of text that one packing task gets, about.
+GROUP_BYTES = 12 * 1024 * 1024
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def pieces(docs: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
-    """Cut each document into pieces of at most the largest capacity: doc_id, piece, start, length (in words).
+    """Cut each document into pieces of at most the largest capacity: row, doc_id, piece, start, length (in words), text
+    (the piece's words, one space between them). row tells rows of docs apart.
 
-    A null, empty or blank text has no piece. The cut is by word count only, so no text is moved."""
+    A null, empty or blank text has no piece."""
     most = max(capacities)
-    n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")).cast("long")
-    cut = docs.select("doc_id", n.alias("n")).where("n > 0")
-    cut = cut.select("doc_id", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {most})")).alias("piece"))
-    return cut.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece") * most).alias("length"))
+    cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "").alias("words"))
+    cut = cut.where(F.size("words") > 0).select("row", "doc_id", "words", F.explode(F.expr(f"sequence(0, (size(words) - 1) div {most})")).alias("piece"))
+    part = F.slice("words", F.col("piece") * most + 1, F.lit(most))
+    cut = cut.select("row", "doc_id", F.col("piece").cast("long").alias("piece"), (F.col("piece") * most).cast("long").alias("start"), part.alias("words"))
+    return cut.select("row", "doc_id", "piece", "start", F.size("words").cast("long").alias("length"), F.array_join("words", " ").alias("text"))
 
 
 def opening(length: int, capacities: Sequence[int], overhead: int, small: np.ndarray) -> int:
@@ -79,27 +84,37 @@ def best_fit(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES, overhe
     return bins, offsets, final
 
 
-def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, bin_id, bin_offset, bin_capacity, bin_used, bin_pieces.
+def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """One row per sequence: bin_id, capacity (words), used, padding (capacity - used), text (its words, one space between
+    them), and, in the order of the text, for each piece its doc_id, piece number, start in the document, offset in the
+    sequence and length: doc_ids, pieces, starts, offsets, lengths. A document's pieces, joined in order, are its words.
 
-    Pieces are dealt by a hash of (doc_id, piece) into as many groups as keep each at about group_pieces; each group
-    is packed by itself, so no task gets an unbounded group and no key is hot. Repeated doc_ids are packed as often as
-    they occur; null, empty and blank texts give no row; an empty table gives no rows. Extra columns are ignored."""
-    cut = pieces(docs, capacities)
-    groups = max(1, -(-cut.count() // group_pieces))
-    cut = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    Pieces are dealt by a hash of row and piece number into as many groups as keep each at about group_bytes, so no key,
+    null or repeated id is hot and no task gets an unbounded group; each group is packed by itself. Of equally long pieces
+    the one with the smaller doc_id (as text), then piece number, then row comes first. Repeated rows are packed as often
+    as they occur; a very long text is cut into many pieces; null, empty and blank texts give none; an empty table gives no
+    rows. Extra columns are ignored."""
+    groups = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // group_bytes))
+    cut = pieces(docs, capacities).withColumn("doc_id", F.col("doc_id").cast("string"))
+    cut = cut.withColumn("pack_group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
     caps = tuple(capacities)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        common.lean()
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         bins, offsets, final = best_fit(pdf["length"].to_numpy(np.int64), caps, overhead)
+        by = np.lexsort((offsets, bins))
+        cuts = np.searchsorted(bins[by], np.arange(len(final) + 1))
+        columns = {"doc_ids": pdf["doc_id"], "pieces": pdf["piece"], "starts": pdf["start"], "offsets": offsets, "lengths": pdf["length"], "text": pdf["text"]}
+        columns = {k: np.asarray(v)[by] for k, v in columns.items()}
+        out = {k: [v[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] for k, v in columns.items()}
         used = np.bincount(bins, weights=pdf["length"], minlength=len(final)).astype(np.int64)
-        count = np.bincount(bins, minlength=len(final))
         group = int(pdf["pack_group"].iloc[0])
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "bin_id": (group << 32) + bins, "bin_offset": offsets, "bin_capacity": final[bins], "bin_used": used[bins], "bin_pieces": count[bins]})
+        return pd.DataFrame({"bin_id": (group << 32) + np.arange(len(final)), "capacity": final, "used": used, "padding": final - used} | out | {"text": [" ".join(t) for t in out["text"]]})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return cut.groupBy("pack_group").applyInPandas(run, f"doc_id {kind}, piece long, start long, length long, bin_id long, bin_offset long, bin_capacity long, bin_used long, bin_pieces long")
+    out = cut.groupBy("pack_group").applyInPandas(run, "bin_id long, capacity long, used long, padding long, doc_ids array<string>, pieces array<long>, starts array<long>, offsets array<long>, lengths array<long>, text string")
+    return out.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{kind}>"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
