@@ -110,25 +110,63 @@ def test_op3_automaton():
     assert model.traverse(word[:1]) < 0 and model.traverse(word) < model.traverse(word[:2]) < model.traverse(word[:1])
 
 
+def check_sequences(out, texts, capacities):
+    """Each word of each text is in the sequences once, in order; sequences are as small as they can be."""
+    found = collections.defaultdict(list)
+    for r in out:
+        words, ends = r["text"].split(" "), 0
+        for i, piece, start, offset, n in zip(r["doc_ids"], r["pieces"], r["starts"], r["offsets"], r["lengths"]):
+            assert offset == ends and n <= max(capacities)
+            ends += n
+            found[i].append((piece, start, words[offset:ends]))
+        assert ends == len(words) == r["used"] and r["padding"] == r["capacity"] - ends >= 0 and not any(ends <= c < r["capacity"] for c in capacities)
+    got = collections.Counter()
+    for i, own in found.items():
+        assert all(start == piece * max(capacities) for piece, start, _ in own)
+        got.update((i, tuple(w)) for _, _, w in own)
+    most = max(capacities)
+    want = collections.Counter((i, tuple(w[k : k + most])) for i, w in ((i, WORD.findall(t or "")) for i, t in texts) for k in range(0, len(w), most))
+    assert got == want
+
+
 def test_op4(spark, docs, odd):
     out = packing.pack(docs(odd)).collect()
-    assert {r["doc_id"] for r in out} == {4, 5, 6, 7, 9, None}
-    assert sum(r["length"] for r in out if r["doc_id"] == 6) == 60_000
+    check_sequences(out, [(r[0], r[1]) for r in odd], packing.CAPACITIES)
     assert packing.pack(docs([])).count() == 0
-    table = docs([(i, "w " * n) for i, n in enumerate(random.Random(4).choices(range(1, 6000), k=300))])
-    bins = collections.defaultdict(list)
-    for r in packing.pack(table, group_pieces=100).collect():
-        bins[r["bin_id"]].append(r)
-    for own in bins.values():
-        own.sort(key=lambda r: r["bin_offset"])
-        ends = 0
-        for r in own:
-            assert r["bin_offset"] == ends
-            ends += r["length"]
-        cap = own[0]["bin_capacity"]
-        assert ends == own[0]["bin_used"] <= cap and not any(ends <= c < cap for c in packing.CAPACITIES)
-    used = sum(r["length"] for b in bins.values() for r in b)
-    assert used > 0.85 * sum(b[0]["bin_capacity"] for b in bins.values())
+    texts = [(i, " ".join(f"w{k}" for k in range(n))) for i, n in enumerate(random.Random(4).choices(range(1, 6000), k=300))]
+    texts += [(None, "no id"), (None, "no id"), (None, "nor this"), (2**53 + 1, "big"), (2**53 + 1, "big")]
+    for group in (packing.GROUP_BYTES, 400_000):
+        out = packing.pack(docs(texts), group_bytes=group).collect()
+        check_sequences(out, texts, packing.CAPACITIES)
+        assert len({r["bin_id"] for r in out}) == len(out) and sum(r["used"] for r in out) > 0.85 * sum(r["capacity"] for r in out)
+    named = docs(texts).selectExpr("string(doc_id) || 'x' doc_id", "text")
+    assert {i for r in packing.pack(named).collect() for i in r["doc_ids"]} == {None if i is None else f"{i}x" for i, _ in texts}
+
+
+def test_op4_best_fit():
+    """Against a search through all bins: the tightest open bin that holds a piece gets it, else one of least cost."""
+    import numpy as np
+
+    rnd, caps = random.Random(6), (16, 32, 64)
+    for _ in range(20):
+        lengths = sorted(rnd.choices(range(1, 65), k=200), reverse=True)
+        bins, offsets, final = packing.best_fit(np.array(lengths), caps, 4)
+        room, used = {}, collections.Counter()
+        left = np.bincount(lengths, weights=lengths, minlength=65)
+        small = None
+        for n, b, at in zip(lengths, bins.tolist(), offsets.tolist()):
+            left[n] -= n
+            fits = [r for r in room.values() if r >= n]
+            if fits:
+                assert room[b] == min(fits)
+            else:
+                small = np.cumsum(left) / max(1.0, left.sum()) if small is None else small
+                cost = {c: (c + 4 - (c - n) * small[min(c - n, 64)]) / n for c in caps if c >= n}
+                room[b] = min(cost, key=cost.get)
+            assert at == used[b]
+            room[b] -= n
+            used[b] += n
+        assert final.tolist() == [next(c for c in caps if c >= used[b]) for b in range(len(final))]
 
 
 def test_op5_odd(spark, docs, odd):
@@ -222,9 +260,81 @@ def test_op7_model():
     assert ends.tolist() == [11, 25, 25] and len(g) == 25
     keys, n = np.unique(g, return_counts=True)
     model = quality.KneserNey(keys, n)
-    for context in ("ab", "an", "zz", "  "):
-        c = ord(context[0]) * 256 + ord(context[1])
-        assert (10 ** model.logp(c * 256 + np.arange(256))).sum() == pytest.approx(1, abs=1e-4)
+    letters = np.array(sorted({ord(x) for x in "abracadabra banana bandana"}))
+    for context in ("ab", "an", "zz", "  ", "漢字"):
+        c = ord(context[0]) << quality.CHAR_BITS | ord(context[1])
+        every = (10 ** model.logp(c << quality.CHAR_BITS | letters)).sum() + 10 ** model.logp(np.array([c << quality.CHAR_BITS | 0x4E00]))[0]
+        assert every == pytest.approx(1, abs=1e-4)
+
+
+def brute_perplexities(texts, order=3):
+    """log10 probabilities of all characters by modified Kneser-Ney, from dictionaries."""
+    pad = " " * (order - 1)
+    top = collections.Counter((pad + t)[k : k + order] for t in texts for k in range(len(t)))
+    levels = {order: top}
+    for n in range(order - 1, 0, -1):
+        levels[n] = collections.Counter(g[1:] for g in levels[n + 1])
+    off = {}
+    for n, level in levels.items():
+        few = [sum(c == k for c in level.values()) for k in (1, 2, 3, 4)]
+        y = few[0] / (few[0] + 2 * few[1]) if few[0] and few[1] else 0.5
+        off[n] = [0.0] + [min(max(k - (k + 1) * y * few[k] / few[k - 1], 0.05), k - 0.05) if few[k - 1] and few[k] else 0.5 for k in (1, 2, 3)]
+    totals, lost = {}, {}
+    for n, level in levels.items():
+        for g, c in level.items():
+            totals[n, g[:-1]] = totals.get((n, g[:-1]), 0) + c
+            lost[n, g[:-1]] = lost.get((n, g[:-1]), 0) + off[n][min(c, 3)]
+
+    def p(g):
+        n = len(g)
+        low = p(g[1:]) if n > 1 else 1 / (len(levels[1]) + 1)
+        if (n, g[:-1]) not in totals:
+            return low
+        total, c = totals[n, g[:-1]], levels[n].get(g, 0)
+        return (c - off[n][min(c, 3)]) / total + lost[n, g[:-1]] / total * low
+
+    return [[math.log10(p((pad + t)[k : k + order])) for k in range(len(t))] for t in texts]
+
+
+def test_op7_brute(spark, docs):
+    """Perplexities, bands and verdicts against dictionaries and plain quantiles."""
+    import numpy as np
+
+    rnd = random.Random(17)
+    rows = []
+    for lang, letters in (("aa", "abcdefgh  "), ("zh", "漢字仮名交文章語 "), (None, "éèàçü xyz ")):
+        word = lambda n: "".join(rnd.choice(letters) for _ in range(n))  # noqa: E731, B023
+        rows += [(len(rows) + i, word(rnd.choice([90, 300, 1200, 2500])), lang, "s") for i in range(40)]
+        rows += [(len(rows) + i, "".join(chr(rnd.randrange(33, 126)) + " " * (i % 3 == 0) for i in range(400)), lang, "s") for i in range(2)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs(rows)).collect()}
+    for lang in ("aa", "zh", None):
+        own = [r for r in rows if r[2] == lang]
+        value = {}
+        for r, logs in zip(own, brute_perplexities([t for _, t, *_ in own])):
+            cuts = np.linspace(0, len(logs), max(1, len(logs) // quality.BLOCK) + 1).astype(int)
+            value[r[0]] = np.median([-sum(logs[a:b]) / (b - a) for a, b in zip(cuts, cuts[1:])])
+            assert got[r[0]]["log_perplexity"] == pytest.approx(value[r[0]], abs=1e-4)
+        sound = [r for r in own if not got[r[0]]["base_failed"]]
+        bins = lambda x, w: (math.floor(x / w) + 0.5) * w
+        at = lambda v, q, w: bins(sorted(v)[max(0, math.ceil(q * len(v)) - 1)], w)
+        mine = {r[0]: got[r[0]]["log_perplexity"] for r in own}
+        long = [mine[r[0]] for r in sound if len(r[1]) >= 1000]
+        every = [mine[r[0]] for r in sound]
+        short = [abs(mine[r[0]] - at(every, 0.5, quality.BIN)) * math.sqrt(len(r[1])) for r in sound if len(r[1]) < 1000]
+        spread = max((at(long, 0.75, quality.BIN) - at(long, 0.25, quality.BIN)) / 1.349, 2 * quality.BIN)
+        noise = max(at(short, 0.5, 25 * quality.BIN) / 0.6745, 0.5)
+        for r in own:
+            width = quality.BAND_SIGMAS * math.sqrt(spread**2 + noise**2 / max(1, len(r[1])))
+            inside = abs(mine[r[0]] - at(long, 0.5, quality.BIN)) <= width
+            assert got[r[0]]["kept"] == (inside and not got[r[0]]["base_failed"])
+    assert 0 < sum(not r["kept"] and not r["base_failed"] for r in got.values())
+
+
+def test_op7_models_that_do_not_fit(spark, docs):
+    """A model larger than its bound loses its rarest n-grams, not texts."""
+    table = docs([(i, f"some words of text number {i} in a language of its own here", "l", "s") for i in range(30)])
+    got = quality.scored(table, model_bytes=40 * quality.ENTRY_BYTES).collect()
+    assert len(got) == 30 and all(r["log_perplexity"] > 0 for r in got)
 
 
 def test_op7_rejects_noise_keeps_clean(spark, docs):
@@ -241,7 +351,7 @@ def test_op7_passes(spark, docs):
     """Models that don't fit one pass are taken in several, with the same results."""
     table = docs([(i, f"some words of text number {i} in a language of its own here", f"l{i % 3}", "s") for i in range(30)])
     key = lambda df: sorted((r["doc_id"], round(r["log_perplexity"], 9)) for r in df.collect())
-    assert key(quality.scored(table)) == key(quality.scored(table, model_bytes=1))
+    assert key(quality.scored(table)) == key(quality.scored(table, model_bytes=150 * quality.ENTRY_BYTES))
 
 
 def test_op8(spark, docs, odd, tmp_path):
