@@ -1,8 +1,7 @@
 """From raw documents to packed training sequences, one operator of quirelake.llm for each stage.
 
 Each stage works on all documents that the one before has kept and is written as Parquet in the shared folder, so a lost
-executor repeats at most the tasks of one stage. doc_id identifies a document; in the
-quality rules rows that repeat one share its fate, in the stages after them each goes by its own text."""
+executor repeats at most the tasks of one stage. Each row goes by its own text; a doc_id may be null or repeated."""
 
 from __future__ import annotations
 
@@ -13,19 +12,26 @@ from quirelake.llm import common, decontaminate, lines, packing, partenum, quali
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the fixed rules and whose perplexity lies in their language's band."""
+    """Documents that pass the fixed rules and whose perplexity lies in their language's band.
+
+    The verdict depends on language and text alone, so each row has its own, whatever its doc_id: null, repeated or not.
+    Null and empty texts fail the fixed rules. An empty table stays empty; all columns are passed through."""
     common.tune(spark)
-    verdict = quality.quality_rules(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("kept"))
-    rejected = common.materialize(verdict.where("not kept").select("__id"), "rejected")
-    return docs.join(common.small_or_not(rejected, 32), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    verdict = quality.quality_rules(docs).where("not kept").select(F.col("lang").alias("__lang"), F.col("text_key").alias("__key"))
+    rejected = common.materialize(verdict.distinct(), "rejected")
+    same = docs["lang"].eqNullSafe(F.col("__lang")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    return docs.join(common.small_or_not(rejected, 32), same, "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; those go that have no word left without them."""
-    out = lines.line_dedup(docs).withColumn("__left", count_words(F.col("text")))
-    out = out.where((F.col("n_removed") == 0) | (F.col("__left") > 0))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    """Documents without cross-site boilerplate lines; those go that have no word left without them.
+
+    A text that loses nothing stays, also a null or empty one; rows that repeat a doc_id go by their own texts. All columns
+    are passed through; n_chars, if there and a number, is that of the new text. An empty table stays empty."""
+    out = lines.stripped(docs)
+    out = out.where(F.col("__gone").isNull() | (count_words(F.col("text")) > 0))
+    if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
+        out = out.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -36,7 +42,9 @@ def count_words(text):
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies (5-word shingles, similarity 0.8 or more).
 
-    Each row is judged by its own text: rows that repeat a doc_id stay if their texts are no near copies of each other."""
+    Each row is judged by its own text: rows that repeat a doc_id stay if their texts are no near copies of each other. A
+    text without words is no copy of anything and stays, and so does a text that only rows without a doc_id have. All
+    columns are passed through; an empty table stays empty."""
     common.tune(spark)
     rows = common.materialize(partenum.linked_rows(docs, words=5, num=80, den=100), "near-groups")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -56,12 +64,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any 10-word window of a benchmark item (the whole item if it is shorter)."""
+    """Documents without any 10-word window of a benchmark item (the whole item if it is shorter).
+
+    Each row is judged by its text, whatever its doc_id; null and empty texts stay; repeated rows go or stay together. All
+    columns are passed through; an empty table, or an empty benchmark, changes nothing."""
     return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences: one row per piece of a document with its place in a sequence."""
+    """Training sequences, one row for each: its text, and the doc_ids and places of the pieces in it.
+
+    Null, empty and blank texts give no piece; a null doc_id is null in the list; repeated rows are packed as often as they
+    occur; an empty table gives no rows."""
     common.tune(spark)
     return packing.pack(docs)
 
@@ -74,7 +88,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can express neither the Kneser-Ney bands nor best-fit packing; tests/llm hold the stages against brute force.
+#: SQL can express neither the Kneser-Ney bands nor best-fit packing; tests/llm hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
