@@ -49,6 +49,15 @@ def unpack_sorted(data: bytes) -> np.ndarray:
         return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: those of small numbers are empty but one."""
+    return squeeze(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def shard_bounds(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     """(shard, from, to) for each shard that has some of the sorted keys."""
     if not len(keys):

@@ -23,6 +23,11 @@ STRENGTH = 20.0
 #: Taken from each known word's count, for words that were never seen.
 DISCOUNT = 0.75
 BASE = 0.1
+#: Bits that the keys of longer n-grams go without on their way: of 10 ** 12 different n-grams, one in 10 ** 5 is counted
+#: with another.
+LESS_BITS = 6
+#: Words that one reader of a text reads.
+STRIDE = 256
 CHUNK_BYTES = 4 * 1024 * 1024
 #: Bytes of text for each shard of the n-gram space.
 SHARD_BYTES = 8 * 1024 * 1024
@@ -69,10 +74,13 @@ class Level:
 
     def __init__(self, seq: np.ndarray, starts: np.ndarray, n: int) -> None:
         where = places(starts, n)
-        self.keys, one, inverse = np.unique(gram_keys(seq, n)[where], return_index=True, return_inverse=True)
-        self.at = where[one]
+        keys = gram_keys(seq, n)[where]
+        by = np.argsort(keys)
+        new = np.ones(len(by), bool)
+        new[1:] = keys[by[1:]] != keys[by[:-1]]
+        self.keys, self.at = keys[by[new]], where[by[new]]
         self.starting = np.full(len(seq), -1, np.int32)
-        self.starting[where] = inverse
+        self.starting[where[by]] = np.cumsum(new) - 1
         self.counts = np.zeros(len(self.keys), np.int64)
 
 
@@ -118,9 +126,11 @@ class BackoffAutomaton:
             weights.append(np.log10(p[known]))
             targets.append(target[known])
             below, p_below, state_below = level, p, state
-        self.arcs = dict(zip(np.concatenate(arcs).tolist(), range(sum(map(len, arcs))), strict=True))
-        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.fail, self.loss = np.concatenate(fail).tolist(), np.concatenate(loss).tolist()
+        # an arc is found by state * words + word in a sorted array
+        arcs = np.concatenate(arcs)
+        by = np.argsort(arcs)
+        self.order, self.arcs, self.weight, self.target = order, arcs[by], np.concatenate(weights)[by], np.concatenate(targets)[by]
+        self.fail, self.loss = np.concatenate(fail), np.concatenate(loss)
         # texts begin in the state of the begin marks, which the first place of the sequence has
         first = -1
         if order > 1 and len(levels[0].keys):
@@ -128,22 +138,47 @@ class BackoffAutomaton:
             first = 1 + sum(int((x.counts > 0).sum()) for x in levels[: order - 2]) + int((top.counts[: top.starting[0]] > 0).sum()) if top.counts[top.starting[0]] > 0 else -1
         self.start = max(0, first)
 
-    def traverse(self, words: list[int]) -> float:
-        """log10 probability of a text, given as numbers of levels[0]: the sum of the weights of all arcs taken."""
-        arcs, weight, target, fail, loss, v = self.arcs, self.weight, self.target, self.fail, self.loss, self.words
-        state, out = self.start, 0.0
-        for w in words:
-            arc = arcs.get(state * v + w)
-            while arc is None and state:
-                out += loss[state]
-                state = fail[state]
-                arc = arcs.get(state * v + w)
-            if arc is None:
-                out += self.unknown
-            else:
-                out += weight[arc]
-                state = target[arc]
-        return out
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one more word each, and the weights of the arcs taken: failure arcs until a state has an arc
+        for the word, then that arc. A word that training doesn't have leads to the empty state."""
+        out, after, todo, state = np.zeros(len(word)), np.zeros(len(word), np.int64), np.arange(len(word)), state.copy()
+        while len(todo):
+            key = state[todo] * self.words + word[todo]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1) if len(self.arcs) else np.zeros(len(key), np.int64)
+            hit = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), bool)
+            out[todo[hit]] += self.weight[at[hit]]
+            after[todo[hit]] = self.target[at[hit]]
+            todo = todo[~hit]
+            out[todo[state[todo] == 0]] += self.unknown
+            todo = todo[state[todo] > 0]
+            out[todo] += self.loss[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return after, out
+
+    def traverse(self, words: np.ndarray, cuts: np.ndarray, stride: int = STRIDE) -> np.ndarray:
+        """log10 probabilities of texts, given as numbers of levels[0] and the offsets at which texts begin (and the last
+        ends): the sum of the weights of all arcs taken.
+
+        Each text is read once from left to right, its state carried from word to word. A long text is read by several
+        readers, each beginning stride words after the one before; since a state has at most order - 1 words, a reader that
+        reads the last order - 1 words of its forerunner first, without weight, is then in the state in which that one
+        ends. All readers take their steps together."""
+        size = np.diff(cuts)
+        readers = -(-size // stride)
+        text = np.repeat(np.arange(len(size)), readers)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(readers) - readers, readers)
+        begin = cuts[:-1][text] + part * stride
+        end = np.minimum(begin + stride, cuts[1:][text])
+        lead = np.minimum(part * stride, self.order - 1)
+        by = np.argsort(begin - lead - end, kind="stable")  # the longest first, so those still reading stand in front
+        text, begin, end, lead = text[by], begin[by], end[by], lead[by]
+        state, out = np.where(begin - lead == cuts[:-1][text], self.start, 0), np.zeros(len(text))
+        length = end - begin + lead
+        for i in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -i))  # readers with more than i words
+            state[:n], weight = self.step(state[:n], words[begin[:n] - lead[:n] + i])
+            out[:n] += np.where(i >= lead[:n], weight, 0.0)
+        return np.bincount(text, weights=out, minlength=len(size))
 
 
 def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -164,23 +199,23 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk
             where = places(starts, n)
             learn = train[np.searchsorted(starts, where, side="right") - 1]
             keys, inverse = np.unique(gram_keys(seq, n)[where], return_inverse=True)
-            counts = np.bincount(inverse, weights=learn, minlength=len(keys)).astype("<i4")
+            counts = np.bincount(inverse, weights=learn, minlength=len(keys))
             for shard, a, b in C.shard_bounds(keys, shards):
-                yield shard, n, C.pack_sorted(keys[a:b]), C.squeeze(counts[a:b].tobytes())
+                yield shard, n, C.pack_sorted(keys[a:b] >> np.uint64(LESS_BITS if n > 1 else 0)), C.pack_counts(counts[a:b])
 
     begin = gram_keys(np.array([BEGIN]), 1)[0]
 
     def reply(n: int, pdf: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
         keys = [C.unpack_sorted(b) for b in pdf["body"]]
-        seen = np.concatenate([np.frombuffer(C.expand(b), "<i4") for b in pdf["extra"]])
+        seen = np.concatenate([C.unpack_counts(b) for b in pdf["extra"]])
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.bincount(inverse, weights=seen).astype(np.int64)
         if n == 1:
             own = counts * (every != begin)
             yield -1, np.array([own.sum(), np.count_nonzero(own)], ">i8").tobytes()
         ends = np.cumsum([len(k) for k in keys])
-        for chunk, part in zip(pdf["chunk"], np.split(counts[inverse].astype("<i8"), ends[:-1]), strict=True):
-            yield chunk, C.squeeze(part.tobytes())
+        for chunk, part in zip(pdf["chunk"], np.split(counts[inverse], ends[:-1]), strict=True):
+            yield chunk, C.pack_counts(part)
 
     answers = C.answer(C.ask(chunks, requests), reply, "lm-answers")
     # two numbers from each shard
@@ -192,12 +227,12 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, chunk
         seq, starts = sequences([raw[a:b] for a, b in zip(at, at[1:], strict=False)], order)
         levels = [Level(seq, starts, n) for n in range(1, order + 1)]
         for n, level in enumerate(levels, 1):
-            level.counts = np.concatenate([np.frombuffer(C.expand(b), "<i8") for b in got.get(n, ())] or [np.zeros(0, np.int64)])
+            level.counts = np.concatenate([C.unpack_counts(b) for b in got.get(n, ())] or [np.zeros(0, np.int64)])
         model = BackoffAutomaton(levels, total, types, strength)
         tokens = places(starts, order) + order - 1  # all but the begin marks
         word = levels[0].starting[tokens]
         cuts = np.concatenate([[0], np.cumsum(np.diff(starts) - order + 1)])
-        logp = [model.traverse(word[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        logp = model.traverse(word.astype(np.int64), cuts)
         count = levels[0].counts[word]
         base = np.log10((count + BASE) / (total + BASE * (types + 1)))
         add = lambda x: np.add.reduceat(x, cuts[:-1]) if len(x) else x  # noqa: E731  every text has its end token

@@ -106,8 +106,16 @@ def test_op3_automaton():
     assert len(model.fail) == 1 + seen and len(model.arcs) == sum(int((x.counts > 0).sum()) for x in levels)
     depth = lambda s: 0 if s == 0 else 1 + depth(model.fail[s])
     assert depth(model.start) == 2 and max(map(depth, range(1 + seen))) == 2 and {depth(t) for t in model.target} == {1, 2}
-    word = levels[0].starting[starts[1] + 2 :].tolist()  # b, d and the end
-    assert model.traverse(word[:1]) < 0 and model.traverse(word) < model.traverse(word[:2]) < model.traverse(word[:1])
+    word = levels[0].starting[lm.places(starts, 3) + 2].astype(np.int64)  # both texts with their ends
+    cuts = np.array([0, 5, 8])
+    whole = model.traverse(word, cuts)
+    state, total = np.array([model.start]), 0.0
+    for w in word[5:]:
+        state, weight = model.step(state, np.array([w]))
+        total += weight[0]
+    assert whole[1] == pytest.approx(total)
+    for stride in (1, 2, 3):
+        assert model.traverse(word, cuts, stride) == pytest.approx(whole)
 
 
 def check_sequences(out, texts, capacities):
