@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-# Roman numerals.
-ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
 # English number words.
 ONES = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
 TENS = ("", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
@@ -25,8 +23,9 @@ def roman(n):
 
 
 def letters(n):
-    """A..Z, then AA, BB, ...: the letter repeated."""
-    return F.repeat(F.char(((n - 1) % 26 + 65).cast("int")), (F.floor((n - 1) / 26) + 1).cast("int"))
+    """A..Z, then AA, BB, ...: the letter repeated, up to 30 times; after 780 it begins anew."""
+    m = (n - 1) % 780
+    return F.repeat(F.char((m % 26 + 65).cast("int")), (F.floor(m / 26) + 1).cast("int"))
 
 
 def ordinal(n):
@@ -35,35 +34,42 @@ def ordinal(n):
     return F.concat(n.cast("string"), tail)
 
 
-def _below_hundred(n, last):
-    return F.when(n < 20, _at(last, n)).when(n % 10 == 0, F.when(F.lit(last is ORDINALS), F.regexp_replace(_at(TENS, F.floor(n / 10)), "y$", "ieth")).otherwise(_at(TENS, F.floor(n / 10)))).otherwise(F.concat(_at(TENS, F.floor(n / 10)), F.lit("-"), _at(last, n % 10)))
-
-
-def _text(n, last):
-    hundred = F.concat(_at(ONES, F.floor(n / 100) % 10), F.lit(" hundred" + ("th" if last is ORDINALS else "")))
-    more = F.concat(_at(ONES, F.floor(n / 100) % 10), F.lit(" hundred "), _below_hundred(n % 100, last))
-    return F.initcap(F.substr(F.when(n < 100, _below_hundred(n, last)).when(n % 100 == 0, hundred).otherwise(more), F.lit(1), F.lit(1))) if False else F.when(n < 100, _below_hundred(n, last)).when(n % 100 == 0, hundred).otherwise(more)
+def _words(n, last):
+    """Number words below 20,000, with the last one from last; capitalised."""
+    tens, ones = _at(TENS, F.floor(n % 100 / 10)), n % 10
+    round_tens = F.regexp_replace(tens, "y$", "ieth") if last is ORDINALS else tens
+    low = F.when(n % 100 == 0, F.when(n == 0, last[0])).when(n % 100 < 20, _at(last, n % 100)).when(ones == 0, round_tens).otherwise(F.concat(tens, F.lit("-"), _at(last, ones)))
+    thousands = F.when(n >= 1000, F.concat(_at(ONES, F.floor(n / 1000)), F.lit(" thousand")))
+    hundreds = F.when(n % 1000 >= 100, F.concat(_at(ONES, F.floor(n % 1000 / 100)), F.lit(" hundred")))
+    out = F.concat_ws(" ", thousands, hundreds, low)
+    if last is ORDINALS:
+        out = F.when((n % 100 == 0) & (n > 0), F.concat(out, F.lit("th"))).otherwise(out)
+    return F.concat(F.upper(F.substring(out, 1, 1)), F.substr(out, F.lit(2)))
 
 
 def cardinal_text(n):
-    """Words of a number below 1,000."""
-    return _text(n, ONES)
+    """Words of a number below 20,000: One hundred five."""
+    return _words(n, ONES)
 
 
 def ordinal_text(n):
-    return _text(n, ORDINALS)
+    return _words(n, ORDINALS)
 
 
 def list_number(n, kind: str):
-    """A list number in one of the formats of word processing."""
-    return {
+    """A list number in one of the formats of word processing; an unknown format is decimal."""
+    padded = lambda width: F.when(F.length(n.cast("string")) < width, F.lpad(n.cast("string"), width, "0")).otherwise(n.cast("string"))
+    formats = {
         "decimal": lambda: n.cast("string"),
-        "decimalZero": lambda: F.lpad(n.cast("string"), 2, "0") if False else F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string")),
+        "decimalZero": lambda: padded(2),
         "upperRoman": lambda: roman(n), "lowerRoman": lambda: F.lower(roman(n)),
         "upperLetter": lambda: letters(n), "lowerLetter": lambda: F.lower(letters(n)),
         "ordinal": lambda: ordinal(n), "cardinalText": lambda: cardinal_text(n), "ordinalText": lambda: ordinal_text(n),
-        "bullet": lambda: F.lit("\u2022"), "none": lambda: F.lit(""),
-    }[kind]()
+        "01, 02, 03, ...": lambda: padded(2), "001, 002, 003, ...": lambda: padded(3), "0001, 0002, 0003, ...": lambda: padded(4), "00001, 00002, 00003, ...": lambda: padded(5),
+        "decimalEnclosedCircle": lambda: F.when(n.between(1, 20), F.decode(F.unhex(F.lpad(F.hex(9311 + n), 4, "0")), "UTF-16BE")).otherwise(n.cast("string")),
+        "bullet": lambda: F.lit(""), "none": lambda: F.lit(""),
+    }
+    return formats.get(kind, formats["decimal"])()
 
 
 def ole_date(days):
@@ -75,19 +81,6 @@ def to_ole(ts):
     return F.unix_timestamp(ts) / 86400 + 25569
 
 
-def section(code: str, value):
-    """Which ;-section of a format code a number takes, and whether its sign is shown by the section itself.
-
-    One section takes all; of two the first takes positive numbers and the second the rest; of four: positive, negative,
-    zero, text; with three the value is shown unchanged."""
-    parts = code.split(";")
-    if len(parts) == 2:
-        return F.when(value > 0, F.lit(parts[0])).otherwise(F.lit(parts[1]))
-    if len(parts) == 4:
-        return F.when(value > 0, F.lit(parts[0])).when(value < 0, F.lit(parts[1])).otherwise(F.lit(parts[2]))
-    return F.lit(parts[0])
-
-
 def fixed(value, places: int, thousands: bool):
     """Half-up decimal text with so many places."""
     d = F.format_number(F.round(value.cast("decimal(28,10)"), places), places)

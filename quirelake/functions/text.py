@@ -42,13 +42,6 @@ def short_hash(text, n: int = 16):
     return F.left(F.sha2(text, 256), F.lit(n))
 
 
-def common_prefix(a, b):
-    """Length of the longest common prefix."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(0), n), lambda k: F.substr(a, F.lit(1), k) == F.substr(b, F.lit(1), k))
-    return F.array_max(same)
-
-
 def occurrences(text, needle, limit: int = 100):
     """Zero-based starts of needle in text, overlapping ones too, the first limit of them."""
     n = F.length(text) - F.length(needle)
@@ -81,17 +74,15 @@ def smart_quotes(text):
 
 
 def valid_xml(text):
-    """Characters that XML 1.0 forbids, as _xHHHH_ escapes would lose them: replaced by U+FFFD."""
-    return F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "\ufffd")
+    """Characters below a space as their code in hexadecimal between underscores: _1F_."""
+    out = text
+    for c in range(32):
+        out = F.replace(out, F.lit(chr(c)), F.lit(f"_{c:X}_"))
+    return F.when(text.rlike("[\\x00-\\x1F]"), out).otherwise(text)
 
 
 def wrap76(text):
     """Base64 in lines of 76 characters."""
     plain = F.regexp_replace(F.base64(F.encode(text, "UTF-8")), "[\\r\\n]", "")
-    return F.rtrim(F.regexp_replace(plain, "(.{76})", "$1\n"))
-
+    return F.regexp_replace(plain, "(.{76})(?=.)", "$1\n")
 
-def symbol_kind(text):
-    """Font class of a character: ascii, cjk (east Asian), complex (Hebrew to Syriac), high ANSI."""
-    c = F.unicode_point(text) if hasattr(F, "unicode_point") else F.ascii(text)
-    return F.when(c < 128, "ascii").when((c >= 0x590) & (c <= 0x7FF), "cs").when((c >= 0x2E80) & (c <= 0x9FFF) | (c >= 0xAC00) & (c <= 0xD7AF), "eastAsia").otherwise("hAnsi")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quirelake.sources.store import stored
+
 
 def delta(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys, change (Added, Removed, Modified, Same), old_digest, new_digest; values are compared by a null-safe digest."""
@@ -33,19 +35,26 @@ def bag_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def expect(actual: DataFrame, expectations: DataFrame, fields: list[str]) -> DataFrame:
-    """Match actual rows (id, fields) with expectations (rule, fields, null as a wildcard): each row takes the most
-    specific rule, the smallest one on a tie; each rule is used once, by its smallest row. Rows: id, rule (null if none).
+    """Match actual rows (id, fields) with expectations (rule, fields, null as a wildcard), each used once: in the order of
+    their ids, rows take the most specific rule that is left, the smallest one on a tie. Rows: id, rule (null if none).
 
-    The rules are few and broadcast by Spark if small; a rule with a fixed first field meets only rows that have it."""
+    Rules are few. In rounds every row asks for its best rule; a rule promised to a row is closed to those with larger ids,
+    so a round only tells the smallest id that asks for each rule, found by aggregation. No rule gathers its rows in one
+    task, and rounds end when no promise changes."""
     specific = sum((F.col(f"e.{f}").isNotNull().cast("int") for f in fields), F.lit(0))
     same = None
     for f in fields:
         one = F.col(f"e.{f}").isNull() | (F.col(f"a.{f}") == F.col(f"e.{f}"))
         same = one if same is None else same & one
-    met = actual.alias("a").join(expectations.alias("e"), same).select("a.id", "e.rule", specific.alias("specific"))
-    best = met.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(F.col("specific").desc(), "rule"))).where("n = 1")
-    used = best.withColumn("u", F.row_number().over(W.partitionBy("rule").orderBy("id"))).where("u = 1").select("id", "rule")
-    return actual.select("id").join(used, "id", "left")
+    met = stored(actual.alias("a").join(expectations.alias("e"), same).select("a.id", "e.rule", (-specific).alias("rank")), "expect-met")
+    kinds, promised = dict(met.dtypes), {}
+    while True:
+        held = actual.sparkSession.createDataFrame([(r, i) for r, i in promised.items()], f"rule {kinds['rule']}, held {kinds['id']}")
+        asks = met.join(F.broadcast(held), "rule", "left").where("held is null or id <= held").groupBy("id").agg(F.min(F.struct("rank", "rule")).alias("best"))
+        now = {r["rule"]: r["id"] for r in asks.groupBy(F.col("best.rule").alias("rule")).agg(F.min("id").alias("id")).collect()}
+        if now == promised:
+            return actual.select("id").join(F.broadcast(held.select(F.col("held").alias("id"), "rule")), "id", "left")
+        promised = now
 
 
 def classify(current: DataFrame, baseline: DataFrame, identity: list[str], order: list[str]) -> DataFrame:

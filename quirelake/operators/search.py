@@ -12,8 +12,16 @@ from pyspark.sql.window import Window as W
 
 from quirelake.functions import text as T
 
-# The patterns of unfinished workflow text.
-RESIDUE = (("MustacheToken", "\\{\\{[^{}]+\\}\\}"), ("DollarToken", "\\$\\{[^{}]+\\}"), ("AngleToken", "<<[^<>]+>>"), ("BracketBlank", "\\[(?:_+|INSERT[^\\]]*)\\]"), ("BlankRun", "_{3,}"))
+# The patterns of unfinished workflow text, by kind.
+RESIDUE = (
+    ("double_brace", "\\{\\{[^{}\\r\\n]{1,256}\\}\\}"),
+    ("dollar_brace", "\\$\\{[^{}\\r\\n]{1,256}\\}"),
+    ("angle_placeholder", "<<[^<>\\r\\n]{1,256}>>"),
+    ("explicit_bracket_placeholder", "\\[(?:_{3,}|\\.{3,}|(?:INSERT|ENTER|TYPE)\\b[^\\]\\r\\n]{0,192})\\]"),
+    ("underscore", "_{3,}"),
+)
+#: A clause in brackets, of which one alternative is to be chosen.
+ALTERNATIVE = "\\[[^\\]\\r\\n]{1,256}\\]"
 PLACEHOLDER = "\\$?\\[[^\\[\\]]*\\]"
 
 
@@ -75,7 +83,7 @@ def placeholders(blocks: DataFrame) -> DataFrame:
 
 
 def residue(blocks: DataFrame) -> DataFrame:
-    """Matches of every residue pattern: code and match."""
+    """Matches of every residue pattern: code (its kind) and match."""
     found = F.array(*(F.struct(F.lit(code).alias("code"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("m")) for code, p in RESIDUE))
     out = blocks.select("*", F.explode(found).alias("f")).select("*", "f.code", F.explode("f.m").alias("match"))
     return out.drop("f")

@@ -85,7 +85,7 @@ def placeholder_classify(spark, sf):
 
 
 def residue_scan(spark, sf):
-    t = _templated(spark, sf).withColumn("text", F.when(F.col("ord") % 7 == 0, F.concat("text", F.lit(" {{name}} ${amount} <<date>> ____"))).otherwise(F.col("text")))
+    t = _templated(spark, sf).withColumn("text", F.when(F.col("ord") % 7 == 0, F.concat("text", F.lit(" {{name}} ${amount} <<date>> ____ [_] [....] [ENTER date] [TYPED] [TYPE] {{}}"))).otherwise(F.col("text")))
     return search.residue(t).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
@@ -182,9 +182,15 @@ def markdown_projection(spark, sf):
 
 def residue_free_quotes(spark, sf):
     """Scalar text functions side by side: smart quotes, valid XML, base64 lines, booleans."""
-    b = _blocks(spark, sf).where("ord = 0")
-    q = T.smart_quotes(F.concat(F.lit('He said "'), F.substring("text", 1, 20), F.lit('" (")')))
-    return b.select("doc_id", F.sha2(q, 256).alias("quoted"), T.wrap76(F.substring("text", 1, 100)).alias("base64"), T.boolean(F.element_at(F.array(F.lit("On"), F.lit("0"), F.lit("x")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("flag"), T.valid_xml(F.concat(F.lit("a\u0001b"), F.substring("text", 1, 5))).alias("xml"), T.common_prefix(F.substring("text", 1, 30), F.lit("The that")).cast("long").alias("common"))
+    b = _blocks(spark, sf)
+    q = T.smart_quotes(F.concat(F.lit('He said "'), "text", F.lit('" (")')))
+    flag = T.boolean(F.element_at(F.array(F.lit("On"), F.lit("0"), F.lit("x")), (F.col("doc_id") % 3 + 1).cast("int")))
+    return b.select("doc_id", "ord", F.sha2(q, 256).alias("quoted"), F.sha2(T.wrap76(F.col("text")), 256).alias("base64"), flag.alias("flag"), F.sha2(T.valid_xml(F.concat(F.lit("a\u0001b\u001f"), "text")), 256).alias("xml"))
+
+
+_XML = "'a' || chr(1) || 'b' || chr(31) || text"
+for _c in range(1, 32):
+    _XML = f"replace({_XML}, chr({_c}), '_{_c:X}_')"
 
 
 QUERIES = {f.__name__: f for f in (find_all_by_text, find_first_by_text, find_by_regex, find_by_kind, block_info_lookup, find_by_label, text_occurrences_overlapping, grep_context_sentence, grep_context_modes, grep_spans, cross_block_grep, placeholder_classify, residue_scan, search_replace_case, fill_placeholders_multipass, single_characters, role_runs, reply_threads, section_split, next_heading_range, html_strip_and_blocks, html_tag_counts, html_links, toc_entries, structure_tree_paths, markdown_projection, residue_free_quotes)}
@@ -210,10 +216,12 @@ ORACLES = {
     "placeholder_classify": rf"""WITH {TEMPLATED}, e AS (SELECT doc_id, ord, i - 1 AS nth, p[i] AS placeholder FROM (SELECT doc_id, ord, {_PLACE} AS p FROM tpl), LATERAL unnest(range(1, len(p) + 1)) AS u(i)),
       k AS (SELECT *, regexp_replace(placeholder, '^\$?\[|\]$', '', 'g') AS x FROM e)
       SELECT doc_id, ord, nth, placeholder, CASE WHEN regexp_matches(x, '^[_ ]*$') THEN 'blank' WHEN regexp_matches(x, '(?i)^\*|insert|specify|note') THEN 'instruction' WHEN regexp_matches(x, '/| or ') THEN 'alternative' ELSE 'fill' END AS kind, trim(regexp_replace(x, '[*_]+', '', 'g'), ' ') AS hint FROM k""",
-    "residue_scan": rf"""WITH {TEMPLATED}, t AS (SELECT doc_id, ord, CASE WHEN ord % 7 = 0 THEN text || ' {{{{name}}}} ${{amount}} <<date>> ____' ELSE text END AS text FROM tpl),
-      m AS (SELECT doc_id, 'MustacheToken' AS code, len(regexp_extract_all(text, '\{{\{{[^{{}}]+\}}\}}')) AS n FROM t UNION ALL SELECT doc_id, 'DollarToken', len(regexp_extract_all(text, '\$\{{[^{{}}]+\}}')) FROM t UNION ALL SELECT doc_id, 'AngleToken', len(regexp_extract_all(text, '<<[^<>]+>>')) FROM t
-        UNION ALL SELECT doc_id, 'BracketBlank', len(regexp_extract_all(text, '\[(?:_+|INSERT[^\]]*)\]')) FROM t UNION ALL SELECT doc_id, 'BlankRun', len(regexp_extract_all(text, '_{{3,}}')) FROM t)
+    "residue_scan": rf"""WITH {TEMPLATED}, t AS (SELECT doc_id, ord, CASE WHEN ord % 7 = 0 THEN text || ' {{{{name}}}} ${{amount}} <<date>> ____ [_] [....] [ENTER date] [TYPED] [TYPE] {{{{}}}}' ELSE text END AS text FROM tpl),
+      m AS (SELECT doc_id, 'double_brace' AS code, len(regexp_extract_all(text, '\{{\{{[^{{}}\r\n]{{1,256}}\}}\}}')) AS n FROM t UNION ALL SELECT doc_id, 'dollar_brace', len(regexp_extract_all(text, '\$\{{[^{{}}\r\n]{{1,256}}\}}')) FROM t UNION ALL SELECT doc_id, 'angle_placeholder', len(regexp_extract_all(text, '<<[^<>\r\n]{{1,256}}>>')) FROM t
+        UNION ALL SELECT doc_id, 'explicit_bracket_placeholder', len(regexp_extract_all(text, '\[(?:_{{3,}}|\.{{3,}}|(?:INSERT|ENTER|TYPE)\b[^\]\r\n]{{0,192}})\]')) FROM t UNION ALL SELECT doc_id, 'underscore', len(regexp_extract_all(text, '_{{3,}}')) FROM t)
       SELECT doc_id, code, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY ALL HAVING sum(n) > 0""",
+    "residue_free_quotes": rf"""WITH {BLOCKS} SELECT doc_id, ord, sha256(regexp_replace(regexp_replace('He said "' || text || '" (")', '(^|[ (\[])"', '\1' || chr(8220), 'g'), '"', chr(8221), 'g')) AS quoted,
+      sha256(rtrim(regexp_replace(base64(encode(text)), '(.{{76}})', '\1' || chr(10), 'g'), chr(10))) AS base64, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag, sha256({_XML}) AS xml FROM blocks""",
     "search_replace_case": f"WITH {BLOCKS} SELECT doc_id, ord, sha256(replace(text, 'the', 'THE')) AS cased, sha256(regexp_replace(text, 'the', '<$1>', 'gi')) AS uncased FROM blocks",
     "fill_placeholders_multipass": rf"""WITH {TEMPLATED}, f AS (SELECT doc_id, ord, replace(replace(replace(replace('[a[x]] ' || text, '[x]', '1'), '[a1]', 'done'), '[____]', '0.20'), '[this / that]', 'this') AS text FROM tpl)
       SELECT doc_id, ord, sha256(text) AS text_hash, len({_PLACE}) AS still_open FROM f""",

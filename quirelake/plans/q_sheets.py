@@ -55,8 +55,10 @@ def ole_dates(spark, sf):
 
 
 def number_formats(spark, sf):
-    n = F.col("p_size").cast("long")
-    return load(spark, sf, "part").select("p_partkey", *(N.list_number(n, k).alias(k) for k in ("decimal", "decimalZero", "upperRoman", "lowerLetter", "ordinal", "cardinalText", "ordinalText")))
+    """List numbers up to 4,999 in all formats, and number words up to 19,999."""
+    n, wide = (F.col("p_partkey") * 7 % 4999 + 1).cast("long"), (F.col("p_partkey") * 11 % 19999 + 1).cast("long")
+    names = {"decimal": "decimal", "decimalZero": "decimalZero", "upperRoman": "upperRoman", "lowerLetter": "lowerLetter", "ordinal": "ordinal", "padded4": "0001, 0002, 0003, ...", "circle": "decimalEnclosedCircle", "bullet": "bullet"}
+    return load(spark, sf, "part").select("p_partkey", *(N.list_number(n, k).alias(a) for a, k in names.items()), *(N.list_number(wide, k).alias(k) for k in ("cardinalText", "ordinalText")))
 
 
 def unit_lengths(spark, sf):
@@ -171,11 +173,14 @@ ORACLES = {
     "a1_codec": f"SELECT p_partkey, {_LETTERS.format('p_partkey')} AS letters, CAST(p_partkey AS BIGINT) AS back FROM part WHERE p_partkey <= 18278",
     "table_by_header": 'SELECT row_number() OVER (ORDER BY s_suppkey) AS "row", s_suppkey, s_name, s_nationkey FROM supplier',
     "missing_address_repair": "SELECT p AS pos, p + 4 AS col, count(*) AS n FROM orders, (VALUES (1), (2), (3)) v(p) GROUP BY ALL",
-    "number_formats": f"""WITH n AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS n FROM part) SELECT p_partkey, CAST(n AS VARCHAR) AS decimal, CASE WHEN n < 10 THEN '0' || n ELSE CAST(n AS VARCHAR) END AS decimalZero, {_ROMAN.format('n')} AS upperRoman,
-      lower(repeat(chr(CAST((n - 1) % 26 + 65 AS INTEGER)), (n - 1) // 26 + 1)) AS lowerLetter,
+    "number_formats": f"""WITH n AS (SELECT p_partkey, CAST(p_partkey * 7 % 4999 + 1 AS BIGINT) AS n, CAST(p_partkey * 11 % 19999 + 1 AS BIGINT) AS w FROM part),
+      t AS (SELECT *, CASE WHEN w >= 1000 THEN ({_ONES})[w // 1000 + 1] || ' thousand' END AS th, CASE WHEN w % 1000 >= 100 THEN ({_ONES})[w % 1000 // 100 + 1] || ' hundred' END AS hu, w % 100 AS z FROM n)
+      SELECT p_partkey, CAST(n AS VARCHAR) AS decimal, CASE WHEN n < 10 THEN '0' || n ELSE CAST(n AS VARCHAR) END AS decimalZero, {_ROMAN.format('n')} AS upperRoman,
+      repeat(substr('abcdefghijklmnopqrstuvwxyz', CAST((n - 1) % 26 + 1 AS BIGINT), 1), (CASE WHEN n % 780 = 0 THEN 780 ELSE n % 780 END - 1) // 26 + 1) AS lowerLetter,
       n || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal,
-      CASE WHEN n < 20 THEN ({_ONES})[n + 1] WHEN n % 10 = 0 THEN ({_TENS})[n // 10 + 1] ELSE ({_TENS})[n // 10 + 1] || '-' || ({_ONES})[n % 10 + 1] END AS cardinalText,
-      CASE WHEN n < 20 THEN ({_ORD})[n + 1] WHEN n % 10 = 0 THEN regexp_replace(({_TENS})[n // 10 + 1], 'y$', 'ieth') ELSE ({_TENS})[n // 10 + 1] || '-' || ({_ORD})[n % 10 + 1] END AS ordinalText FROM n""",
+      printf('%04d', n) AS padded4, CASE WHEN n <= 20 THEN chr(CAST(9311 + n AS INTEGER)) ELSE CAST(n AS VARCHAR) END AS circle, '' AS bullet,
+      (SELECT upper(x[1]) || x[2:] FROM (SELECT concat_ws(' ', th, hu, CASE WHEN z = 0 THEN NULL WHEN z < 20 THEN ({_ONES})[z + 1] WHEN z % 10 = 0 THEN ({_TENS})[z // 10 + 1] ELSE ({_TENS})[z // 10 + 1] || '-' || ({_ONES})[z % 10 + 1] END) AS x)) AS cardinalText,
+      (SELECT upper(x[1]) || x[2:] FROM (SELECT concat_ws(' ', th, hu, CASE WHEN z = 0 THEN NULL WHEN z < 20 THEN ({_ORD})[z + 1] WHEN z % 10 = 0 THEN replace(({_TENS})[z // 10 + 1], 'ty', 'tieth') ELSE ({_TENS})[z // 10 + 1] || '-' || ({_ORD})[z % 10 + 1] END) || CASE WHEN z = 0 THEN 'th' ELSE '' END AS x)) AS ordinalText FROM t""",
     "ole_dates": "SELECT o_orderkey, round(date_diff('second', TIMESTAMP '1899-12-30', CAST(o_orderdate AS TIMESTAMP)) / 86400, 6) AS serial, strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS six_hours_on FROM orders",
     "pivot_sum": "SELECT l_returnflag, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) FILTER (l_linestatus = 'F') AS DOUBLE) AS sum_f, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) FILTER (l_linestatus = 'O') AS DOUBLE) AS sum_o FROM lineitem GROUP BY 1",
     "pivot_multi_value": "SELECT o_orderpriority, " + ", ".join(f"CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus = '{s}') AS DOUBLE) AS sum_{s.lower()}, count(o_custkey) FILTER (o_orderstatus = '{s}') AS n_{s.lower()}" for s in "FOP") + " FROM orders GROUP BY 1",

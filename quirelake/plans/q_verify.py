@@ -191,9 +191,12 @@ ORACLES = {
       SELECT CASE WHEN o.k IS NULL THEN 'Added' WHEN n.k IS NULL THEN 'Removed' WHEN o.l_linestatus = n.l_linestatus THEN 'Same' ELSE 'Modified' END AS change, count(*) AS n FROM o FULL JOIN n ON o.l_orderkey = n.l_orderkey AND o.l_returnflag = n.l_returnflag AND o.k = n.k GROUP BY 1""",
     "expectation_bag_diff": """WITH w AS (SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem WHERE l_orderkey % 10 <> 1), g AS (SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem WHERE l_orderkey % 10 <> 2)
       SELECT side, l_returnflag, count(*) AS n FROM (SELECT 'missing' AS side, * FROM (FROM w EXCEPT ALL FROM g) UNION ALL SELECT 'unexpected', * FROM (FROM g EXCEPT ALL FROM w)) GROUP BY ALL""",
-    "expectation_wildcards": """WITH r(rule, s, p) AS (VALUES (CAST(1 AS BIGINT), NULL, NULL), (2, 'F', NULL), (3, NULL, '1-URGENT'), (4, 'F', '1-URGENT'), (5, 'O', '5-LOW')),
-      m AS (SELECT o_orderkey AS id, rule, row_number() OVER (PARTITION BY o_orderkey ORDER BY (s IS NOT NULL)::INT + (p IS NOT NULL)::INT DESC, rule) AS n FROM orders JOIN r ON (s IS NULL OR s = o_orderstatus) AND (p IS NULL OR p = o_orderpriority))
-      SELECT min(id) AS id, rule FROM m WHERE n = 1 GROUP BY rule""",
+    "expectation_wildcards": """WITH RECURSIVE r(rule, s, p) AS (VALUES (CAST(1 AS BIGINT), NULL, NULL), (2, 'F', NULL), (3, NULL, '1-URGENT'), (4, 'F', '1-URGENT'), (5, 'O', '5-LOW')),
+      m AS (SELECT o_orderkey AS id, rule, 10 * (2 - (s IS NOT NULL)::INT - (p IS NOT NULL)::INT) + rule AS cost FROM orders JOIN r ON (s IS NULL OR s = o_orderstatus) AND (p IS NULL OR p = o_orderpriority)),
+      n AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM (SELECT DISTINCT id FROM orders JOIN m ON id = o_orderkey QUALIFY dense_rank() OVER (ORDER BY id) <= 400)),
+      g(i, used, id, rule) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
+        SELECT i, list_append(used, coalesce(x, -1)), id, x FROM (SELECT n.i, g.used, n.id, (SELECT arg_min(m.rule, m.cost) FROM m WHERE m.id = n.id AND NOT list_contains(g.used, m.rule)) AS x FROM g JOIN n ON n.i = g.i + 1))
+      SELECT id, rule FROM g WHERE rule IS NOT NULL""",
     "finding_disposition": _CLASSES + " SELECT doc_id, disposition, count(*) AS n FROM c GROUP BY ALL",
     "verify_decision": _CLASSES + " SELECT doc_id, CASE WHEN bool_or(disposition = 'new') THEN 'failed' WHEN bool_or(disposition = 'preExisting') THEN 'passedWithPreExisting' ELSE 'passed' END AS decision FROM c GROUP BY 1",
     "closure_orphans": f"WITH {CHANGED} SELECT 'line without order' AS rule, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM changed) UNION ALL SELECT 'order without line', count(*) FROM changed WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",

@@ -149,3 +149,24 @@ def test_split_run():
     assert split_run("a b c d e f".split(), parts, [1, 2]) == (1, 2)
     assert split_run("a b c d e f g h".split(), parts, [1, 2]) is None
     assert split_run([], parts, [0]) is None
+
+
+def test_expect_takes_the_next_rule_left(spark):
+    """Rows of one kind use up rules from the most specific to the wildcard; random rules against a plain loop."""
+    import random
+
+    from quirelake.operators import delta
+
+    rules = [(1, None, None), (2, "F", None), (4, "F", "U")]
+    rows = [(1, "F", "U"), (2, "F", "U"), (3, "F", "U"), (4, "F", "U")]
+    rnd = random.Random(4)
+    pick = lambda: rnd.choice("ABC")
+    cases = [(rows, rules)] + [([(i, pick(), pick()) for i in range(40)], [(r, rnd.choice([None, pick()]), rnd.choice([None, pick()])) for r in range(8)]) for _ in range(2)]
+    for rows, rules in cases:
+        left, want = list(rules), {}
+        for i, a, b in rows:
+            fits = sorted((r for r in left if r[1] in (None, a) and r[2] in (None, b)), key=lambda r: ((r[1] is None) + (r[2] is None), r[0]))
+            want[i] = fits[0][0] if fits else None
+            left = [r for r in left if not fits or r != fits[0]]
+        got = delta.expect(spark.createDataFrame(rows, "id long, x string, y string"), spark.createDataFrame(rules, "rule long, x string, y string"), ["x", "y"])
+        assert {r["id"]: r["rule"] for r in got.collect()} == want
