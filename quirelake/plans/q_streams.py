@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.sources.store import shared_dir
 from quirelake.sources.tables import load
 from quirelake.streaming import sessions
 
@@ -20,7 +20,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def drained(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream until its input is used up, writing into a table of the shared folder, and read that back."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()) + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
