@@ -66,7 +66,7 @@ def occurrence_numbered_blocks(spark, sf):
 
 
 def tokenize_words(spark, sf):
-    b = blocks(load(spark, sf, "documents")).where("ord < 3 or length(text) > 0").withColumn("t", T.tokens(F.col("text")))
+    b = blocks(load(spark, sf, "documents")).withColumn("t", T.tokens(F.col("text")))
     w = F.filter("t", T.is_word)
     return b.select("doc_id", "ord", F.size("t").cast("long").alias("n_tokens"), F.size(w).cast("long").alias("n_words"), F.sha2(F.array_join("t", "|"), 256).alias("tokens_hash"), F.sha2(F.array_join(F.transform(w, lambda x: F.lower(x)), "|"), 256).alias("keys_hash"))
 
@@ -129,12 +129,13 @@ def lis_spine_length(spark, sf):
 
 def split_merge_candidates(spark, sf):
     """A left block whose words two adjacent right blocks hold (here: halves of a block), by coverage."""
-    b = blocks(load(spark, sf, "documents")).where("ord = 0").withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 6)
+    b = blocks(load(spark, sf, "documents")).withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 6)
     half = F.floor(F.size("w") / 2).cast("int")
-    parts = b.select("doc_id", F.posexplode(F.array(F.slice("w", F.lit(1), half), F.slice("w", half + 1, F.size("w")))).alias("part", "pw"))
-    met = b.select("doc_id", "w").join(parts, "doc_id").select("doc_id", "part", F.size("w").alias("n"), F.size("pw").alias("m"), F.size(F.filter("pw", lambda x: F.array_contains("w", x))).alias("hit"))
-    run = met.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("hit").alias("hit"), F.sum("m").alias("m"))
-    return run.select("doc_id", F.round(F.col("hit") / F.col("n"), 6).alias("coverage"), F.round(1 - F.col("hit") / F.col("m"), 6).alias("foreign")).where("coverage >= 0.9 and foreign <= 0.34")
+    parts = b.select("doc_id", "ord", "w", F.posexplode(F.array(F.slice("w", F.lit(1), half), F.slice("w", half + 1, F.size("w")))).alias("part", "pw"))
+    foreign = F.array_except("pw", "w")
+    met = parts.select("doc_id", "ord", F.size("w").alias("n"), F.size("pw").alias("m"), F.size(F.filter("pw", lambda x: ~F.array_contains(foreign, x))).alias("hit"))
+    run = met.groupBy("doc_id", "ord").agg(F.max("n").alias("n"), F.sum("hit").alias("hit"), F.sum("m").alias("m"))
+    return run.select("doc_id", "ord", F.round(F.col("hit") / F.col("n"), 6).alias("coverage"), F.round(1 - F.col("hit") / F.col("m"), 6).alias("foreign")).where("coverage >= 0.9 and foreign <= 0.34")
 
 
 def accept_reject_roundtrip(spark, sf):
@@ -163,7 +164,7 @@ ORACLES = {
     "duplicate_block_hashes": f"WITH {BLOCKS} SELECT hash, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM blocks WHERE trim(text, ' ') <> '' GROUP BY 1 HAVING count(*) > 1",
     "occurrence_numbered_blocks": f"""WITH {BLOCKS}, o AS (SELECT doc_id, ord, hash, row_number() OVER (PARTITION BY doc_id, hash ORDER BY ord) - 1 AS occurrence FROM blocks)
       SELECT doc_id, ord, occurrence, 'p:body:' || substr(sha256(hash || '#' || occurrence), 1, 32) AS anchor FROM o""",
-    "tokenize_words": f"""WITH {BLOCKS}, t AS (SELECT doc_id, ord, {TOKENS.format('text')} AS t, {WORDS.format('text')} AS w FROM blocks WHERE ord < 3 OR length(text) > 0)
+    "tokenize_words": f"""WITH {BLOCKS}, t AS (SELECT doc_id, ord, {TOKENS.format('text')} AS t, {WORDS.format('text')} AS w FROM blocks)
       SELECT doc_id, ord, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(w) AS BIGINT) AS n_words, sha256(coalesce(array_to_string(t, '|'), '')) AS tokens_hash, sha256(coalesce(array_to_string(w, '|'), '')) AS keys_hash FROM t""",
     "block_multiset_jaccard": f"WITH {_RESIDUE} SELECT * FROM bagged",
     "set_jaccard_moves": f"WITH {_RESIDUE} SELECT * FROM (SELECT doc_id, left_ord, right_ord, round(met / (ls + rs - met), 6) AS score FROM setted) WHERE score >= 0.5",
@@ -172,6 +173,6 @@ ORACLES = {
     "distinct_in_order": f"WITH {BLOCKS} SELECT doc_id, hash, min(ord) AS ord, row_number() OVER (PARTITION BY doc_id ORDER BY min(ord)) AS nth FROM blocks GROUP BY doc_id, hash",
     "skip_last_blocks": f"WITH {BLOCKS} SELECT doc_id, ord, hash FROM blocks WHERE ord < n - 2",
     "edit_script_apply_invariant": "SELECT * FROM (VALUES ('accept', CAST(0 AS BIGINT)), ('reject', CAST(0 AS BIGINT))) t(side, n_wrong)",
-    "split_merge_candidates": f"""WITH {BLOCKS}, b AS (SELECT doc_id, {WORDS.format('text')} AS w FROM blocks WHERE ord = 0) SELECT doc_id, CAST(1 AS DOUBLE) AS coverage, CAST(0 AS DOUBLE) AS "foreign" FROM b WHERE len(w) >= 6""",
+    "split_merge_candidates": f"""WITH {BLOCKS}, b AS (SELECT doc_id, ord, {WORDS.format('text')} AS w FROM blocks) SELECT doc_id, ord, CAST(1 AS DOUBLE) AS coverage, CAST(0 AS DOUBLE) AS "foreign" FROM b WHERE len(w) >= 6""",
     "accept_reject_roundtrip": f"""WITH {REVISED} SELECT doc_id, a AS accepted, r AS rejected FROM (SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY ord)) AS a FROM rev GROUP BY 1) JOIN (SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY ord)) AS r FROM blocks GROUP BY 1) USING (doc_id)""",
 }

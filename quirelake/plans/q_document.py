@@ -95,7 +95,7 @@ def page_estimate(spark, sf):
 
 
 def pawls_tokens(spark, sf):
-    b = blocks(load(spark, sf, "documents")).where("ord < 2").select("doc_id", "ord", "text")
+    b = blocks(load(spark, sf, "documents")).select("doc_id", "ord", "text")
     t = export.token_layout(b, ["doc_id", "ord"])
     return t.groupBy("doc_id", "ord").agg(F.count("*").alias("n"), F.max("y").alias("last_y"), F.max("x").alias("right_x"))
 
@@ -128,27 +128,27 @@ def annotation_project_html(spark, sf):
 
 
 def page_citation_status(spark, sf):
-    a = blocks(load(spark, sf, "documents")).where("ord < 4").select(F.concat(F.lit("p:body:"), "doc_id", F.lit("-"), "ord").alias("anchor"), "doc_id", "ord")
+    a = blocks(load(spark, sf, "documents")).select(F.concat(F.lit("p:body:"), "doc_id", F.lit("-"), "ord").alias("anchor"), "doc_id", "ord")
     m = a.where("ord > 0").select("anchor", F.when(F.col("doc_id") % 4 == 0, 1).otherwise(2).alias("map_version"), F.when(F.col("doc_id") % 6 == 1, "x").otherwise("r1").alias("renderer"), F.explode(F.array(F.col("ord"), F.col("ord") + F.col("doc_id") % 2)).alias("page"))
     return export.cite(a.select("anchor"), m, 2, "r1")
 
 
 def table_html(spark, sf):
-    o = load(spark, sf, "orders").where("o_custkey < 200")
+    o = load(spark, sf, "orders")
     t = export.html_table(o, ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_orderpriority"])
     return t.select("o_custkey", F.sha2("html", 256).alias("html_hash"))
 
 
 def table_markdown(spark, sf):
-    o = load(spark, sf, "orders").where("o_custkey < 200").withColumn("note", F.when(F.col("o_custkey") % 9 == 0, F.repeat(F.lit("x"), 81)).otherwise(F.lit("a|b")))
+    o = load(spark, sf, "orders").withColumn("note", F.when(F.col("o_custkey") % 9 == 0, F.repeat(F.lit("x"), 81)).otherwise(F.lit("a|b")))
     t = export.gfm_table(o, ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus", "note"])
     return t.select("o_custkey", "mode", F.sha2("markdown", 256).alias("markdown_hash"))
 
 
 def document_concat_slices(spark, sf):
-    """A new document from slices of others: blocks 1 to 3 of each odd document, then its first one, in document order
+    """A new document from slices of others: blocks 1 to 3 of each document, then its first one, in document order
     for each source."""
-    b = blocks(load(spark, sf, "documents")).join(load(spark, sf, "documents").select("doc_id", "source"), "doc_id").where("doc_id % 2 = 1")
+    b = blocks(load(spark, sf, "documents")).join(load(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     parts = b.where("ord between 1 and 3").select("source", "doc_id", F.lit(0).alias("slice"), "ord", "hash").unionByName(b.where("ord = 0").select("source", "doc_id", F.lit(1).alias("slice"), "ord", "hash"))
     return parts.select("source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id", "slice", "ord")) - 1).cast("long").alias("ord"), "hash")
 
@@ -232,11 +232,11 @@ ORACLES = {
     "annotation_project_html": """WITH e AS (SELECT doc_id, text, list_transform([0, 2, 5, 9, 15], lambda c, i: [c, ([2, 5, 9, 15, CAST(length(text) AS INTEGER)])[i]]) AS p FROM documents WHERE length(text) > 20),
       x AS (SELECT doc_id, list_transform(p, lambda c: replace(replace(substr(text, c[1] + 1, c[2] - c[1]), '&', '&amp;'), '<', '&lt;')) AS t FROM e)
       SELECT doc_id, sha256(t[1] || '<span class="a">' || t[2] || '</span><span class="a b">' || t[3] || '</span><span class="b">' || t[4] || '</span>' || t[5]) AS html_hash FROM x""",
-    "page_citation_status": f"""WITH {BLOCKS}, a AS (SELECT 'p:body:' || doc_id || '-' || ord AS anchor, doc_id, ord FROM blocks WHERE ord < 4), s AS (SELECT *, CASE WHEN ord = 0 THEN 'noPageMap' WHEN doc_id % 4 = 0 THEN 'staleVersion' WHEN doc_id % 6 = 1 THEN 'otherRenderer' ELSE 'available' END AS status FROM a)
+    "page_citation_status": f"""WITH {BLOCKS}, a AS (SELECT 'p:body:' || doc_id || '-' || ord AS anchor, doc_id, ord FROM blocks), s AS (SELECT *, CASE WHEN ord = 0 THEN 'noPageMap' WHEN doc_id % 4 = 0 THEN 'staleVersion' WHEN doc_id % 6 = 1 THEN 'otherRenderer' ELSE 'available' END AS status FROM a)
       SELECT anchor, status, CASE WHEN status = 'available' THEN ord END AS first_page, CASE WHEN status = 'available' THEN ord + doc_id % 2 END AS last_page FROM s""",
-    "table_html": "SELECT o_custkey, sha256('<table>' || string_agg('<tr><td>' || o_orderkey || '</td><td>' || o_orderstatus || '</td><td>' || o_orderpriority || '</td></tr>', '' ORDER BY o_orderkey) || '</table>') AS html_hash FROM orders WHERE o_custkey < 200 GROUP BY 1",
+    "table_html": "SELECT o_custkey, sha256('<table>' || string_agg('<tr><td>' || o_orderkey || '</td><td>' || o_orderstatus || '</td><td>' || o_orderpriority || '</td></tr>', '' ORDER BY o_orderkey) || '</table>') AS html_hash FROM orders GROUP BY 1",
     "table_markdown": r"""SELECT o_custkey, CASE WHEN o_custkey % 9 = 0 THEN 'opaque' ELSE 'gfm' END AS mode, sha256(CASE WHEN o_custkey % 9 = 0 THEN '[table]' ELSE '| o_orderkey | o_orderstatus | note |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' | a\|b |', chr(10) ORDER BY o_orderkey) END) AS markdown_hash FROM orders WHERE o_custkey < 200 GROUP BY o_custkey""",
-    "document_concat_slices": f"""WITH {BLOCKS}, p AS (SELECT source, b.doc_id, CASE WHEN ord = 0 THEN 1 ELSE 0 END AS sl, ord, hash FROM blocks b JOIN documents d ON d.doc_id = b.doc_id WHERE b.doc_id % 2 = 1 AND ord BETWEEN 0 AND 3) SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, sl, ord) - 1 AS ord, hash FROM p""",
+    "document_concat_slices": f"""WITH {BLOCKS}, p AS (SELECT source, b.doc_id, CASE WHEN ord = 0 THEN 1 ELSE 0 END AS sl, ord, hash FROM blocks b JOIN documents d ON d.doc_id = b.doc_id WHERE ord BETWEEN 0 AND 3) SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, sl, ord) - 1 AS ord, hash FROM p""",
     "header_inheritance": "SELECT conv_id, turn, role, 'h' || max(CASE WHEN turn % 3 = 0 THEN turn END) OVER (PARTITION BY conv_id, role ORDER BY turn) AS header FROM conversations",
     "interval_overlap_join": f"""WITH {BLOCKS}, {_ANN}, o AS (SELECT doc_id, ord, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS e, length(text) AS n FROM blocks) SELECT a.doc_id, ann, ord FROM a JOIN o ON o.doc_id = a.doc_id AND a.start < o.e AND a.start + 60 > o.e - o.n""",
     "field_codes": r"""SELECT page_id, i - 1 AS nth, 'HYPERLINK' AS kind, h[i] AS argument, '\l \h' AS switches FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages), LATERAL unnest(range(1, len(h) + 1)) AS u(i)""",

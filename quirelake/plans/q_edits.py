@@ -50,14 +50,14 @@ def edit_split_merge(spark, sf):
 
 
 def _cells(spark, sf):
-    li = load(spark, sf, "orders").where("o_orderkey < 3000").select(F.col("o_custkey").alias("tbl"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    li = load(spark, sf, "orders").select(F.col("o_custkey").alias("tbl"), "o_orderkey", "o_orderstatus", "o_orderpriority")
     from pyspark.sql.window import Window as W
 
     li = li.withColumn("row", F.row_number().over(W.partitionBy("tbl").orderBy("o_orderkey")))
     return li.select("tbl", "row", F.posexplode(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")).alias("col", "text"))
 
 
-CELLS = """cells AS (SELECT tbl, r, c - 1 AS c, x[c] AS text FROM (SELECT o_custkey AS tbl, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, [CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority] AS x FROM orders WHERE o_orderkey < 3000), LATERAL unnest([1, 2, 3]) AS u(c))"""
+CELLS = """cells AS (SELECT tbl, r, c - 1 AS c, x[c] AS text FROM (SELECT o_custkey AS tbl, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, [CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority] AS x FROM orders), LATERAL unnest([1, 2, 3]) AS u(c))"""
 
 
 def table_insert_row(spark, sf):

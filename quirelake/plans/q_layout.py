@@ -24,10 +24,10 @@ def font_classes(spark, sf):
 
 
 def trimmed_affixes(spark, sf):
-    """The first block of each document against itself with its third word replaced."""
-    b = blocks(load(spark, sf, "documents")).where("ord = 0 and text rlike '^[^ ]+ [^ ]+ [^ ]+ '")
+    """Each block against itself with its third word replaced."""
+    b = blocks(load(spark, sf, "documents")).where("text rlike '^[^ ]+ [^ ]+ [^ ]+ '")
     t = layout.trimmed(F.col("text"), F.regexp_replace("text", "^([^ ]+ [^ ]+) [^ ]+ ", "$1 <word> "))
-    return b.select("doc_id", t["left"].alias("left_text"), t["right"].alias("right_text"))
+    return b.select("doc_id", "ord", t["left"].alias("left_text"), t["right"].alias("right_text"))
 
 
 def page_flow(spark, sf):
@@ -87,7 +87,7 @@ ORACLES = {
     "text_widths": f"""WITH {BLOCKS}, w AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '[ijlt.,:;!''| ]')) AS a, len(regexp_extract_all(text, '[mwMW@%]')) AS b FROM blocks) SELECT doc_id, round(max((a * 0.28::DOUBLE + b * 0.85::DOUBLE + (n - a - b) * 0.55::DOUBLE) * 11), 4) AS widest FROM w GROUP BY 1""",
     "font_classes": """SELECT lang, CASE WHEN unicode(c) < 128 THEN 'ascii' WHEN unicode(c) BETWEEN 1424 AND 2047 THEN 'cs' WHEN unicode(c) BETWEEN 11904 AND 40959 OR unicode(c) BETWEEN 44032 AND 55215 THEN 'eastAsia' ELSE 'hAnsi' END AS kind, count(*) AS n
       FROM (SELECT lang, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL""",
-    "trimmed_affixes": f"""WITH {BLOCKS} SELECT doc_id, string_split(text, ' ')[3] AS left_text, '<word>' AS right_text FROM blocks WHERE ord = 0 AND regexp_matches(text, '^[^ ]+ [^ ]+ [^ ]+ ')""",
+    "trimmed_affixes": f"""WITH {BLOCKS} SELECT doc_id, ord, string_split(text, ' ')[3] AS left_text, '<word>' AS right_text FROM blocks WHERE regexp_matches(text, '^[^ ]+ [^ ]+ [^ ]+ ')""",
     "table_row_diff": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey % 7 <> 0),
       c AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0) AS old_left, count(*) FILTER (o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0) AS new_left, count(*) FILTER (o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0) AS same FROM orders GROUP BY 1)
       SELECT * FROM (SELECT 'Equal' AS op, CAST(sum(same) AS BIGINT) AS n FROM c UNION ALL SELECT 'Modified', CAST(sum(least(old_left, new_left)) AS BIGINT) FROM c UNION ALL SELECT 'Deleted', CAST(sum(greatest(old_left - new_left, 0)) AS BIGINT) FROM c UNION ALL SELECT 'Inserted', CAST(sum(greatest(new_left - old_left, 0)) AS BIGINT) FROM c) WHERE n > 0""",
