@@ -235,7 +235,7 @@ ORACLES = {
     "page_citation_status": f"""WITH {BLOCKS}, a AS (SELECT 'p:body:' || doc_id || '-' || ord AS anchor, doc_id, ord FROM blocks), s AS (SELECT *, CASE WHEN ord = 0 THEN 'noPageMap' WHEN doc_id % 4 = 0 THEN 'staleVersion' WHEN doc_id % 6 = 1 THEN 'otherRenderer' ELSE 'available' END AS status FROM a)
       SELECT anchor, status, CASE WHEN status = 'available' THEN ord END AS first_page, CASE WHEN status = 'available' THEN ord + doc_id % 2 END AS last_page FROM s""",
     "table_html": "SELECT o_custkey, sha256('<table>' || string_agg('<tr><td>' || o_orderkey || '</td><td>' || o_orderstatus || '</td><td>' || o_orderpriority || '</td></tr>', '' ORDER BY o_orderkey) || '</table>') AS html_hash FROM orders GROUP BY 1",
-    "table_markdown": r"""SELECT o_custkey, CASE WHEN o_custkey % 9 = 0 THEN 'opaque' ELSE 'gfm' END AS mode, sha256(CASE WHEN o_custkey % 9 = 0 THEN '[table]' ELSE '| o_orderkey | o_orderstatus | note |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' | a\|b |', chr(10) ORDER BY o_orderkey) END) AS markdown_hash FROM orders WHERE o_custkey < 200 GROUP BY o_custkey""",
+    "table_markdown": r"""SELECT o_custkey, CASE WHEN o_custkey % 9 = 0 THEN 'opaque' ELSE 'gfm' END AS mode, sha256(CASE WHEN o_custkey % 9 = 0 THEN '[table]' ELSE '| o_orderkey | o_orderstatus | note |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' | a\|b |', chr(10) ORDER BY o_orderkey) END) AS markdown_hash FROM orders GROUP BY o_custkey""",
     "document_concat_slices": f"""WITH {BLOCKS}, p AS (SELECT source, b.doc_id, CASE WHEN ord = 0 THEN 1 ELSE 0 END AS sl, ord, hash FROM blocks b JOIN documents d ON d.doc_id = b.doc_id WHERE ord BETWEEN 0 AND 3) SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, sl, ord) - 1 AS ord, hash FROM p""",
     "header_inheritance": "SELECT conv_id, turn, role, 'h' || max(CASE WHEN turn % 3 = 0 THEN turn END) OVER (PARTITION BY conv_id, role ORDER BY turn) AS header FROM conversations",
     "interval_overlap_join": f"""WITH {BLOCKS}, {_ANN}, o AS (SELECT doc_id, ord, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS e, length(text) AS n FROM blocks) SELECT a.doc_id, ann, ord FROM a JOIN o ON o.doc_id = a.doc_id AND a.start < o.e AND a.start + 60 > o.e - o.n""",
