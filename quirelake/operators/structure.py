@@ -200,17 +200,17 @@ def note_alignment(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 def aligned_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key, left_row, right_row of two tables' rows (key, row, cells) on a chain of the greatest total likeness; a pair's
-    likeness is the share of places with equal cells. Pairs without an equal cell aren't made. The rows of one table
+    likeness is the share of places with equal cells. Pairs without an equal cell aren't made; rows of one number stand by
+    their cells. The rows of one table
     meet in one task, in time and memory of one side's rows times the other's."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
-        a, b = pdf[pdf["side"] == "l"], pdf[pdf["side"] == "r"]
-        found = monotone_rows([list(c) for c in a["cells"]], [list(c) for c in b["cells"]])
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(found), "left_row": [int(a["row"].iloc[i]) for i, _ in found], "right_row": [int(b["row"].iloc[j]) for _, j in found]})
+    def run(batches):
+        for pdf in batches:
+            found = [(k, a[i]["row"], b[j]["row"]) for k, a, b in zip(pdf[key], pdf["l"], pdf["r"], strict=True) for i, j in monotone_rows([list(x["cells"]) for x in a], [list(x["cells"]) for x in b])]
+            yield pd.DataFrame(found, columns=[key, "left_row", "right_row"])
 
-    both = left.select(key, "row", "cells", F.lit("l").alias("side")).unionByName(right.select(key, "row", "cells", F.lit("r").alias("side")))
-    return both.groupBy(key).applyInPandas(run, f"{key} {dict(left.dtypes)[key]}, left_row long, right_row long")
+    rows = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias(name))
+    return rows(left, "l").join(rows(right, "r"), key).mapInPandas(run, f"{key} {dict(left.dtypes)[key]}, left_row long, right_row long")
 
 
 def monotone_rows(a: list[list], b: list[list]) -> list[tuple[int, int]]:
