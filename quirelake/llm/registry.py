@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "html", "lines", "lm", "packing", "partenum", "quality", "sharding", "suffixes", "warc")
+MODULES = ("audit", "decontaminate", "html", "lines", "lm", "packing", "partenum", "quality", "sharding", "suffixes", "warc")
 
 
 def queries() -> dict:
