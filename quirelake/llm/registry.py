@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("audit", "decontaminate", "html", "lines", "lm", "packing", "partenum", "quality", "sharding", "suffixes", "urls", "warc")
+MODULES = ("audit", "decontaminate", "html", "lines", "lm", "packing", "partenum", "quality", "repair", "sharding", "suffixes", "urls", "warc")
 
 
 def queries() -> dict:
