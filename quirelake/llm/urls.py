@@ -53,11 +53,13 @@ def spelled(url, host):
     return F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.concat(host, rest)).otherwise(F.coalesce(url, F.lit("")))
 
 
-def places(text, order: int = ORDER):
-    """An n-gram of order + 1 characters for each character and the end. Characters are cut once, so time is in proportion
-    to the length."""
-    chars = F.concat(F.array_repeat(F.lit(START), order), F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), F.array(F.lit(END)))
-    return F.transform(F.slice(chars, order + 1, F.length(text) + 1), lambda c, i: F.concat(*[F.get(chars, i + k) for k in range(order)], c))
+def placed(rows: DataFrame, *columns: str, order: int = ORDER) -> DataFrame:
+    """columns and gram: an n-gram of order + 1 characters for each character of text, and for its end. A text is cut into
+    characters once and shifted copies of it are zipped, so time is in proportion to its length."""
+    own = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", ""))
+    chars = rows.select(*columns, F.concat(F.array_repeat(F.lit(START), order), own, F.array(F.lit(END))).alias("chars"), (F.length("text") + 1).alias("n_places"))
+    shifted = [F.slice("chars", k + 1, F.col("n_places")).alias(f"c{k}") for k in range(order + 1)]
+    return chars.select(*columns, F.explode(F.arrays_zip(*shifted)).alias("c")).select(*columns, F.concat(*[F.col(f"c.c{k}") for k in range(order + 1)]).alias("gram"))
 
 
 def known_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -77,7 +79,7 @@ def model(rows: DataFrame, order: int = ORDER) -> DataFrame:
 
     Counts of shorter n-grams are sums over the longer ones that end in them. A context's n-grams, and those that end alike,
     are no more than there are characters, so neither the windows nor the joins have hot keys."""
-    full = rows.select("n", "accepted", "rejected", F.explode(places(F.col("text"), order)).alias("gram")).groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "accepted", "rejected")])
+    full = placed(rows, "n", "accepted", "rejected", order=order).groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "accepted", "rejected")])
     levels = [common.materialize(full, "url-grams")]
     for _ in range(order):
         levels.insert(0, common.materialize(levels[0].groupBy(F.substring("gram", 2, order + 1).alias("gram")).agg(*[F.sum(c).alias(c) for c in ("n", "accepted", "rejected")]), "url-grams", narrow=True))
@@ -101,24 +103,26 @@ def model(rows: DataFrame, order: int = ORDER) -> DataFrame:
 def scores(rows: DataFrame, grams: DataFrame, order: int = ORDER, head: int = HEAD) -> DataFrame:
     """page_id, url_key, ratio (the sum of its n-grams' deltas, a long) of each row."""
     total = grams.agg(F.sum("n")).first()[0] or 0
-    frequent = F.broadcast(grams.where(F.col("n") * head > total).select("gram", "delta"))
-    cut = rows.select("page_id", "url_key", F.explode(places(F.col("text"), order)).alias("gram")).join(frequent, "gram", "left")
+    frequent = F.broadcast(grams.where(F.col("n") > total // head).select("gram", "delta"))
+    cut = placed(rows, "page_id", "url_key", order=order).join(frequent, "gram", "left")
     cut = cut.groupBy("page_id", "url_key", F.when(F.col("delta").isNull(), F.col("gram")).alias("gram")).agg(F.sum("delta").alias("ratio"), F.count("*").alias("times"))
     cut = common.materialize(cut, "url-places")
-    rare = cut.where("gram is not null").join(grams.where(F.col("n") * head <= total).select("gram", "delta"), "gram").select("page_id", "url_key", (F.col("delta") * F.col("times")).alias("ratio"))
+    rare = cut.where("gram is not null").join(grams.where(F.col("n") <= total // head).select("gram", "delta"), "gram").select("page_id", "url_key", (F.col("delta") * F.col("times")).alias("ratio"))
     return cut.where("gram is null").select("page_id", "url_key", "ratio").unionByName(rare).groupBy("page_id", "url_key").agg(F.sum("ratio").alias("ratio"))
 
 
 def calibrated(held: DataFrame) -> int:
     """The bucket from which on a URL is accepted: that with the greatest sum of the share of accepted held-out URLs that
-    it accepts and the share of rejected ones that it rejects; ties: the nearest to 0, then the smaller. 0 if a class is
-    missing. Buckets are as many as scores have hundredths, whatever the input."""
+    it accepts and the share of rejected ones that it rejects; ties: the nearest to 0, then the smaller. Between two buckets
+    that have URLs all are as good, so that nearest to 0 stands for them. 0 if a class is missing. Buckets are as many as scores have hundredths, whatever the input."""
     hist = held.groupBy("bucket").agg(*[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")])
     below, every = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     under = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0))
     gain = (F.sum("allow").over(every) - under("allow")) / F.sum("allow").over(every) + under("block") / F.sum("block").over(every)
-    best = hist.select("bucket", F.try_add(gain, F.lit(0.0)).alias("gain")).where("gain is not null").orderBy(F.desc("gain"), F.abs("bucket"), "bucket").first()
-    return best["bucket"] if best else 0
+    cut = F.least("bucket", F.greatest(F.lag("bucket").over(W.orderBy("bucket")) + 1, F.lit(0)))
+    classes = (F.sum("allow").over(every) > 0) & (F.sum("block").over(every) > 0)
+    best = hist.select(cut.alias("cut"), F.when(classes, gain).alias("gain")).where("gain is not null").orderBy(F.desc("gain"), F.abs("cut"), "cut").first()
+    return best["cut"] if best else 0
 
 
 def url_filters(pages: DataFrame, rules=RULES, order: int = ORDER, head: int = HEAD) -> DataFrame:
@@ -133,7 +137,7 @@ def url_filters(pages: DataFrame, rules=RULES, order: int = ORDER, head: int = H
     open_ = rows.where(F.col("rule").isNull() | F.col("held"))
     found = common.materialize(scores(open_, grams, order, head), "url-scores")
     judged = open_.join(found.withColumnsRenamed({"page_id": "__id", "url_key": "__key"}), F.col("page_id").eqNullSafe(F.col("__id")) & F.col("url_key").eqNullSafe(F.col("__key")))
-    length = F.length("text") + 1
+    length = F.length("text").cast("long") + 1
     judged = judged.withColumns({"bucket": F.floor(F.col("ratio") / (length * BUCKET)), "score": F.col("ratio") / (length * SCALE)})
     least = calibrated(judged.where("held"))
     free = judged.where("rule is null").withColumn("verdict", F.when(F.col("bucket") >= least, "allow").otherwise("block"))
@@ -180,13 +184,13 @@ WITH u AS (
 ), {grams}, s AS (
   SELECT id, CAST(sum(CAST(round((ln(pa) - ln(pr)) * {SCALE}) AS BIGINT)) AS BIGINT) AS ratio FROM cut JOIN p{ORDER} USING (gram) GROUP BY id
 ), j AS (
-  SELECT x.*, CAST(floor(CAST(ratio AS DOUBLE) / CAST((length(text) + 1) * {BUCKET} AS DOUBLE)) AS BIGINT) AS bucket FROM x JOIN s USING (id)
+  SELECT x.*, CAST(floor(CAST(ratio AS DOUBLE) / CAST(CAST(length(text) + 1 AS BIGINT) * {BUCKET} AS DOUBLE)) AS BIGINT) AS bucket FROM x JOIN s USING (id)
 ), h AS (
   SELECT bucket, count(*) FILTER (label = 'allow') AS y, count(*) FILTER (label = 'block') AS n FROM j WHERE held GROUP BY 1
 ), c AS (
-  SELECT bucket, (sum(y) OVER () - coalesce(sum(y) OVER b, 0)) / nullif(sum(y) OVER (), 0) + coalesce(sum(n) OVER b, 0) / nullif(sum(n) OVER (), 0) AS gain FROM h
+  SELECT least(bucket, greatest(lag(bucket) OVER (ORDER BY bucket) + 1, 0)) AS cut, (sum(y) OVER () - coalesce(sum(y) OVER b, 0)) / nullif(sum(y) OVER (), 0) + coalesce(sum(n) OVER b, 0) / nullif(sum(n) OVER (), 0) AS gain FROM h
   WINDOW b AS (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), least_ AS (SELECT coalesce((SELECT bucket FROM c WHERE gain IS NOT NULL ORDER BY gain DESC, abs(bucket), bucket LIMIT 1), 0) AS least)
+), least_ AS (SELECT coalesce((SELECT cut FROM c WHERE gain IS NOT NULL ORDER BY gain DESC, abs(cut), cut LIMIT 1), 0) AS least)
 SELECT page_id, host, path, rule, coalesce(label, CASE WHEN bucket >= least THEN 'allow' ELSE 'block' END) AS verdict FROM j, least_
 """
 
