@@ -34,18 +34,21 @@ def residue(blocks: DataFrame, pairs: DataFrame, side: str, key: str = "doc_id")
     return blocks.join(pairs.select(key, F.col(f"{side}_ord").alias("ord")), [key, "ord"], "left_anti")
 
 
-def bags(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, ord, word, n: the multiset of a block's lower-cased words, and size, its total."""
-    w = blocks.select(key, "ord", F.explode(T.words(F.col("text"))).alias("word")).groupBy(key, "ord", "word").agg(F.count("*").alias("n"))
+def bags(blocks: DataFrame, key: str = "doc_id", within: list[str] | None = None) -> DataFrame:
+    """key, ord, word, n: the multiset of a block's lower-cased words, and size, its total; within: more columns to keep."""
+    within = within or [key]
+    w = blocks.select(*within, "ord", F.explode(T.words(F.col("text"))).alias("word")).groupBy(*within, "ord", "word").agg(F.count("*").alias("n"))
     return w.withColumn("size", F.sum("n").over(W.partitionBy(key, "ord")))
 
 
-def bag_similarity(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
+def bag_similarity(left: DataFrame, right: DataFrame, key: str = "doc_id", within: list[str] | None = None) -> DataFrame:
     """key, left_ord, right_ord, score of blocks that share a word: sum of minima over the rest (multiset Jaccard). An
-    inverted join on words, so blocks without a common word never meet."""
-    a = bags(left, key).select(key, "word", F.col("ord").alias("left_ord"), F.col("n").alias("ln"), F.col("size").alias("ls"))
-    b = bags(right, key).select(key, "word", F.col("ord").alias("right_ord"), F.col("n").alias("rn"), F.col("size").alias("rs"))
-    met = a.join(b, [key, "word"]).groupBy(key, "left_ord", "right_ord").agg(F.sum(F.least("ln", "rn")).alias("both"), F.first("ls").alias("ls"), F.first("rs").alias("rs"))
+    inverted join on words, so blocks without a common word never meet; within: only blocks that these columns have alike
+    meet, key by default."""
+    within = within or [key]
+    a = bags(left, key, within).select(*within, "word", F.col("ord").alias("left_ord"), F.col("n").alias("ln"), F.col("size").alias("ls"))
+    b = bags(right, key, within).select(*within, "word", F.col("ord").alias("right_ord"), F.col("n").alias("rn"), F.col("size").alias("rs"))
+    met = a.join(b, [*within, "word"]).groupBy(key, "left_ord", "right_ord").agg(F.sum(F.least("ln", "rn")).alias("both"), F.first("ls").alias("ls"), F.first("rs").alias("rs"))
     return met.select(key, "left_ord", "right_ord", F.round(F.col("both") / (F.col("ls") + F.col("rs") - F.col("both")), 6).alias("score"))
 
 
@@ -70,18 +73,35 @@ def greedy_best_first(scores: DataFrame, threshold: float, key: str = "doc_id")
     """Repeatedly the best pair whose blocks are still free; ties: the smallest left, then the smallest right. The pairs
     of one document meet in one task; they are few, as only leftovers with a common word have a score."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "left_ord", "right_ord"], ascending=[False, True, True])
+    def pick(rows: list) -> list[bool]:
         left, right, keep = set(), set(), []
-        for a, b in zip(pdf["left_ord"], pdf["right_ord"], strict=True):
-            free = a not in left and b not in right
-            keep.append(free)
-            if free:
+        for _, a, b in rows:
+            keep.append(a not in left and b not in right)
+            if keep[-1]:
                 left.add(a)
                 right.add(b)
-        return pdf[keep]
+        return keep
 
-    return scores.where(F.col("score") >= threshold).groupBy(key).applyInPandas(run, scores.schema)
+    s = scores.where(F.col("score") >= threshold)
+    return flagged(s, key, [(-F.col("score")).alias("least"), "left_ord", "right_ord"], pick, "free").where("free").select(*scores.columns)
+
+
+def flagged(rows: DataFrame, key: str, order: list, flags, name: str) -> DataFrame:
+    """rows with a boolean column that flags() gives for the rows of one key, as tuples of the columns in order, in that
+    order. Keys travel as one row each in Arrow batches, which costs far less than a group each where groups are small."""
+    rest = [c for c in rows.columns if c != key]
+    n = len(order)
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row")))).alias("rows"))
+
+    def run(frames):
+        for pdf in frames:
+            found = [flags([tuple(x[f"o{i}"] for i in range(n)) for x in own]) for own in pdf["rows"]]
+            yield pd.DataFrame({key: pdf[key], "rows": [list(own) for own in pdf["rows"]], "flags": found})
+
+    kind = f"array<{listed.schema['rows'].dataType.elementType.simpleString()}>"
+    out = listed.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, rows {kind}, flags array<boolean>")
+    out = out.select(key, F.explode(F.arrays_zip("rows", "flags")).alias("x")).select(key, "x.rows.row.*", F.col("x.flags").alias(name))
+    return out.select(*rows.columns, name)
 
 
 def lis_flags(values: list) -> list[bool]:
@@ -130,12 +150,9 @@ def weighted_lis_flags(values: list, weights: list) -> list[bool]:
 def spine(pairs: DataFrame, key: str = "doc_id", weight: str | None = None) -> DataFrame:
     """pairs with on_spine: whether the pair is on the longest in-order chain of its document."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("left_ord")
-        values = pdf["right_ord"].tolist()
-        return pdf.assign(on_spine=weighted_lis_flags(values, pdf[weight].tolist()) if weight else lis_flags(values))
-
-    return pairs.groupBy(key).applyInPandas(run, ", ".join(f"{n} {t}" for n, t in pairs.dtypes) + ", on_spine boolean")
+    if weight:
+        return flagged(pairs, key, ["left_ord", "right_ord", weight], lambda rows: weighted_lis_flags([r[1] for r in rows], [r[2] for r in rows]), "on_spine")
+    return flagged(pairs, key, ["left_ord", "right_ord"], lambda rows: lis_flags([r[1] for r in rows]), "on_spine")
 
 
 def spine_gaps(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -143,24 +160,52 @@ def spine_gaps(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     return pairs.withColumn("gap_id", (F.row_number().over(W.partitionBy(key).orderBy("left_ord")) - 1).cast("long"))
 
 
+def gaps(blocks: DataFrame, anchors: DataFrame, side: str, key: str = "doc_id") -> DataFrame:
+    """Blocks that no anchor has, with gap: how many anchors on the spine come before. One window over a document."""
+    a = anchors.select(key, F.col(f"{side}_ord").alias("ord"), "on_spine")
+    before = W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    return blocks.join(a, [key, "ord"], "left").withColumn("gap", F.sum(F.coalesce(F.col("on_spine").cast("long"), F.lit(0))).over(before)).where("on_spine is null").drop("on_spine")
+
+
+def numbered_bag(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ord, bag: the words of a block as a set, the n-th occurrence of a word as a member of its own."""
+    w = blocks.select(key, "ord", F.explode(T.words(F.col("text"))).alias("w")).groupBy(key, "ord", "w").agg(F.count("*").alias("n"))
+    w = w.select(key, "ord", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat_ws("\x1f", "w", i.cast("string")))).alias("member"))
+    return w.groupBy(key, "ord").agg(F.collect_list("member").alias("bag"))
+
+
+def near_moves(left: DataFrame, right: DataFrame, key: str = "doc_id", least: float = MOVE_SCORE, words: int = MIN_MOVE_WORDS) -> DataFrame:
+    """key, left_ord, right_ord, score of leftover blocks (of so many words at least) whose bags are alike enough.
+
+    Alike blocks share one of their rarest members: of n, all but a share of least, and one more. Only these are joined, so
+    a word that all blocks of a document have brings no pairs."""
+    bags_ = numbered_bag(left.withColumn("__side", F.lit(0)), key).withColumn("side", F.lit(0)).unionByName(numbered_bag(right, key).withColumn("side", F.lit(1))).where(F.size("bag") >= words)
+    bags_ = stored(bags_, "bags")
+    members = bags_.select(key, "side", "ord", F.size("bag").alias("n"), F.explode("bag").alias("member"))
+    rare = members.withColumn("df", F.count("*").over(W.partitionBy(key, "member")))
+    rare = rare.withColumn("rank", F.row_number().over(W.partitionBy(key, "side", "ord").orderBy("df", "member"))).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    l, r = (rare.where(F.col("side") == s).select(key, "member", F.col("ord").alias(f"{name}_ord"), F.col("n").alias(f"{name}_n")) for s, name in ((0, "left"), (1, "right")))
+    met = l.join(r, [key, "member"]).where((F.col("left_n") * least <= F.col("right_n")) & (F.col("right_n") * least <= F.col("left_n"))).select(key, "left_ord", "right_ord").distinct()
+    bag = lambda s, name: bags_.where(F.col("side") == s).select(key, F.col("ord").alias(f"{name}_ord"), F.col("bag").alias(f"{name}_bag"))
+    met = met.join(bag(0, "left"), [key, "left_ord"]).join(bag(1, "right"), [key, "right_ord"])
+    both = F.size(F.array_intersect("left_bag", "right_bag"))
+    return met.select(key, "left_ord", "right_ord", F.round(both / (F.size("left_bag") + F.size("right_bag") - both), 6).alias("score")).where(F.col("score") >= least)
+
+
 def edit_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, seq, op, left_ord, right_ord, left_text, right_text that turns left into right.
 
     Unique equal blocks on the spine are Equal, off it Move; leftovers in one gap that are alike enough are Modify (greedy,
-    best first); leftovers anywhere that are nearly equal are Move too (MoveModify if their text differs); the rest is
+    best first); leftovers of three words or more anywhere that are nearly equal are MoveModify; the rest is
     Delete or Insert. seq follows the right side; a deletion follows the block before it."""
     left, right = stored(left, "left-blocks"), stored(right, "right-blocks")
     anchored = stored(spine(unique_hash_join(left, right, key).select(key, "left_ord", "right_ord"), key), "anchors")
-    on = anchored.where("on_spine")
-    rest_l, rest_r = residue(left, anchored, "left", key), residue(right, anchored, "right", key)
-    before = lambda rest, side: rest.join(on.groupBy(key).agg(F.array_sort(F.collect_list(f"{side}_ord")).alias("s")), key, "left").withColumn("gap", F.size(F.filter(F.coalesce("s", F.array().cast("array<bigint>")), lambda x: x < F.col("ord")))).drop("s")
-    gl, gr = before(rest_l, "left"), before(rest_r, "right")
-    scores = bag_similarity(rest_l, rest_r, key).join(gl.select(key, F.col("ord").alias("left_ord"), F.col("gap").alias("lg")), [key, "left_ord"]).join(gr.select(key, F.col("ord").alias("right_ord"), F.col("gap").alias("rg")), [key, "right_ord"])
-    scores = stored(scores, "scores")
-    modified = greedy_best_first(scores.where("lg = rg").select(key, "left_ord", "right_ord", "score"), PAIR_SCORE, key)
+    gl, gr = stored(gaps(left, anchored, "left", key), "left-rest"), stored(gaps(right, anchored, "right", key), "right-rest")
+    scores = bag_similarity(gl, gr, key, [key, "gap"])
+    modified = greedy_best_first(scores.select(key, "left_ord", "right_ord", "score"), PAIR_SCORE, key)
     modified = stored(spine(modified.select(key, "left_ord", "right_ord"), key).where("on_spine").select(key, "left_ord", "right_ord", F.lit("Modify").alias("op")), "modified")
-    free = scores.join(modified.select(key, "left_ord"), [key, "left_ord"], "left_anti").join(modified.select(key, "right_ord"), [key, "right_ord"], "left_anti")
-    moved = greedy_best_first(free.select(key, "left_ord", "right_ord", "score"), MOVE_SCORE, key).select(key, "left_ord", "right_ord", F.lit("MoveModify").alias("op"))
+    moves = near_moves(residue(gl, modified, "left", key), residue(gr, modified, "right", key), key)
+    moved = greedy_best_first(moves, MOVE_SCORE, key).select(key, "left_ord", "right_ord", F.lit("MoveModify").alias("op"))
     pairs = anchored.select(key, "left_ord", "right_ord", F.when(F.col("on_spine"), "Equal").otherwise("Move").alias("op")).unionByName(modified).unionByName(moved)
     l, r = left.select(key, F.col("ord").alias("left_ord"), F.col("text").alias("left_text")), right.select(key, F.col("ord").alias("right_ord"), F.col("text").alias("right_text"))
     script = l.join(pairs, [key, "left_ord"], "left").join(r, [key, "right_ord"], "full").withColumn("op", F.when(F.col("left_ord").isNull(), "Insert").when(F.col("right_ord").isNull(), "Delete").otherwise(F.col("op")))
