@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,15 +41,21 @@ def expect(actual: DataFrame, expectations: DataFrame, fields: list[str]) -> Dat
     """Match actual rows (id, fields) with expectations (rule, fields, null as a wildcard), each used once: in the order of
     their ids, rows take the most specific rule that is left, the smallest one on a tie. Rows: id, rule (null if none).
 
-    Rules are few. In rounds every row asks for its best rule; a rule promised to a row is closed to those with larger ids,
+    Rules with the same wildcards meet rows in one equi-join over their other fields. Rules are few. In rounds every row asks for its best rule; a rule promised to a row is closed to those with larger ids,
     so a round only tells the smallest id that asks for each rule, found by aggregation. No rule gathers its rows in one
     task, and rounds end when no promise changes."""
-    specific = sum((F.col(f"e.{f}").isNotNull().cast("int") for f in fields), F.lit(0))
-    same = None
-    for f in fields:
-        one = F.col(f"e.{f}").isNull() | (F.col(f"a.{f}") == F.col(f"e.{f}"))
-        same = one if same is None else same & one
-    met = stored(actual.alias("a").join(expectations.alias("e"), same).select("a.id", "e.rule", (-specific).alias("rank")), "expect-met")
+    met = None
+    masks = expectations.select(F.array(*[F.col(f).isNotNull() for f in fields]).alias("m")).distinct().collect()
+    for mask in (r["m"] for r in masks):
+        known = [f for f, there in zip(fields, mask, strict=True) if there]
+        rules = expectations.where(reduce(and_, [F.col(f).isNotNull() if f in known else F.col(f).isNull() for f in fields])).select("rule", *known)
+        # a rule without any field fits all rows: it needs no key, and is offered by one row each
+        found = actual.join(rules, known) if known else actual.withColumn("rule", F.explode(F.array(*[F.lit(r["rule"]) for r in rules.orderBy("rule").collect()])))
+        found = found.select("id", "rule", F.lit(-len(known)).alias("rank"))
+        met = found if met is None else met.unionByName(found)
+    if met is None:
+        return actual.select("id", F.lit(None).cast(dict(expectations.dtypes)["rule"]).alias("rule"))
+    met = stored(met, "expect-met")
     kinds, promised = dict(met.dtypes), {}
     while True:
         held = actual.sparkSession.createDataFrame([(r, i) for r, i in promised.items()], f"rule {kinds['rule']}, held {kinds['id']}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quirelake.functions import text as T
+from quirelake.operators import structure
 
 #: Bounds of split detection: blocks in a run, share of the block's words that the run covers, foreign words in the run.
 RUN, COVERAGE, FOREIGN = 8, 0.90, 0.34
@@ -94,19 +95,38 @@ def splits(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def table_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Row operations between two versions of tables (keys, row, cells: an array): rows with a unique equal hash are Equal
-    (Moved if they cross), leftovers are zipped in order and Modified with the columns that differ, the rest is Deleted or
-    Inserted."""
+    (Moved if they cross). Leftovers between two of the equal rows are aligned as structure.monotone_rows does it: Modified
+    with the columns that differ (Equal if none does), the rest is Deleted or Inserted. One gap of a table is in memory at a
+    time."""
     hashed = lambda df: df.withColumn("hash", F.sha2(F.to_json("cells"), 256))
     o, n = hashed(old), hashed(new)
     once = lambda df, name: df.groupBy(*keys, "hash").agg(F.count("*").alias("k"), F.min("row").alias(name)).where("k = 1").drop("k")
     same = once(o, "old_row").join(once(n, "new_row"), [*keys, "hash"])
     before = W.partitionBy(*keys).orderBy("old_row").rowsBetween(W.unboundedPreceding, -1)
     same = same.withColumn("op", F.when(F.max("new_row").over(before) > F.col("new_row"), "Moved").otherwise("Equal"))
-    rest = lambda df, col: df.join(same.select(*keys, F.col(col).alias("row")), [*keys, "row"], "left_anti").withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy("row"))).select(*keys, "nth", F.col("row").alias(col), F.col("cells").alias(f"{col}_cells"))
-    left = rest(o, "old_row").join(rest(n, "new_row"), [*keys, "nth"], "full")
-    differ = F.filter(F.sequence(F.lit(0), F.greatest(F.size("old_row_cells"), F.size("new_row_cells")) - 1), lambda i: ~F.get("old_row_cells", i).eqNullSafe(F.get("new_row_cells", i)))
-    op = F.when(F.col("old_row").isNull(), "Inserted").when(F.col("new_row").isNull(), "Deleted").otherwise("Modified")
-    left = left.select(*keys, "old_row", "new_row", op.alias("op"), F.when(op == "Modified", F.array_join(differ.cast("array<string>"), ",")).alias("columns"))
+    steady = same.where("op = 'Equal'")
+
+    def rest(df: DataFrame, side: str) -> DataFrame:
+        at = df.join(same.select(*keys, F.col(side).alias("row"), F.lit(True).alias("paired")), [*keys, "row"], "left").join(steady.select(*keys, F.col(side).alias("row"), F.lit(1).alias("anchor")), [*keys, "row"], "left")
+        at = at.withColumn("gap", F.sum(F.coalesce("anchor", F.lit(0))).over(W.partitionBy(*keys).orderBy("row").rowsBetween(W.unboundedPreceding, 0))).where("paired is null")
+        return at.groupBy(*keys, "gap").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias(side))
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for k, a, b in zip(pdf[keys].itertuples(index=False, name=None), pdf["old_row"], pdf["new_row"], strict=True):
+                a, b = ([] if x is None else list(x) for x in (a, b))
+                pairs = structure.monotone_rows([list(x["cells"]) for x in a], [list(x["cells"]) for x in b])
+                used = {i for i, _ in pairs}, {j for _, j in pairs}
+                for i, j in pairs:
+                    x, y = list(a[i]["cells"]), list(b[j]["cells"])
+                    differ = [str(c) for c in range(max(len(x), len(y))) if x[c : c + 1] != y[c : c + 1]]
+                    out.append((*k, a[i]["row"], b[j]["row"], "Modified" if differ else "Equal", ",".join(differ) or None))
+                out += [(*k, x["row"], None, "Deleted", None) for i, x in enumerate(a) if i not in used[0]] + [(*k, None, x["row"], "Inserted", None) for j, x in enumerate(b) if j not in used[1]]
+            yield pd.DataFrame(out, columns=[*keys, "old_row", "new_row", "op", "columns"]).astype({"old_row": "Int64", "new_row": "Int64"})
+
+    kinds = dict(old.dtypes)
+    left = rest(o, "old_row").join(rest(n, "new_row"), [*keys, "gap"], "full").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", old_row long, new_row long, op string, columns string")
     return same.select(*keys, "old_row", "new_row", "op", F.lit(None).cast("string").alias("columns")).unionByName(left)
 
 

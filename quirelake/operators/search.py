@@ -41,8 +41,9 @@ def first_per(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def grep_first(blocks: DataFrame, pattern: str, mode: str = "char", width: int = 80) -> DataFrame:
     """The first match of a pattern in each block, with its start and context. Built-in functions only."""
-    out = blocks.where(F.col("text").rlike(pattern)).withColumn("match", F.regexp_extract("text", f"({pattern})", 1))
-    out = out.withColumn("start", F.expr("instr(text, match)").cast("int") - 1)
+    out = blocks.where(F.col("text").rlike(pattern)).withColumn("match", F.regexp_extract("text", pattern, 0))
+    # what stands before the first place where the pattern fits; a look-ahead adds no group, so back-references hold
+    out = out.withColumn("start", F.length(F.regexp_extract("text", f"^(?s:.*?)(?={pattern})", 0)))
     end = F.col("start") + F.length("match")
     return out.withColumn("before", T.before_context(F.col("text"), F.col("start"), mode, width)).withColumn("after", T.after_context(F.col("text"), end, mode, width))
 

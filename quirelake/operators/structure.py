@@ -14,6 +14,8 @@ from quirelake.operators import align
 
 #: The bit of each scope.
 SCOPES = {"body": 1, "headers": 2, "footers": 4, "footnotes": 8, "endnotes": 16, "comments": 32}
+#: Fixed value: begins the mark of an interruption; valid XML text can't hold its first character.
+INTERRUPTION = "\x01iw:"
 #: Severities, the gravest first.
 SEVERITIES = ("error", "warning", "info")
 
@@ -62,7 +64,7 @@ def before_reversed(nodes: DataFrame, parent: list[str], ord_: str, id_: str) ->
 
 def xpath_single(xml, path: str):
     """A struct of value and error: the text of the one node that the path selects; none or several are errors."""
-    found = F.expr(f"xpath({xml}, '{path}/text()')")
+    found = F.xpath(xml, F.lit(f"{path}/text()"))
     n = F.size(found)
     return F.struct(F.when(n == 1, F.element_at(found, 1)).alias("value"), F.when(n == 0, "none").when(n > 1, "several").alias("error"))
 
@@ -87,7 +89,7 @@ def simplify(inlines: DataFrame, by: list[str], drop: tuple = (), tabs: bool = T
 
 def interrupted(tokens: DataFrame, by: list[str]) -> DataFrame:
     """tokens (by, ord, kind, key, start, end) with match_key: words that an atom without width parts, and nothing else,
-    have the atoms' keys after their own, on both sides of the atoms.
+    have a mark after their own key, on both sides of the atoms: a character that no text has, and the atoms' keys.
 
     Atoms in a row form one island with the words that touch it; a word between two islands has both marks."""
     here = W.partitionBy(*by).orderBy("ord")
@@ -96,7 +98,7 @@ def interrupted(tokens: DataFrame, by: list[str]) -> DataFrame:
     begins = ~touches | (F.lag("kind").over(here) != "atom") | ~atom
     t = tokens.withColumn("__touch", touches).withColumn("__island", F.when(atom, F.sum(F.when(atom & F.coalesce(begins, F.lit(True)), 1).otherwise(0)).over(here.rowsBetween(W.unboundedPreceding, 0))))
     marks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"]), "")
-    island = t.where("__island is not null").groupBy(*by, "__island").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.min("start").alias("from"), F.max("end").alias("to"), marks.alias("mark"))
+    island = t.where("__island is not null").groupBy(*by, "__island").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.min("start").alias("from"), F.max("end").alias("to"), F.concat(F.lit(INTERRUPTION), marks).alias("mark"))
     words = t.where("kind = 'word'").select(*by, "ord", "start", "end")
     left = words.select(*by, (F.col("ord") + 1).alias("lo"), F.col("end").alias("from"))
     right = words.select(*by, (F.col("ord") - 1).alias("hi"), F.col("start").alias("to"))
@@ -199,10 +201,9 @@ def note_alignment(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def aligned_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """key, left_row, right_row of two tables' rows (key, row, cells) on a chain of the greatest total likeness; a pair's
-    likeness is the share of places with equal cells. Pairs without an equal cell aren't made; rows of one number stand by
-    their cells. The rows of one table
-    meet in one task, in time and memory of one side's rows times the other's."""
+    """key, left_row, right_row of two tables' rows (key, row, cells) on the chain that leaves the fewest rows unpaired, and
+    of those is the likest; see monotone_rows. Rows of one number stand by their cells. The rows of one table meet in one
+    task, in time and memory of the shorter side times the difference of the two, up to ROW_CELLS."""
 
     def run(batches):
         for pdf in batches:
@@ -213,21 +214,39 @@ def aligned_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return rows(left, "l").join(rows(right, "r"), key).mapInPandas(run, f"{key} {dict(left.dtypes)[key]}, left_row long, right_row long")
 
 
+#: Places of one table of rows; gaps that need a larger one are paired from the top.
+ROW_CELLS = 1_000_000
+#: What two equal rows are alike, and what a row of displacement costs.
+ALIKE, DISPLACED = 1000, 100
+
+
+def likeness(a: list, b: list) -> int:
+    return ALIKE * sum(x == y for x, y in zip(a, b)) // max(len(a), len(b), 1)
+
+
 def monotone_rows(a: list[list], b: list[list]) -> list[tuple[int, int]]:
-    alike = [[sum(x == y for x, y in zip(r, s)) / max(len(r), len(s), 1) for s in b] for r in a]
-    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a)):
-        for j in range(len(b)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + alike[i][j])
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
+    """Pairs of places in order. All rows of the shorter side are paired, so the i-th of them goes with one of the i-th to
+    the (i + surplus)-th of the other: a band, in which the total of likeness less displacement is made greatest. Ties go to
+    the later place. A band of more than ROW_CELLS places isn't searched: rows are then paired from the top."""
+    if len(a) > len(b):
+        return [(i, j) for j, i in monotone_rows(b, a)]
+    surplus = len(b) - len(a)
+    if len(a) * (surplus + 1) > ROW_CELLS:
+        return [(i, i) for i in range(len(a))]
+    best, came = [0] * (surplus + 1), []
+    for i, row in enumerate(a):
+        top, at, total, back = None, 0, [], []
+        for d in range(surplus + 1):
+            if top is None or best[d] >= top:
+                top, at = best[d], d
+            total.append(top + likeness(row, b[i + d]) - DISPLACED * d)
+            back.append(at)
+        best = total
+        came.append(back)
+    out, d = [], max(range(surplus + 1), key=lambda d: (best[d], d))
+    for i in range(len(a) - 1, -1, -1):
+        out.append((i, i + d))
+        d = came[i][d]
     return out[::-1]
 
 
@@ -235,10 +254,12 @@ def monotone_rows(a: list[list], b: list[list]) -> list[tuple[int, int]]:
 
 
 def finding_order(findings: DataFrame, by: list[str]) -> DataFrame:
-    """findings (severity, code, location) with place: the gravest first, then by code and location; unknown severities last."""
+    """findings (severity, code, part, location, finding_id) with place: the gravest first, then by code, owning part (none
+    first), location and id; unknown severities last."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     rank = F.when(rank == 0, len(SEVERITIES) + 1).otherwise(rank)
-    return findings.withColumn("place", (F.row_number().over(W.partitionBy(*by).orderBy(rank.asc_nulls_last(), "code", "location")) - 1).cast("long"))
+    order = [rank.asc_nulls_last(), "code", F.col("part").asc_nulls_first(), "location", "finding_id"]
+    return findings.withColumn("place", (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
 
 
 def fill_order(matches: DataFrame, by: list[str]) -> DataFrame:

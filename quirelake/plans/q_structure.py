@@ -142,11 +142,11 @@ def aligned_table_rows(spark, sf):
 
 def _findings(spark, sf):
     e = load(spark, sf, "events")
-    return e.select("user_id", F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "warning").when(F.col("event_type") == "view", "note").otherwise("info").alias("severity"), F.col("event_type").alias("code"), F.col("event_id").alias("location"))
+    return e.select("user_id", F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "warning").when(F.col("event_type") == "view", "note").otherwise("info").alias("severity"), F.col("event_type").alias("code"), F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("part"), (F.col("event_id") % 3).cast("string"))).alias("part"), F.floor(F.col("event_id") / 4).alias("location"), F.col("event_id").alias("finding_id"))
 
 
 def finding_order(spark, sf):
-    return S.finding_order(_findings(spark, sf), ["user_id"]).select("user_id", "location", "severity", "place")
+    return S.finding_order(_findings(spark, sf), ["user_id"]).select("user_id", "finding_id", "severity", "place")
 
 
 def comparison_log(spark, sf):
@@ -224,7 +224,7 @@ ORACLES = {
       m AS (SELECT doc_id, block, format, island, min(i) AS i, string_agg(t, '' ORDER BY i) AS text FROM g GROUP BY ALL)
       SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY i) - 1 AS run, format, text FROM m""",
     "interrupted_words": f"""WITH {BLOCKS}, w AS (SELECT doc_id, ord AS block, string_split(text, ' ') AS s FROM blocks WHERE regexp_matches(text, '^[^ ]+ [^ ]{{2,}} '))
-      SELECT doc_id, block, CAST(i AS BIGINT) AS ord, CASE i WHEN 0 THEN s[1] WHEN 1 THEN ' ' WHEN 2 THEN left(s[2], 1) || '^' WHEN 3 THEN '^' ELSE substr(s[2], 2) || '^' END AS match_key FROM w, range(5) AS t(i)""",
+      SELECT doc_id, block, CAST(i AS BIGINT) AS ord, CASE i WHEN 0 THEN s[1] WHEN 1 THEN ' ' WHEN 2 THEN left(s[2], 1) || chr(1) || 'iw:^' WHEN 3 THEN '^' ELSE substr(s[2], 2) || chr(1) || 'iw:^' END AS match_key FROM w, range(5) AS t(i)""",
     "format_aware_pairs": f"WITH {FORMATTED} SELECT doc_id, left_ord, right_ord, kind FROM fp",
     "unexplained_relocations": f"WITH {FORMATTED} SELECT doc_id, left_ord AS before, right_ord + 1 AS after FROM fp WHERE doc_id % 7 = 0 AND left_ord <> right_ord + 1",
     "insert_id_merge": f"""WITH {BLOCKS}, s AS (SELECT CAST(item_id AS VARCHAR) AS id, i, string_split(text, ' ')[i] AS t FROM benchmark, LATERAL unnest(range(1, len(string_split(text, ' ')) + 1)) AS u(i)),
@@ -232,7 +232,7 @@ ORACLES = {
       SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, i) - 1 AS ord, sha256(text) AS hash FROM m""",
     "session_diff": f"""WITH {REVISED}, j AS (SELECT coalesce(b.doc_id, v.doc_id) AS doc_id, coalesce(b.ord, v.ord) AS anchor, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN v.doc_id IS NULL THEN 'removed' WHEN b.text <> v.text THEN 'modified' END AS change
       FROM blocks b FULL JOIN rev v ON b.doc_id = v.doc_id AND b.ord = v.ord) SELECT * FROM j WHERE change IS NOT NULL""",
-    "finding_order": f"WITH {FINDINGS} SELECT user_id, location, severity, row_number() OVER (PARTITION BY user_id ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 WHEN 'info' THEN 3 ELSE 4 END, code, location) - 1 AS place FROM f",
+    "finding_order": f"WITH {FINDINGS} SELECT user_id, location AS finding_id, severity, row_number() OVER (PARTITION BY user_id ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 WHEN 'info' THEN 3 ELSE 4 END, code, CASE location % 3 WHEN 0 THEN '' ELSE 'part' || location % 3 END, location // 4, location) - 1 AS place FROM f",
     "comparison_log": f"WITH {FINDINGS} SELECT user_id, count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info, bool_or(severity = 'warning') AS has_warnings, bool_or(severity = 'error') AS has_errors FROM f GROUP BY 1",
     "fill_order": "SELECT l_orderkey, l_returnflag AS anchor, CAST(l_linenumber AS BIGINT) AS start, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag DESC, l_linenumber DESC) - 1 AS turn FROM lineitem",
     "revision_registry": f"WITH {REGISTRY} SELECT doc_id, ord, revision_id, family, status FROM reg",
