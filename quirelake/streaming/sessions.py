@@ -54,11 +54,46 @@ def windowed_counts(log: DataFrame, time: str, by: list[str], size: str = "5 min
     return log.withWatermark(time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
 
 
-def overlay(upsert: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that applies each batch's last change per key, so that a batch that is run again after a
-    failure changes nothing more. upsert gets (key columns, values, op)."""
+def session_windows(log: DataFrame, time: str, by: list[str], gap: str, late: str) -> DataFrame:
+    """Sessions of each key: events less than a gap apart. A session is given out once the watermark has passed its end; a row
+    whose own window ends before the watermark is dropped as late, and isn't in any count."""
+    w = F.session_window(time, gap)
+    return log.withWatermark(time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
+
+
+def late_rows(log: DataFrame, sessions: DataFrame, by: list[str]) -> DataFrame:
+    """by, n_late: how many rows of each key are in none of its sessions, given all of both."""
+    there = sessions.groupBy(*by).agg(F.sum("n").alias("counted"))
+    return log.groupBy(*by).agg(F.count("*").alias("n")).join(there, by, "left").select(*by, (F.col("n") - F.coalesce("counted", F.lit(0))).alias("n_late"))
+
+
+# Overlays -------------------------------------------------------------------------------------------------------------
+
+
+def overlay(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that adds one version to an overlay: the last change per key of the batch.
+
+    A batch is written to a folder of its own epoch and overwrites what an attempt before has left there, so a batch that is
+    run again after a failure, or is handed over twice, changes nothing. Nothing that is there is read or written anew."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        upsert(batch.withColumn("epoch", F.lit(epoch)))
+        rest = [c for c in batch.columns if c not in keys]
+        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("x")).select(*keys, "x.*")
+        last.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/epoch={epoch}")
 
     return sink
+
+
+def overlaid(versions: DataFrame, keys: list[str], order: str, removed: str) -> DataFrame:
+    """What stands after all versions of an overlay, or those up to an epoch that versions has been filtered by: the last
+    change of each key unless the column removed says so. An aggregation with a map-side half; ties go to the later epoch."""
+    rest = [c for c in versions.columns if c not in (*keys, "epoch")]
+    last = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, "epoch")).alias("x")).select(*keys, "x.*")
+    return last.where(~F.coalesce(F.col(removed), F.lit(False))).drop(removed)
+
+
+def folded(versions: DataFrame, keys: list[str], order: str, epoch: int) -> DataFrame:
+    """Versions up to an epoch as one, removals kept, so that old epochs can be replaced by it."""
+    rest = [c for c in versions.columns if c not in (*keys, "epoch")]
+    old = versions.where(F.col("epoch") <= epoch).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, "epoch")).alias("x")).select(*keys, "x.*")
+    return old.withColumn("epoch", F.lit(epoch)).unionByName(versions.where(F.col("epoch") > epoch))
