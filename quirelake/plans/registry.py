@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import q_blocks, q_compose, q_css, q_search, q_sheets, q_verify, q_document, q_edits, q_streams, q_layout, q_lineage, q_package, q_runs, q_script, q_structure
+from quirelake.plans import q_blocks, q_compose, q_css, q_search, q_sheets, q_verify, q_document, q_edits, q_streams, q_layout, q_lineage, q_package, q_rules, q_runs, q_script, q_structure
 
-MODULES = (q_blocks, q_compose, q_css, q_search, q_sheets, q_verify, q_document, q_edits, q_streams, q_layout, q_lineage, q_package, q_runs, q_script, q_structure)
+MODULES = (q_blocks, q_compose, q_css, q_search, q_sheets, q_verify, q_document, q_edits, q_streams, q_layout, q_lineage, q_package, q_rules, q_runs, q_script, q_structure)
 
 
 def queries() -> dict:
