@@ -27,7 +27,7 @@ KINDS = ("every", "good", "toxic")
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, A to E (1: the filter fails the document), good and toxic, one row for each row of docs.
 
-    A null text is empty, a null lang the part ''. A document is good or toxic if any of its labels says so. E compares
+    A null text is empty, a null lang the part ''. A document is good or toxic if any of its labels says so; one without an id has none. E compares
     texts by SHA-256: a row fails it if a smaller doc_id has its text. A null doc_id is neither smaller nor larger than
     another; rows that repeat the smallest one of a text all pass. The hash's smallest id comes from an aggregation and is
     looked up by hash and id together, so a text that a third of all rows have is dealt over all tasks."""

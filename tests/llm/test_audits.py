@@ -121,7 +121,7 @@ def audited(docs, labels):
     for i, text, _ in docs:
         if i is not None:
             first[text or ""] = min(i, first.get(text or "", i))
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, toxic = ({i for i, *v in labels if i is not None and v[k] == 1} for k in (0, 1))  # a null id has no labels
     out = []
     parts = collections.defaultdict(list)
     for i, text, lang in docs:
