@@ -262,3 +262,29 @@ def version(script: DataFrame, side: str, key: str = "doc_id") -> DataFrame:
         F.struct(F.array_append(a["done"], F.concat(a["open"], c[side])).alias("done"), F.lit("").alias("open"))), lambda a: a["done"])
     blocks = script.select(key, F.explode(F.arrays_zip(F.col(f"{side}_ords").alias("ord"), F.when(F.col("op") == "CrossParagraphRun", told).otherwise(F.col(f"{side}_texts")).alias("text"))).alias("b"))
     return blocks.select(key, (F.row_number().over(W.partitionBy(key).orderBy("b.ord")) - 1).cast("long").alias("ord"), F.col("b.text").alias("text"))
+
+
+# Exports --------------------------------------------------------------------------------------------------------------
+
+CELL = "array<struct<left:string,right:string,mark:string>>"
+RECORD = f"array<struct<seq:long,op:string,left_ords:array<long>,right_ords:array<long>,left_texts:array<string>,right_texts:array<string>,cells:{CELL}>>"
+
+
+def script_json(script: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, json of each document's script: its operations in order; fields without a value aren't written."""
+    row = F.struct("seq", "op", "left_ords", "right_ords", "left_texts", "right_texts", "cells")
+    return script.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("json"))
+
+
+def script_from_json(table: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The script of script_json again; a json that isn't one gives no rows."""
+    return table.select(key, F.explode(F.from_json("json", RECORD)).alias("x")).select(key, "x.*")
+
+
+def scoped_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
+    """full_script of each scope of a document by itself (left and right have a column scope: body, headers, footers,
+    notes), so a block never moves from one to another; with key and scope instead of one key."""
+    unit = F.concat_ws("\x1f", F.col("scope"), F.col(key).cast("string"))
+    cut = full_script(left.withColumn("__unit", unit), right.withColumn("__unit", unit), "__unit")
+    parts = F.split("__unit", "\x1f")
+    return cut.withColumns({"scope": parts[0], key: parts[1].cast(dict(left.dtypes)[key])}).drop("__unit")

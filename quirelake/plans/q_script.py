@@ -64,7 +64,29 @@ def script_both_versions(spark, sf):
     return told("left").unionByName(told("right"))
 
 
-QUERIES = {f.__name__: f for f in (script_kinds, script_structure_found, script_both_versions)}
+def script_json_versions(spark, sf):
+    """Digest of each version as it comes from the script after it has been written as JSON and read again."""
+    _, _, s = _script(spark, sf)
+    again = script.script_from_json(script.script_json(s))
+    told = lambda side: script.version(again, side).groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n"), 256).alias("digest")).withColumn("side", F.lit(side))
+    return told("left").unionByName(told("right"))
+
+
+def scoped_script_ops(spark, sf):
+    """First blocks are headers, last ones footers and the rest the body. In the new version headers are marked, and the
+    second block is gone where there are three or more and no text is repeated."""
+    b = blocks(load(spark, sf, "documents"))
+    w = W.partitionBy("doc_id")
+    b = b.withColumns({"n": F.count("*").over(w), "kinds": F.size(F.collect_set("hash").over(w))}).where("n >= 3 and kinds = n")
+    scope = F.when(F.col("ord") == 0, "headers").when(F.col("ord") == F.col("n") - 1, "footers").otherwise("body")
+    left = b.select("doc_id", "ord", scope.alias("scope"), "text", "hash")
+    text = F.when(F.col("scope") == "headers", F.lit("an entirely other header")).otherwise(F.col("text"))
+    right = left.where("ord <> 1").withColumn("text", text).withColumn("hash", F.sha2("text", 256))
+    s = script.scoped_script(left, right)
+    return s.groupBy("doc_id", "scope", "op").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (script_kinds, script_structure_found, script_both_versions, script_json_versions, scoped_script_ops)}
 
 LONG = "len({0}) >= 12 AND len(list_distinct({0})) = len({0}) AND NOT list_contains({0}, '')"
 REWORKED = BLOCKS + f""", cut AS (
@@ -85,3 +107,10 @@ SELECT doc_id, max(CASE WHEN ord = 1 THEN '1' END) AS split, max(CASE WHEN ord =
 SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY ord)) AS digest, 'left' AS side FROM blocks GROUP BY doc_id
 UNION ALL SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY ord, part)), 'right' FROM rev WHERE text IS NOT NULL GROUP BY doc_id""",
 }
+ORACLES["script_json_versions"] = ORACLES["script_both_versions"]
+ORACLES["scoped_script_ops"] = f"""WITH {BLOCKS}, d AS (
+  SELECT doc_id, count(*) AS n, max(ord) AS last FROM blocks GROUP BY doc_id HAVING count(*) >= 3 AND count(DISTINCT hash) = count(*)
+), o AS (
+  SELECT doc_id, unnest([{{'s': 'headers', 'o': 'Delete', 'n': 1}}, {{'s': 'headers', 'o': 'Insert', 'n': 1}}, {{'s': 'body', 'o': 'Delete', 'n': 1}}, {{'s': 'body', 'o': 'Equal', 'n': n - 3}}, {{'s': 'footers', 'o': 'Equal', 'n': 1}}]) AS x FROM d
+)
+SELECT doc_id, x.s AS scope, x.o AS op, CAST(x.n AS BIGINT) AS n FROM o WHERE x.n > 0"""
