@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from quirelake.functions import numbers as N
 from quirelake.functions import text as T
 from quirelake.operators import cascade, export, template, windows
-from quirelake.plans.q_blocks import BLOCKS
+from quirelake.plans.q_blocks import BLOCKS, WORDS
 from quirelake.sources.tables import blocks, load
 
 
@@ -246,3 +246,5 @@ ORACLES = {
     "canonical_json_digest": """WITH j AS (SELECT o_orderkey, '{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}' AS json FROM orders) SELECT *, sha256(json) AS digest FROM j""",
     "compatibility_features": " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST(sum(len(regexp_extract_all(html, '{x}'))) AS BIGINT) AS n FROM pages" for f, x in (("table", "<table"), ("script", "<script"), ("bold", "<b>"), ("video", "<video"))),
 }
+ORACLES["edit_summary"] = f"""WITH {BLOCKS}
+SELECT doc_id, count(*) AS anchors, count(*) FILTER (regexp_matches(text, '_{{3,}}')) AS blank_runs, count(*) FILTER (trim(text, ' ') = '') AS empty, CAST(sum(len({WORDS.format('text')})) AS BIGINT) AS words FROM blocks GROUP BY doc_id"""

@@ -198,3 +198,11 @@ ORACLES = {
     "ordered_row_numbers": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row_no FROM orders",
     "note_id_order": "WITH p AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'n' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS id, s_nationkey FROM supplier) SELECT id, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY try_cast(id AS INTEGER) NULLS LAST, id) AS nth FROM p",
 }
+ORACLES["unit_lengths"] = """WITH p AS (
+  SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, ['pt', 'px', 'in', 'cm', 'mm', 'pc', 'em'][p_partkey % 7 + 1] AS unit FROM part
+)
+SELECT p_partkey, unit, round(CASE unit WHEN 'pt' THEN x * 20 WHEN 'px' THEN x * 15 WHEN 'in' THEN x * 1440 WHEN 'cm' THEN x * (1440 / 2.54::DOUBLE) WHEN 'mm' THEN x * (144 / 2.54::DOUBLE) WHEN 'pc' THEN x * 240 END, 4) AS twips,
+  (p_partkey // 65536 % 256) || ',' || (p_partkey // 256 % 256) || ',' || (p_partkey % 256) AS rgb FROM p"""
+_COLUMNS = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+            "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]}
+ORACLES["column_metrics"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS n, count(DISTINCT {c}) AS n_distinct FROM {t}" for t, columns in _COLUMNS.items() for c in columns)
