@@ -244,3 +244,10 @@ ORACLES = {
       m AS (SELECT page_id, string_agg('{#p:body:' || pos || '} ' || CASE WHEN starts_with(b, '<h1') THEN '# ' || regexp_extract(b, '>([^<]*)<', 1) ELSE regexp_replace(regexp_extract(b, '>([^<]*)<', 1), '([*_`#])', '\\\1', 'g') END, chr(10) || chr(10) ORDER BY pos) AS md FROM e GROUP BY 1)
       SELECT page_id, CAST(length(md) AS BIGINT) AS n_chars, sha256(md) AS md_hash FROM m""",
 }
+ORACLES["grep_spans"] = f"""WITH RECURSIVE {BLOCKS}, m AS (
+  SELECT doc_id, ord, text, regexp_extract_all(text, '([A-Z])[a-z]*, ([a-z]+)') AS ms FROM blocks
+), r AS (
+  SELECT doc_id, ord, text, ms, 1 AS i, CAST(instr(text, ms[1]) - 1 AS BIGINT) AS start FROM m WHERE len(ms) > 0
+  UNION ALL SELECT doc_id, ord, text, ms, i + 1, CAST(start + length(ms[i]) + instr(substr(text, start + length(ms[i]) + 1), ms[i + 1]) - 1 AS BIGINT) FROM r WHERE i < len(ms)
+)
+SELECT doc_id, ord, start, start + length(ms[i]) AS "end", ms[i] AS match, left(ms[i], 1) || '|' || regexp_extract(ms[i], '([A-Z])[a-z]*, ([a-z]+)', 2) AS groups FROM r"""
