@@ -23,7 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: what is used more than once is computed once, and
-    outlives lost executors."""
+    outlives lost executors.
+
+    A file that compresses well says nothing about its rows: joins with the table are shuffled, never broadcast for the size
+    of its files, which the driver would have to hold as rows."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
+from quirelake.operators import align, compose, layout
+from quirelake.sources.store import stored
 
 
 def test_occurrences_read_a_long_text_once(spark):
@@ -17,3 +21,55 @@ def test_occurrences_read_a_long_text_once(spark):
     n = len("ab aba ") * 60_000
     assert got == {1: [1, 8, 15], 2: [n], 3: [n + 5, n + 6], 4: [0, 1], 5: [], 6: [], 7: [], 8: [1]}
     assert time.time() - began < 20
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_tables_are_not_broadcast_for_small_files(spark):
+    table = stored(spark.range(100_000).select("id", (F.col("id") % 3).alias("x")), "small-file")
+    for kind in ("inner", "left", "left_semi", "left_anti"):
+        assert "Broadcast" not in plan(spark.range(10).select("id", F.lit("a").alias("y")).join(table.where("x > 0"), "id", kind))
+
+
+def test_similarities_of_blocks_without_a_row_for_each_pair(spark):
+    r = random.Random(7)
+    texts = lambda: [" ".join(["the", "of", "and", *(f"w{r.randint(0, 40)}" for _ in range(r.randint(0, 5))), "the"]) for _ in range(400)] + ["", "- - -", "one two"]
+    a, b = texts(), texts()
+    frame = lambda t: spark.createDataFrame([(1, i, x) for i, x in enumerate(t)], "doc_id long, ord long, text string")
+    words = lambda t: [x for x in t.split(" ") if x.strip("-")]
+
+    def brute(numbered, least, least_words):
+        bag = (lambda t: Counter(words(t))) if numbered else (lambda t: Counter(set(words(t))))
+        out = {}
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                both = (bag(x) & bag(y)).total()
+                score = round(both / max(1, bag(x).total() + bag(y).total() - both), 6)
+                if both and score >= least and min(len(words(x)), len(words(y))) >= least_words:
+                    out[i, j] = score
+        return out
+
+    got = lambda df: {(x["left_ord"], x["right_ord"]): x["score"] for x in df.collect()}
+    sets, bags = align.set_similarity(frame(a), frame(b), least=0.5), align.bag_similarity(frame(a), frame(b), least=0.35)
+    assert got(sets) == brute(False, 0.5, 3) and got(bags) == brute(True, 0.35, 1)
+    assert "word" not in " ".join(x for x in plan(sets).split("\n") if "Join" in x)
+
+
+def test_splits_of_many_small_documents_go_in_batches(spark):
+    rows = [(d, 0, "a b c d e f g h i j k l") for d in range(50)]
+    parts = [(d, o, t) for d in range(50) for o, t in enumerate(["x y z", "a b c d e f", "", "g h i j k l"] if d % 2 else ["a b c d e f", "g h i j k l"])]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, ord long, text string")
+    found = layout.splits(frame(rows), frame(parts))
+    assert {tuple(x) for x in found.collect()} == {(d, 0, d % 2, 3 if d % 2 else 1) for d in range(50)}
+    assert "CoGroup" not in plan(found)
+
+
+def test_word_edits_are_found_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(compose, "stored", lambda df, name: calls.append(name) or stored(df, name))
+    base = spark.createDataFrame([(1, 0, "a b c d e f", "h")], "doc_id long, ord long, text string, hash string")
+    versions = spark.createDataFrame([(1, n, 0, t, f"h{n}") for n, t in ((1, "x b c d e f"), (2, "a b c d e y"))], "doc_id long, reviewer int, ord long, text string, hash string")
+    out = compose.consolidated(base, versions, "baseWins").collect()
+    assert [(x["text"], x["status"]) for x in out] == [("x b c d e y", "composed")] and "word-edits" in calls
