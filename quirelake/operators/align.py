@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,31 +36,82 @@ def residue(blocks: DataFrame, pairs: DataFrame, side: str, key: str = "doc_id")
     return blocks.join(pairs.select(key, F.col(f"{side}_ord").alias("ord")), [key, "ord"], "left_anti")
 
 
-def bags(blocks: DataFrame, key: str = "doc_id", within: list[str] | None = None) -> DataFrame:
-    """key, ord, word, n: the multiset of a block's lower-cased words, and size, its total; within: more columns to keep."""
-    within = within or [key]
-    w = blocks.select(*within, "ord", F.explode(T.words(F.col("text"))).alias("word")).groupBy(*within, "ord", "word").agg(F.count("*").alias("n"))
-    return w.withColumn("size", F.sum("n").over(W.partitionBy(key, "ord")))
+def common_words(left: list[list[str]], right: list[list[str]], numbered: bool, least: float) -> Iterator[tuple]:
+    """(left place, right places, words both have, left size, right sizes) of blocks, given as words, that share one and whose
+    likeness is least or more: a block's words count as often as they occur, or once each if they aren't numbered.
+
+    Right blocks are listed by word; a left block adds up the lists of its words. Memory is that of the words."""
+
+    def members(words: list[str]) -> list:
+        if not numbered:
+            return list(dict.fromkeys(words))
+        seen: Counter = Counter()
+        out = []
+        for w in words:
+            out.append((w, seen[w]))
+            seen[w] += 1
+        return out
+
+    ids: dict = {}
+    own = [[ids.setdefault(m, len(ids)) for m in members(w)] for w in right]
+    sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+    flat = np.fromiter((x for o in own for x in o), dtype=np.int64, count=int(sizes.sum()))
+    places = np.repeat(np.arange(len(own)), sizes)[np.argsort(flat, kind="stable")]
+    ends = np.cumsum(np.bincount(flat, minlength=len(ids)))
+    starts = np.concatenate([[0], ends[:-1]])
+    for i, words in enumerate(left):
+        mine = members(words)
+        lists = [places[starts[x] : ends[x]] for x in (ids.get(m) for m in mine) if x is not None]
+        if lists:
+            both = np.bincount(np.concatenate(lists), minlength=len(own))
+            # scores are rounded to six digits before they are held against a threshold
+            at = np.flatnonzero((both > 0) & (both >= (least - 1e-6) * (len(mine) + sizes - both)))
+            if len(at):
+                yield i, at, both[at], len(mine), sizes[at]
+
+
+def listed_words(blocks: DataFrame, within: list[str], name: str, least_words: int = 1) -> DataFrame:
+    """within, <name>_ords, <name>_words: the blocks of so many words at least, one row for each value of within."""
+    b = blocks.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("ord", T.words(F.col("text")).alias("w")))).alias("b"))
+    b = b.withColumn("b", F.filter("b", lambda x: F.size(x["w"]) >= least_words))
+    return b.select(*within, F.col("b.ord").alias(f"{name}_ords"), F.col("b.w").alias(f"{name}_words"))
+
+
+def _similarity(left: DataFrame, right: DataFrame, key: str, within: list[str], numbered: bool, least: float, least_words: int) -> DataFrame:
+    both = listed_words(left, within, "left", least_words).join(listed_words(right, within, "right", least_words), within)
 
-
-def bag_similarity(left: DataFrame, right: DataFrame, key: str = "doc_id", within: list[str] | None = None) -> DataFrame:
-    """key, left_ord, right_ord, score of blocks that share a word: sum of minima over the rest (multiset Jaccard). An
-    inverted join on words, so blocks without a common word never meet; within: only blocks that these columns have alike
-    meet, key by default."""
-    within = within or [key]
-    a = bags(left, key, within).select(*within, "word", F.col("ord").alias("left_ord"), F.col("n").alias("ln"), F.col("size").alias("ls"))
-    b = bags(right, key, within).select(*within, "word", F.col("ord").alias("right_ord"), F.col("n").alias("rn"), F.col("size").alias("rs"))
-    met = a.join(b, [*within, "word"]).groupBy(key, "left_ord", "right_ord").agg(F.sum(F.least("ln", "rn")).alias("both"), F.first("ls").alias("ls"), F.first("rs").alias("rs"))
+    def run(frames):
+        for pdf in frames:
+            rows, n = [], 0
+            for k, lo, lw, ro, rw in zip(pdf[key], pdf["left_ords"], pdf["left_words"], pdf["right_ords"], pdf["right_words"], strict=True):
+                for i, at, shared, size, sizes in common_words(list(lw), list(rw), numbered, least):
+                    rows.append((k, lo[i], np.asarray(ro)[at], shared, size, sizes))
+                    n += len(at)
+                    if n >= 100_000:
+                        yield frame(rows)
+                        rows, n = [], 0
+            yield frame(rows)
+
+    def frame(rows: list) -> pd.DataFrame:
+        n = [len(x[2]) for x in rows]
+        flat = lambda c: np.concatenate([x[c] for x in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+        one = lambda c: [x[c] for x, m in zip(rows, n, strict=True) for _ in range(m)]
+        return pd.DataFrame({key: one(0), "left_ord": one(1), "right_ord": flat(2), "both": flat(3), "ls": one(4), "rs": flat(5)})
+
+    met = both.select(key, "left_ords", "left_words", "right_ords", "right_words").mapInPandas(run, f"{key} {dict(left.dtypes)[key]}, left_ord long, right_ord long, both long, ls long, rs long")
     return met.select(key, "left_ord", "right_ord", F.round(F.col("both") / (F.col("ls") + F.col("rs") - F.col("both")), 6).alias("score"))
 
 
-def set_similarity(left: DataFrame, right: DataFrame, key: str = "doc_id", least_words: int = MIN_MOVE_WORDS) -> DataFrame:
+def bag_similarity(left: DataFrame, right: DataFrame, key: str = "doc_id", within: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """key, left_ord, right_ord, score of blocks that share a word and score least or more: sum of minima over the rest
+    (multiset Jaccard). within: only blocks that these columns have alike meet, key by default; they are one row, and pairs
+    below least, which a word that all blocks have would bring, never leave the kernel."""
+    return _similarity(left, right, key, within or [key], True, least, 1).where(F.col("score") >= least)
+
+
+def set_similarity(left: DataFrame, right: DataFrame, key: str = "doc_id", least_words: int = MIN_MOVE_WORDS, least: float = 0.0) -> DataFrame:
     """As bag_similarity, on sets of words, for blocks of at least so many words."""
-    sets = lambda df, name: df.select(key, F.col("ord").alias(f"{name}_ord"), F.array_distinct(T.words(F.col("text"))).alias(name), F.size(T.words(F.col("text"))).alias("n")).where(F.col("n") >= least_words).drop("n")
-    a, b = sets(left, "left"), sets(right, "right")
-    met = a.select(key, "left_ord", F.explode("left").alias("w")).join(b.select(key, "right_ord", F.explode("right").alias("w")), [key, "w"]).groupBy(key, "left_ord", "right_ord").agg(F.count("*").alias("both"))
-    sized = met.join(a.select(key, "left_ord", F.size("left").alias("ls")), [key, "left_ord"]).join(b.select(key, "right_ord", F.size("right").alias("rs")), [key, "right_ord"])
-    return sized.select(key, "left_ord", "right_ord", F.round(F.col("both") / (F.col("ls") + F.col("rs") - F.col("both")), 6).alias("score"))
+    return _similarity(left, right, key, [key], False, least, least_words).where(F.col("score") >= least)
 
 
 def mutual_best(scores: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
@@ -201,7 +254,7 @@ def edit_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataF
     left, right = stored(left, "left-blocks"), stored(right, "right-blocks")
     anchored = stored(spine(unique_hash_join(left, right, key).select(key, "left_ord", "right_ord"), key), "anchors")
     gl, gr = stored(gaps(left, anchored, "left", key), "left-rest"), stored(gaps(right, anchored, "right", key), "right-rest")
-    scores = bag_similarity(gl, gr, key, [key, "gap"])
+    scores = bag_similarity(gl, gr, key, [key, "gap"], PAIR_SCORE)
     modified = greedy_best_first(scores.select(key, "left_ord", "right_ord", "score"), PAIR_SCORE, key)
     modified = stored(spine(modified.select(key, "left_ord", "right_ord"), key).where("on_spine").select(key, "left_ord", "right_ord", F.lit("Modify").alias("op")), "modified")
     moves = near_moves(residue(gl, modified, "left", key), residue(gr, modified, "right", key), key)
@@ -244,6 +297,8 @@ def revisions(script: DataFrame, key: str = "doc_id") -> DataFrame:
 def myers(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of equal members on a shortest edit path (greedy O(ND) search, furthest reaching paths kept)."""
     n, m = len(a), len(b)
+    if a == b:
+        return [(i, i) for i in range(n)]
     head = 0
     while head < n and head < m and a[head] == b[head]:
         head += 1

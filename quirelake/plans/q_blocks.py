@@ -80,7 +80,7 @@ def block_multiset_jaccard(spark, sf):
 def set_jaccard_moves(spark, sf):
     left, right = _both(spark, sf)
     pairs = align.unique_hash_join(left, right)
-    return align.set_similarity(align.residue(left, pairs, "left"), align.residue(right, pairs, "right")).where("score >= 0.5")
+    return align.set_similarity(align.residue(left, pairs, "left"), align.residue(right, pairs, "right"), least=0.5)
 
 
 def mutual_best_moves(spark, sf):
