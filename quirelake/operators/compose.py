@@ -72,6 +72,7 @@ def contested(base: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     """keys, lo, hi, reviewer, text: every competitor of every conflict."""
     s = swept(base, edits, keys)
     several = lambda c: F.size(F.array_distinct(F.transform(c, lambda x: x["text"]))) > 1
+    s = stored(s.where(several("inserts") | several("deleters")), "contested")
     rows = lambda c, hi: s.where(several(c)).select(*keys, "lo", hi.alias("hi"), F.explode(c).alias("x")).select(*keys, "lo", "hi", "x.reviewer", "x.text")
     return rows("inserts", F.col("lo")).unionByName(rows("deleters", F.col("hi")))
 
@@ -111,7 +112,7 @@ def consolidated(base: DataFrame, versions: DataFrame, policy: str, key: str = "
     status = F.when(F.col("n") == 1, "single").when(F.col("kinds") == 1, "consensus").when(F.col("all_modify"), "composed").when(F.col("all_move"), "contestedMove").otherwise("conflict")
     g = stored(g.withColumn("status", status), "touched")
     pairs = edited.join(g.where("status = 'composed'").select(key, "left_ord"), [key, "left_ord"]).select(key, "left_ord", "reviewer", "left_text", F.col("text").alias("right_text"))
-    words = text_edits(pairs, [key, "left_ord", "reviewer"])
+    words = stored(text_edits(pairs, [key, "left_ord", "reviewer"]), "word-edits")
     merged = composed(pairs.select(key, "left_ord", F.col("left_text").alias("text")).distinct(), words, [key, "left_ord"], policy).withColumnRenamed("text", "merged")
     b = base.select(key, F.col("ord").alias("left_ord"), F.col("text").alias("base_text")).join(g, [key, "left_ord"], "left").join(merged, [key, "left_ord"], "left")
     first = F.get("edits", F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from quirelake.operators import compose
 from quirelake.plans.q_blocks import BLOCKS
+from quirelake.sources.store import stored
 from quirelake.sources.tables import blocks, load
 
 
@@ -41,6 +42,7 @@ def consolidation_contested_words(spark, sf):
     base, versions = _versions(spark, sf)
     ops = compose.reviewed(base, versions).where("op = 'Modify'")
     edits = compose.text_edits(ops.select("doc_id", "left_ord", "reviewer", "left_text", F.col("text").alias("right_text")), ["doc_id", "left_ord", "reviewer"])
+    edits = stored(edits, "word-edits")
     texts = base.select("doc_id", F.col("ord").alias("left_ord"), "text").join(edits.select("doc_id", "left_ord").distinct(), ["doc_id", "left_ord"], "left_semi")
     return compose.contested(texts, edits, ["doc_id", "left_ord"]).select("doc_id", "left_ord", "lo", "hi", F.col("reviewer").cast("long").alias("reviewer"), "text")
 
