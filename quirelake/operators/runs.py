@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -19,38 +24,59 @@ def block_text(runs: DataFrame, by: list[str]) -> DataFrame:
     return runs.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("text"))
 
 
-def pieces(runs: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
-    """by, lo, hi, run, run_lo, match (start, end and the other columns of matches; null outside), text of each block cut
-    at the ends of runs and matches. matches (by, start, end) don't overlap and aren't empty.
+def spans(texts: list[str | None], starts: list[int], ends: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(match, run, from, to) of each part of a run that a match has; matches are in order and don't overlap."""
+    hi = np.cumsum([len(t or "") for t in texts]).tolist()
+    for k, (start, end) in enumerate(zip(starts, ends, strict=True)):
+        i = bisect.bisect_right(hi, start)
+        while i < len(texts) and (lo := hi[i] - len(texts[i] or "")) < end:
+            if hi[i] > lo:
+                yield k, i, max(start, lo) - lo, min(end, hi[i]) - lo
+            i += 1
+
 
-    Runs follow one another and so do matches, so what a piece lies in is the last one that began: two windows over the cuts
-    of a block, and no join of runs with matches."""
-    r = run_offsets(runs, by).where("hi > lo")
-    starts = r.select(*by, "lo", F.struct("run", F.col("lo").alias("at"), "hi", "text").alias("r"))
-    m = matches.where("end > start")
-    hits = m.select(*by, F.col("start").cast("long").alias("lo"), F.struct(*[c for c in matches.columns if c not in by]).alias("m"))
-    cuts = starts.select(*by, "lo").unionByName(r.select(*by, F.col("hi").alias("lo"))).unionByName(hits.select(*by, "lo")).unionByName(m.select(*by, F.col("end").cast("long").alias("lo"))).distinct()
-    here = W.partitionBy(*by).orderBy("lo")
-    last = lambda c: F.last(c, ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, 0))
-    cut = cuts.join(starts, [*by, "lo"], "left").join(hits, [*by, "lo"], "left").withColumns({"r": last("r"), "m": last("m"), "hi": F.lead("lo").over(here)})
-    cut = cut.where((F.col("hi") <= F.col("r.hi")))
-    text = F.substr("r.text", (F.col("lo") - F.col("r.at") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
-    return cut.select(*by, "lo", "hi", F.col("r.run").alias("run"), F.col("r.at").alias("run_lo"), F.when(F.col("m.end") >= F.col("hi"), F.col("m")).alias("match"), text.alias("text"))
+def _listed(runs: DataFrame, matches: DataFrame, by: list[str], more: list[str], how: str) -> DataFrame:
+    """by, r (all runs of a block in order), m (its matches in order: start, end and more). A block's runs stand in one task
+    as a rule, so what is shuffled is a row for each block; what follows stays dealt by block."""
+    rest = [c for c in runs.columns if c not in by and c != "run"]
+    r = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("run", *rest))).alias("r"))
+    m = matches.where("end > start").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *more))).alias("m"))
+    return r.join(m, by, how)
 
 
 def fragments(runs: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
-    """by, start, end, run, from, to, text: the part of each run that each match has, as characters of the run."""
-    p = pieces(runs, matches, by).where("match is not null")
-    return p.select(*by, F.col("match.start").cast("long").alias("start"), F.col("match.end").cast("long").alias("end"), "run", (F.col("lo") - F.col("run_lo")).alias("from"), (F.col("hi") - F.col("run_lo")).alias("to"), "text")
+    """by, start, end, run, from, to, text: the part of each run that each match has, as characters of the run. matches (by,
+    start, end) don't overlap."""
+
+    @F.pandas_udf("array<struct<match:int,place:int,from:long,to:long>>")
+    def found(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([[{"match": k, "place": i, "from": a, "to": b} for k, i, a, b in spans(list(t), s, e)] for t, s, e in zip(texts, starts, ends, strict=True)])
+
+    x = _listed(runs, matches, by, [], "inner").select(*by, "r", "m", F.explode(found("r.text", "m.start", "m.end")).alias("f"))
+    x = x.select(*by, F.get("m", F.col("f.match")).alias("m"), F.get("r", F.col("f.place")).alias("r"), "f.from", "f.to")
+    return x.select(*by, "m.start", "m.end", "r.run", "from", "to", F.substr("r.text", (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int")).alias("text"))
 
 
 def replaced(runs: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
     """runs with the replacement (a column of matches) of each match in the run in which it begins, and without its text in
     all others. Runs keep their number, format and other columns; those that lose all their text stay empty, and blocks
     without a match are as before."""
-    p = pieces(runs, matches, by)
-    begins = F.col("lo") == F.col("match.start")
-    new = F.when(F.col("match").isNull(), F.col("text")).when(begins, F.col("match.replacement")).otherwise("")
-    listed = F.array_sort(F.collect_list(F.struct("lo", new.alias("text"))))
-    texts = p.groupBy(*by, "run").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("__text"))
-    return runs.join(texts, [*by, "run"], "left").withColumn("text", F.coalesce("__text", "text")).drop("__text")
+
+    @F.pandas_udf("array<string>")
+    def put(texts: pd.Series, starts: pd.Series, ends: pd.Series, news: pd.Series) -> pd.Series:
+        out = []
+        for t, s, e, new in zip(texts, starts, ends, news, strict=True):
+            t = list(t)
+            hits = [] if s is None else list(spans(t, s, e))
+            first = {}
+            for k, i, _, _ in hits:
+                first.setdefault(k, i)
+            for k, i, a, b in reversed(hits):
+                t[i] = t[i][:a] + ((new[k] or "") if first[k] == i else "") + t[i][b:]
+            out.append(t)
+        return pd.Series(out)
+
+    x = _listed(runs, matches, by, ["replacement"], "left")
+    x = x.withColumn("t", F.when(F.col("m").isNull(), F.col("r.text")).otherwise(put("r.text", "m.start", "m.end", "m.replacement")))
+    x = x.select(*by, F.explode(F.arrays_zip("r", "t")).alias("x"))
+    return x.select(*[F.col("x.t").alias(c) if c == "text" else c if c in by else F.col(f"x.r.{c}").alias(c) for c in runs.columns])

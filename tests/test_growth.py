@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.operators import align, compose, layout
+from quirelake.operators import align, compose, layout, runs
 from quirelake.sources.store import stored
 
 
@@ -73,3 +73,12 @@ def test_word_edits_are_found_once(spark, monkeypatch):
     versions = spark.createDataFrame([(1, n, 0, t, f"h{n}") for n, t in ((1, "x b c d e f"), (2, "a b c d e y"))], "doc_id long, reviewer int, ord long, text string, hash string")
     out = compose.consolidated(base, versions, "baseWins").collect()
     assert [(x["text"], x["status"]) for x in out] == [("x b c d e y", "composed")] and "word-edits" in calls
+
+
+def test_runs_are_cut_in_rows_of_a_block(spark):
+    r = spark.createDataFrame([(1, 0, "ab"), (1, 1, None), (1, 2, ""), (1, 3, "cd\U0001f600"), (1, 4, "ef"), (2, 0, "xy")], "b long, run int, text string")
+    m = spark.createDataFrame([(1, 1, 3, "<1>"), (1, 3, 4, None), (1, 5, 99, "<2>"), (1, 6, 6, "empty")], "b long, start long, end long, replacement string")
+    out, cut = runs.replaced(r, m, ["b"]), runs.fragments(r, m, ["b"])
+    assert {(x["b"], x["run"]): x["text"] for x in out.collect()} == {(1, 0): "a<1>", (1, 1): None, (1, 2): "", (1, 3): "\U0001f600", (1, 4): "<2>", (2, 0): "xy"}
+    assert sorted(tuple(x)[1:] for x in cut.collect()) == [(1, 3, 0, 1, 2, "b"), (1, 3, 3, 0, 1, "c"), (3, 4, 3, 1, 2, "d"), (5, 99, 4, 0, 2, "ef")]
+    assert "Window" not in plan(out) + plan(cut)
