@@ -7,6 +7,7 @@ pairs, splits and merges."""
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -186,11 +187,16 @@ def gap_operations(left: list[str], right: list[str], lt: list[list[str]], rt: l
         if a == b and c == d:
             while n + 1 < len(chain) and chain[n + 1][:4] == (a + n + 1 - k, a + n + 1 - k, c + n + 1 - k, c + n + 1 - k):
                 n += 1
-            cells = crossed([list(x) for x in lt[a : a + n + 1 - k]], [list(x) for x in rt[c : c + n + 1 - k]]) if n > k else None
-            if cells:
-                out.append({"op": "CrossParagraphRun", "left": list(range(a, a + n + 1 - k)), "right": list(range(c, c + n + 1 - k)), "cells": cells})
-            else:
-                out += [{"op": "Modify", "left": [x[0]], "right": [x[2]], "cells": None} for x in chain[k : n + 1]]
+            # nothing crosses a pair of equal blocks, whose words are all matched: it ends a run
+            same = [list(lt[x[0]]) == list(rt[x[2]]) for x in chain[k : n + 1]]
+            for equal, group in itertools.groupby(range(n + 1 - k), lambda i: same[i]):
+                group = list(group)
+                u, v, w = group[0], group[-1] + 1, len(group)
+                cells = crossed([list(x) for x in lt[a + u : a + v]], [list(x) for x in rt[c + u : c + v]]) if w > 1 and not equal else None
+                if cells:
+                    out.append({"op": "CrossParagraphRun", "left": list(range(a + u, a + v)), "right": list(range(c + u, c + v)), "cells": cells})
+                else:
+                    out += [{"op": "Modify", "left": [x[0]], "right": [x[2]], "cells": None} for x in chain[k + u : k + v]]
         else:
             out.append({"op": "Split" if a == b else "Merge", "left": list(range(a, b + 1)), "right": list(range(c, d + 1)), "cells": None})
         k = n + 1

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.operators import align, compose, layout, runs
+from quirelake.operators import align, compose, layout, runs, script
 from quirelake.sources.store import stored
 
 
@@ -82,3 +83,11 @@ def test_runs_are_cut_in_rows_of_a_block(spark):
     assert {(x["b"], x["run"]): x["text"] for x in out.collect()} == {(1, 0): "a<1>", (1, 1): None, (1, 2): "", (1, 3): "\U0001f600", (1, 4): "<2>", (2, 0): "xy"}
     assert sorted(tuple(x)[1:] for x in cut.collect()) == [(1, 3, 0, 1, 2, "b"), (1, 3, 3, 0, 1, "c"), (3, 4, 3, 1, 2, "d"), (5, 99, 4, 0, 2, "ef")]
     assert "Window" not in plan(out) + plan(cut)
+
+
+def test_equal_blocks_are_no_part_of_a_run_that_crosses():
+    left = ["same words stand here", "one two three four five six seven", "eight nine ten eleven twelve more", "same words stand here"]
+    right = [left[0], "one two three four", "five six seven eight nine ten eleven twelve more", left[3]]
+    cut = lambda side: [re.findall(r"\w+|\W", t) for t in side]
+    got = [(x["op"], x["left"], x["right"]) for x in script.gap_operations(left, right, cut(left), cut(right))]
+    assert got == [("Modify", [0], [0]), ("CrossParagraphRun", [1, 2], [1, 2]), ("Modify", [3], [3])]
