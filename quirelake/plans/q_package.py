@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelake.operators import package
+from quirelake.sources.store import stored
 from quirelake.sources.tables import load
 
 
@@ -15,7 +16,7 @@ def _packages(spark, sf):
     c, o = load(spark, sf, "customer"), load(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
     o = o.join(c.select("c_custkey"), "c_custkey", "left_semi").dropDuplicates(["o_orderkey"])
     l = load(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("mode"))
-    l = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    l = stored(l.join(o, F.col("l_orderkey") == F.col("o_orderkey")), "lines")
     k = F.col("o_orderkey")
     order, line = F.concat(F.lit("order/"), k.cast("string")), F.concat(F.lit("line/"), k.cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
     media = F.concat(F.lit("media/"), "mode")
@@ -46,9 +47,8 @@ def package_graph_changes(spark, sf):
 
 def package_digests_equal(spark, sf):
     """How many parts of each kind have the same digest in both versions, and how many of those that are in both don't."""
-    old, new = (package.merkle(*v) for v in _packages(spark, sf))
-    both = old.select("package", "part", "kind", F.col("digest").alias("a")).join(new.select("package", "part", F.col("digest").alias("b")), ["package", "part"])
-    return both.groupBy("kind").agg(F.count_if(F.col("a") == F.col("b")).alias("equal"), F.count_if(F.col("a") != F.col("b")).alias("different"))
+    both, _, _ = package.compared(*_packages(spark, sf))
+    return both.where("equal is not null").groupBy(F.col("old_kind").alias("kind")).agg(F.count_if("equal").alias("equal"), F.count_if(~F.col("equal")).alias("different"))
 
 
 QUERIES = {f.__name__: f for f in (package_graph_changes, package_digests_equal)}

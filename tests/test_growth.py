@@ -7,10 +7,11 @@ import re
 import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.operators import align, compose, layout, runs, script
+from quirelake.operators import align, compose, layout, package, runs, script
 from quirelake.sources.store import stored
 
 
@@ -91,3 +92,33 @@ def test_equal_blocks_are_no_part_of_a_run_that_crosses():
     cut = lambda side: [re.findall(r"\w+|\W", t) for t in side]
     got = [(x["op"], x["left"], x["right"]) for x in script.gap_operations(left, right, cut(left), cut(right))]
     assert got == [("Modify", [0], [0]), ("CrossParagraphRun", [1, 2], [1, 2]), ("Modify", [3], [3])]
+
+
+def test_packages_meet_once_not_in_rounds(spark, monkeypatch):
+    old = [(1, "r", "k", "1"), (1, "a", "k", "2"), (1, "b", "k", None), (1, "gone", "k", "4"), (1, None, "k", "5"), (2, "r", "k", "1"), (None, "r", "k", "1"), (None, "a", "k", "1"), (3, "b", "k", "1")]
+    links = [(1, "r", "x", "a"), (1, "a", "y", "b"), (1, "a", None, "none"), (1, "r", "z", "gone"), (1, "stray", "z", "b"), (1, "b", "n", None), (2, "r", "x", "a"), (None, "r", "x", "a")]
+    new = [*old[:2], (1, "b", "k", "changed"), (1, "moved", "k", "4"), *old[4:8], (4, "b", "k", "1")]
+    frames = lambda parts, relations: (spark.createDataFrame(parts, "package long, part string, kind string, content string"), spark.createDataFrame(relations, "package long, source string, name string, target string"))
+    versions = frames(old, links), frames(new, [*links[:3], (1, "r", "z", "moved"), *links[4:]])
+    rows = lambda df: sorted(map(repr, df.collect()))
+    with monkeypatch.context() as m:
+        m.setattr(package, "merkle", None)
+        whole = rows(package.package_changes(*versions))
+    assert len(whole) == 12 and {"Row(package=1, part='b', change='modified', kind='k')", "Row(package=1, part='moved', change='renamed', kind='k')", "Row(package=3, part='b', change='removed', kind='k')", "Row(package=None, part='r', change='added', kind='k')"} <= set(whole)
+    chain = frames([(1, f"p{i}", "k", "x") for i in range(66)], [(1, f"p{i}", "n", f"p{i + 1}") for i in range(65)])
+    with pytest.raises(Exception, match="cycle"):
+        package.compared(chain, chain)[0].count()
+
+
+def test_large_packages_go_by_rounds_with_the_same_result(spark, monkeypatch):
+    parts = [(1, "r", "k", "1"), (1, "a", "k", "2"), (2, "r", "k", "3")]
+    frames = lambda parts, relations: (spark.createDataFrame(parts, "package long, part string, kind string, content string").coalesce(1), spark.createDataFrame(relations, "package long, source string, name string, target string").coalesce(1))
+    versions = frames(parts, [(1, "r", "x", "a")]), frames([parts[0], (1, "a", "k", "3"), (2, "r", "k", "4")], [(1, "r", "x", "a")])
+    rows = lambda found: [sorted(map(repr, df.collect())) for df in found]
+    whole = rows(package.compared(*versions, differing=True))
+    monkeypatch.setattr(package, "LARGE", 4)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert rows(package.compared(*versions, differing=True)) == whole and list(map(len, whole)) == [3, 1, 1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
