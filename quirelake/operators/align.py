@@ -215,9 +215,18 @@ def spine_gaps(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def gaps(blocks: DataFrame, anchors: DataFrame, side: str, key: str = "doc_id") -> DataFrame:
     """Blocks that no anchor has, with gap: how many anchors on the spine come before. One window over a document."""
-    a = anchors.select(key, F.col(f"{side}_ord").alias("ord"), "on_spine")
-    before = W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    return blocks.join(a, [key, "ord"], "left").withColumn("gap", F.sum(F.coalesce(F.col("on_spine").cast("long"), F.lit(0))).over(before)).where("on_spine is null").drop("on_spine")
+    return beside_spine(blocks, anchors, side, key).where("not moved").drop("moved")
+
+
+def beside_spine(blocks: DataFrame, anchors: DataFrame, side: str, key: str = "doc_id") -> DataFrame:
+    """Blocks that no anchor on the spine has, with gap, and moved: whether one off the spine has it."""
+    a = anchors.select(key, F.col(f"{side}_ord").alias("ord"), F.col("on_spine").cast("long").alias("step"))
+    before = W.partitionBy(key).orderBy("ord", F.col("step").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    # anchors are rows in front of their blocks, so blocks are shuffled once, by document, and not joined
+    rows = blocks.withColumn("step", F.lit(None).cast("long")).unionByName(a, allowMissingColumns=True)
+    rows = rows.withColumn("gap", F.sum(F.coalesce("step", F.lit(0))).over(before)).withColumn("anchor", F.last(F.when(F.col("step").isNotNull(), F.col("ord")), ignorenulls=True).over(before))
+    rows = rows.withColumn("spine", F.last("step", ignorenulls=True).over(before)).withColumn("moved", F.col("anchor").eqNullSafe(F.col("ord")))
+    return rows.where("step is null and not (moved and spine = 1)").drop("step", "anchor", "spine")
 
 
 def numbered_bag(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -251,21 +260,34 @@ def edit_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataF
     Unique equal blocks on the spine are Equal, off it Move; leftovers in one gap that are alike enough are Modify (greedy,
     best first); leftovers of three words or more anywhere that are nearly equal are MoveModify; the rest is
     Delete or Insert. seq follows the right side; a deletion follows the block before it."""
-    left, right = stored(left, "left-blocks"), stored(right, "right-blocks")
+    one = lambda df, name: stored(df.select(key, "ord", "text", "hash").withColumn("row", F.monotonically_increasing_id()), name)
+    left, right = one(left, "left-blocks"), one(right, "right-blocks")
     anchored = stored(spine(unique_hash_join(left, right, key).select(key, "left_ord", "right_ord"), key), "anchors")
-    gl, gr = stored(gaps(left, anchored, "left", key), "left-rest"), stored(gaps(right, anchored, "right", key), "right-rest")
+    beside = [stored(beside_spine(df.select(key, "ord", "text", "row"), anchored, side, key), f"{side}-rest") for df, side in ((left, "left"), (right, "right"))]
+    gl, gr = (df.where("not moved").select(key, "ord", "text", "gap") for df in beside)
     scores = bag_similarity(gl, gr, key, [key, "gap"], PAIR_SCORE)
     modified = greedy_best_first(scores.select(key, "left_ord", "right_ord", "score"), PAIR_SCORE, key)
     modified = stored(spine(modified.select(key, "left_ord", "right_ord"), key).where("on_spine").select(key, "left_ord", "right_ord", F.lit("Modify").alias("op")), "modified")
     moves = near_moves(residue(gl, modified, "left", key), residue(gr, modified, "right", key), key)
     moved = greedy_best_first(moves, MOVE_SCORE, key).select(key, "left_ord", "right_ord", F.lit("MoveModify").alias("op"))
     pairs = anchored.select(key, "left_ord", "right_ord", F.when(F.col("on_spine"), "Equal").otherwise("Move").alias("op")).unionByName(modified).unionByName(moved)
-    l, r = left.select(key, F.col("ord").alias("left_ord"), F.col("text").alias("left_text")), right.select(key, F.col("ord").alias("right_ord"), F.col("text").alias("right_text"))
+    # the script is made of places; texts are joined to it at the end by the row that they were stored as: of blocks beside
+    # the spine, which are few, and of equal ones from one side only, which readers of changes never ask for
+    l, r = (df.select(key, F.col("ord").alias(f"{side}_ord"), F.col("row").alias(f"{side}_row")) for df, side in ((left, "left"), (right, "right")))
     script = l.join(pairs, [key, "left_ord"], "left").join(r, [key, "right_ord"], "full").withColumn("op", F.when(F.col("left_ord").isNull(), "Insert").when(F.col("right_ord").isNull(), "Delete").otherwise(F.col("op")))
     last_right = F.last(F.when(F.col("op").isin("Equal", "Modify"), F.col("right_ord")), ignorenulls=True).over(W.partitionBy(key).orderBy(F.col("left_ord").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
     script = script.withColumn("at", F.coalesce("right_ord", F.when(F.col("left_ord").isNotNull(), last_right), F.lit(-1)))
     order = W.partitionBy(key).orderBy("at", F.col("right_ord").isNull(), "left_ord")
-    return script.select(key, (F.row_number().over(order) - 1).cast("long").alias("seq"), "op", "left_ord", "right_ord", "left_text", "right_text")
+    script = stored(script.select(key, (F.row_number().over(order) - 1).cast("long").alias("seq"), "op", "left_ord", "right_ord", "left_row", "right_row"), "script")
+
+    def with_text(rows: DataFrame, blocks: DataFrame, side: str) -> DataFrame:
+        texts = blocks.select(F.col(key).alias("__key"), F.col("row").alias("__row"), F.col("text").alias(f"{side}_text"))
+        return rows.join(texts, F.col(key).eqNullSafe(F.col("__key")) & (F.col(f"{side}_row") == F.col("__row")), "left").drop("__key", "__row")
+
+    columns = [key, "seq", "op", "left_ord", "right_ord", "left_text", "right_text"]
+    same = with_text(script.where("op = 'Equal'").withColumn("op", F.lit("Equal")), left, "left").withColumn("right_text", F.col("left_text"))
+    rest = with_text(with_text(script.where("op <> 'Equal'"), beside[0], "left"), beside[1], "right")
+    return same.select(*columns).unionByName(rest.select(*columns))
 
 
 def accepted(script: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from quirelake.functions import text as T
 from quirelake.operators import align
+from quirelake.sources.store import stored
 from quirelake.sources.tables import blocks, load, offsets, revised
 
 BLOCKS = """blocks AS (SELECT doc_id, i - 1 AS ord, p[i] AS text, sha256(p[i]) AS hash, len(p) AS n
@@ -106,10 +107,17 @@ def edit_script_ops(spark, sf):
 def edit_script_apply_invariant(spark, sf):
     """Documents for which applying the script doesn't give the other version: none."""
     left, right = _both(spark, sf)
+    right = stored(right, "revised")
     script = align.edit_script(left, right)
-    lost = lambda got, want: got.select("doc_id", "ord", "text").exceptAll(want.select("doc_id", "ord", "text")).unionByName(want.select("doc_id", "ord", "text").exceptAll(got.select("doc_id", "ord", "text")))
-    wrong = lost(align.accepted(script), right).select("doc_id", F.lit("accept").alias("side")).unionByName(lost(align.rejected(script), left).select("doc_id", F.lit("reject").alias("side")))
-    return wrong.groupBy("side").agg(F.count("*").alias("n")).join(spark.createDataFrame([("accept",), ("reject",)], "side string"), "side", "right").select("side", F.coalesce("n", F.lit(0)).cast("long").alias("n_wrong"))
+    digest = lambda df, *names: df.withColumns({n: F.unhex(F.sha2(n, 256)) for n in names})
+    left, right, script = digest(left, "text"), digest(right, "text"), digest(script, "left_text", "right_text")
+
+    def lost(got, want, side):  # rows of either that the other hasn't, as often
+        both = got.select("doc_id", "ord", "text", F.lit(1).alias("n")).unionByName(want.select("doc_id", "ord", "text", F.lit(-1).alias("n")))
+        return both.groupBy("doc_id", "ord", "text").agg(F.abs(F.sum("n")).alias("n")).where("n > 0").select(F.lit(side).alias("side"), "n")
+
+    wrong = lost(align.accepted(script), right, "accept").unionByName(lost(align.rejected(script), left, "reject"))
+    return wrong.groupBy("side").agg(F.sum("n").alias("n")).join(spark.createDataFrame([("accept",), ("reject",)], "side string"), "side", "right").select("side", F.coalesce("n", F.lit(0)).cast("long").alias("n_wrong"))
 
 
 def revision_list(spark, sf):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quirelake.functions import text as T
 from quirelake.operators import align, compose, layout, package, runs, script
 from quirelake.sources.store import stored
+from quirelake.sources.tables import blocks, revised
 
 
 def test_occurrences_read_a_long_text_once(spark):
@@ -122,3 +123,16 @@ def test_large_packages_go_by_rounds_with_the_same_result(spark, monkeypatch):
         assert rows(package.compared(*versions, differing=True)) == whole and list(map(len, whole)) == [3, 1, 1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_scripts_join_texts_of_changes_only(spark):
+    texts = ["one two three four\nx y z\nsame words are here\nthe same again and again\nlast one here moves", "a\nb", None]
+    left = blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    right = revised(left)
+    assert "Union" not in plan(right)
+    script = align.edit_script(left, right)
+    got = [(x["op"], x["left_ord"], x["right_ord"], x["left_text"], x["right_text"]) for x in script.where("doc_id = 0").orderBy("seq").collect()]
+    t = texts[0].split("\n")
+    assert got == [("Move", 4, 0, t[4], t[4]), ("Equal", 0, 1, t[0], t[0]), ("Delete", 1, None, t[1], None), ("Modify", 2, 2, t[2], t[2] + " edited here"), ("Equal", 3, 3, t[3], t[3]), ("Insert", None, 4, None, "appended block of 0")]
+    read = lambda df: {re.search(r"/([a-z-]+)-[0-9a-f]{32}/", f)[1] for f in df.inputFiles()}
+    assert "left-blocks" in read(script) and not read(script.where("op <> 'Equal'")) & {"left-blocks", "right-blocks"}
