@@ -137,11 +137,13 @@ def lis_spine_length(spark, sf):
 
 def split_merge_candidates(spark, sf):
     """A left block whose words two adjacent right blocks hold (here: halves of a block), by coverage."""
-    b = blocks(load(spark, sf, "documents")).withColumn("w", T.words(F.col("text"))).where(F.size("w") >= 6)
+    # words come out of an explode, through which no filter is pushed: a block is cut once, not for the filter and again
+    b = blocks(load(spark, sf, "documents")).select("doc_id", "ord", F.explode(F.array(T.words(F.col("text")))).alias("w")).where(F.size("w") >= 6)
     half = F.floor(F.size("w") / 2).cast("int")
     parts = b.select("doc_id", "ord", "w", F.posexplode(F.array(F.slice("w", F.lit(1), half), F.slice("w", half + 1, F.size("w")))).alias("part", "pw"))
-    foreign = F.array_except("pw", "w")
-    met = parts.select("doc_id", "ord", F.size("w").alias("n"), F.size("pw").alias("m"), F.size(F.filter("pw", lambda x: ~F.array_contains(foreign, x))).alias("hit"))
+    # likewise the foreign words, which a filter would otherwise find again for each word
+    parts = parts.withColumn("foreign", F.explode(F.array(F.array_except("pw", "w"))))
+    met = parts.select("doc_id", "ord", F.size("w").alias("n"), F.size("pw").alias("m"), F.size(F.filter("pw", lambda x: ~F.array_contains("foreign", x))).alias("hit"))
     run = met.groupBy("doc_id", "ord").agg(F.max("n").alias("n"), F.sum("hit").alias("hit"), F.sum("m").alias("m"))
     return run.select("doc_id", "ord", F.round(F.col("hit") / F.col("n"), 6).alias("coverage"), F.round(1 - F.col("hit") / F.col("m"), 6).alias("foreign")).where("coverage >= 0.9 and foreign <= 0.34")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
 from quirelake.operators import align, compose, layout, package, runs, script
+from quirelake.plans import q_blocks
 from quirelake.sources.store import stored
 from quirelake.sources.tables import blocks, revised
 
@@ -136,3 +137,8 @@ def test_scripts_join_texts_of_changes_only(spark):
     assert got == [("Move", 4, 0, t[4], t[4]), ("Equal", 0, 1, t[0], t[0]), ("Delete", 1, None, t[1], None), ("Modify", 2, 2, t[2], t[2] + " edited here"), ("Equal", 3, 3, t[3], t[3]), ("Insert", None, 4, None, "appended block of 0")]
     read = lambda df: {re.search(r"/([a-z-]+)-[0-9a-f]{32}/", f)[1] for f in df.inputFiles()}
     assert "left-blocks" in read(script) and not read(script.where("op <> 'Equal'")) & {"left-blocks", "right-blocks"}
+
+
+def test_foreign_words_are_found_once_for_a_part(spark, sf):
+    lines = plan(q_blocks.split_merge_candidates(spark, sf)).split("\n")
+    assert any("array_except" in x for x in lines) and not any("array_except" in x and "lambdafunction(NOT" in x for x in lines)
