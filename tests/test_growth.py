@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.operators import align, compose, layout, package, runs, script
+from quirelake.operators import align, compose, export, layout, package, runs, script, structure
 from quirelake.plans import q_blocks
 from quirelake.sources.store import stored
 from quirelake.sources.tables import blocks, revised
@@ -142,3 +142,17 @@ def test_scripts_join_texts_of_changes_only(spark):
 def test_foreign_words_are_found_once_for_a_part(spark, sf):
     lines = plan(q_blocks.split_merge_candidates(spark, sf)).split("\n")
     assert any("array_except" in x for x in lines) and not any("array_except" in x and "lambdafunction(NOT" in x for x in lines)
+
+
+def test_notes_are_aligned_by_rows_of_bits(spark):
+    r = random.Random(5)
+    for _ in range(200):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(9))] for _ in range(2))
+        assert structure.common_places(a, b) == structure.longest_common(a, b)
+    a, b = ([str(r.randrange(4000)) for _ in range(8000)] for _ in range(2))
+    began = time.time()
+    assert len(structure.common_places(a, b)) > 100 and time.time() - began < 5  # 64 million cells
+    frame = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (None, 0, "b"), (2, 0, "c")], "doc_id long, ord long, text string")
+    found = structure.note_pairs(frame, frame)
+    assert "FlatMapGroups" not in plan(found)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 0, 0), (1, 1, 1), (2, 0, 0), (None, 0, 0)]
