@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,6 +13,8 @@ from pyspark.sql.window import Window as W
 WIDTH, HEIGHT, MARGIN, ADVANCE, LINE = 612.0, 792.0, 72.0, 6.0, 12.0
 #: Characters of a page of that size.
 PAGE_CHARS = 2500
+#: What parts words; and words that are laid out before they are handed on.
+BLANK, LAID = re.compile(r"[ \t\r\n]+"), 100_000
 
 
 def page_count(n_chars, area_ratio: float = 1.0):
@@ -19,19 +24,36 @@ def page_count(n_chars, area_ratio: float = 1.0):
 
 def token_layout(blocks: DataFrame, key: list[str]) -> DataFrame:
     """key, nth, token, x, y of a block's words: they advance by their length plus a space and wrap at the right margin;
-    every block begins at the top left. A fold over the words of each block."""
-    words = F.filter(F.split("text", "[ \\t\\r\\n]+"), lambda w: w != "")
+    every block begins at the top left. Blocks go in Arrow batches, and each word is placed once."""
     right = WIDTH - MARGIN
-    zero = F.struct(F.lit(MARGIN).alias("x"), F.lit(MARGIN).alias("y"), F.array().cast("array<struct<token:string,x:double,y:double>>").alias("out"))
-
-    def step(acc, w):
-        wide = F.length(w) * ADVANCE
-        wraps = (acc["x"] + wide > right) & (acc["x"] > MARGIN)
-        x, y = F.when(wraps, F.lit(MARGIN)).otherwise(acc["x"]), F.when(wraps, acc["y"] + LINE).otherwise(acc["y"])
-        return F.struct((x + wide + ADVANCE).alias("x"), y.alias("y"), F.concat(acc["out"], F.array(F.struct(w.alias("token"), x.alias("x"), y.alias("y")))).alias("out"))
 
-    placed = blocks.select(*key, F.aggregate(words, zero, step)["out"].alias("o"))
-    return placed.select(*key, F.posexplode("o").alias("nth", "t")).select(*key, F.col("nth").cast("long").alias("nth"), "t.token", "t.x", "t.y")
+    def run(batches):
+        for batch in batches:
+            keys = batch.select(key)
+            for at, columns in placed(batch.column("text").to_pylist()):
+                yield pa.RecordBatch.from_arrays([*keys.take(at).columns, *columns], names=[*key, "nth", "token", "x", "y"])
+
+    def placed(texts):
+        at, nth, tokens, xs, ys = [], [], [], [], []
+        for k, text in enumerate(texts):
+            x = y = MARGIN
+            words = [w for w in BLANK.split(text or "") if w]
+            for w in words:
+                wide = len(w) * ADVANCE
+                if x + wide > right and x > MARGIN:
+                    x, y = MARGIN, y + LINE
+                xs.append(x)
+                ys.append(y)
+                x += wide + ADVANCE
+            at += [k] * len(words)
+            nth += range(len(words))
+            tokens += words
+            if len(at) >= LAID or k == len(texts) - 1:
+                yield pa.array(at, pa.int64()), [pa.array(nth, pa.int64()), pa.array(tokens, pa.string()), pa.array(xs, pa.float64()), pa.array(ys, pa.float64())]
+                at, nth, tokens, xs, ys = [], [], [], [], []
+
+    kinds = dict(blocks.dtypes)
+    return blocks.select(*key, "text").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", nth long, token string, x double, y double")
 
 
 def structural_edges(blocks: DataFrame, key: str, is_section) -> DataFrame:

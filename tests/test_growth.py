@@ -156,3 +156,12 @@ def test_notes_are_aligned_by_rows_of_bits(spark):
     found = structure.note_pairs(frame, frame)
     assert "FlatMapGroups" not in plan(found)
     assert sorted(map(tuple, found.collect()), key=str) == [(1, 0, 0), (1, 1, 1), (2, 0, 0), (None, 0, 0)]
+
+
+def test_words_of_a_long_block_are_placed_once(spark):
+    t = spark.createDataFrame([(1, "ab " * 150_000), (2, " \t"), (3, None), (4, "x" * 90 + " y\r\nz")], "doc_id long, text string")
+    began = time.time()
+    placed = export.token_layout(t, ["doc_id"])
+    got = {r["doc_id"]: (r["n"], r["last"], r["x"], r["y"]) for r in placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("nth").alias("last"), F.max("x").alias("x"), F.max("y").alias("y")).collect()}
+    assert got == {1: (150_000, 149_999, 522.0, 72.0 + 12 * (150_000 // 26)), 4: (3, 2, 84.0, 84.0)}
+    assert time.time() - began < 20
