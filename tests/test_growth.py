@@ -165,3 +165,18 @@ def test_words_of_a_long_block_are_placed_once(spark):
     got = {r["doc_id"]: (r["n"], r["last"], r["x"], r["y"]) for r in placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("nth").alias("last"), F.max("x").alias("x"), F.max("y").alias("y")).collect()}
     assert got == {1: (150_000, 149_999, 522.0, 72.0 + 12 * (150_000 // 26)), 4: (3, 2, 84.0, 84.0)}
     assert time.time() - began < 20
+
+
+def test_documents_are_dealt_to_tasks_before_they_are_cut(spark):
+    b = blocks(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b\nc 1.5, d").alias("text")).coalesce(1))
+    assert plan(b).count("Exchange hashpartitioning(doc_id") == 1
+    assert plan(revised(b)).count("Exchange hashpartitioning(doc_id") == 1  # its windows need no other
+
+
+def test_words_and_tokens_are_split(spark):
+    x = F.col("text")
+    rows = [("Ab, 1.5-2,5 (c)\nd.", ["Ab", ",", " ", "1.5", "-", "2,5", " ", "(", "c", ")", "\nd", "."]), ("", []), (".", ["."]), ("\u00a0x\uff0cy ", [" ", "x", "\uff0c", "y", " "]), (None, None)]
+    t = spark.createDataFrame(rows, "text string, want array<string>").select("*", T.tokens(x).alias("got"), T.words(x).alias("words"))
+    assert "regexp_extract_all" not in plan(t)
+    for r in t.collect():
+        assert r["got"] == r["want"] and r["words"] == (None if r["want"] is None else [w.lower() for w in r["want"] if w not in " ,.-()\uff0c"])
