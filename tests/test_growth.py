@@ -180,3 +180,12 @@ def test_words_and_tokens_are_split(spark):
     assert "regexp_extract_all" not in plan(t)
     for r in t.collect():
         assert r["got"] == r["want"] and r["words"] == (None if r["want"] is None else [w.lower() for w in r["want"] if w not in " ,.-()\uff0c"])
+
+
+def test_interrupted_words_are_found_in_one_row_of_a_text(spark):
+    rows = [("t", 0, "word", "a", 0, 1), ("t", 1, "atom", "^", 1, 1), ("t", 2, "atom", None, 1, 1), ("t", 3, "word", "b", 1, 2), ("t", 4, "atom", "#", 2, 2), ("t", 5, "word", "c", 2, 3), ("t", 6, "atom", "~", 3, 3), ("t", 8, "word", "d", 3, 4), ("u", 9, "word", "e", 4, 5), ("u", 10, "atom", "%", None, None), ("u", 11, "word", "f", 5, 6)]
+    t = spark.createDataFrame(rows, "by string, ord long, kind string, key string, start long, end long")
+    found = structure.interrupted(t, ["by"])
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    m = structure.INTERRUPTION
+    assert {r["ord"]: r["match_key"] for r in found.collect()} == {0: f"a{m}^", 1: "^", 2: None, 3: f"b{m}^{m}#", 4: "#", 5: f"c{m}#", 6: "~", 8: "d", 9: "e", 10: "%", 11: "f"}
