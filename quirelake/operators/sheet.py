@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -64,12 +67,40 @@ def cache_facts(df: DataFrame, order: str, fields: list[str]) -> DataFrame:
 
 def grid(cells: DataFrame, keys: list[str]) -> DataFrame:
     """cells (keys, row, pos, span, v_merge: restart, continue or null) with grid_start and the row that covers each cell
-    (its vertical merge's first row)."""
-    w = W.partitionBy(*keys, "row").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    placed = cells.withColumn("grid_start", F.coalesce(F.sum("span").over(w), F.lit(0)).cast("long"))
-    up = W.partitionBy(*keys, "grid_start").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    start = F.last(F.when(F.col("v_merge").isNull() | (F.col("v_merge") == "restart"), F.col("row")), ignorenulls=True).over(up)
-    return placed.withColumn("covering_row", F.when(F.col("v_merge") == "continue", F.coalesce(start, F.col("row"))).otherwise(F.col("row")))
+    (its vertical merge's first row). A table's cells are one row, and tables go in Arrow batches, so that a task sorts
+    cells once."""
+    others = [c for c in cells.columns if c not in keys]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("cells")
+            table = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            rows = dict(zip(others, lists.flatten().flatten(), strict=True))
+            start, covering = placed_cells(table, *(pc.fill_null(rows[c].cast(pa.int64()), 0).to_numpy(zero_copy_only=False) for c in ("row", "pos", "span")), rows["v_merge"])
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).take(pa.array(table)).columns, *rows.values(), pa.array(start), pa.array(covering)], names=[*keys, *others, "grid_start", "covering_row"])
+
+    tables = cells.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("cells"))
+    none = F.lit(None).cast("long")
+    return tables.mapInArrow(run, cells.select(*keys, *others, none.alias("grid_start"), none.alias("covering_row")).schema)
+
+
+def placed_cells(table: np.ndarray, row: np.ndarray, pos: np.ndarray, span: np.ndarray, v_merge: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """grid_start and covering row of each cell, see grid; table numbers the tables."""
+    start, covering, n = np.zeros(len(row), np.int64), row.copy(), len(row)
+    if not n:
+        return start, covering
+    heads = lambda *columns: np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+    first = lambda new: np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    order = np.lexsort((pos, row, table))
+    ahead = np.cumsum(span[order]) - span[order]
+    start[order] = ahead - ahead[first(heads(table[order], row[order]))]
+    goes_on = pc.fill_null(pc.equal(v_merge, "continue"), False).to_numpy(zero_copy_only=False)
+    begins = pc.or_(pc.is_null(v_merge), pc.fill_null(pc.equal(v_merge, "restart"), False)).to_numpy(zero_copy_only=False)
+    order = np.lexsort((row, start, table))
+    new = first(heads(table[order], start[order]))
+    last = np.maximum.accumulate(np.where(begins[order], np.arange(n), -1))  # of this column, if not before its first cell
+    covering[order] = np.where(goes_on[order] & (last >= new), row[order][np.maximum(last, 0)], row[order])
+    return start, covering
 
 
 def address(row, col):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import time
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.operators import align, compose, export, layout, package, runs, script, structure
+from quirelake.operators import align, compose, delta, export, layout, package, runs, script, sheet, structure
 from quirelake.plans import q_blocks
 from quirelake.sources.store import stored
 from quirelake.sources.tables import blocks, revised
@@ -189,3 +190,16 @@ def test_interrupted_words_are_found_in_one_row_of_a_text(spark):
     assert plan(found).count("Exchange hashpartitioning") == 1
     m = structure.INTERRUPTION
     assert {r["ord"]: r["match_key"] for r in found.collect()} == {0: f"a{m}^", 1: "^", 2: None, 3: f"b{m}^{m}#", 4: "#", 5: f"c{m}#", 6: "~", 8: "d", 9: "e", 10: "%", 11: "f"}
+
+
+def test_cells_of_a_grid_are_not_sorted_by_windows(spark):
+    r = random.Random(9)
+    rows = [(t, i, p, r.randint(1, 2), r.choice(["restart", "continue", None])) for t in "ab" for i in r.sample(range(9), 6) for p in range(3)]
+    found = sheet.grid(spark.createDataFrame(rows, "t string, row long, pos long, span long, v_merge string"), ["t"])
+    assert not re.search(r"\bWindow\b|\bSort\b", plan(found))
+    want = {}
+    for t, i, p, n, m in sorted(rows, key=lambda x: x[:3]):
+        start = sum(x[3] for x in rows if x[:2] == (t, i) and x[2] < p)
+        above = [x[1] for x in want.values() if x[0] == t and x[2] == start and x[3] != "continue"]
+        want[t, i, p] = (t, i, start, m, max(above) if m == "continue" and above else i)
+    assert {(x["t"], x["row"], x["pos"]): (x["t"], x["row"], x["grid_start"], x["v_merge"], x["covering_row"]) for x in found.collect()} == want
