@@ -14,10 +14,11 @@ from quirelake.sources.store import stored
 
 def delta(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys, change (Added, Removed, Modified, Same), old_digest, new_digest; values are compared by a null-safe digest."""
-    digest = lambda df, name: df.select(*keys, F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256).alias(name))
+    # as bytes, half of their digits, until both have met: the join sorts them
+    digest = lambda df, name: df.select(*keys, F.unhex(F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256)).alias(name))
     both = digest(old, "old_digest").join(digest(new, "new_digest"), keys, "full")
     change = F.when(F.col("old_digest").isNull(), "Added").when(F.col("new_digest").isNull(), "Removed").when(F.col("old_digest") == F.col("new_digest"), "Same").otherwise("Modified")
-    return both.withColumn("change", change)
+    return both.withColumns({"change": change, **{c: F.lower(F.hex(c)) for c in ("old_digest", "new_digest")}})
 
 
 def field_changes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

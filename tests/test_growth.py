@@ -203,3 +203,12 @@ def test_cells_of_a_grid_are_not_sorted_by_windows(spark):
         above = [x[1] for x in want.values() if x[0] == t and x[2] == start and x[3] != "continue"]
         want[t, i, p] = (t, i, start, m, max(above) if m == "continue" and above else i)
     assert {(x["t"], x["row"], x["pos"]): (x["t"], x["row"], x["grid_start"], x["v_merge"], x["covering_row"]) for x in found.collect()} == want
+
+
+def test_digests_meet_as_bytes(spark):
+    rows = lambda *x: spark.createDataFrame(x, "k int, v string")
+    found = delta.delta(rows((1, "a"), (2, "b"), (3, None)), rows((2, "c"), (3, None), (4, "d")), ["k"], ["v"])
+    assert plan(found).count("unhex(sha2(") == 2
+    got = {r["k"]: r for r in found.collect()}
+    assert {k: r["change"] for k, r in got.items()} == {1: "Removed", 2: "Modified", 3: "Same", 4: "Added"}
+    assert got[1]["old_digest"] == hashlib.sha256(b'{"v":"a"}').hexdigest() and got[1]["new_digest"] is None
