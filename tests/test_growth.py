@@ -212,3 +212,13 @@ def test_digests_meet_as_bytes(spark):
     got = {r["k"]: r for r in found.collect()}
     assert {k: r["change"] for k, r in got.items()} == {1: "Removed", 2: "Modified", 3: "Same", 4: "Added"}
     assert got[1]["old_digest"] == hashlib.sha256(b'{"v":"a"}').hexdigest() and got[1]["new_digest"] is None
+
+
+def test_table_rows_are_shuffled_once(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "t string, row long, cells array<string>")
+    old = frame([("a", 1, ["x"]), ("a", 2, ["y"]), ("a", 3, ["z"]), ("a", 4, ["p", "1"]), ("a", 5, ["d"]), ("a", 6, ["d"]), ("b", 1, ["only"])])
+    new = frame([("a", 1, ["y"]), ("a", 2, ["x"]), ("a", 3, ["z"]), ("a", 4, ["p", "2"]), ("a", 5, ["d"])])
+    found = layout.table_diff(old, new, ["t"])
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) >= {("a", 1, 2, "Equal", None), ("a", 2, 1, "Moved", None), ("a", 3, 3, "Equal", None), ("a", 4, 4, "Modified", "1"), ("a", 5, 5, "Equal", None), ("a", 6, None, "Deleted", None), ("b", 1, None, "Deleted", None)}
