@@ -219,8 +219,9 @@ def full_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataF
     deletion follows the block before it. Gaps of a document are rows of their own, so only one gap is in memory at once."""
     fields = ["ord", "text", "hash", *(["format"] if "format" in left.columns else [])]
     left, right = stored(left.select(key, *fields), "left-blocks"), stored(right.select(key, *fields), "right-blocks")
-    anchors = stored(align.spine(align.unique_hash_join(left, right, key).select(key, "left_ord", "right_ord"), key), "anchors")
-    rest_l, rest_r = stored(align.gaps(left, anchors, "left", key), "left-rest"), stored(align.gaps(right, anchors, "right", key), "right-rest")
+    short = lambda df: df.withColumn("hash", F.unhex(F.sha2("hash", 256)))
+    anchors = stored(align.spine(align.unique_hash_join(short(left), short(right), key).select(key, "left_ord", "right_ord"), key), "anchors")
+    rest_l, rest_r = (stored(align.gaps(df.select(key, "ord", "text"), anchors, side, key), f"{side}-rest") for df, side in ((left, "left"), (right, "right")))
     listed = lambda df, name: df.groupBy(key, "gap").agg(F.array_sort(F.collect_list(F.struct("ord", "text", T.tokens(F.col("text")).alias("tokens")))).alias(name))
     both = listed(rest_l, "l").join(listed(rest_r, "r"), [key, "gap"])
     kind = dict(left.dtypes)[key]
@@ -254,9 +255,18 @@ def full_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataF
     behind = F.last(steady, ignorenulls=True).over(W.partitionBy(key).orderBy(F.col("lo").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
     script = script.withColumn("at", F.coalesce("ro", F.when(F.col("lo").isNotNull(), behind), F.lit(-1)))
     script = script.withColumn("seq", (F.row_number().over(W.partitionBy(key).orderBy("at", F.col("ro").isNull(), "lo")) - 1).cast("long"))
-    texts = lambda df, side: script.select(key, "seq", F.posexplode(f"{side}_ords").alias("p", "ord")).join(df.select(key, "ord", "text"), [key, "ord"]).groupBy(key, "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "text"))), lambda x: x["text"]).alias(f"{side}_texts"))
-    out = script.join(texts(left, "left"), [key, "seq"], "left").join(texts(right, "right"), [key, "seq"], "left")
-    return out.select(key, "seq", "op", "left_ords", "right_ords", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("left_texts", "right_texts")], "cells")
+    # operations, their places and the blocks of both versions meet by document in one shuffle: windows need no other, and
+    # neither do both versions, JSON or whatever else is made of a document's script
+    cell = "array<struct<left:string,right:string,mark:string>>"
+    place = lambda side: F.transform(f"{side}_ords", lambda ord_, p: F.struct(F.lit(side).alias("side"), p.cast("long").alias("p"), ord_.alias("ord"), F.lit(None).cast("string").alias("op"), F.lit(None).cast(cell).alias("cells")))
+    own = F.array(F.struct(F.lit("").alias("side"), F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("ord"), "op", F.col("cells").cast(cell).alias("cells")))
+    rows = script.select(key, "seq", F.explode(F.concat(own, place("left"), place("right"))).alias("x")).select(key, "seq", "x.*")
+    text = lambda df, side: df.select(key, F.lit(side).alias("side"), "ord", "text")
+    rows = rows.unionByName(text(left, "left"), allowMissingColumns=True).unionByName(text(right, "right"), allowMissingColumns=True).repartition(key)
+    rows = rows.withColumn("text", F.max("text").over(W.partitionBy(key, "side", "ord"))).where("seq is not null")
+    listed = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("p", "ord", "text"))))
+    out = rows.groupBy(key, "seq").agg(F.max("op").alias("op"), F.first("cells", ignorenulls=True).alias("cells"), listed("left").alias("l"), listed("right").alias("r"))
+    return out.select(key, "seq", "op", F.col("l.ord").alias("left_ords"), F.col("r.ord").alias("right_ords"), F.col("l.text").alias("left_texts"), F.col("r.text").alias("right_texts"), "cells")
 
 
 def version(script: DataFrame, side: str, key: str = "doc_id") -> DataFrame:

@@ -222,3 +222,12 @@ def test_table_rows_are_shuffled_once(spark):
     assert plan(found).count("Exchange hashpartitioning") == 1
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) >= {("a", 1, 2, "Equal", None), ("a", 2, 1, "Moved", None), ("a", 3, 3, "Equal", None), ("a", 4, 4, "Modified", "1"), ("a", 5, 5, "Equal", None), ("a", 6, None, "Deleted", None), ("b", 1, None, "Deleted", None)}
+
+
+def test_versions_of_a_script_need_no_shuffle_behind_its_texts(spark):
+    left = blocks(spark.createDataFrame([(i, "a b c d\nb c\n\nx y z") for i in range(3)] + [(9, None)], "doc_id long, text string"))
+    s = script.full_script(left, revised(left))
+    digest = script.version(s, "right").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("blocks"))
+    assert plan(digest).split("REPARTITION_BY_COL")[0].count("Exchange") == 1
+    want = {r["doc_id"]: [tuple(b) for b in r["blocks"]] for r in revised(left).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("blocks")).collect()}
+    assert {r["doc_id"]: [tuple(b) for b in r["blocks"]] for r in digest.collect()} == want
