@@ -14,6 +14,7 @@ blocks other pages have is a version of theirs."""
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,7 +27,7 @@ from quirelake.llm import common
 
 #: A repeated substring has at least this many tokens, on at least so many distinct pages of the host.
 MIN_RUN, MIN_PAGES = 6, 3
-#: Bytes of html that are judged together; the pages of a larger host are dealt into several such groups.
+#: Bytes of html whose suffixes are sorted together; the pages of a larger host are dealt into several such groups.
 GROUP_BYTES = 4 * 1024 * 1024
 
 # HTML element names.
@@ -243,8 +244,16 @@ def uncovered(blocks: list[str], hits: np.ndarray, run: int, own: list[bool] | N
     return [t for t in out if t]
 
 
+def cleaned(blocks: list[str], own: list[bool], kept: bool, hits: np.ndarray, run: int) -> list[str]:
+    """The main text of a page as blocks; hits: the places in its stream where repeated substrings begin."""
+    asked = [t for t, o in zip(blocks, own, strict=True) if o]
+    if not asked or not len(hits):
+        return asked
+    return (uncovered(asked, hits, run, None, True) if kept else uncovered(blocks, hits, run, own)) or asked
+
+
 def judged(blocks: list[list[str]], own: list[list[bool]], kept: list[bool], run: int, min_pages: int) -> list[list[str]]:
-    """The main text of each page of a group of one host's pages, as blocks."""
+    """The main text of each page of one host, as blocks."""
     ids: dict[str, int] = {}
     number = lambda texts: np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in t.split(" ")), dtype=np.int64)
     asked = [[t for t, o in zip(b, mine, strict=True) if o] for b, mine in zip(blocks, own, strict=True)]
@@ -258,20 +267,46 @@ def judged(blocks: list[list[str]], own: list[list[bool]], kept: list[bool], run
         pages = max(min_pages, len(pool) // 2 + 1) if article else min_pages
         found = dict(zip(pool, repeated_places([number(asked[i] if article else blocks[i]) for i in pool], run, pages), strict=True))
         for i in mine:
-            if article and len(found[i]):
-                out[i] = uncovered(asked[i], found[i], run, None, True) or asked[i]
-            elif len(found[i]):
-                out[i] = uncovered(blocks[i], found[i], run, own[i]) or asked[i]
+            out[i] = cleaned(blocks[i], own[i], article, found[i], run)
     return out
 
 
+def run_hashes(texts: list[str], run: int) -> np.ndarray:
+    """Hashes of the substrings of run tokens of a page's stream, by place."""
+    words = [w.encode() for t in texts for w in t.split(" ")]
+    return common.shingle_hashes(common.hash_words(words), run).view(np.int64) if len(words) >= run else np.zeros(0, np.int64)
+
+
+def candidates(asked: list[list[str]], run: int) -> np.ndarray:
+    """Hashes of the substrings that most of a group's main texts have. What most texts of a host have, most texts of one of
+    its groups have, so no other substring needs to be counted over the host."""
+    ids: dict[str, int] = {}
+    asked = [t for t in asked if t]
+    if not asked:
+        return np.zeros(0, np.int64)
+    streams = [np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in t.split(" ")), dtype=np.int64) for texts in asked]
+    places = [at[at <= len(s) - run] for at, s in zip(repeated_places(streams, run, len(asked) // 2 + 1), streams, strict=True)]
+    return np.unique(np.concatenate([run_hashes(t, run)[at] for t, at in zip(asked, places, strict=True) if len(at)] or [np.zeros(0, np.int64)]))
+
+
+def packed(blocks: list[str]) -> bytes:
+    """Blocks hold no line ends, so they are lines of one text."""
+    return zlib.compress("\n".join(blocks).encode(), 1)
+
+
+def unpacked(data: bytes) -> list[str]:
+    text = zlib.decompress(data).decode()
+    return text.split("\n") if text else []
+
+
 def extract(pages: DataFrame, run: int = MIN_RUN, min_pages: int = MIN_PAGES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_removed_tokens of every page.
 
     Character references are decoded, white space inside a block is one space, blocks are joined in page order by one
     space. A page without text (null, empty or chrome alone) has the empty text. A null or odd url belongs to the host "".
     A host of more than group_bytes of html has its pages dealt by hash into groups of about that size, whatever files they
-    stand in, so that no host is in one task. A substring must be on min_pages pages of the group, in an article on most of
+    stand in, so that no host is in one task; what a group can't decide by itself is counted over the host, so results
+    don't depend on the groups. A substring must be on min_pages pages of the host, in an article on most of
     them too; a longer page has its group's size exceeded by its own. Repeated rows count as pages of their own;
     ties of suffixes don't matter, as places are counted. Other columns are ignored; an empty table gives no rows. Where
     all of a page's main text is repeated it is kept as it is: a host of equal pages has no boilerplate to tell from its
@@ -281,26 +316,102 @@ def extract(pages: DataFrame, run: int = MIN_RUN, min_pages: int = MIN_PAGES, gr
     hosts = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("html")) / group_bytes)).cast("long").alias("parts"))
     hosts = common.materialize(hosts.where("parts > 1"), "html-hosts", narrow=True)
     dealt = sized.join(common.small_or_not(hosts, 256), "host", "left").withColumn("part", F.pmod("turn", F.coalesce("parts", F.lit(1))))
+    result = "page_id string, url string, text string, n_chars long, n_blocks long, n_removed_tokens long"
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common.lean()
         for pdf in it:
             found = [all_blocks(h if isinstance(h, str) else None) for h in pdf["html"]]
             main = [main_kind(b) for b in found]
-            own = [[k == m for k, _ in b] for b, m in zip(found, main, strict=True)]
-            yield pd.DataFrame({"host": pdf["host"], "part": pdf["part"], "page_id": pdf["page_id"], "url": pdf["url"], "kept": [m == KEPT for m in main], "blocks": [[t for _, t in b] for b in found], "own": own})
+            own = [bytes(k == m for k, _ in b) for b, m in zip(found, main, strict=True)]
+            yield pd.DataFrame({"host": pdf["host"], "part": pdf["part"], "page_id": pdf["page_id"], "url": pdf["url"], "kept": [m == KEPT for m in main], "blocks": [packed([t for _, t in b]) for b in found], "own": own})
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        common.lean()
-        blocks, own = [list(b) for b in pdf["blocks"]], [list(o) for o in pdf["own"]]
-        left = judged(blocks, own, pdf["kept"].tolist(), run, min_pages)
+    def rows(pdf: pd.DataFrame, blocks: list[list[str]], left: list[list[str]]) -> pd.DataFrame:
         words = lambda texts: sum(t.count(" ") + 1 for t in texts)
-        gone = [words(t for t, o in zip(b, mine, strict=True) if o) - words(x) for b, mine, x in zip(blocks, own, left, strict=True)]
+        gone = [words(t for t, o in zip(b, mine, strict=True) if o) - words(x) for b, mine, x in zip(blocks, pdf["own"], left, strict=True)]
         texts = [" ".join(x) for x in left]
         return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_blocks": [len(x) for x in left], "n_removed_tokens": gone})
 
-    parsed = dealt.select("host", "part", "page_id", "url", "html").mapInPandas(parse, "host string, part long, page_id string, url string, kept boolean, blocks array<string>, own array<boolean>")
-    out = parsed.groupBy("host", "part").applyInPandas(judge, "page_id string, url string, text string, n_chars long, n_blocks long, n_removed_tokens long")
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        common.lean()
+        blocks = [unpacked(b) for b in pdf["blocks"]]
+        return rows(pdf, blocks, judged(blocks, [list(o) for o in pdf["own"]], pdf["kept"].tolist(), run, min_pages))
+
+    def grouped(part: DataFrame):
+        parsed = part.select("host", "part", "page_id", "url", "html").mapInPandas(parse, "host string, part long, page_id string, url string, kept boolean, blocks binary, own binary")
+        return parsed.groupBy("host", "part")
+
+    out = grouped(dealt.where("parts is null")).applyInPandas(judge, result)
+    if hosts.isEmpty():
+        return out.withColumn("page_id", F.col("page_id").cast(kind))
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        common.lean()
+        asked = [[t for t, o in zip(unpacked(b), own, strict=True) if o] for b, own in zip(pdf["blocks"], pdf["own"], strict=True)]
+        often = candidates(asked, run)
+        return pdf.assign(asked=[bool(t) for t in asked], nr=range(len(pdf)), candidates=[often if i == 0 else None for i in range(len(pdf))])
+
+    def counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Distinct substrings of each page, of its main text or of all that it has."""
+        common.lean()
+        for pdf in it:
+            texts = [[t for t, o in zip(unpacked(b), own, strict=True) if o or every] for b, own, every in zip(pdf["blocks"], pdf["own"], pdf["every"], strict=True)]
+            yield pd.DataFrame({"host": pdf["host"], "part": pdf["part"], "nr": pdf["nr"], "run": [np.unique(run_hashes(t, run)) for t in texts]})
+
+    def clean(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.lean()
+        for pdf in it:
+            blocks, left = [unpacked(b) for b in pdf["blocks"]], []
+            for b, own, kept, often in zip(blocks, pdf["own"], pdf["kept"], pdf["often"], strict=True):
+                own, hits = list(own), np.zeros(0, np.int64)
+                if often is not None and len(often):
+                    hits = np.flatnonzero(np.isin(run_hashes([t for t, o in zip(b, own, strict=True) if o or not kept], run), np.asarray(often, np.int64)))
+                left.append(cleaned(b, own, kept, hits, run))
+            yield rows(pdf, blocks, left)
+
+    def met(df: DataFrame, table: DataFrame, size: DataFrame, how: str = "left") -> DataFrame:
+        """df with a table of one row per host: broadcast if the rows it was made from are few, else met by groups, as a host
+        is too much for one task."""
+        limit = common.BROADCAST_BYTES // 64
+        if size.limit(limit + 1).count() <= limit:
+            return df.join(F.broadcast(table), "host", how)
+        return df.join(table.join(hosts, "host").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), ["host", "part"], how)
+
+    def runs_of(df: DataFrame, every: bool) -> DataFrame:
+        found = df.select("host", "part", "nr", "blocks", "own", F.lit(every).alias("every")).mapInPandas(counted, "host string, part long, nr long, run array<long>")
+        return found.withColumn("run", F.explode("run"))
+
+    far = grouped(dealt.where("parts is not null")).applyInPandas(local, "host string, part long, page_id string, url string, kept boolean, blocks binary, own binary, asked boolean, nr long, candidates array<long>")
+    far = common.materialize(far, "html-pages")
+    nothing = F.lit(None).cast("array<long>").alias("often")
+
+    # articles lose what most main texts of the host have: candidates are counted over its pages
+    articles = far.where("kept or not asked")
+    asked_for = common.materialize(far.select("host", F.explode("candidates").alias("run")).distinct(), "html-candidates", narrow=True)
+    if asked_for.isEmpty():
+        articles = articles.select("*", nothing)
+    else:
+        main = far.where("asked")
+        named = asked_for.select("host").distinct()
+        runs = runs_of(met(main, named, named, "left_semi"), False).join(common.small_or_not(asked_for, 64), ["host", "run"], "left_semi").groupBy("host", "run").count()
+        sizes = main.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        often = runs.join(common.small_or_not(sizes, 256), "host").where(F.col("count") >= F.greatest(F.lit(min_pages), F.floor(F.col("n") / 2) + 1)).select("host", "run")
+        often = common.materialize(often, "html-often", narrow=True)
+        articles = met(articles, often.groupBy("host").agg(F.collect_list("run").alias("often")), often)
+
+    # open pages lose what min_pages pages of the host have
+    opened = far.where("asked and not kept")
+    named = common.materialize(opened.select("host").distinct(), "html-open-hosts", narrow=True)
+    if named.isEmpty():
+        opened = opened.select("*", nothing)
+    else:
+        runs = runs_of(met(far, named, named, "left_semi"), True).groupBy("host", "run").count().where(F.col("count") >= min_pages).select("host", "run")
+        runs = common.materialize(runs, "html-open-runs")
+        hits = runs_of(opened, True).join(common.small_or_not(runs, 64), ["host", "run"]).groupBy("host", "part", "nr").agg(F.collect_list("run").alias("often"))
+        opened = opened.join(hits, ["host", "part", "nr"], "left")
+
+    for pages_left in (articles, opened):
+        out = out.unionByName(pages_left.select("page_id", "url", "kept", "blocks", "own", "often").mapInPandas(clean, result))
     return out.withColumn("page_id", F.col("page_id").cast(kind))
 
 

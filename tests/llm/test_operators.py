@@ -613,6 +613,22 @@ def test_op1_near_copies_stay_whole(spark):
     assert {r["text"] for r in html.extract(pages).collect()} == {" ".join([*body, f"version {i}"]) for i in range(9)}
 
 
+def test_op1_groups_decide_nothing(spark):
+    """A host's pages have one result, however many groups they are dealt into: boilerplate on three of many open pages, in
+    more than half of the articles, and in just half of them."""
+    rnd = random.Random(31)
+    text = lambda n: " ".join(f"w{rnd.randrange(10_000)}" for _ in range(n))
+    rare, pair, most, half = text(9), text(9), text(8), text(8)
+    rows = [(i, "http://a.com/x", f"<div>{text(30)}</div>" + (f"<div>{rare}</div>" if i % 13 == 0 else "") + (f"<div>{pair}</div>" if i in (1, 2) else "")) for i in range(39)]
+    rows += [(100 + i, "http://b.com/x", f"<article><p>{text(30)}" + (f"<p>{most}" if i < 11 else "") + (f"<p>{half}" if i >= 10 else "") + "</article>") for i in range(20)]
+    rows += [(200 + i, "http://c.com/x", rnd.choice(["<article><p>{}<p>{}</article><nav>{}</nav>", "<p>{}<p>{}<p>{}"]).format(text(20), *rnd.choices([rare, pair, most, half], k=2))) for i in range(30)]
+    pages = spark.createDataFrame([*rows, (300, "http://b.com/y", None), (301, "http://c.com/y", "")], "page_id long, url string, html string")
+    got = [sorted(map(tuple, html.extract(pages, group_bytes=size).collect())) for size in (html.GROUP_BYTES, 2_000, 300)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 91
+    texts = {r[0]: r[2] for r in got[1]}
+    assert not any(rare in texts[i] for i in (0, 13, 26)) and pair in texts[1] and most not in texts[100] and half in texts[119]
+
+
 def test_op1_suffix_array():
     """Places against brute force."""
     import numpy as np
