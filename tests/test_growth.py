@@ -183,6 +183,14 @@ def test_words_and_tokens_are_split(spark):
         assert r["got"] == r["want"] and r["words"] == (None if r["want"] is None else [w.lower() for w in r["want"] if w not in " ,.-()\uff0c"])
 
 
+def test_marks_between_digits_are_hidden_only_where_there_are_any(spark):
+    """Of a text without them nothing is made but its pieces; odd texts of each kind are cut alike."""
+    assert str(T.words(F.col("text"))).count("regexp_replace") == 2
+    rows = [("Ab,c. D", ["ab", "c", "d"]), ("ΣΑΣ.Β Ä", ["σας", "β", "ä"]), ("1.5 2,x 3. 4", ["1.5", "2", "x", "3", "4"]), ("A\ue000 \ue000 B", ["a.", "b"]), ("..", []), ("", []), (None, None)]
+    got = spark.createDataFrame(rows, "text string, want array<string>").select("want", T.words(F.col("text")).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
 def test_interrupted_words_are_found_in_one_row_of_a_text(spark):
     rows = [("t", 0, "word", "a", 0, 1), ("t", 1, "atom", "^", 1, 1), ("t", 2, "atom", None, 1, 1), ("t", 3, "word", "b", 1, 2), ("t", 4, "atom", "#", 2, 2), ("t", 5, "word", "c", 2, 3), ("t", 6, "atom", "~", 3, 3), ("t", 8, "word", "d", 3, 4), ("u", 9, "word", "e", 4, 5), ("u", 10, "atom", "%", None, None), ("u", 11, "word", "f", 5, 6)]
     t = spark.createDataFrame(rows, "by string, ord long, kind string, key string, start long, end long")
