@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -141,18 +144,23 @@ def greedy_best_first(scores: DataFrame, threshold: float, key: str = "doc_id")
 
 def flagged(rows: DataFrame, key: str, order: list, flags, name: str) -> DataFrame:
     """rows with a boolean column that flags() gives for the rows of one key, as tuples of the columns in order, in that
-    order. Keys travel as one row each in Arrow batches, which costs far less than a group each where groups are small."""
+    order. Keys travel as one row each in Arrow batches, which costs far less than a group each where groups are small; only
+    the columns in order become objects of Python."""
     rest = [c for c in rows.columns if c != key]
     n = len(order)
     listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row")))).alias("rows"))
 
-    def run(frames):
-        for pdf in frames:
-            found = [flags([tuple(x[f"o{i}"] for i in range(n)) for x in own]) for own in pdf["rows"]]
-            yield pd.DataFrame({key: pdf[key], "rows": [list(own) for own in pdf["rows"]], "flags": found})
+    def run(batches):
+        for batch in batches:
+            own = batch.column("rows")
+            flat = own.flatten()
+            ordered = list(zip(*[pc.struct_field(flat, f"o{i}").to_pylist() for i in range(n)], strict=True))
+            ends = np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False)).tolist()
+            found = [flags(ordered[i:j]) for i, j in itertools.pairwise([0, *ends])]
+            yield pa.RecordBatch.from_arrays([batch.column(key), own, pa.array(found, pa.list_(pa.bool_()))], names=[key, "rows", "flags"])
 
     kind = f"array<{listed.schema['rows'].dataType.elementType.simpleString()}>"
-    out = listed.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, rows {kind}, flags array<boolean>")
+    out = listed.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, rows {kind}, flags array<boolean>")
     out = out.select(key, F.explode(F.arrays_zip("rows", "flags")).alias("x")).select(key, "x.rows.row.*", F.col("x.flags").alias(name))
     return out.select(*rows.columns, name)
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import bisect
 import itertools
-from collections import Counter, defaultdict
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,54 +34,64 @@ def candidates(left: list[list[str]], right: list[list[str]], singular: list[str
     """(first left, last left, first right, last right, weight) of pairs, splits and merges of blocks, given as words.
 
     Weights are matched words, times a thousand, less the blocks they use. Blocks meet over shared words only."""
+    met = list(align.common_words(left, right, True, 0.0))
     out = []
-    at = defaultdict(list)
-    bags = [Counter(w) for w in right]
-    for j, bag in enumerate(bags):
-        for word in bag:
-            at[word].append(j)
-    for i, words in enumerate(left):
-        own = Counter(words)
-        for j in sorted({j for word in own for j in at[word]}):
-            both = (own & bags[j]).total()
-            if both >= align.PAIR_SCORE * (own.total() + bags[j].total() - both):
-                out.append((i, i, j, j, 1000 * both - 2))
-    out += [(i, i, a, b, w) for i, a, b, w in runs(left, right)]
+    for i, at, both, size, sizes in met:
+        alike = both >= align.PAIR_SCORE * (size + sizes - both)
+        out += [(i, i, j, j, 1000 * n - 2) for j, n in zip(at[alike].tolist(), both[alike].tolist(), strict=True)]
+    out += [(i, i, a, b, w) for i, a, b, w in runs(left, right, met)]
     out += [(a, b, j, j, w) for j, a, b, w in runs(right, left)]
     return out
 
 
-def runs(whole: list[list[str]], parts: list[list[str]]) -> list[tuple[int, int, int, int]]:
+def runs(whole: list[list[str]], parts: list[list[str]], met: list | None = None) -> list[tuple[int, int, int, int]]:
     """(whole, first part, last part, weight) of blocks and the runs of two to eight others that they may be cut into: the
-    words of the run stand in the block in order, enough of either side, and two or more in each part at an end."""
-    bags, at, out = [Counter(p) for p in parts], defaultdict(list), []
-    for j, bag in enumerate(bags):
-        for word in bag:
-            at[word].append(j)
-    for i, words in enumerate(whole):
-        own = Counter(words)
-        met = Counter()
-        for word in own:
-            for j in at[word]:
-                met[j] += min(own[word], bags[j][word])
-        fits = lambda j: met[j] >= 2 and len(parts[j]) - met[j] <= FOREIGN * max(len(parts[j]), len(words))
-        for a in sorted(met):
-            if not fits(a):
-                continue
-            got = Counter(bags[a])
-            for b in range(a + 1, min(len(parts), a + LONGEST)):
-                got += bags[b]
-                both = (got & own).total()
-                if got.total() - both > FOREIGN * max(got.total(), len(words)):
+    words of the run stand in the block in order, enough of either side, and two or more in each part at an end. met: what
+    common_words finds of them. A run has at most the words that its parts have one by one, and the block's, so only one that may have
+    enough, with a fit part at both ends, is looked at, and its words are counted as it grows."""
+    out = []
+    bags: dict[int, Counter] = {}
+    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    until = np.concatenate([[0], np.cumsum(lengths)])
+    for i, at, met_words, _, sizes in met or align.common_words(whole, parts, True, 0.0):
+        words = whole[i]
+        fits = (met_words >= 2) & (sizes - met_words <= FOREIGN * np.maximum(sizes, len(words)))
+        starts = at[fits]
+        if len(starts) < 2:
+            continue
+        most, last = np.zeros(len(parts) + 1, np.int64), np.zeros(len(parts) + LONGEST, bool)
+        most[at + 1], last[starts] = met_words, True
+        most = np.cumsum(most)
+        b = starts[:, None] + np.arange(1, LONGEST)
+        after = np.minimum(b, len(parts) - 1) + 1
+        met_all, every = np.minimum(most[after] - most[starts, None], len(words)), until[after] - until[starts, None]
+        grows = np.logical_and.accumulate(every - met_all <= FOREIGN * np.maximum(every, len(words)), axis=1)
+        enough = (grows & last[b] & (met_all >= ADDED * len(words)) & (every - met_all <= FOREIGN * every)).any(axis=1)
+        own = Counter(words) if enough.any() else None
+        for a in starts[enough].tolist():
+            got: Counter = Counter()
+            total = both = 0
+            for b in range(a, min(len(parts), a + LONGEST)):
+                if b not in bags:
+                    bags[b] = Counter(parts[b])
+                total += len(parts[b])
+                small, large = (bags[b], own) if len(bags[b]) < len(own) else (own, bags[b])
+                for w in small:
+                    if w in large:
+                        both += min(own[w], got[w] + bags[b][w]) - min(own[w], got[w])
+                        got[w] += bags[b][w]
+                if b == a:
+                    continue
+                if total - both > FOREIGN * max(total, len(words)):
                     break
-                if fits(b) and both >= ADDED * len(words) and got.total() - both <= FOREIGN * got.total():
+                if last[b] and both >= ADDED * len(words) and total - both <= FOREIGN * total:
                     flat = [(j, w) for j in range(a, b + 1) for w in parts[j]]
                     matched = align.myers(words, [w for _, w in flat])
                     per_part = Counter(flat[q][0] for _, q in matched)
-                    enough = [per_part[j] >= 2 for j in range(a, b + 1)]
-                    whole_enough = len(matched) >= COVERAGE * len(words) and sum(enough) >= 2
-                    added = len(matched) >= ADDED * len(words) and all(enough)
-                    if enough[0] and enough[-1] and len(flat) - len(matched) <= FOREIGN * len(flat) and (whole_enough or added):
+                    two = [per_part[j] >= 2 for j in range(a, b + 1)]
+                    whole_enough = len(matched) >= COVERAGE * len(words) and sum(two) >= 2
+                    added = len(matched) >= ADDED * len(words) and all(two)
+                    if two[0] and two[-1] and len(flat) - len(matched) <= FOREIGN * len(flat) and (whole_enough or added):
                         out.append((i, a, b, 1000 * len(matched) - (b - a + 2)))
     return out
 
@@ -208,7 +219,7 @@ def gap_operations(left: list[str], right: list[str], lt: list[list[str]], rt: l
 OPERATIONS = "op string, left_ords array<long>, right_ords array<long>, cells array<struct<left:string,right:string,mark:string>>"
 
 
-def full_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
+def full_script(left: DataFrame, right: DataFrame, key: str = "doc_id", texts: bool = True) -> DataFrame:
     """key, seq, op, left_ords, right_ords, left_texts, right_texts, cells that turn left into right.
 
     left and right hold key, ord, text, hash, and format if formats are compared. Blocks with equal hashes that are unique in
@@ -216,7 +227,8 @@ def full_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataF
     anchors of the spine is a gap; in it the chain of Modify, Split and Merge with the most matched words is taken, each
     block once. Neighbouring modifications with words that cross their boundary are one CrossParagraphRun. Leftovers
     anywhere in the document that are nearly equal are MoveModify; the rest is Delete or Insert. seq follows the right side; a
-    deletion follows the block before it. Gaps of a document are rows of their own, so only one gap is in memory at once."""
+    deletion follows the block before it. Gaps of a document are rows of their own, so only one gap is in memory at once.
+    Blocks with equal hashes have equal texts. texts: with left_texts and right_texts, for which all texts are shuffled."""
     fields = ["ord", "text", "hash", *(["format"] if "format" in left.columns else [])]
     left, right = stored(left.select(key, *fields), "left-blocks"), stored(right.select(key, *fields), "right-blocks")
     short = lambda df: df.withColumn("hash", F.unhex(F.sha2("hash", 256)))
@@ -255,18 +267,22 @@ def full_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataF
     behind = F.last(steady, ignorenulls=True).over(W.partitionBy(key).orderBy(F.col("lo").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
     script = script.withColumn("at", F.coalesce("ro", F.when(F.col("lo").isNotNull(), behind), F.lit(-1)))
     script = script.withColumn("seq", (F.row_number().over(W.partitionBy(key).orderBy("at", F.col("ro").isNull(), "lo")) - 1).cast("long"))
+    if not texts:
+        return script.select(key, "seq", "op", "left_ords", "right_ords", "cells")
     # operations, their places and the blocks of both versions meet by document in one shuffle: windows need no other, and
-    # neither do both versions, JSON or whatever else is made of a document's script
+    # neither do both versions, JSON or whatever else is made of a document's script. The left texts of equal blocks are
+    # their right ones
     cell = "array<struct<left:string,right:string,mark:string>>"
     place = lambda side: F.transform(f"{side}_ords", lambda ord_, p: F.struct(F.lit(side).alias("side"), p.cast("long").alias("p"), ord_.alias("ord"), F.lit(None).cast("string").alias("op"), F.lit(None).cast(cell).alias("cells")))
     own = F.array(F.struct(F.lit("").alias("side"), F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("ord"), "op", F.col("cells").cast(cell).alias("cells")))
     rows = script.select(key, "seq", F.explode(F.concat(own, place("left"), place("right"))).alias("x")).select(key, "seq", "x.*")
     text = lambda df, side: df.select(key, F.lit(side).alias("side"), "ord", "text")
-    rows = rows.unionByName(text(left, "left"), allowMissingColumns=True).unionByName(text(right, "right"), allowMissingColumns=True).repartition(key)
+    rows = rows.unionByName(text(rest_l, "left"), allowMissingColumns=True).unionByName(text(right, "right"), allowMissingColumns=True).repartition(key)
     rows = rows.withColumn("text", F.max("text").over(W.partitionBy(key, "side", "ord"))).where("seq is not null")
     listed = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("p", "ord", "text"))))
     out = rows.groupBy(key, "seq").agg(F.max("op").alias("op"), F.first("cells", ignorenulls=True).alias("cells"), listed("left").alias("l"), listed("right").alias("r"))
-    return out.select(key, "seq", "op", F.col("l.ord").alias("left_ords"), F.col("r.ord").alias("right_ords"), F.col("l.text").alias("left_texts"), F.col("r.text").alias("right_texts"), "cells")
+    left_texts = F.when(F.col("op").isin("Equal", "FormatOnly", "Move"), F.col("r.text")).otherwise(F.col("l.text"))
+    return out.select(key, "seq", "op", F.col("l.ord").alias("left_ords"), F.col("r.ord").alias("right_ords"), left_texts.alias("left_texts"), F.col("r.text").alias("right_texts"), "cells")
 
 
 def version(script: DataFrame, side: str, key: str = "doc_id") -> DataFrame:
@@ -297,10 +313,10 @@ def script_from_json(table: DataFrame, key: str = "doc_id") -> DataFrame:
     return table.select(key, F.explode(F.from_json("json", RECORD)).alias("x")).select(key, "x.*")
 
 
-def scoped_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
+def scoped_script(left: DataFrame, right: DataFrame, key: str = "doc_id", texts: bool = True) -> DataFrame:
     """full_script of each scope of a document by itself (left and right have a column scope: body, headers, footers,
     notes), so a block never moves from one to another; with key and scope instead of one key."""
     unit = F.concat_ws("\x1f", F.col("scope"), F.col(key).cast("string"))
-    cut = full_script(left.withColumn("__unit", unit), right.withColumn("__unit", unit), "__unit")
+    cut = full_script(left.withColumn("__unit", unit), right.withColumn("__unit", unit), "__unit", texts)
     parts = F.split("__unit", "\x1f")
     return cut.withColumns({"scope": parts[0], key: parts[1].cast(dict(left.dtypes)[key])}).drop("__unit")

@@ -16,9 +16,10 @@ def reworked(b):
     the others is bold. Words are cut at single spaces."""
     n = F.count("*").over(W.partitionBy("doc_id"))
     here = W.partitionBy("doc_id").orderBy("ord")
-    words = F.split("text", " ")
-    b = b.withColumns({"n": n, "w": words, "before": F.lag("text").over(here), "after": F.lead("text").over(here)})
-    b = b.withColumns({"bw": F.split("before", " "), "aw": F.split("after", " ")})
+    b = b.withColumns({"n": n, "before": F.lag("text").over(here), "after": F.lead("text").over(here)})
+    # only blocks that may be changed, and those beside them, are cut into words
+    near = (F.col("n") >= 9) & F.col("ord").between(1, 7)
+    b = b.withColumns({w: F.when(near, F.split(c, " ")) for w, c in (("w", "text"), ("bw", "before"), ("aw", "after"))})
     b = b.withColumns({"splits": planted(b, 1), "merges": planted(b, 3), "crosses": planted(b, 6), "half": F.floor(F.size("w") / 2).cast("int")})
     was = lambda c: F.coalesce(F.lag(c).over(here), F.lit(False))
     b = b.withColumns({"merged": was("merges"), "crossed": was("crosses")})
@@ -38,21 +39,21 @@ def planted(b, ord_: int):
     return F.coalesce((F.col("n") >= 9) & (F.col("ord") == ord_) & long("w") & long("aw"), F.lit(False))
 
 
-def _script(spark, sf):
+def _script(spark, sf, texts=True):
     b = blocks(load(spark, sf, "documents"))
     left = b.withColumn("format", F.lit("plain"))
-    return left, reworked(b), script.full_script(left, reworked(b))
+    return left, reworked(b), script.full_script(left, reworked(b), texts=texts)
 
 
 def script_kinds(spark, sf):
     """The operations of each document by kind; of the kinds that other versions can't be told apart by, in one row each."""
-    _, _, s = _script(spark, sf)
+    _, _, s = _script(spark, sf, texts=False)
     return s.groupBy("doc_id", "op").agg(F.count("*").alias("n"), F.sum(F.size("left_ords")).alias("n_left"), F.sum(F.size("right_ords")).alias("n_right"))
 
 
 def script_structure_found(spark, sf):
     """Documents with planted changes, and the first block of what was found as split, merged and crossing."""
-    _, _, s = _script(spark, sf)
+    _, _, s = _script(spark, sf, texts=False)
     first = lambda op, at: F.min(F.when((F.col("op") == op) & F.array_contains("left_ords", F.lit(at).cast("long")), F.array_join(F.col("left_ords").cast("array<string>"), ",")))
     return s.groupBy("doc_id").agg(first("Split", 1).alias("split"), first("Merge", 3).alias("merged"), first("CrossParagraphRun", 6).alias("crossed")).where("coalesce(split, merged, crossed) is not null")
 
@@ -82,7 +83,7 @@ def scoped_script_ops(spark, sf):
     left = b.select("doc_id", "ord", scope.alias("scope"), "text", "hash")
     text = F.when(F.col("scope") == "headers", F.lit("an entirely other header")).otherwise(F.col("text"))
     right = left.where("ord <> 1").withColumn("text", text).withColumn("hash", F.sha2("text", 256))
-    s = script.scoped_script(left, right)
+    s = script.scoped_script(left, right, texts=False)
     return s.groupBy("doc_id", "scope", "op").agg(F.count("*").alias("n"))
 
 

@@ -100,3 +100,31 @@ def test_formats_and_empty(spark):
     b = a.withColumn("format", F.when(F.col("ord") == 0, "bold").otherwise("plain"))
     assert [r["op"] for r in script.full_script(a, b).orderBy("seq").collect()] == ["FormatOnly", "Equal"]
     assert script.full_script(a.limit(0), b.limit(0)).count() == 0
+
+
+def test_runs_that_hold_too_few_words_are_not_counted(monkeypatch):
+    """Many equal lines: each may be a part of each other by itself, but no run of two of them fits in one."""
+    made = []
+
+    class Counted(script.Counter):
+        def __init__(self, *args):
+            made.append(1)
+            super().__init__(*args)
+
+    monkeypatch.setattr(script, "Counter", Counted)
+    lines = [["one", "line", "of", "many", "words"]] * 60
+    assert script.runs(lines, lines) == [] and len(made) < 60
+    whole, parts = [["a", "b", "c", "d", "e", "f"], ["x", "y"]], [["q", "r"], ["a", "b", "c"], ["d", "e", "f"], ["x", "y"]]
+    assert script.runs(whole, parts) == [(0, 1, 2, 5997)]
+
+
+def test_places_need_no_texts(spark):
+    old = {1: ["a b c d e f g h i j k l", "m n o p", "q r s t"], 2: ["same", "gone now", "x y z w"]}
+    new = {1: ["a b c d e f", "g h i j k l", "q r s t"], 2: ["x y z w", "same", "new one"]}
+    left, right = blocks(spark, old), blocks(spark, new)
+    columns = ["doc_id", "seq", "op", "left_ords", "right_ords", "cells"]
+    places = script.full_script(left, right, texts=False)
+    assert places.columns == columns and "REPARTITION_BY_COL" not in places._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, places.collect())) == sorted(map(repr, script.full_script(left, right).select(*columns).collect()))
+    told = {(r["doc_id"], i): t for r in script.full_script(left, right).collect() for i, t in zip(r["left_ords"], r["left_texts"], strict=True)}
+    assert told == {(d, i): t for d, texts in old.items() for i, t in enumerate(texts)}
