@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quirelake.functions import text as T
-from quirelake.operators import align, structure
+from quirelake.operators import align
 from quirelake.sources.store import stored
 
 #: A split's least share of the whole that its parts hold, in order; the greatest share of the parts that the
 #: whole doesn't hold; the least share if text was added; the longest run of parts.
 COVERAGE, FOREIGN, ADDED, LONGEST = 0.9, 0.34, 0.3, 8
-#: Cells of one table of a longest common subsequence; a larger one isn't made, and the pairs stay modifications.
-LCS_CELLS = 1_000_000
+#: Cells of a table of a common subsequence that are kept at once; of a larger one, parts are made again.
+KEPT_CELLS = 1_000_000
 
 
 # Kernels of one gap ---------------------------------------------------------------------------------------------------
@@ -126,43 +126,113 @@ def best_chain(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, i
     return out[::-1]
 
 
-def heaviest(a: list[str], b: list[str]) -> list[tuple[int, int]] | None:
-    """Places of the common subsequence with the most characters; None beyond the budget."""
-    return None if len(a) * len(b) > LCS_CELLS else structure.longest_common(a, b, len)
+def heaviest(left: list[list[str]], right: list[list[str]]) -> list[tuple[int, int]]:
+    """Places, over all blocks of a side, of the common subsequence of paired blocks with the most characters matched within
+    the pairs, and of these with the most matched across boundaries. Ties keep the right side's earlier places free.
+
+    What crosses a pair with a word of its own would lose that word, so a block meets the right ones from the pair before it
+    to the one after it that have words in common. Rows of the table are kept where blocks begin, and made again, a part at a
+    time, where the way leads through them: memory grows with the words, not with the cells."""
+    ids: dict[str, int] = {}
+    code = lambda side: [np.fromiter((ids.setdefault(w, len(ids)) for w in block), dtype=np.int64, count=len(block)) for block in side]
+    l, r = code(left), code(right)
+    weights = np.fromiter((max(1, len(w)) for w in ids), dtype=np.int64, count=len(ids))
+    n = len(l)
+    own = [k for k in range(n) if np.intersect1d(l[k], r[k]).size]
+    flat, begins = np.concatenate([*r, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(x) for x in r])])
+    most = 1 + sum(int(weights[x].sum()) for x in l)
+
+    def window(k: int) -> tuple[int, int]:
+        at, behind = bisect.bisect_left(own, k), bisect.bisect_right(own, k)
+        return int(begins[own[at - 1]]) if at else 0, int(begins[own[behind] + 1]) if behind < len(own) else len(flat)
+
+    class Block:
+        """The rows of one left block: a row is the best of what is left from there, by right place."""
+
+        def __init__(self, k: int):
+            self.words, (self.lo, self.hi) = l[k], window(k)
+            self.gain = weights[flat[self.lo : self.hi]]
+            inside = slice(int(begins[k]) - self.lo, int(begins[k + 1]) - self.lo)
+            self.gain[inside] *= most
+            wanted = flat[self.lo : self.hi]
+            order = np.argsort(wanted, kind="stable")
+            ranks = wanted[order]
+            self.places = {int(w): order[np.searchsorted(ranks, w) : np.searchsorted(ranks, w, "right")] for w in np.unique(self.words)}
+
+        def above(self, i: int, below: np.ndarray) -> np.ndarray:
+            at = self.places[int(self.words[i])]
+            if not len(at):
+                return below
+            row = below.copy()
+            row[at] = np.maximum(below[at], below[at + 1] + self.gain[at])
+            return np.maximum.accumulate(row[::-1])[::-1]
+
+        def way(self, first: int, last: int, below: np.ndarray, j: int, found: list, base: int) -> int:
+            """Where the best way from that row and place leaves the rows; its matches go to found."""
+            if last - first > 1 and (last - first) * len(below) > KEPT_CELLS:
+                size = max(1, -(-(last - first) // 16))
+                starts = list(range(first, last, size))
+                rows = [below]
+                for start, end in reversed(list(zip(starts[1:], [*starts[2:], last], strict=True))):
+                    row = rows[-1]
+                    for i in reversed(range(start, end)):
+                        row = self.above(i, row)
+                    rows.append(row)
+                for start, end in zip(starts, [*starts[1:], last], strict=True):
+                    j = self.way(start, end, rows.pop(), j, found, base)
+                return j
+            rows = [below]
+            for i in reversed(range(first, last)):
+                rows.append(self.above(i, rows[-1]))
+            for i in range(first, last):
+                here, under = rows.pop(), rows[-1]
+                while True:
+                    if j < self.hi - self.lo and flat[self.lo + j] == self.words[i] and here[j] == under[j + 1] + self.gain[j]:
+                        found.append((base + i, self.lo + j))
+                        j += 1
+                        break
+                    if here[j] == under[j]:
+                        break
+                    j += 1
+            return j
+
+    def under(k: int, row: np.ndarray, rlo: int) -> np.ndarray:
+        """The row of the next block on the places of this one: what lies before its own has the best of all of it."""
+        lo, hi = window(k)
+        return np.concatenate([np.full(max(0, min(rlo, hi + 1) - lo), row[0]), row[max(0, lo - rlo) : max(0, hi + 1 - rlo)]])
+
+    rows = [None] * n + [(np.zeros(1, np.int64), len(flat))]
+    for k in reversed(range(n)):
+        block = Block(k)
+        row = under(k, *rows[k + 1])
+        for i in reversed(range(len(block.words))):
+            row = block.above(i, row)
+        rows[k] = (row, block.lo)
+    out: list[tuple[int, int]] = []
+    j = base = 0
+    for k in range(n):
+        block = Block(k)
+        j = block.lo + block.way(0, len(block.words), under(k, *rows[k + 1]), max(0, j - block.lo), out, base)
+        base += len(block.words)
+    return out
 
 
 def crossed(left: list[list[str]], right: list[list[str]]) -> list[dict] | None:
     """Cells of a run of pairs of blocks, given as tokens, if words of one pair are found in the next; else None.
 
-    Words are matched within each pair first, and these matches stand. What is left between two matches, across the
-    boundaries, is matched again. A boundary is kept if as many matches come before it on either side, the last one always;
-    else it is one that was inserted and one that was deleted. Between two matches new text comes before old."""
+    Words are matched within each pair first, and of the ways to do so the one is taken that leaves most to be matched across
+    the boundaries. A boundary is kept if as many matches come before it on either side, the last one always; else it is one
+    that was inserted and one that was deleted. Between two matches new text comes before old."""
     flat = [[(k, t) for k, block in enumerate(side) for t in block] for side in (left, right)]
     word = lambda t: any(c.isalnum() for c in t)
     places = [[i for i, (_, t) in enumerate(f) if word(t)] for f in flat]
-    text = lambda side, i: flat[side][i][1].lower()
-    own = []
-    for k in range(len(left)):
-        p, q = ([i for i in places[s] if flat[s][i][0] == k] for s in (0, 1))
-        found = heaviest([text(0, i) for i in p], [text(1, i) for i in q])
-        if found is None:
-            return None
-        own += [(p[x], q[y]) for x, y in found]
-    every, i, j, crossing = [], -1, -1, 0
-    for x, y in [*own, (len(flat[0]), len(flat[1]))]:
-        p, q = places[0][bisect.bisect_right(places[0], i) : bisect.bisect_left(places[0], x)], places[1][bisect.bisect_right(places[1], j) : bisect.bisect_left(places[1], y)]
-        found = heaviest([text(0, i) for i in p], [text(1, i) for i in q])
-        if found is None:
-            return None
-        every += [(p[u], q[v]) for u, v in found]
-        crossing += sum(flat[0][p[u]][0] != flat[1][q[v]][0] for u, v in found)
-        every.append((x, y))
-        i, j = x, y
-    every.pop()
+    every = [(places[0][p], places[1][q]) for p, q in heaviest(*([[t.lower() for t in block if word(t)] for block in side] for side in (left, right)))]
+    crossing = sum(flat[0][p][0] != flat[1][q][0] for p, q in every)
     if not crossing:
         return None
-    ends = [[sum(map(len, side[: k + 1])) for k in range(len(side))] for side in (left, right)]
-    kept = [k == len(left) - 1 or sum(p < ends[0][k] for p, _ in every) == sum(q < ends[1][k] for _, q in every) for k in range(len(left))]
+    ends = [list(itertools.accumulate(map(len, side))) for side in (left, right)]
+    before = [[bisect.bisect_left(m, end) for end in e] for m, e in zip(zip(*every, strict=True), ends, strict=True)]
+    kept = [k == len(left) - 1 or before[0][k] == before[1][k] for k in range(len(left))]
     # both streams with their boundaries: token places count the boundaries before them
     stream = [[x for k, block in enumerate(side) for x in [*block, None]] for side in (left, right)]
     met = sorted([(p + flat[0][p][0], q + flat[1][q][0]) for p, q in every] + [(ends[0][k] + k, ends[1][k] + k) for k in range(len(left)) if kept[k]])

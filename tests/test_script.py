@@ -128,3 +128,26 @@ def test_places_need_no_texts(spark):
     assert sorted(map(repr, places.collect())) == sorted(map(repr, script.full_script(left, right).select(*columns).collect()))
     told = {(r["doc_id"], i): t for r in script.full_script(left, right).collect() for i, t in zip(r["left_ords"], r["left_texts"], strict=True)}
     assert told == {(d, i): t for d, texts in old.items() for i, t in enumerate(texts)}
+
+
+def test_words_cross_where_a_tie_would_hide_them():
+    """The first moved word and the first of the next block are the same: matched within its block, it hid the others."""
+    left, right = [["a", "b", "c", "same", "d", "e"], ["same", "f", "g", "h"]], [["a", "b", "c"], ["same", "d", "e", "same", "f", "g", "h"]]
+    cells = script.crossed(left, right)
+    assert cells and told(cells, "left") == ["".join(b) for b in left] and told(cells, "right") == ["".join(b) for b in right]
+
+
+def test_heaviest_brute(monkeypatch):
+    r = random.Random(5)
+    for _ in range(400):
+        monkeypatch.setattr(script, "KEPT_CELLS", r.choice([1, 20, 1_000_000]))
+        left, right = ([r.choices(["a", "bb", "ccc", "d"], k=r.randint(0, 6)) for _ in range(r.randint(3, 3))] for _ in range(2))
+        flat = [[(k, w) for k, block in enumerate(side) for w in block] for side in (left, right)]
+        best = [[(0, 0)] * (len(flat[1]) + 1) for _ in range(len(flat[0]) + 1)]
+        for i, j in itertools.product(reversed(range(len(flat[0]))), reversed(range(len(flat[1])))):
+            (k, v), (m, w), (own, over) = flat[0][i], flat[1][j], best[i + 1][j + 1]
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], ((own + len(w), over) if k == m else (own, over + len(w))) if v == w else (0, 0))
+        found = script.heaviest(left, right)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in itertools.pairwise(found)) and all(flat[0][p][1] == flat[1][q][1] for p, q in found)
+        size = lambda same: sum(len(flat[0][p][1]) for p, q in found if (flat[0][p][0] == flat[1][q][0]) == same)  # noqa: E731,B023
+        assert (size(True), size(False)) == best[0][0]
