@@ -151,3 +151,13 @@ def test_heaviest_brute(monkeypatch):
         assert all(a[0] < b[0] and a[1] < b[1] for a, b in itertools.pairwise(found)) and all(flat[0][p][1] == flat[1][q][1] for p, q in found)
         size = lambda same: sum(len(flat[0][p][1]) for p, q in found if (flat[0][p][0] == flat[1][q][0]) == same)  # noqa: E731,B023
         assert (size(True), size(False)) == best[0][0]
+
+
+def test_blocks_of_any_length_may_cross():
+    """A table of more than a million cells was not made, and its run of blocks stayed modifications."""
+    words = [f"w{i}" for i in range(2_400)]
+    cut = lambda blocks: [[x for w in block for x in (w, " ")] for block in blocks]
+    left, right = cut([words[:1_200], words[1_200:]]), cut([words[:1_190], words[1_190:]])
+    found = script.gap_operations(["".join(b) for b in left], ["".join(b) for b in right], left, right)
+    assert [x["op"] for x in found] == ["CrossParagraphRun"]
+    assert told(found[0]["cells"], "right") == ["".join(b) for b in right]
