@@ -298,6 +298,62 @@ def edit_script(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataF
     return same.select(*columns).unionByName(rest.select(*columns))
 
 
+def block_script(left_texts: list, left_hashes: list, right_texts: list, right_hashes: list) -> list[tuple[str, int | None, int | None]]:
+    """(op, left place, right place) of edit_script in its order, for two versions whose blocks are given in order: for texts
+    that are at hand already, so that nothing is shuffled for a version."""
+    ours, theirs = ({h: i for i, h in enumerate(hashes) if h is not None and n[h] == 1} for hashes, n in ((x, Counter(x)) for x in (left_hashes, right_hashes)))
+    pairs = sorted((i, theirs[h]) for h, i in ours.items() if h in theirs)
+    found = {i: ("Equal" if on else "Move", j) for (i, j), on in zip(pairs, lis_flags([j for _, j in pairs]), strict=True)}
+    fixed = {i for i, _ in pairs}, {j for _, j in pairs}
+    words: tuple[dict, dict] = {}, {}
+
+    def cut(side: int, at: list[int]) -> list[list[str]]:
+        texts, own = (left_texts, right_texts)[side], words[side]
+        for i in at:
+            if i not in own:
+                own[i] = T.word_list(texts[i])
+        return [own[i] for i in at]
+
+    def alike(a: list[int], b: list[int], least: float) -> list[tuple[int, int, int]]:
+        """(- score in millionths, left place, right place): scores are rounded to six digits."""
+        out = []
+        for x, at, both, size, sizes in common_words(cut(0, a), cut(1, b), True, least) if a and b else ():
+            rest = size + sizes - both
+            score = (2_000_000 * both + rest) // (2 * rest)
+            out += [(-s, a[x], b[y]) for y, s in zip(at.tolist(), score.tolist(), strict=True) if s >= round(least * 1_000_000)]
+        return out
+
+    def best_first(scores: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        out, left, right = [], set(), set()
+        for _, i, j in sorted(scores):
+            if i not in left and j not in right:
+                left.add(i), right.add(j), out.append((i, j))
+        return sorted(out)
+
+    scores, free = [], ([], [])
+    for (i, j), (k, m) in itertools.pairwise([(-1, -1), *((i, j) for i, (op, j) in sorted(found.items()) if op == "Equal"), (len(left_texts), len(right_texts))]):
+        gap = [x for x in range(i + 1, k) if x not in fixed[0]], [y for y in range(j + 1, m) if y not in fixed[1]]
+        scores += alike(*gap, PAIR_SCORE)
+        free[0].extend(gap[0]), free[1].extend(gap[1])
+    modified = best_first(scores)
+    modified = [p for p, on in zip(modified, lis_flags([j for _, j in modified]), strict=True) if on]
+    found |= {i: ("Modify", j) for i, j in modified}
+    used = {j for _, j in modified}
+    rest = [i for i in free[0] if i not in found], [j for j in free[1] if j not in used]
+    if all(rest):
+        rest = tuple([x for x, w in zip(at, cut(side, at), strict=True) if len(w) >= MIN_MOVE_WORDS] for side, at in enumerate(rest))
+        found |= {i: ("MoveModify", j) for i, j in best_first(alike(*rest, MOVE_SCORE))}
+    rows, last = [], -1
+    for i in range(len(left_texts)):
+        op, j = found.get(i, ("Delete", None))
+        if op in ("Equal", "Modify"):
+            last = j
+        rows.append((last if j is None else j, j is None, i, op, j))
+    taken = {j for _, j in found.values()}
+    rows += [(j, False, None, "Insert", j) for j in range(len(right_texts)) if j not in taken]
+    return [(op, i, j) for _, _, i, op, j in sorted(rows, key=lambda x: x[:2] + (-1 if x[2] is None else x[2],))]
+
+
 def accepted(script: DataFrame, key: str = "doc_id") -> DataFrame:
     """The right version: key, ord, text."""
     s = script.where("op <> 'Delete'")
@@ -367,12 +423,15 @@ def myers(a: list, b: list) -> list[tuple[int, int]]:
 
 def diff_spans(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
     """(op, left, right) spans: words are anchored first, separators only between equal words; then runs are joined."""
-    word = lambda t: any(c.isalnum() for c in t)
+    word = lambda t: t.isalnum() or (len(t) > 1 and any(c.isalnum() for c in t))
     ia, ib = [i for i, t in enumerate(a) if word(t)], [i for i, t in enumerate(b) if word(t)]
     anchors = [(ia[i], ib[j]) for i, j in myers([a[i].lower() for i in ia], [b[i].lower() for i in ib])] if ia or ib else []
     equal, i, j = [], 0, 0
     for p, q in [*anchors, (len(a), len(b))]:
-        equal += [(i + u, j + v) for u, v in myers(a[i:p], b[j:q])]
+        if p - i == 1 == q - j:
+            equal += [(i, j)] if a[i] == b[j] else []
+        elif p > i and q > j:
+            equal += [(i + u, j + v) for u, v in myers(a[i:p], b[j:q])]
         if p < len(a):
             equal.append((p, q))
         i, j = p + 1, q + 1

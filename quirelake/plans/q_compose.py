@@ -7,7 +7,6 @@ from pyspark.sql.window import Window as W
 
 from quirelake.operators import compose
 from quirelake.plans.q_blocks import BLOCKS
-from quirelake.sources.store import stored
 from quirelake.sources.tables import blocks, load
 
 
@@ -22,9 +21,11 @@ def _versions(spark, sf):
     gone = F.col("fit") & (F.col("ord") % 7 == 3) & (F.col("reviewer") > 1)
     head, tail = F.concat_ws(" ", F.lit("alpha1"), F.expr("array_join(slice(w, 2, size(w)), ' ')")), lambda x: F.concat(F.expr("array_join(slice(w, 1, size(w) - 1), ' ')"), F.lit(x))
     text = F.when(~F.col("fit"), F.col("text")).when(F.col("reviewer") == 1, head).when(F.col("reviewer") == 2, tail(" omega2")).when(F.col("ord") % 4 == 0, tail(" omega3")).otherwise(F.col("text"))
-    kept = e.where(~gone).select("doc_id", "reviewer", "ord", text.alias("text"))
-    note = lambda at, t: e.where("ord = 0").select("doc_id", "reviewer", (F.col("n") + at).alias("ord"), t.alias("text"))
-    more = kept.unionByName(note(0, F.concat(F.lit("closing-note-of-"), F.col("reviewer").cast("string")))).unionByName(note(1, F.lit("joint-note")).where("reviewer <> 2"))
+    # one pass, without a union: the windows over a document share one shuffle
+    note = lambda at, t: F.struct((F.col("n") + at).alias("ord"), t.alias("text"))
+    first = F.col("ord") == 0
+    rows = F.array(F.when(~gone, F.struct("ord", text.alias("text"))), F.when(first, note(0, F.concat(F.lit("closing-note-of-"), F.col("reviewer").cast("string")))), F.when(first & (F.col("reviewer") != 2), note(1, F.lit("joint-note"))))
+    more = e.select("doc_id", "reviewer", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("doc_id", "reviewer", "x.*")
     at = F.row_number().over(W.partitionBy("doc_id", "reviewer").orderBy("ord")) - 1
     return b, more.select("doc_id", "reviewer", at.cast("long").alias("ord"), "text", F.sha2("text", 256).alias("hash"))
 
@@ -40,11 +41,8 @@ def _consolidated(policy: str):
 def consolidation_contested_words(spark, sf):
     """The words that two reviewers replace differently, with every competitor."""
     base, versions = _versions(spark, sf)
-    ops = compose.reviewed(base, versions).where("op = 'Modify'")
-    edits = compose.text_edits(ops.select("doc_id", "left_ord", "reviewer", "left_text", F.col("text").alias("right_text")), ["doc_id", "left_ord", "reviewer"])
-    edits = stored(edits, "word-edits")
-    texts = base.select("doc_id", F.col("ord").alias("left_ord"), "text").join(edits.select("doc_id", "left_ord").distinct(), ["doc_id", "left_ord"], "left_semi")
-    return compose.contested(texts, edits, ["doc_id", "left_ord"]).select("doc_id", "left_ord", "lo", "hi", F.col("reviewer").cast("long").alias("reviewer"), "text")
+    found = compose.by_document(base, versions, compose.contested_words, "left_ord long, lo long, hi long, reviewer int, text string")
+    return found.withColumn("reviewer", F.col("reviewer").cast("long"))
 
 
 QUERIES = {f"consolidate_{p}": _consolidated(p) for p in compose.POLICIES} | {"consolidation_contested_words": consolidation_contested_words}

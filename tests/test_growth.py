@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
 from quirelake.operators import align, compose, delta, export, layout, package, runs, script, sheet, structure
-from quirelake.plans import q_blocks
+from quirelake.plans import q_blocks, q_compose
 from quirelake.sources.store import stored
 from quirelake.sources.tables import blocks, revised
 
@@ -239,3 +239,34 @@ def test_versions_of_a_script_need_no_shuffle_behind_its_texts(spark):
     assert plan(digest).split("REPARTITION_BY_COL")[0].count("Exchange") == 1
     want = {r["doc_id"]: [tuple(b) for b in r["blocks"]] for r in revised(left).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("blocks")).collect()}
     assert {r["doc_id"]: [tuple(b) for b in r["blocks"]] for r in digest.collect()} == want
+
+
+def test_tokens_in_python_are_those_of_spark(spark):
+    r = random.Random(7)
+    texts = ["", "1.5,2 a.b", " x", "A ΣαΣ b", "(x-y)\n z;，w", *("".join(r.choices(" -)(;,:.、ab1 2 É\n", k=r.randint(0, 12))) for _ in range(300))]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, t string")
+    for i, a, b in t.select("i", T.tokens(F.col("t")), T.words(F.col("t"))).collect():
+        assert T.token_list(texts[i]) == a and T.word_list(texts[i]) == b, texts[i]
+
+
+def test_block_script_is_the_edit_script(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(r.choices([f"w{i}" for i in range(r.choice([5, 40]))], k=r.choice([0, 1, 3, 6, 12])))
+    old = {d: [text() for _ in range(r.choice([1, 4, 9]))] for d in range(60)}
+    new = {}
+    for d, texts in old.items():
+        out = [x + " more" if r.random() < 0.3 else x for x in texts if r.random() < 0.8] + [text()]
+        new[d] = r.sample(out, len(out)) if d % 3 == 0 else out
+    frame = lambda docs: spark.createDataFrame([(d, o, t) for d, texts in docs.items() for o, t in enumerate(texts)], "doc_id long, ord long, text string").withColumn("hash", F.sha2("text", 256))
+    want: dict = {}
+    for x in align.edit_script(frame(old), frame(new)).orderBy("doc_id", "seq").collect():
+        want.setdefault(x["doc_id"], []).append((x["op"], x["left_ord"], x["right_ord"]))
+    assert {d: align.block_script(old[d], old[d], new[d], new[d]) for d in old} == want
+
+
+def test_consolidation_shuffles_a_document_once(spark, sf):
+    out = q_compose._versions(spark, sf)
+    found = compose.by_document(*out, compose.contested_words, "left_ord long, lo long, hi long, reviewer int, text string")
+    found.collect()
+    done = [x for x in plan(found).split("Initial Plan")[0].split("\n") if "Exchange" in x and "Reused" not in x]
+    assert len(done) == 1, done
