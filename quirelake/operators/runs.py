@@ -47,14 +47,18 @@ def _listed(runs: DataFrame, matches: DataFrame, by: list[str], more: list[str],
 def fragments(runs: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
     """by, start, end, run, from, to, text: the part of each run that each match has, as characters of the run. matches (by,
     start, end) don't overlap."""
+    return fragments_listed(_listed(runs, matches, by, [], "inner"), by)
 
-    @F.pandas_udf("array<struct<match:int,place:int,from:long,to:long>>")
+
+def fragments_listed(x: DataFrame, by: list[str]) -> DataFrame:
+    """fragments of blocks that have all their runs and matches in one row already (by, r, m): nothing is shuffled or sorted."""
+
+    @F.pandas_udf("array<struct<match:int,place:int,from:long,to:long,text:string>>")
     def found(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([[{"match": k, "place": i, "from": a, "to": b} for k, i, a, b in spans(list(t), s, e)] for t, s, e in zip(texts, starts, ends, strict=True)])
+        return pd.Series([[{"match": k, "place": i, "from": a, "to": b, "text": t[i][a:b]} for k, i, a, b in spans(list(t), s, e)] for t, s, e in zip(texts, starts, ends, strict=True)])
 
-    x = _listed(runs, matches, by, [], "inner").select(*by, "r", "m", F.explode(found("r.text", "m.start", "m.end")).alias("f"))
-    x = x.select(*by, F.get("m", F.col("f.match")).alias("m"), F.get("r", F.col("f.place")).alias("r"), "f.from", "f.to")
-    return x.select(*by, "m.start", "m.end", "r.run", "from", "to", F.substr("r.text", (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int")).alias("text"))
+    x = x.where(F.size("m") > 0).select(*by, F.col("r.run").alias("runs"), F.col("m.start").alias("starts"), F.col("m.end").alias("ends"), F.explode(found("r.text", "m.start", "m.end")).alias("f"))
+    return x.select(*by, F.get("starts", F.col("f.match")).alias("start"), F.get("ends", F.col("f.match")).alias("end"), F.get("runs", F.col("f.place")).alias("run"), "f.from", "f.to", "f.text")
 
 
 def replaced(runs: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
@@ -62,12 +66,22 @@ def replaced(runs: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
     all others. Runs keep their number, format and other columns; those that lose all their text stay empty, and blocks
     without a match are as before."""
 
+    x = replaced_listed(_listed(runs, matches, by, ["replacement"], "left")).select(*by, F.explode(F.arrays_zip("r", "t")).alias("x"))
+    return x.select(*[F.col("x.t").alias(c) if c == "text" else c if c in by else F.col(f"x.r.{c}").alias(c) for c in runs.columns])
+
+
+def replaced_listed(x: DataFrame) -> DataFrame:
+    """replaced of blocks that have all their runs and matches in one row already (r, m): with t, the runs' new texts."""
+
     @F.pandas_udf("array<string>")
     def put(texts: pd.Series, starts: pd.Series, ends: pd.Series, news: pd.Series) -> pd.Series:
         out = []
         for t, s, e, new in zip(texts, starts, ends, news, strict=True):
+            if t is None:
+                out.append(None)
+                continue
             t = list(t)
-            hits = [] if s is None else list(spans(t, s, e))
+            hits = list(spans(t, s, e))
             first = {}
             for k, i, _, _ in hits:
                 first.setdefault(k, i)
@@ -76,7 +90,5 @@ def replaced(runs: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:
             out.append(t)
         return pd.Series(out)
 
-    x = _listed(runs, matches, by, ["replacement"], "left")
-    x = x.withColumn("t", F.when(F.col("m").isNull(), F.col("r.text")).otherwise(put("r.text", "m.start", "m.end", "m.replacement")))
-    x = x.select(*by, F.explode(F.arrays_zip("r", "t")).alias("x"))
-    return x.select(*[F.col("x.t").alias(c) if c == "text" else c if c in by else F.col(f"x.r.{c}").alias(c) for c in runs.columns])
+    some = lambda c: F.when(F.size("m") > 0, F.col(c))
+    return x.withColumn("t", F.coalesce(put(some("r.text"), some("m.start"), some("m.end"), some("m.replacement")), F.col("r.text")))

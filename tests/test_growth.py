@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
 from quirelake.operators import align, compose, delta, export, layout, package, runs, script, sheet, structure
-from quirelake.plans import q_blocks, q_compose
+from quirelake.plans import q_blocks, q_compose, q_runs
 from quirelake.sources.store import stored
 from quirelake.sources.tables import blocks, revised
 
@@ -270,3 +270,10 @@ def test_consolidation_shuffles_a_document_once(spark, sf):
     found.collect()
     done = [x for x in plan(found).split("Initial Plan")[0].split("\n") if "Exchange" in x and "Reused" not in x]
     assert len(done) == 1, done
+
+
+def test_runs_of_a_block_are_never_rows_to_be_sorted(spark, sf):
+    """A block's runs and matches stay in its row: they were cut apart and sorted together again, which spilled."""
+    for query in (q_runs.run_fragments, q_runs.run_replacements):
+        steps = plan(query(spark, sf))
+        assert steps.count("Exchange") == 1 and not any(x in steps for x in ("Sort", "Join", "Aggregate")), steps
